@@ -5,6 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from ..operators import schema as S
 from ..operators.numeric import numeric_stats
 from . import oracles as O
 from .tables import load
@@ -17,10 +20,96 @@ def q_numeric_stats(spark: SparkSession, sf: str) -> DataFrame:
     return numeric_stats(load(spark, sf, "lineitem"))
 
 
+ORDERS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+          ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+LINEITEM = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
+            ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
+            ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
+            ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")]
+NATION = [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")]
+CUSTOMER = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
+            ("c_acctbal", "double"), ("c_mktsegment", "string")]
+DOCUMENTS = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+             ("n_chars", "bigint")]
+EVENTS = [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"),
+          ("event_type", "string"), ("value", "double"), ("props", "string")]
+
+# Lineitem with derived missing values (the driver tables hold no NULLs).
+LINEITEM_NULLS_EXPRS = [
+    "l_orderkey", "l_partkey", "NULLIF(l_quantity, 1.0) AS l_quantity", "l_extendedprice",
+    "NULLIF(l_discount, 0.0) AS l_discount", "NULLIF(l_tax, 0.0) AS l_tax",
+    "NULLIF(l_returnflag, 'R') AS l_returnflag", "l_linestatus", "l_shipdate"]
+LINEITEM_NULLS = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_quantity", "double"),
+                  ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+                  ("l_returnflag", "string"), ("l_linestatus", "string"),
+                  ("l_shipdate", "timestamp_ntz")]
+LINEITEM_NULLS_SQL = "(SELECT " + ", ".join(LINEITEM_NULLS_EXPRS) + " FROM lineitem)"
+
+
+def lineitem_nulls(spark, sf):
+    return load(spark, sf, "lineitem").selectExpr(*LINEITEM_NULLS_EXPRS)
+
+
+def customer_strings(spark, sf):
+    c = load(spark, sf, "customer")
+    return c.select(*[F.col(n).cast("string").alias(n) for n in c.columns])
+
+
+CUSTOMER_STRINGS_SQL = "(SELECT " + ", ".join(
+    f"CAST({c} AS VARCHAR) AS {c}" for c, _ in CUSTOMER) + " FROM customer)"
+
+
+def q_schema_profile(spark, sf):
+    df = load(spark, sf, "orders")
+    return S.schema_profile(df, row_key="o_orderkey").withColumn(
+        "sample_values", F.array_join("sample_values", ", "))
+
+
+def q_dataset_summary(spark, sf):
+    return S.dataset_summary(load(spark, sf, "orders"))
+
+
+def q_type_inference(spark, sf):
+    parts = [("documents", load(spark, sf, "documents")), ("events", load(spark, sf, "events")),
+             ("customer", customer_strings(spark, sf))]
+    out = None
+    for name, df in parts:
+        t = S.infer_types(df).select(F.lit(name).alias("table_name"), "column_name", "data_type")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def q_missing_data(spark, sf):
+    return S.missing_data(lineitem_nulls(spark, sf))
+
+
+def q_type_narrowing(spark, sf):
+    return S.type_narrowing(load(spark, sf, "lineitem"))
+
+
+def q_sample_values(spark, sf):
+    return S.sample_values(load(spark, sf, "nation"), row_key="n_nationkey").withColumn(
+        "sample_values", F.array_join("sample_values", ", "))
+
+
 QUERIES = {
     "numeric_stats": q_numeric_stats,
+    "schema_profile": q_schema_profile,
+    "dataset_summary": q_dataset_summary,
+    "type_inference": q_type_inference,
+    "missing_data": q_missing_data,
+    "type_narrowing": q_type_narrowing,
+    "sample_values": q_sample_values,
 }
 
 ORACLES = {
     "numeric_stats": O.numeric_stats_sql("lineitem", LINEITEM_NUMERIC),
+    "schema_profile": O.schema_profile_sql("orders", ORDERS, "o_orderkey"),
+    "dataset_summary": O.dataset_summary_sql("orders", ORDERS),
+    "type_inference": O.type_inference_sql([
+        ("documents", "documents", DOCUMENTS), ("events", "events", EVENTS),
+        ("customer", CUSTOMER_STRINGS_SQL, [(c, "string") for c, _ in CUSTOMER])]),
+    "missing_data": O.missing_data_sql(LINEITEM_NULLS_SQL, LINEITEM_NULLS),
+    "type_narrowing": O.type_narrowing_sql("lineitem", LINEITEM),
+    "sample_values": O.sample_values_sql("nation", NATION, "n_nationkey"),
 }

@@ -61,3 +61,131 @@ SELECT c.column_name, CAST(coalesce(a.n, 0) AS BIGINT) AS "count",
 FROM cols c LEFT JOIN agg a USING (column_name) LEFT JOIN mom m USING (column_name)
   LEFT JOIN md USING (column_name) LEFT JOIN oc USING (column_name)
 """
+
+
+# ---- schema family ---------------------------------------------------------
+
+def _type_case(spark_type: str) -> str:
+    """SQL for the S6 decision list over a long CTE with string ``value``."""
+    if spark_type.startswith("timestamp") or spark_type == "date":
+        return "min('datetime')"
+    if spark_type == "boolean":
+        return "min('boolean')"
+    if spark_type in ("tinyint", "smallint", "int", "bigint", "float", "double") or \
+            spark_type.startswith("decimal"):
+        return "min('numeric')"
+    if spark_type != "string":
+        return "min('unknown')"
+    return ("CASE WHEN count(value) = 0 THEN 'unknown' "
+            "WHEN count(try_cast(value AS DOUBLE)) = count(value) THEN 'numeric' "
+            "WHEN count(try_cast(value AS TIMESTAMP)) = count(value) THEN 'datetime' "
+            "WHEN count(DISTINCT value) / count(*) < 0.5 THEN 'categorical' "
+            "WHEN avg(length(value)) > 50 THEN 'text' ELSE 'categorical' END")
+
+
+def string_long_sql(source: str, schema: list[tuple[str, str]], key: str | None = None) -> str:
+    parts = []
+    for i, (c, t) in enumerate(schema):
+        v = f"CAST({_q(c)} AS VARCHAR)"
+        if t in ("double", "float"):
+            v = f"CASE WHEN isnan({_q(c)}) THEN NULL ELSE {v} END"
+        k = f", {key} AS k" if key else ""
+        parts.append(f"SELECT '{c}' AS column_name, {i} AS ord, '{t}' AS spark_type, {v} AS value{k} "
+                     f"FROM {source}")
+    return " UNION ALL ".join(parts)
+
+
+def type_inference_sql(tables: list[tuple[str, str, list[tuple[str, str]]]]) -> str:
+    """tables: (table_name, source_sql, [(column, spark_type)])."""
+    blocks = []
+    for tname, source, schema in tables:
+        for i, (c, t) in enumerate(schema):
+            blocks.append(
+                f"SELECT '{tname}' AS table_name, '{c}' AS column_name, {_type_case(t)} AS data_type "
+                f"FROM (SELECT CAST({_q(c)} AS VARCHAR) AS value FROM {source}) s")
+    return " UNION ALL ".join(blocks)
+
+
+def schema_profile_sql(source: str, schema: list[tuple[str, str]], key: str, k: int = 5) -> str:
+    facts = " UNION ALL ".join(
+        f"SELECT column_name, ord, {_type_case(t)} AS data_type, count(*) - count(value) AS n_missing, "
+        f"count(*) AS n_rows, count(DISTINCT value) AS n_unique FROM long WHERE column_name = '{c}' "
+        f"GROUP BY column_name, ord"
+        for c, t in schema)
+    return f"""
+WITH long AS ({string_long_sql(source, schema, key)}),
+facts AS ({facts}),
+samp AS (
+  SELECT column_name, string_agg(value, ', ' ORDER BY k) AS sample_values FROM (
+    SELECT column_name, value, k,
+           row_number() OVER (PARTITION BY column_name ORDER BY k) AS rn
+    FROM long WHERE value IS NOT NULL) WHERE rn <= {k} GROUP BY column_name)
+SELECT f.column_name, f.data_type, CAST(f.n_missing AS BIGINT) AS missing_count,
+       round(100.0 * f.n_missing / f.n_rows, 2) AS missing_percentage,
+       CAST(f.n_unique AS BIGINT) AS unique_count, coalesce(s.sample_values, '') AS sample_values
+FROM facts f LEFT JOIN samp s USING (column_name)
+"""
+
+
+WIDTHS = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8,
+          "boolean": 1, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def dataset_summary_sql(source: str, schema: list[tuple[str, str]]) -> str:
+    miss = " + ".join(
+        f"(count(*) - count(CASE WHEN {'NOT isnan(' + _q(c) + ')' if t in ('double', 'float') else 'TRUE'} "
+        f"THEN {_q(c)} END))" for c, t in schema)
+    mem = " + ".join(
+        f"coalesce(sum(strlen({_q(c)})), 0)" if t == "string" else f"{WIDTHS.get(t, 8)} * count(*)"
+        for c, t in schema)
+    return f"""
+SELECT CAST(count(*) AS BIGINT) AS row_count, CAST({len(schema)} AS INTEGER) AS column_count,
+       CAST({miss} AS BIGINT) AS total_missing,
+       round(({mem}) / 1048576.0, 2) AS memory_usage_mb
+FROM {source}
+"""
+
+
+def missing_data_sql(source: str, schema: list[tuple[str, str]], threshold: float = 0.3) -> str:
+    parts = []
+    for c, t in schema:
+        present = f"NOT isnan({_q(c)})" if t in ("double", "float") else f"{_q(c)} IS NOT NULL"
+        parts.append(
+            f"SELECT '{c}' AS column_name, CAST(count(*) - count(CASE WHEN {present} THEN 1 END) AS BIGINT) "
+            f"AS missing_count, count(*) AS n FROM {source}")
+    return f"""
+SELECT column_name, missing_count, round(100.0 * missing_count / n, 2) AS missing_percentage,
+       (1.0 * missing_count / n) > {threshold} AS high_missing
+FROM ({" UNION ALL ".join(parts)}) u
+"""
+
+
+def type_narrowing_sql(source: str, schema: list[tuple[str, str]]) -> str:
+    parts = []
+    for c, t in schema:
+        q = _q(c)
+        if t in ("tinyint", "smallint", "int", "bigint"):
+            rec = (f"CASE WHEN count({q}) = 0 THEN '{t}' "
+                   f"WHEN min({q}) >= -128 AND max({q}) <= 127 THEN 'tinyint' "
+                   f"WHEN min({q}) >= -32768 AND max({q}) <= 32767 THEN 'smallint' "
+                   f"WHEN min({q}) >= -2147483648 AND max({q}) <= 2147483647 THEN 'int' "
+                   f"ELSE 'bigint' END")
+        elif t == "double":
+            rec = (f"CASE WHEN count({q}) > 0 AND count(CASE WHEN CAST(CAST({q} AS FLOAT) AS DOUBLE) = {q} "
+                   f"THEN 1 END) = count({q}) THEN 'float' ELSE 'double' END")
+        elif t == "string":
+            rec = f"CASE WHEN count(DISTINCT {q}) / count(*) < 0.5 THEN 'category' ELSE 'string' END"
+        else:
+            rec = f"min('{t}')"
+        parts.append(f"SELECT '{c}' AS column_name, '{t}' AS current_type, {rec} AS recommended_type "
+                     f"FROM {source}")
+    return " UNION ALL ".join(parts)
+
+
+def sample_values_sql(source: str, schema: list[tuple[str, str]], key: str, k: int = 5) -> str:
+    return f"""
+WITH long AS ({string_long_sql(source, schema, key)})
+SELECT column_name, string_agg(value, ', ' ORDER BY k) AS sample_values FROM (
+  SELECT column_name, value, k, row_number() OVER (PARTITION BY column_name ORDER BY k) AS rn
+  FROM long WHERE value IS NOT NULL) WHERE rn <= {k} GROUP BY column_name
+"""
