@@ -65,6 +65,7 @@ class NumericProfile:
         self._summary_rows = None
         self._summary = None
         self._n_buckets = None
+        self._light = None
 
     def n_rows(self) -> int:
         if self._n_rows is None:
@@ -148,7 +149,22 @@ class NumericProfile:
         return self._summary
 
     def counts(self) -> dict[str, int]:
-        return {r[0]: r[1] for r in self.summary_rows()}
+        return {r[0]: r[1] for r in self.light_rows()}
+
+    def light_rows(self) -> list:
+        """``(column_name, n, mean, std)`` per column from one small aggregate
+        (or from the full summary when that already exists)."""
+        if self._summary_rows is not None:
+            return [(r[0], r[1], r[3], r[4]) for r in self._summary_rows]
+        if self._light is None:
+            if not self.cols:
+                self._light = []
+                return self._light
+            long = fq.unpivot_pairs(self.clean, self.cols, {"value": lambda c: qcol(c)})
+            got = {r[0]: tuple(r) for r in long.groupBy("column_name").agg(
+                F.count("value"), F.avg("value"), F.stddev_samp("value")).collect()}
+            self._light = [got.get(c, (c, 0, None, None)) for c in self.cols]
+        return self._light
 
     def counts_df(self) -> DataFrame:
         return self.summary().select("column_name", "n")

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from ..operators import categorical as C
+from ..operators import correlation as R
+from ..operators import outliers as OUT
+from ..operators import quality as Q
 from ..operators import schema as S
 from ..operators.numeric import numeric_stats
 from . import oracles as O
@@ -92,6 +96,100 @@ def q_sample_values(spark, sf):
         "sample_values", F.array_join("sample_values", ", "))
 
 
+ORDER_CATS = ["o_orderstatus", "o_orderpriority"]
+PART_CATS = ["p_brand", "p_type", "p_name"]
+PART_NUMERIC = ["p_partkey", "p_size", "p_retailprice"]
+ORDERS_NUMERIC = ["o_orderkey", "o_custkey", "o_totalprice"]
+EVENTS_NUMERIC = ["event_id", "user_id", "value"]
+LINEITEM_KEY = "l_orderkey * 10 + l_linenumber"
+
+# Orders projected to few columns: duplicates, derived NULLs and a constant column.
+ORDERS_QUALITY_EXPRS = ["o_orderstatus", "o_orderpriority",
+                        "NULLIF(o_orderstatus, 'F') AS status_not_f", "CAST(1 AS INT) AS const_one"]
+ORDERS_QUALITY = [("o_orderstatus", "string"), ("o_orderpriority", "string"),
+                  ("status_not_f", "string"), ("const_one", "int")]
+ORDERS_QUALITY_SQL = "(SELECT " + ", ".join(ORDERS_QUALITY_EXPRS) + " FROM orders)"
+LINEITEM_CONST_EXPRS = ["l_quantity", "l_extendedprice", "l_discount", "CAST(1.0 AS DOUBLE) AS const_col"]
+LINEITEM_CONST_SQL = "(SELECT " + ", ".join(LINEITEM_CONST_EXPRS) + " FROM lineitem)"
+
+
+def _keys_str(df):
+    return df.withColumn("outlier_keys", F.array_join(
+        F.transform("outlier_keys", lambda x: x.cast("string")), ","))
+
+
+def q_value_counts(spark, sf):
+    return C.value_counts(load(spark, sf, "orders"), ORDER_CATS)
+
+
+def q_top_categories(spark, sf):
+    return C.top_categories(load(spark, sf, "part"), PART_CATS, 20)
+
+
+def q_categorical_stats(spark, sf):
+    return C.categorical_stats(load(spark, sf, "orders"))
+
+
+def q_bar_chart(spark, sf):
+    from ..operators.charts import bar_chart_data
+    return bar_chart_data(load(spark, sf, "part"), "p_brand")
+
+
+def q_corr_pearson(spark, sf):
+    return R.correlation_matrix(load(spark, sf, "lineitem"), LINEITEM_NUMERIC, "pearson")
+
+
+def q_strong_correlations(spark, sf):
+    df = load(spark, sf, "lineitem")
+    return R.strong_correlations(R.pearson_matrix(df, LINEITEM_NUMERIC), LINEITEM_NUMERIC)
+
+
+def q_corr_spearman(spark, sf):
+    return R.correlation_matrix(load(spark, sf, "part"), PART_NUMERIC, "spearman")
+
+
+def q_corr_constant(spark, sf):
+    df = load(spark, sf, "lineitem").selectExpr(*LINEITEM_CONST_EXPRS)
+    return R.correlation_matrix(df, None, "pearson")
+
+
+def q_corr_heatmap(spark, sf):
+    from ..operators.charts import heatmap_data
+    return heatmap_data(load(spark, sf, "lineitem"), LINEITEM_NUMERIC)
+
+
+def q_outliers_iqr(spark, sf):
+    return _keys_str(OUT.detect_outliers(load(spark, sf, "orders"), ORDERS_NUMERIC, "iqr",
+                                         row_key="o_orderkey"))
+
+
+def q_outliers_zscore(spark, sf):
+    return _keys_str(OUT.detect_outliers(load(spark, sf, "events"), EVENTS_NUMERIC, "zscore",
+                                         row_key="event_id"))
+
+
+def q_outlier_keys(spark, sf):
+    return _keys_str(OUT.detect_outliers(load(spark, sf, "events"), ["value"], "iqr",
+                                         row_key="event_id"))
+
+
+def q_outlier_sweep(spark, sf):
+    return _keys_str(OUT.outlier_sweep(load(spark, sf, "lineitem"), LINEITEM_NUMERIC,
+                                       row_key=F.expr(LINEITEM_KEY)))
+
+
+def q_quality_score(spark, sf):
+    return Q.quality_score(load(spark, sf, "orders").selectExpr(*ORDERS_QUALITY_EXPRS))
+
+
+def q_duplicate_rows(spark, sf):
+    return Q.duplicate_rows(load(spark, sf, "orders").selectExpr(*ORDERS_QUALITY_EXPRS))
+
+
+def q_constant_columns(spark, sf):
+    return Q.constant_columns(load(spark, sf, "orders").selectExpr(*ORDERS_QUALITY_EXPRS))
+
+
 QUERIES = {
     "numeric_stats": q_numeric_stats,
     "schema_profile": q_schema_profile,
@@ -100,6 +198,22 @@ QUERIES = {
     "missing_data": q_missing_data,
     "type_narrowing": q_type_narrowing,
     "sample_values": q_sample_values,
+    "value_counts": q_value_counts,
+    "top_categories": q_top_categories,
+    "categorical_stats": q_categorical_stats,
+    "bar_chart": q_bar_chart,
+    "corr_pearson": q_corr_pearson,
+    "strong_correlations": q_strong_correlations,
+    "corr_spearman": q_corr_spearman,
+    "corr_constant": q_corr_constant,
+    "corr_heatmap": q_corr_heatmap,
+    "outliers_iqr": q_outliers_iqr,
+    "outliers_zscore": q_outliers_zscore,
+    "outlier_keys": q_outlier_keys,
+    "outlier_sweep": q_outlier_sweep,
+    "quality_score": q_quality_score,
+    "duplicate_rows": q_duplicate_rows,
+    "constant_columns": q_constant_columns,
 }
 
 ORACLES = {
@@ -112,4 +226,27 @@ ORACLES = {
     "missing_data": O.missing_data_sql(LINEITEM_NULLS_SQL, LINEITEM_NULLS),
     "type_narrowing": O.type_narrowing_sql("lineitem", LINEITEM),
     "sample_values": O.sample_values_sql("nation", NATION, "n_nationkey"),
+    "value_counts": O.value_counts_sql("orders", ORDER_CATS),
+    "top_categories": O.top_values_sql("part", PART_CATS, 20),
+    "categorical_stats": O.categorical_stats_sql("orders", ORDER_CATS),
+    "bar_chart": O.top_values_sql("part", ["p_brand"], 15),
+    "corr_pearson": O.pearson_sql("lineitem", LINEITEM_NUMERIC),
+    "strong_correlations": O.strong_sql(O.pearson_raw_sql("lineitem", LINEITEM_NUMERIC),
+                                        LINEITEM_NUMERIC),
+    "corr_spearman": O.pearson_sql(O.rank_source_sql("part", PART_NUMERIC), PART_NUMERIC),
+    "corr_constant": O.pearson_sql(LINEITEM_CONST_SQL,
+                                   ["l_quantity", "l_extendedprice", "l_discount", "const_col"]),
+    "corr_heatmap": O.pearson_sql("lineitem", LINEITEM_NUMERIC, 2),
+    "outliers_iqr": O.outliers_sql("orders", ORDERS_NUMERIC, "o_orderkey", "iqr"),
+    "outliers_zscore": O.outliers_sql("events", EVENTS_NUMERIC, "event_id", "zscore"),
+    "outlier_keys": O.outliers_sql("events", ["value"], "event_id", "iqr"),
+    "outlier_sweep": O.outliers_sql("lineitem", LINEITEM_NUMERIC, LINEITEM_KEY, "iqr",
+                                    keep_positive=True),
+    "quality_score": O.quality_sql(ORDERS_QUALITY_SQL, ORDERS_QUALITY),
+    "duplicate_rows": f"SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicate_rows, "
+                      f"CAST(sum(c) AS BIGINT) AS row_count FROM (SELECT o_orderstatus, o_orderpriority, "
+                      f"status_not_f, const_one, count(*) AS c "
+                      f"FROM {ORDERS_QUALITY_SQL} q GROUP BY ALL) g",
+    "constant_columns": "SELECT 'const_one' AS column_name FROM (SELECT count(DISTINCT const_one) AS d "
+                        f"FROM {ORDERS_QUALITY_SQL} q) WHERE d = 1",
 }

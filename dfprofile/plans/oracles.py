@@ -189,3 +189,129 @@ SELECT column_name, string_agg(value, ', ' ORDER BY k) AS sample_values FROM (
   SELECT column_name, value, k, row_number() OVER (PARTITION BY column_name ORDER BY k) AS rn
   FROM long WHERE value IS NOT NULL) WHERE rn <= {k} GROUP BY column_name
 """
+
+
+# ---- categorical / correlation / outliers / quality ------------------------
+
+def string_freq_sql(source: str, cols: list[str]) -> str:
+    parts = [f"SELECT '{c}' AS column_name, CAST({_q(c)} AS VARCHAR) AS value FROM {source}" for c in cols]
+    return (f"SELECT column_name, value, count(*) AS cnt FROM ({' UNION ALL '.join(parts)}) u "
+            f"WHERE value IS NOT NULL GROUP BY column_name, value")
+
+
+def value_counts_sql(source: str, cols: list[str]) -> str:
+    return (f"SELECT column_name, value, CAST(cnt AS BIGINT) AS \"count\" FROM "
+            f"({string_freq_sql(source, cols)}) f")
+
+
+def top_values_sql(source: str, cols: list[str], k: int) -> str:
+    return f"""
+SELECT column_name, CAST(rn AS INTEGER) AS rank, value, CAST(cnt AS BIGINT) AS "count" FROM (
+  SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rn
+  FROM ({string_freq_sql(source, cols)}) f) WHERE rn <= {k}
+"""
+
+
+def categorical_stats_sql(source: str, cols: list[str]) -> str:
+    return f"""
+WITH f AS ({string_freq_sql(source, cols)}),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rn FROM f) WHERE rn = 1)
+SELECT c.column_name, CAST(coalesce(u.n, 0) AS BIGINT) AS unique_count, t.value AS most_frequent,
+       CAST(t.cnt AS BIGINT) AS frequency
+FROM (SELECT * FROM {cols_values(cols)}) c
+LEFT JOIN (SELECT column_name, count(*) AS n FROM f GROUP BY column_name) u USING (column_name)
+LEFT JOIN top t USING (column_name)
+"""
+
+
+def pearson_sql(source: str, cols: list[str], d: int = 4) -> str:
+    parts = []
+    for a in cols:
+        for b in cols:
+            parts.append(f"SELECT '{a}' AS column1, '{b}' AS column2, "
+                         f"corr(CAST({_q(a)} AS DOUBLE), CAST({_q(b)} AS DOUBLE)) AS r FROM {source}")
+    return (f"SELECT column1, column2, round(CASE WHEN isnan(r) THEN NULL ELSE r END, {d}) + 0.0 AS correlation "
+            f"FROM ({' UNION ALL '.join(parts)}) u")
+
+
+def strong_sql(matrix_sql: str, cols: list[str], threshold: float = 0.7, d: int = 4,
+               rounded_input: bool = False) -> str:
+    from ..functions.labels import strength_sql
+    order = cols_values(cols).replace("column_name, ord", "name, ord")
+    return f"""
+WITH m AS ({matrix_sql}), o AS (SELECT * FROM {order})
+SELECT column1, column2, round(r, {d}) AS correlation, {strength_sql('abs(r)')} AS strength,
+       CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction
+FROM (SELECT m.column1, m.column2, m.r FROM m JOIN o o1 ON o1.name = m.column1
+      JOIN o o2 ON o2.name = m.column2 WHERE o1.ord < o2.ord) x
+WHERE abs(r) >= {threshold}
+"""
+
+
+def pearson_raw_sql(source: str, cols: list[str]) -> str:
+    parts = []
+    for a in cols:
+        for b in cols:
+            parts.append(f"SELECT '{a}' AS column1, '{b}' AS column2, "
+                         f"corr(CAST({_q(a)} AS DOUBLE), CAST({_q(b)} AS DOUBLE)) AS r FROM {source}")
+    return " UNION ALL ".join(parts)
+
+
+def rank_source_sql(source: str, cols: list[str]) -> str:
+    """Average ranks (ties averaged) of each column over its own non-null rows."""
+    sel = ", ".join(
+        f"(rank() OVER (ORDER BY {_q(c)}) + (count(*) OVER (PARTITION BY {_q(c)}) - 1) / 2.0) AS {_q(c)}"
+        for c in cols)
+    return f"(SELECT {sel} FROM {source})"
+
+
+def outliers_sql(source: str, cols: list[str], key: str, method: str, t: float = 1.5,
+                 zt: float = 3.0, max_keys: int = 100, keep_positive: bool = False) -> str:
+    long = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({_q(c)} AS DOUBLE) AS value, CAST({key} AS BIGINT) AS k "
+        f"FROM {source}" for c in cols)
+    if method == "iqr":
+        cond = f"(l.value < s.q1 - {t} * (s.q3 - s.q1) OR l.value > s.q3 + {t} * (s.q3 - s.q1))"
+    else:
+        cond = f"(s.sd > 0 AND abs(l.value - s.mean) / s.sd > {zt})"
+    keep = "WHERE b.outlier_count > 0" if keep_positive else ""
+    return f"""
+WITH long AS (SELECT * FROM ({long}) u WHERE value IS NOT NULL AND NOT isnan(value)),
+s AS (SELECT column_name, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd,
+             quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+      FROM long GROUP BY column_name),
+fl AS (SELECT l.column_name, l.k FROM long l JOIN s USING (column_name) WHERE {cond}),
+b AS (SELECT s.column_name, s.n, count(fl.k) AS outlier_count FROM s LEFT JOIN fl USING (column_name)
+      GROUP BY s.column_name, s.n),
+ks AS (SELECT column_name, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS keys FROM (
+         SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY k) AS rn FROM fl)
+       WHERE rn <= {max_keys} GROUP BY column_name)
+SELECT b.column_name, '{method}' AS method, CAST(b.outlier_count AS BIGINT) AS outlier_count,
+       round(100.0 * b.outlier_count / b.n, 2) AS outlier_percentage,
+       coalesce(ks.keys, '') AS outlier_keys
+FROM b LEFT JOIN ks USING (column_name) {keep}
+"""
+
+
+def quality_sql(source: str, schema: list[tuple[str, str]]) -> str:
+    from ..functions.labels import quality_sql as qlab
+    cols = [c for c, _ in schema]
+    miss = " + ".join(
+        f"sum(CASE WHEN {_q(c)} IS NULL {'OR isnan(' + _q(c) + ')' if t in ('double', 'float') else ''} "
+        f"THEN 1 ELSE 0 END)" for c, t in schema)
+    num = [c for c, t in schema if t in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+    const = " + ".join(
+        f"(SELECT CASE WHEN count(DISTINCT {_q(c)}) = 1 THEN 1 ELSE 0 END FROM {source})" for c in num) or "0"
+    collist = ", ".join(_q(c) for c in cols)
+    return f"""
+WITH m AS (SELECT 100.0 * ({miss}) / (count(*) * {len(cols)}) AS miss FROM {source}),
+d AS (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS dups, sum(c) AS n
+      FROM (SELECT {collist}, count(*) AS c FROM {source} GROUP BY ALL) g),
+c AS (SELECT CAST({const} AS BIGINT) AS consts),
+s AS (SELECT greatest(100.0 - least(miss, 30.0) - least(100.0 * dups / n, 20.0)
+                      - least(consts * 5.0, 20.0), 0.0) AS score, miss, dups, 100.0 * dups / n AS dp, consts
+      FROM m, d, c)
+SELECT round(score, 2) AS overall_score, round(miss, 2) AS missing_data_percentage,
+       dups AS duplicate_rows, round(dp, 2) AS duplicate_percentage, consts AS constant_columns,
+       {qlab('score')} AS assessment FROM s
+"""
