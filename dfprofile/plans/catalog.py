@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import categorical as C
+from ..operators import distribution as D
 from ..operators import correlation as R
 from ..operators import outliers as OUT
 from ..operators import quality as Q
@@ -190,6 +191,25 @@ def q_constant_columns(spark, sf):
     return Q.constant_columns(load(spark, sf, "orders").selectExpr(*ORDERS_QUALITY_EXPRS))
 
 
+CUSTOMER_NUMERIC = ["c_custkey", "c_nationkey", "c_acctbal"]
+
+
+def q_distribution_type(spark, sf):
+    return D.distribution_types(load(spark, sf, "lineitem"), LINEITEM_NUMERIC)
+
+
+def q_normality_ks(spark, sf):
+    return D.distribution_analysis(load(spark, sf, "lineitem"), LINEITEM_NUMERIC)
+
+
+def q_normality_shapiro(spark, sf):
+    return D.distribution_analysis(load(spark, sf, "part"), PART_NUMERIC)
+
+
+def q_distribution_sweep(spark, sf):
+    return D.distribution_sweep(load(spark, sf, "customer"))
+
+
 QUERIES = {
     "numeric_stats": q_numeric_stats,
     "schema_profile": q_schema_profile,
@@ -214,6 +234,10 @@ QUERIES = {
     "quality_score": q_quality_score,
     "duplicate_rows": q_duplicate_rows,
     "constant_columns": q_constant_columns,
+    "distribution_type": q_distribution_type,
+    "normality_ks": q_normality_ks,
+    "normality_shapiro": q_normality_shapiro,
+    "distribution_sweep": q_distribution_sweep,
 }
 
 ORACLES = {
@@ -249,4 +273,8 @@ ORACLES = {
                       f"FROM {ORDERS_QUALITY_SQL} q GROUP BY ALL) g",
     "constant_columns": "SELECT 'const_one' AS column_name FROM (SELECT count(DISTINCT const_one) AS d "
                         f"FROM {ORDERS_QUALITY_SQL} q) WHERE d = 1",
+    "distribution_type": O.distribution_type_sql("lineitem", LINEITEM_NUMERIC),
+    "normality_ks": O.distribution_sql("lineitem", LINEITEM_NUMERIC),
+    "normality_shapiro": O.distribution_sql("part", PART_NUMERIC),
+    "distribution_sweep": O.distribution_sql("customer", CUSTOMER_NUMERIC),
 }

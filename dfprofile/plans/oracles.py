@@ -315,3 +315,79 @@ SELECT round(score, 2) AS overall_score, round(miss, 2) AS missing_data_percenta
        dups AS duplicate_rows, round(dp, 2) AS duplicate_percentage, consts AS constant_columns,
        {qlab('score')} AS assessment FROM s
 """
+
+
+# ---- distributions ---------------------------------------------------------
+
+def _sqlpoly(coefs, x):
+    expr = repr(coefs[-1])
+    for c in reversed(coefs[:-1]):
+        expr = f"({expr} * {x} + {c!r})"
+    return expr
+
+
+def distribution_sql(source: str, cols: list[str], min_n: int = 20, sw_max: int = 5000,
+                     alpha: float = 0.05, d: int = 4) -> str:
+    from ..functions.mathx import kolmogorov_sf_sql, norm_cdf_sql, norm_ppf_sql
+    from ..operators.distribution import SW_C1, SW_C2, SW_MU, SW_SIGMA
+    return f"""
+WITH long AS ({numeric_long_sql(source, cols)}),
+s AS (SELECT column_name, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd,
+             min(value) AS mn, max(value) AS mx,
+             CASE WHEN count(*) < 3 THEN NULL WHEN min(value) = max(value) THEN 0.0
+                  ELSE skewness(value) END AS sk
+      FROM long GROUP BY column_name),
+pos AS (SELECT l.column_name, l.value AS x, s.n, s.mean, s.mn, s.mx,
+               row_number() OVER (PARTITION BY l.column_name ORDER BY l.value) AS i
+        FROM long l JOIN s USING (column_name) WHERE s.n >= {min_n} AND s.n <= {sw_max}),
+p2 AS (SELECT *, (least(i, n + 1 - i) - 0.375) / (n + 0.25) AS pj FROM pos),
+p3 AS (SELECT *, {norm_ppf_sql('pj')} AS mj FROM p2),
+p4 AS (SELECT *, CASE WHEN i < n + 1 - i THEN mj WHEN i > n + 1 - i THEN -mj ELSE 0.0 END AS m FROM p3),
+ss AS (SELECT column_name, sum(m * m) AS ssm FROM p4 GROUP BY column_name),
+p5 AS (SELECT p4.*, ss.ssm, 0.625 / (n + 0.25) AS q1p, 1.625 / (n + 0.25) AS q2p, 1.0 / sqrt(n) AS u
+       FROM p4 JOIN ss USING (column_name)),
+p6 AS (SELECT *, -{norm_ppf_sql('q1p')} AS mn_, -{norm_ppf_sql('q2p')} AS mn1 FROM p5),
+p7 AS (SELECT *, mn_ / sqrt(ssm) + {_sqlpoly(SW_C1, 'u')} AS an,
+              mn1 / sqrt(ssm) + {_sqlpoly(SW_C2, 'u')} AS an1 FROM p6),
+p8 AS (SELECT *, (ssm - 2 * mn_ * mn_ - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1) AS eps FROM p7),
+p9 AS (SELECT *, CASE WHEN i = n THEN an WHEN i = n - 1 THEN an1 WHEN i = 1 THEN -an
+                      WHEN i = 2 THEN -an1 ELSE m / sqrt(eps) END AS a FROM p8),
+sw0 AS (SELECT column_name, any_value(n) AS n, any_value(mn) AS mn, any_value(mx) AS mx,
+               sum(a * x) AS ax, sum((x - mean) * (x - mean)) AS ssx FROM p9 GROUP BY column_name),
+sw1 AS (SELECT column_name, n, CASE WHEN mn = mx THEN 1.0 ELSE least(ax * ax / ssx, 1.0) END AS w FROM sw0),
+sw2 AS (SELECT *, CASE WHEN w >= 1.0 THEN NULL ELSE
+          (ln(1.0 - w) - {_sqlpoly(SW_MU, 'ln(n)')}) / exp({_sqlpoly(SW_SIGMA, 'ln(n)')}) END AS zsw FROM sw1),
+sw AS (SELECT column_name, w AS stat,
+              CASE WHEN w >= 1.0 THEN 1.0 ELSE 1.0 - {norm_cdf_sql('zsw')} END AS pv, 'shapiro' AS test FROM sw2),
+kf AS (SELECT l.column_name, l.value, count(*) AS cnt FROM long l JOIN s USING (column_name)
+       WHERE s.n > {sw_max} GROUP BY l.column_name, l.value),
+kr AS (SELECT kf.*, coalesce(sum(cnt) OVER (PARTITION BY column_name ORDER BY value
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb FROM kf),
+kz AS (SELECT kr.*, s.n, (kr.value - s.mean) / s.sd AS z FROM kr JOIN s USING (column_name) WHERE s.sd > 0),
+kc AS (SELECT *, {norm_cdf_sql('z')} AS cdf FROM kz),
+k0 AS (SELECT column_name, max(greatest((cb + cnt) / n - cdf, cdf - cb / n)) AS dd, any_value(n) AS n
+       FROM kc GROUP BY column_name),
+k1 AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * dd AS lam FROM k0),
+ks AS (SELECT column_name, dd AS stat, {kolmogorov_sf_sql('lam')} AS pv, 'ks' AS test FROM k1),
+t AS (SELECT * FROM sw UNION ALL SELECT * FROM ks)
+SELECT s.column_name,
+  CASE WHEN s.n < {min_n} THEN 'unknown' WHEN abs(s.sk) < 0.5 THEN 'symmetric'
+       WHEN s.sk > 0 THEN 'right_skewed' ELSE 'left_skewed' END AS distribution_type,
+  coalesce(s.n >= {min_n} AND t.pv > {alpha}, FALSE) AS is_normal,
+  CASE WHEN s.n >= {min_n} THEN t.test END AS normality_test,
+  CASE WHEN s.n >= {min_n} THEN round(t.stat, {d}) END AS normality_test_statistic,
+  CASE WHEN s.n >= {min_n} THEN round(t.pv, {d}) END AS normality_p_value
+FROM s LEFT JOIN t USING (column_name)
+"""
+
+
+def distribution_type_sql(source: str, cols: list[str], min_n: int = 20) -> str:
+    return f"""
+WITH long AS ({numeric_long_sql(source, cols)}),
+s AS (SELECT column_name, count(*) AS n,
+             CASE WHEN count(*) < 3 THEN NULL WHEN min(value) = max(value) THEN 0.0
+                  ELSE skewness(value) END AS sk FROM long GROUP BY column_name)
+SELECT column_name, CASE WHEN n < {min_n} THEN 'unknown' WHEN abs(sk) < 0.5 THEN 'symmetric'
+       WHEN sk > 0 THEN 'right_skewed' ELSE 'left_skewed' END AS distribution_type,
+       round(sk, 4) AS skewness FROM s
+"""
