@@ -30,10 +30,14 @@ AS241_F = [1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612
            7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7,
            2.04426310338993978564e-15]
 
-# Terms of the Taylor series for the normal CDF (Marsaglia 2004); enough for
-# |x| <= 8.5, beyond which the CDF is 0 or 1 in double precision.
-CDF_TERMS = 150
-CDF_CLAMP = 8.5
+# Hart (1968) algorithm 5666 for the normal tail, in the double
+# precision form published by West (2005); ascending powers of |x|.
+HART_P = [220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383,
+          6.37396220353165, 0.700383064443688, 3.52624965998911e-02]
+HART_Q = [440.413735824752, 793.826512519948, 637.333633378831, 296.564248779674,
+          86.7807322029461, 16.064177579207, 1.75566716318264, 8.83883476483184e-02]
+HART_SWITCH = 7.07106781186547
+HART_CUTOFF = 37.0
 
 SQRT_2PI = 2.5066282746310002
 
@@ -46,12 +50,17 @@ def _poly(coefs: list[float], x: str) -> str:
     return expr
 
 
-def norm_ppf_sql(p: str) -> str:
-    """Inverse standard normal CDF (AS 241, ~1e-16 relative); NULL outside (0, 1)."""
-    q = f"({p} - 0.5)"
-    r1 = f"(0.180625 - {q} * {q})"
+def norm_ppf_sql(p: str, q: str | None = None, r1: str | None = None,
+                 rt: str | None = None) -> str:
+    """Inverse standard normal CDF (AS 241, ~1e-16 relative); NULL outside (0, 1).
+
+    ``q``, ``r1`` and ``rt`` may name precomputed columns holding ``p - 0.5``,
+    ``0.180625 - q^2`` and ``sqrt(-ln(min(p, 1 - p)))``; this keeps the
+    expression tree small (see ``ppf_stages``)."""
+    q = q or f"({p} - 0.5)"
+    r1 = r1 or f"(0.180625 - {q} * {q})"
     central = f"({q} * {_poly(AS241_A, r1)} / {_poly(AS241_B, r1)})"
-    rt = f"sqrt(-ln(CASE WHEN {q} < 0 THEN {p} ELSE 1.0 - {p} END))"
+    rt = rt or f"sqrt(-ln(CASE WHEN {q} < 0 THEN {p} ELSE 1.0 - {p} END))"
     r2 = f"({rt} - 1.6)"
     r3 = f"({rt} - 5.0)"
     tail_mid = f"({_poly(AS241_C, r2)} / {_poly(AS241_D, r2)})"
@@ -62,18 +71,31 @@ def norm_ppf_sql(p: str) -> str:
             f"WHEN {q} < 0 THEN -{tail} ELSE {tail} END)")
 
 
+def ppf_stages(df, p: str, out: str):
+    """Spark helper: add ``out = Phi^-1(p)`` through staged helper columns."""
+    from pyspark.sql import functions as F
+
+    q, r1, rt = f"_{out}_q", f"_{out}_r1", f"_{out}_rt"
+    pc = F.col(p)
+    df = (df.withColumn(q, pc - 0.5)
+          .withColumn(r1, F.lit(0.180625) - F.col(q) * F.col(q))
+          .withColumn(rt, F.sqrt(-F.log(F.when(F.col(q) < 0, pc).otherwise(1.0 - pc)))))
+    return df.withColumn(out, F.expr(norm_ppf_sql(p, q, r1, rt))).drop(q, r1, rt)
+
+
 def norm_cdf_sql(x: str) -> str:
-    """Standard normal CDF: 0.5 + phi(x) * (x + x^3/3 + x^5/(3*5) + ...)."""
-    # Only the ELSE branch evaluates the series, where |x| < CDF_CLAMP.
-    xc = x
-    x2 = f"({x} * {x})"
-    series = "1.0"
-    for k in range(CDF_TERMS, 0, -1):
-        series = f"(1.0 + {x2} / {2 * k + 1}.0 * {series})"
-    phi = f"(exp(-0.5 * {x2}) / {SQRT_2PI!r})"
-    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {-CDF_CLAMP} THEN 0.0 "
-            f"WHEN {x} >= {CDF_CLAMP} THEN 1.0 "
-            f"ELSE least(greatest(0.5 + {phi} * {xc} * {series}, 0.0), 1.0) END)")
+    """Standard normal CDF (Hart 5666, ~1e-16 absolute): a rational function of
+    |x| times exp(-x^2/2) below 7.07, Laplace's continued fraction above."""
+    a = f"abs({x})"
+    e = f"exp(-0.5 * {a} * {a})"
+    rational = f"({e} * {_poly(HART_P, a)} / {_poly(HART_Q, a)})"
+    frac = f"({a} + 0.65)"
+    for k in (4, 3, 2, 1):
+        frac = f"({a} + {k}.0 / {frac})"
+    cont = f"({e} / {frac} / {SQRT_2PI!r})"
+    tail = (f"(CASE WHEN {a} > {HART_CUTOFF} THEN 0.0 WHEN {a} < {HART_SWITCH} THEN {rational} "
+            f"ELSE {cont} END)")
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} > 0 THEN 1.0 - {tail} ELSE {tail} END)"
 
 
 def kolmogorov_sf_sql(lam: str, terms: int = 30) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT, ProfileConfig
 from ..functions.columns import numeric_columns, rnd
-from ..functions.mathx import kolmogorov_sf_sql, norm_cdf_sql, norm_ppf_sql
+from ..functions.mathx import kolmogorov_sf_sql, norm_cdf_sql, ppf_stages
 from .numeric import NumericProfile
 
 RESULT_SCHEMA = T.StructType([
@@ -75,17 +75,19 @@ def shapiro_statistics(p: NumericProfile, cols: list[str]) -> DataFrame:
                    .alias("i")))
     n = F.col("n").cast("double")
     j = F.least(F.col("i"), F.col("n") + 1 - F.col("i"))
-    pos = pos.withColumn("_pj", (j - 0.375) / (n + 0.25)).withColumn("_mj", _expr(norm_ppf_sql("_pj")))
+    pos = ppf_stages(pos.withColumn("_pj", (j - 0.375) / (n + 0.25)), "_pj", "_mj")
     m = (F.when(F.col("i") < F.col("n") + 1 - F.col("i"), F.col("_mj"))
          .when(F.col("i") > F.col("n") + 1 - F.col("i"), -F.col("_mj")).otherwise(F.lit(0.0)))
     pos = pos.withColumn("m", m)
-    per = pos.groupBy("column_name").agg(F.sum(F.col("m") * F.col("m")).alias("ssm"))
-    p1 = F.lit(0.625) / (n + 0.25)
-    p2 = F.lit(1.625) / (n + 0.25)
-    pos = (pos.join(per, "column_name")
-           .withColumn("_p1", p1).withColumn("_p2", p2)
-           .withColumn("_mn", -_expr(norm_ppf_sql("_p1")))
-           .withColumn("_mn1", -_expr(norm_ppf_sql("_p2"))))
+    # Per-column constants (k rows): sum of m^2 and the two extreme m's.
+    per = pos.groupBy("column_name").agg(F.sum(F.col("m") * F.col("m")).alias("ssm"),
+                                         F.first("n").alias("_n"))
+    nn_ = F.col("_n").cast("double")
+    per = ppf_stages(per.withColumn("_p1", F.lit(0.625) / (nn_ + 0.25)), "_p1", "_q1")
+    per = ppf_stages(per.withColumn("_p2", F.lit(1.625) / (nn_ + 0.25)), "_p2", "_q2")
+    per = per.select("column_name", "ssm", (-F.col("_q1")).alias("_mn"),
+                     (-F.col("_q2")).alias("_mn1"))
+    pos = pos.join(F.broadcast(per), "column_name")
     u = F.lit(1.0) / F.sqrt(n)
     an = F.col("_mn") / F.sqrt(F.col("ssm")) + _poly(SW_C1, u)
     an1 = F.col("_mn1") / F.sqrt(F.col("ssm")) + _poly(SW_C2, u)
