@@ -27,3 +27,143 @@ def heatmap_data(df: DataFrame, columns: list[str] | None = None,
     cols = columns or numeric_columns(df)
     return pearson_matrix(df, cols, config, profile).select(
         "column1", "column2", rnd(F.col("correlation"), 2).alias("correlation"))
+
+
+def _profile(df, cols, config, profile):
+    from .numeric import NumericProfile
+
+    if profile is not None and set(cols) <= set(profile.cols):
+        return profile
+    return NumericProfile(df, cols, config)
+
+
+def histogram_data(df: DataFrame, columns: list[str] | None = None,
+                   config: ProfileConfig = DEFAULT, profile=None) -> DataFrame:
+    """V1: density histogram with NumPy 1.26 ``bins="auto"``.
+
+    width = min(Sturges, Freedman-Diaconis), Sturges when the FD width is 0;
+    ``ceil(range / width)`` equal bins between min and max, the last closed.
+    Values are binned from the frequency table (one row per distinct value)
+    with NumPy's edge corrections.  Only non-empty bins are emitted (empty bins
+    are implied), so the output never exceeds the distinct values.
+    Columns: column_name, bin, bin_start, bin_end, count, density.
+    """
+    cols = columns or numeric_columns(df)
+    p = _profile(df, cols, config, profile)
+    s = p.summary().where(F.col("n") > 0)
+    n = F.col("n").cast("double")
+    sturges = (F.col("max") - F.col("min")) / (F.log2(n) + 1.0)
+    fd = 2.0 * (F.col("q3") - F.col("q1")) * F.pow(n, -1.0 / 3.0)
+    width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
+    same = F.col("min") == F.col("max")
+    first = F.when(same, F.col("min") - 0.5).otherwise(F.col("min"))
+    last = F.when(same, F.col("max") + 0.5).otherwise(F.col("max"))
+    meta = s.select("column_name", "n", first.alias("first"), last.alias("last"),
+                    F.when(width > 0, F.ceil((last - first) / width)).otherwise(F.lit(1))
+                    .cast("long").alias("nb"))
+    meta = meta.withColumn("step", (F.col("last") - F.col("first")) / F.col("nb"))
+
+    def edge(i):
+        return F.when(i == F.col("nb"), F.col("last")).otherwise(i * F.col("step") + F.col("first"))
+
+    v = F.col("value")
+    norm = F.col("nb") / (F.col("last") - F.col("first"))
+    i0 = F.floor((v - F.col("first")) * norm).cast("long")
+    f = (p.freq().join(F.broadcast(meta), "column_name")
+         .withColumn("_i", F.when(i0 == F.col("nb"), F.col("nb") - 1).otherwise(i0)))
+    f = f.withColumn("_i", F.when(v < edge(F.col("_i")), F.col("_i") - 1).otherwise(F.col("_i")))
+    f = f.withColumn("_i", F.when((v >= edge(F.col("_i") + 1)) & (F.col("_i") != F.col("nb") - 1),
+                                  F.col("_i") + 1).otherwise(F.col("_i")))
+    h = f.groupBy("column_name", "_i").agg(F.sum("cnt").cast("long").alias("count"))
+    out = h.join(F.broadcast(meta), "column_name")
+    start, end = edge(F.col("_i")), edge(F.col("_i") + 1)
+    d = config.numeric_precision
+    return out.select("column_name", F.col("_i").alias("bin"), rnd(start, d).alias("bin_start"),
+                      rnd(end, d).alias("bin_end"), "count",
+                      rnd(F.col("count") / (F.col("n") * (end - start)), d + 2).alias("density"))
+
+
+def kde_curve(df: DataFrame, columns: list[str] | None = None, config: ProfileConfig = DEFAULT,
+              profile=None) -> DataFrame:
+    """V2: Gaussian KDE (Scott bandwidth h = sd * n^(-1/5)) on ``kde_points``
+    points spread evenly from min to max; columns with more than ``kde_min_n``
+    values.  One pass over the frequency table with one sum per grid point —
+    no value x grid expansion.  Columns: column_name, point, x, density."""
+    cols = columns or numeric_columns(df)
+    p = _profile(df, cols, config, profile)
+    g = config.kde_points
+    s = p.summary().where((F.col("n") > config.kde_min_n) & (F.col("std") > 0)).select(
+        "column_name", "n", "min", "max",
+        ((F.col("max") - F.col("min")) / (g - 1)).alias("gstep"),
+        (F.col("std") * F.pow(F.col("n").cast("double"), -0.2)).alias("h"))
+    j = p.freq().join(F.broadcast(s), "column_name")
+    aggs = []
+    for k in range(g):
+        x = F.col("max") if k == g - 1 else F.lit(float(k)) * F.col("gstep") + F.col("min")
+        z = (x - F.col("value")) / F.col("h")
+        aggs.append(F.sum(F.col("cnt") * F.exp(-0.5 * z * z)).alias(f"_k{k}"))
+    sums = j.groupBy("column_name").agg(*aggs)
+    long = sums.select("column_name", F.posexplode(F.array(*[F.col(f"_k{k}") for k in range(g)]))
+                       .alias("point", "_s"))
+    out = long.join(F.broadcast(s), "column_name")
+    x = F.when(F.col("point") == g - 1, F.col("max")).otherwise(
+        F.col("point").cast("double") * F.col("gstep") + F.col("min"))
+    dens = F.col("_s") / (F.col("n") * F.col("h") * F.lit(2.5066282746310002))
+    d = config.numeric_precision
+    return out.select("column_name", F.col("point").cast("int").alias("point"),
+                      rnd(x, d).alias("x"), rnd(dens, d + 4).alias("density"))
+
+
+def boxplot_stats(df: DataFrame, columns: list[str] | None = None,
+                  config: ProfileConfig = DEFAULT, profile=None) -> DataFrame:
+    """V3: box plot statistics (1.5 IQR whiskers to the most extreme values
+    inside the fences, notch med +- 1.57 IQR / sqrt(n), mean, flier count).
+    Columns: column_name, mean, median, q1, q3, iqr, whislo, whishi, cilo, cihi,
+    fliers."""
+    cols = columns or numeric_columns(df)
+    p = _profile(df, cols, config, profile)
+    t = config.outlier_threshold
+    s = p.summary().where(F.col("n") > 0).select(
+        "column_name", "n", "mean", "median", "q1", "q3",
+        (F.col("q1") - t * (F.col("q3") - F.col("q1"))).alias("_lo"),
+        (F.col("q3") + t * (F.col("q3") - F.col("q1"))).alias("_hi"))
+    v = F.col("value")
+    w = (p.freq().join(F.broadcast(s), "column_name").groupBy("column_name")
+         .agg(F.min(F.when(v >= F.col("_lo"), v)).alias("_wl"),
+              F.max(F.when(v <= F.col("_hi"), v)).alias("_wh")))
+    j = s.join(w, "column_name")
+    whislo = F.coalesce(F.col("_wl"), F.col("q1"))
+    whishi = F.coalesce(F.col("_wh"), F.col("q3"))
+    j = j.select("*", whislo.alias("whislo"), whishi.alias("whishi"))
+    fl = (p.freq().join(F.broadcast(j.select("column_name", "whislo", "whishi")), "column_name")
+          .groupBy("column_name").agg(F.sum(F.when((v < F.col("whislo")) | (v > F.col("whishi")),
+                                                   F.col("cnt")).otherwise(0)).cast("long").alias("fliers")))
+    iqr = F.col("q3") - F.col("q1")
+    half = 1.57 * iqr / F.sqrt(F.col("n").cast("double"))
+    d = config.numeric_precision
+    return j.join(fl, "column_name").select(
+        "column_name", rnd(F.col("mean"), d).alias("mean"), rnd(F.col("median"), d).alias("median"),
+        rnd(F.col("q1"), d).alias("q1"), rnd(F.col("q3"), d).alias("q3"), rnd(iqr, d).alias("iqr"),
+        rnd(F.col("whislo"), d).alias("whislo"), rnd(F.col("whishi"), d).alias("whishi"),
+        rnd(F.col("median") - half, d).alias("cilo"), rnd(F.col("median") + half, d).alias("cihi"),
+        "fliers")
+
+
+def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
+    """V7: the points of a scatter plot (every row with both coordinates)."""
+    cols = [F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")]
+    if color:
+        cols.append(F.col(color).cast("string").alias("color"))
+    return df.select(*cols).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
+def pairplot_sample(df: DataFrame, columns: list[str] | None = None, row_key: str | None = None,
+                    config: ProfileConfig = DEFAULT) -> DataFrame:
+    """V6: rows complete in the first ``pair_columns`` numeric columns, at most
+    ``pair_sample`` of them, chosen reproducibly by a seeded hash of the row key
+    (D9).  ``orderBy(hash).limit`` runs as per-partition top-k + merge."""
+    cols = (columns or numeric_columns(df))[:config.pair_columns]
+    key = F.col(row_key) if row_key else F.monotonically_increasing_id()
+    sel = df.select(key.alias("_key"), *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
+    return (sel.withColumn("_h", F.xxhash64(F.col("_key"), F.lit(config.seed)))
+            .orderBy("_h", "_key").limit(config.pair_sample).drop("_h"))

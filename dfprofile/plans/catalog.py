@@ -210,6 +210,37 @@ def q_distribution_sweep(spark, sf):
     return D.distribution_sweep(load(spark, sf, "customer"))
 
 
+def q_histogram(spark, sf):
+    from ..operators.charts import histogram_data
+    return histogram_data(load(spark, sf, "orders"), ORDERS_NUMERIC)
+
+
+def q_kde_curve(spark, sf):
+    from ..operators.charts import kde_curve
+    return kde_curve(load(spark, sf, "part"), PART_NUMERIC)
+
+
+def q_boxplot_stats(spark, sf):
+    from ..operators.charts import boxplot_stats
+    return boxplot_stats(load(spark, sf, "lineitem"), LINEITEM_NUMERIC)
+
+
+def q_scatter_points(spark, sf):
+    from ..operators.charts import scatter_points
+    return scatter_points(load(spark, sf, "part"), "p_size", "p_retailprice", "p_brand")
+
+
+def q_pairplot_sample(spark, sf):
+    from ..operators.charts import pairplot_sample
+    return pairplot_sample(load(spark, sf, "lineitem"), LINEITEM_NUMERIC,
+                           row_key=None).drop("_key")
+
+
+def q_chart_plan(spark, sf):
+    from .chart_plan import chart_plan
+    return chart_plan(load(spark, sf, "customer"))
+
+
 QUERIES = {
     "numeric_stats": q_numeric_stats,
     "schema_profile": q_schema_profile,
@@ -238,6 +269,12 @@ QUERIES = {
     "normality_ks": q_normality_ks,
     "normality_shapiro": q_normality_shapiro,
     "distribution_sweep": q_distribution_sweep,
+    "histogram": q_histogram,
+    "kde_curve": q_kde_curve,
+    "boxplot_stats": q_boxplot_stats,
+    "scatter_points": q_scatter_points,
+    "pairplot_sample": q_pairplot_sample,
+    "chart_plan": q_chart_plan,
 }
 
 ORACLES = {
@@ -277,4 +314,10 @@ ORACLES = {
     "normality_ks": O.distribution_sql("lineitem", LINEITEM_NUMERIC),
     "normality_shapiro": O.distribution_sql("part", PART_NUMERIC),
     "distribution_sweep": O.distribution_sql("customer", CUSTOMER_NUMERIC),
+    "histogram": O.histogram_sql("orders", ORDERS_NUMERIC),
+    "kde_curve": O.kde_sql("part", PART_NUMERIC),
+    "boxplot_stats": O.boxplot_sql("lineitem", LINEITEM_NUMERIC),
+    "scatter_points": "SELECT CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y, "
+                      "p_brand AS color FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL",
+    "chart_plan": O.chart_plan_sql("customer", CUSTOMER),
 }

@@ -391,3 +391,92 @@ SELECT column_name, CASE WHEN n < {min_n} THEN 'unknown' WHEN abs(sk) < 0.5 THEN
        WHEN sk > 0 THEN 'right_skewed' ELSE 'left_skewed' END AS distribution_type,
        round(sk, 4) AS skewness FROM s
 """
+
+
+# ---- chart data ------------------------------------------------------------
+
+def histogram_sql(source: str, cols: list[str], d: int = 4) -> str:
+    def edge(i):
+        return f"(CASE WHEN {i} = nb THEN last ELSE {i} * step + first END)"
+    return f"""
+WITH long AS ({numeric_long_sql(source, cols)}),
+s AS (SELECT column_name, count(*) AS n, min(value) AS mn, max(value) AS mx,
+             quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM long GROUP BY column_name),
+w AS (SELECT *, (mx - mn) / (log2(n) + 1.0) AS sturges, 2.0 * iqr * power(n, -1.0 / 3.0) AS fd FROM s),
+b AS (SELECT *, CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END AS width,
+             CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS first,
+             CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS last FROM w),
+m AS (SELECT *, CASE WHEN width > 0 THEN CAST(ceil((last - first) / width) AS BIGINT) ELSE 1 END AS nb FROM b),
+m2 AS (SELECT *, (last - first) / nb AS step FROM m),
+f AS (SELECT column_name, value, count(*) AS cnt FROM long GROUP BY column_name, value),
+i0 AS (SELECT f.*, m2.n, m2.nb, m2.first, m2.last, m2.step,
+              CAST(floor((f.value - m2.first) * (m2.nb / (m2.last - m2.first))) AS BIGINT) AS i
+       FROM f JOIN m2 USING (column_name)),
+i1 AS (SELECT * REPLACE (CASE WHEN i = nb THEN nb - 1 ELSE i END AS i) FROM i0),
+i2 AS (SELECT * REPLACE (CASE WHEN value < {edge('i')} THEN i - 1 ELSE i END AS i) FROM i1),
+i3 AS (SELECT * REPLACE (CASE WHEN value >= {edge('(i + 1)')} AND i != nb - 1 THEN i + 1 ELSE i END AS i) FROM i2),
+h AS (SELECT column_name, i, any_value(n) AS n, any_value(nb) AS nb, any_value(first) AS first,
+             any_value(last) AS last, any_value(step) AS step, CAST(sum(cnt) AS BIGINT) AS "count"
+      FROM i3 GROUP BY column_name, i)
+SELECT column_name, i AS bin, round({edge('i')}, {d}) AS bin_start, round({edge('(i + 1)')}, {d}) AS bin_end,
+       "count", round("count" / (n * ({edge('(i + 1)')} - {edge('i')})), {d + 2}) AS density
+FROM h
+"""
+
+
+def kde_sql(source: str, cols: list[str], points: int = 100, min_n: int = 10, d: int = 4) -> str:
+    return f"""
+WITH long AS ({numeric_long_sql(source, cols)}),
+s AS (SELECT column_name, count(*) AS n, min(value) AS mn, max(value) AS mx,
+             (max(value) - min(value)) / {points - 1} AS gstep,
+             stddev_samp(value) * power(count(*), -0.2) AS h FROM long GROUP BY column_name
+      HAVING count(*) > {min_n} AND stddev_samp(value) > 0),
+g AS (SELECT s.*, r.point, CASE WHEN r.point = {points - 1} THEN s.mx ELSE r.point * s.gstep + s.mn END AS x
+      FROM s, range({points}) r(point)),
+f AS (SELECT column_name, value, count(*) AS cnt FROM long GROUP BY column_name, value)
+SELECT g.column_name, CAST(g.point AS INTEGER) AS point, round(any_value(g.x), {d}) AS x,
+       round(sum(f.cnt * exp(-0.5 * ((g.x - f.value) / g.h) * ((g.x - f.value) / g.h)))
+             / (any_value(g.n) * any_value(g.h) * 2.5066282746310002), {d + 4}) AS density
+FROM g JOIN f USING (column_name) GROUP BY g.column_name, g.point
+"""
+
+
+def boxplot_sql(source: str, cols: list[str], t: float = 1.5, d: int = 4) -> str:
+    return f"""
+WITH long AS ({numeric_long_sql(source, cols)}),
+s AS (SELECT column_name, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS med,
+             quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY column_name),
+w AS (SELECT s.column_name, coalesce(min(l.value) FILTER (WHERE l.value >= s.q1 - {t} * (s.q3 - s.q1)), any_value(s.q1)) AS wl,
+             coalesce(max(l.value) FILTER (WHERE l.value <= s.q3 + {t} * (s.q3 - s.q1)), any_value(s.q3)) AS wh
+      FROM long l JOIN s USING (column_name) GROUP BY s.column_name),
+fl AS (SELECT l.column_name, count(*) FILTER (WHERE l.value < w.wl OR l.value > w.wh) AS fliers
+       FROM long l JOIN w USING (column_name) GROUP BY l.column_name)
+SELECT s.column_name, round(mean, {d}) AS mean, round(med, {d}) AS median, round(q1, {d}) AS q1,
+       round(q3, {d}) AS q3, round(q3 - q1, {d}) AS iqr, round(wl, {d}) AS whislo, round(wh, {d}) AS whishi,
+       round(med - 1.57 * (q3 - q1) / sqrt(n), {d}) AS cilo, round(med + 1.57 * (q3 - q1) / sqrt(n), {d}) AS cihi,
+       CAST(fliers AS BIGINT) AS fliers
+FROM s JOIN w USING (column_name) JOIN fl USING (column_name)
+"""
+
+
+def chart_plan_sql(source: str, schema: list[tuple[str, str]], max_plots: int = 20) -> str:
+    types = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {i} AS ord, {_type_case(t)} AS data_type "
+        f"FROM (SELECT CAST({_q(c)} AS VARCHAR) AS value FROM {source}) s"
+        for i, (c, t) in enumerate(schema))
+    return f"""
+WITH types AS ({types}),
+num AS (SELECT column_name, row_number() OVER (ORDER BY ord) AS rn FROM types WHERE data_type = 'numeric'),
+cat AS (SELECT column_name, row_number() OVER (ORDER BY ord) AS rn FROM types WHERE data_type = 'categorical'),
+nn AS (SELECT count(*) AS c, string_agg(column_name, ',' ORDER BY rn) AS cols,
+              string_agg(column_name, ',' ORDER BY rn) FILTER (WHERE rn <= 4) AS top4 FROM num),
+plots AS (
+  SELECT 2 * rn - 1 AS seq, 'histogram' AS viz_type, 'Distribution of ' || column_name AS title,
+         column_name AS columns_used FROM num WHERE rn <= 10
+  UNION ALL SELECT 2 * rn, 'boxplot', 'Box Plot of ' || column_name, column_name FROM num WHERE rn <= 10
+  UNION ALL SELECT 1000, 'heatmap', 'Correlation Heatmap', cols FROM nn WHERE c >= 2
+  UNION ALL SELECT 2000 + rn, 'bar_chart', 'Distribution of ' || column_name, column_name FROM cat WHERE rn <= 5
+  UNION ALL SELECT 3000, 'pairplot', 'Pairwise Relationships', top4 FROM nn WHERE c >= 2)
+SELECT CAST(plot_index AS INTEGER) AS plot_index, viz_type, title, columns_used FROM (
+  SELECT row_number() OVER (ORDER BY seq) AS plot_index, * FROM plots) WHERE plot_index <= {max_plots}
+"""
