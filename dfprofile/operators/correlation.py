@@ -106,11 +106,13 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None,
 
 
 def _with_ranks(df: DataFrame, cols: list[str], config: ProfileConfig,
-                profile: NumericProfile | None = None) -> tuple[DataFrame, NumericProfile]:
+                profile: NumericProfile | None = None, field: str = "rank"
+                ) -> tuple[DataFrame, NumericProfile]:
     """``df`` restricted to ``cols`` with each value replaced by its exact
-    average rank within its column (NULL stays NULL)."""
+    average rank (or another ranked-table ``field``, e.g. the dense code
+    ``distinct_before``) within its column; NULL stays NULL."""
     p = profile or NumericProfile(df, cols, config)
-    ranked = p.ranked().select("column_name", "value", "rank")
+    ranked = p.ranked().select("column_name", "value", F.col(field).alias("rank"))
     distinct = {r[0]: r[2] for r in p.summary_rows()}
     out = p.clean.select(*[qcol(c) for c in cols])
     for c in cols:

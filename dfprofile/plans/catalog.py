@@ -241,6 +241,10 @@ def q_chart_plan(spark, sf):
     return chart_plan(load(spark, sf, "customer"))
 
 
+def q_corr_kendall(spark, sf):
+    return R.correlation_matrix(load(spark, sf, "part"), PART_NUMERIC, "kendall")
+
+
 QUERIES = {
     "numeric_stats": q_numeric_stats,
     "schema_profile": q_schema_profile,
@@ -275,6 +279,7 @@ QUERIES = {
     "scatter_points": q_scatter_points,
     "pairplot_sample": q_pairplot_sample,
     "chart_plan": q_chart_plan,
+    "corr_kendall": q_corr_kendall,
 }
 
 ORACLES = {
@@ -320,4 +325,5 @@ ORACLES = {
     "scatter_points": "SELECT CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y, "
                       "p_brand AS color FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL",
     "chart_plan": O.chart_plan_sql("customer", CUSTOMER),
+    "corr_kendall": O.kendall_sql("part", PART_NUMERIC),
 }

@@ -480,3 +480,22 @@ plots AS (
 SELECT CAST(plot_index AS INTEGER) AS plot_index, viz_type, title, columns_used FROM (
   SELECT row_number() OVER (ORDER BY seq) AS plot_index, * FROM plots) WHERE plot_index <= {max_plots}
 """
+
+
+def kendall_sql(source: str, cols: list[str], d: int = 4) -> str:
+    """Brute-force tau-b over cell pairs (whole table; fine at the check scale)."""
+    parts = []
+    for a in cols:
+        for b in cols:
+            parts.append(f"""SELECT '{a}' AS column1, '{b}' AS column2, (
+  WITH cells AS (SELECT CAST({_q(a)} AS DOUBLE) AS x, CAST({_q(b)} AS DOUBLE) AS y, count(*) AS c
+                 FROM {source} WHERE {_q(a)} IS NOT NULL AND {_q(b)} IS NOT NULL GROUP BY ALL),
+  t AS (SELECT sum(c) * (sum(c) - 1) / 2.0 AS n0, sum(c * (c - 1) / 2.0) AS n3 FROM cells),
+  tx AS (SELECT sum(t * (t - 1) / 2.0) AS n1 FROM (SELECT x, sum(c) AS t FROM cells GROUP BY x)),
+  ty AS (SELECT sum(t * (t - 1) / 2.0) AS n2 FROM (SELECT y, sum(c) AS t FROM cells GROUP BY y)),
+  dd AS (SELECT coalesce(sum(c1.c * c2.c), 0) AS dsc FROM cells c1 JOIN cells c2 ON c1.x < c2.x AND c1.y > c2.y)
+  SELECT CASE WHEN (n0 - n1) * (n0 - n2) > 0
+              THEN (n0 - n1 - n2 + n3 - 2.0 * dsc) / sqrt((n0 - n1) * (n0 - n2)) END
+  FROM t, tx, ty, dd) AS r""")
+    return (f"SELECT column1, column2, round(r, {d}) + 0.0 AS correlation FROM ("
+            + " UNION ALL ".join(parts) + ") u")
