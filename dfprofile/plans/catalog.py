@@ -245,6 +245,37 @@ def q_corr_kendall(spark, sf):
     return R.correlation_matrix(load(spark, sf, "part"), PART_NUMERIC, "kendall")
 
 
+SUPPLIER = [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"),
+            ("s_acctbal", "double")]
+PART = [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+        ("p_size", "int"), ("p_retailprice", "double")]
+
+
+def q_csv_roundtrip(spark, sf):
+    """Write ``supplier`` as CSV into the shared checkpoint folder, load it
+    back through the validated, typed CSV path."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.csv import load_csv
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/csv-roundtrip-{uuid.uuid4().hex}"
+    load(spark, sf, "supplier").coalesce(1).write.option("header", True).csv(path)
+    files = [r[0] for r in spark.read.text(path).select(F.input_file_name()).distinct().collect()]
+    return load_csv(spark, files[0])
+
+
+def q_head_sample(spark, sf):
+    from ..sources.csv import head_sample
+    return head_sample(load(spark, sf, "orders"), 100, row_key="o_orderkey")
+
+
+def q_validation_checks(spark, sf):
+    from ..sources.csv import validation_checks
+    return validation_checks(load(spark, sf, "part"))
+
+
 QUERIES = {
     "numeric_stats": q_numeric_stats,
     "schema_profile": q_schema_profile,
@@ -280,6 +311,9 @@ QUERIES = {
     "pairplot_sample": q_pairplot_sample,
     "chart_plan": q_chart_plan,
     "corr_kendall": q_corr_kendall,
+    "csv_roundtrip": q_csv_roundtrip,
+    "head_sample": q_head_sample,
+    "validation_checks": q_validation_checks,
 }
 
 ORACLES = {
@@ -326,4 +360,8 @@ ORACLES = {
                       "p_brand AS color FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL",
     "chart_plan": O.chart_plan_sql("customer", CUSTOMER),
     "corr_kendall": O.kendall_sql("part", PART_NUMERIC),
+    "csv_roundtrip": "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal "
+                     "FROM supplier",
+    "head_sample": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100",
+    "validation_checks": O.validation_sql("part", [c for c, _ in PART]),
 }

