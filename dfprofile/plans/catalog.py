@@ -276,6 +276,26 @@ def q_validation_checks(spark, sf):
     return validation_checks(load(spark, sf, "part"))
 
 
+def q_outliers_iforest(spark, sf):
+    return _keys_str(OUT.detect_outliers(load(spark, sf, "events"), ["value", "user_id"],
+                                         "isolation_forest", row_key="event_id"))
+
+
+def q_trend_daily(spark, sf):
+    from ..operators.trend import trend_series
+    return trend_series(load(spark, sf, "events"), "ts", "value")
+
+
+def q_trend_fit(spark, sf):
+    from ..operators.trend import trend_fit
+    return trend_fit(load(spark, sf, "events"), "ts", "value")
+
+
+def q_trend_seasonality(spark, sf):
+    from ..operators.trend import seasonality
+    return seasonality(load(spark, sf, "events"), "ts", "value")
+
+
 QUERIES = {
     "numeric_stats": q_numeric_stats,
     "schema_profile": q_schema_profile,
@@ -314,6 +334,10 @@ QUERIES = {
     "csv_roundtrip": q_csv_roundtrip,
     "head_sample": q_head_sample,
     "validation_checks": q_validation_checks,
+    "outliers_iforest": q_outliers_iforest,
+    "trend_daily": q_trend_daily,
+    "trend_fit": q_trend_fit,
+    "trend_seasonality": q_trend_seasonality,
 }
 
 ORACLES = {
@@ -364,4 +388,7 @@ ORACLES = {
                      "FROM supplier",
     "head_sample": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100",
     "validation_checks": O.validation_sql("part", [c for c, _ in PART]),
+    "trend_daily": O.trend_series_sql("events", "ts", "value"),
+    "trend_fit": O.trend_fit_sql("events", "ts", "value"),
+    "trend_seasonality": O.seasonality_sql("events", "ts", "value"),
 }

@@ -514,3 +514,38 @@ UNION ALL SELECT 'column_limit', CASE WHEN {len(cols)} <= {max_columns} THEN 'pa
 UNION ALL SELECT 'all_null_columns', CASE WHEN nullcols = '' THEN 'pass' ELSE 'warn' END, nullcols FROM t
 UNION ALL SELECT 'duplicate_names', 'pass', '' FROM t
 """
+
+
+# ---- trend -----------------------------------------------------------------
+
+def trend_series_sql(source: str, ts: str, value: str, window: int = 7, d: int = 4) -> str:
+    return f"""
+WITH b AS (SELECT CAST({ts} AS DATE) AS bucket, CAST(count(*) AS BIGINT) AS n, avg({value}) AS m
+           FROM {source} WHERE {ts} IS NOT NULL GROUP BY 1)
+SELECT bucket, n, round(m, {d}) AS mean_value,
+       round(avg(m) OVER (ORDER BY bucket ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW), {d}) AS moving_avg
+FROM b
+"""
+
+
+def trend_fit_sql(source: str, ts: str, value: str, d: int = 6) -> str:
+    return f"""
+WITH b AS (SELECT CAST({ts} AS DATE) AS bucket, avg({value}) AS m FROM {source}
+           WHERE {ts} IS NOT NULL GROUP BY 1),
+x AS (SELECT CAST(bucket - (SELECT min(bucket) FROM b) AS DOUBLE) AS x, m AS y FROM b)
+SELECT CAST(count(*) AS BIGINT) AS buckets, round(regr_slope(y, x), {d}) AS slope,
+       round(regr_intercept(y, x), {d}) AS intercept, round(regr_r2(y, x), {d}) AS r2,
+       CASE WHEN regr_slope(y, x) > 0 THEN 'increasing' WHEN regr_slope(y, x) < 0 THEN 'decreasing'
+            ELSE 'flat' END AS direction
+FROM x
+"""
+
+
+def seasonality_sql(source: str, ts: str, value: str, d: int = 4) -> str:
+    return f"""
+SELECT 'hour' AS period, hour({ts}) AS slot, CAST(count(*) AS BIGINT) AS n, round(avg({value}), {d}) AS mean_value
+FROM {source} WHERE {ts} IS NOT NULL GROUP BY 2
+UNION ALL
+SELECT 'weekday', isodow({ts}) - 1, CAST(count(*) AS BIGINT), round(avg({value}), {d})
+FROM {source} WHERE {ts} IS NOT NULL GROUP BY 2
+"""
