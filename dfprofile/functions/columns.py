@@ -33,7 +33,7 @@ def qcol(name: str) -> Column:
 
 def clean_double(name: str, dt: T.DataType | None = None) -> Column:
     """Cast to double and fold NaN to NULL (NaN is treated as missing)."""
-    c = qcol(name).cast("double")
+    c = qcol(name).try_cast("double") if isinstance(dt, T.StringType) else qcol(name).cast("double")
     if dt is None or isinstance(dt, FLOAT_TYPES) or isinstance(dt, T.StringType):
         c = F.nanvl(c, F.lit(None).cast("double"))
     return c

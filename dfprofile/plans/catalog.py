@@ -296,6 +296,17 @@ def q_trend_seasonality(spark, sf):
     return seasonality(load(spark, sf, "events"), "ts", "value")
 
 
+def q_full_report(spark, sf):
+    from .report import profile
+    return profile(load(spark, sf, "customer"), row_key="c_custkey").report(job_id="customer")
+
+
+def q_insight_context(spark, sf):
+    from .insights import insight_context
+    from .report import profile
+    return insight_context(profile(load(spark, sf, "orders"), row_key="o_orderkey"))
+
+
 QUERIES = {
     "numeric_stats": q_numeric_stats,
     "schema_profile": q_schema_profile,
@@ -338,6 +349,8 @@ QUERIES = {
     "trend_daily": q_trend_daily,
     "trend_fit": q_trend_fit,
     "trend_seasonality": q_trend_seasonality,
+    "full_report": q_full_report,
+    "insight_context": q_insight_context,
 }
 
 ORACLES = {
