@@ -26,19 +26,25 @@ RESPONSE_SCHEMA = (
     "severity: string, affected_columns: array<string>>>, recommendations array<string>")
 
 
+def _strip(c: Column) -> Column:
+    """Whitespace trim like Python's ``str.strip`` (Spark's ``trim`` only
+    removes spaces)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def parse_insights(responses: DataFrame, column: str = "response") -> DataFrame:
     """One parsed record per response row (other columns are kept).
 
     Columns added: executive_summary, key_findings, data_quality_assessment,
     insights (items with defaults filled), recommendations, parsed (false when
     the fallback record was used)."""
-    s0 = F.trim(F.col(column))
+    s0 = _strip(F.col(column))
     df = responses.withColumn("__s", s0)
     df = df.withColumn("__s", F.when(F.col("__s").startswith("```json"),
                                      F.expr("substring(__s, 8)")).otherwise(F.col("__s")))
     df = df.withColumn("__s", F.when(F.col("__s").startswith("```"),
                                      F.expr("substring(__s, 4)")).otherwise(F.col("__s")))
-    df = df.withColumn("__s", F.trim(F.when(F.col("__s").endswith("```"),
+    df = df.withColumn("__s", _strip(F.when(F.col("__s").endswith("```"),
                                             F.expr("substring(__s, 1, length(__s) - 3)"))
                                      .otherwise(F.col("__s"))))
     opts = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowUnquotedFieldNames": "false",
