@@ -78,6 +78,11 @@ def unpivot_pairs(df: DataFrame, cols: list[str], value_cols: dict[str, Column],
                   ) -> DataFrame:
     """Long form ``(column_name, <fields>)`` via one ``Expand``; ``value_cols`` maps
     an output field name to a template taking the column name."""
+    if len(value_cols) == 1:
+        # One field: a plain Expand of the column values, no per-row struct.
+        (field, tmpl), = value_cols.items()
+        wide = df.select(*[tmpl(c).alias(c) for c in cols])
+        return wide.unpivot([], list(cols), "column_name", field)
     structs = [
         F.struct(*[tmpl(c).alias(field) for field, tmpl in value_cols.items()]).alias(c)
         for c in cols
@@ -90,6 +95,12 @@ def unpivot_pairs(df: DataFrame, cols: list[str], value_cols: dict[str, Column],
 def numeric_frequencies(clean: DataFrame, cols: list[str], n_buckets: int = 1,
                         cfg: ProfileConfig = DEFAULT) -> DataFrame:
     """``(column_name, bucket, value, cnt)`` over non-null values."""
+    if n_buckets <= 1:
+        long = unpivot_pairs(clean, cols, {"value": lambda c: qcol(c)})
+        return (long.where(F.col("value").isNotNull())
+                .groupBy("column_name", "value")
+                .agg(F.count(F.lit(1)).alias("cnt"))
+                .withColumn("bucket", F.lit(0)))
     bucketed = with_buckets(clean, cols, n_buckets, cfg)
     long = unpivot_pairs(bucketed, cols, {
         "value": lambda c: qcol(c),
@@ -102,28 +113,53 @@ def numeric_frequencies(clean: DataFrame, cols: list[str], n_buckets: int = 1,
 
 def string_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(column_name, value, cnt)`` of non-null values cast to string."""
-    long = unpivot_pairs(df, cols, {"value": lambda c: qcol(c).cast("string")})
+    from ..session import spread
+
+    long = unpivot_pairs(spread(df.select(*[qcol(c) for c in cols])), cols,
+                         {"value": lambda c: qcol(c).cast("string")})
     return (long.where(F.col("value").isNotNull())
             .groupBy("column_name", "value")
             .agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def running_counts(freq: DataFrame, keys: list[str], order: str, bucket: str = "bucket",
-                   weight: str = "cnt", broadcast_offsets: bool = True) -> DataFrame:
+                   weight: str = "cnt", broadcast_offsets: bool = True,
+                   single_bucket: bool = False, totals_of: str | None = None) -> DataFrame:
     """Add ``cum_before`` (sum of ``weight`` over rows strictly earlier in ``order``
     within ``keys``) and ``distinct_before`` (number of such rows).
 
     ``order`` must be unique within ``keys``; ``bucket`` must be monotone in
     ``order`` within ``keys``.  Two bounded windows, see the module docstring.
+    ``single_bucket`` (small inputs) skips the offsets: every offset is 0.
+    ``totals_of`` names a value column: the group totals ``n_total`` (sum of
+    weights) and ``value_total`` (sum of value x weight) ride along, computed in
+    the same windows.
     """
-    totals = freq.groupBy(*keys, bucket).agg(
-        F.sum(weight).alias("_bt"), F.count(F.lit(1)).alias("_bd"))
+    if single_bucket:
+        w = Window.partitionBy(*keys).orderBy(order)
+        wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = (freq.withColumn("cum_before", (F.sum(weight).over(wr) - F.col(weight)).cast("long"))
+               .withColumn("distinct_before", (F.row_number().over(w) - 1).cast("long")))
+        if totals_of:
+            wa = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            out = (out.withColumn("n_total", F.sum(weight).over(wa).cast("long"))
+                   .withColumn("value_total", F.sum(F.col(totals_of) * F.col(weight)).over(wa)))
+        return out
+    aggs = [F.sum(weight).alias("_bt"), F.count(F.lit(1)).alias("_bd")]
+    if totals_of:
+        aggs.append(F.sum(F.col(totals_of) * F.col(weight)).alias("_bs"))
+    totals = freq.groupBy(*keys, bucket).agg(*aggs)
     w1 = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, bucket,
-        F.coalesce(F.sum("_bt").over(w1), F.lit(0)).cast("long").alias("_off"),
-        F.coalesce(F.sum("_bd").over(w1), F.lit(0)).cast("long").alias("_doff"))
+    sel = [*keys, bucket,
+           F.coalesce(F.sum("_bt").over(w1), F.lit(0)).cast("long").alias("_off"),
+           F.coalesce(F.sum("_bd").over(w1), F.lit(0)).cast("long").alias("_doff")]
+    if totals_of:
+        wa = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)
+        sel += [F.sum("_bt").over(wa).cast("long").alias("n_total"),
+                F.sum("_bs").over(wa).alias("value_total")]
+    offsets = totals.select(*sel)
     if broadcast_offsets:
         offsets = F.broadcast(offsets)
     joined = freq.join(offsets, [*keys, bucket])
@@ -142,7 +178,8 @@ def ranked_frequencies(freq: DataFrame, n_columns: int, n_buckets: int,
     """Frequency table with exact ``cum_before`` and average ``rank`` (1-based,
     ties averaged as in pandas ``rank(method='average')``)."""
     small = n_columns * max(n_buckets, 1) <= cfg.broadcast_row_limit
-    r = running_counts(freq, ["column_name"], "value", broadcast_offsets=small)
+    r = running_counts(freq, ["column_name"], "value", broadcast_offsets=small,
+                       single_bucket=n_buckets <= 1, totals_of="value")
     return r.withColumn("rank", F.col("cum_before") + (F.col("cnt") + 1) / 2.0)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT, ProfileConfig
 from ..functions.columns import numeric_columns, qcol, rnd
-from ..session import materialize
+from ..session import materialize, spread
 from . import freq as fq
 
 SUMMARY_SCHEMA = T.StructType([
@@ -58,7 +58,7 @@ class NumericProfile:
         self.cols = list(columns) if columns is not None else numeric_columns(df)
         self.reuse = reuse
         self.spark = df.sparkSession
-        self.clean = fq.clean_numeric(df, self.cols)
+        self.clean = spread(fq.clean_numeric(df, self.cols))
         self._n_rows = None
         self._freq = None
         self._ranked = None
@@ -84,15 +84,24 @@ class NumericProfile:
 
     # ---- frequency table ------------------------------------------------------
     def freq(self) -> DataFrame:
-        if self._freq is None:
-            f = fq.numeric_frequencies(self.clean, self.cols, self.n_buckets, self.cfg)
-            self._freq = materialize(f, self.reuse)
-        return self._freq
+        """The frequency table; it is the persisted ranked table (a superset:
+        ``cum_before``, ``distinct_before`` and ``rank`` ride along), so the
+        rank windows run once per profile."""
+        return self.ranked()
 
     def ranked(self) -> DataFrame:
         if self._ranked is None:
-            self._ranked = fq.ranked_frequencies(self.freq(), len(self.cols),
-                                                 self.n_buckets, self.cfg)
+            f = fq.numeric_frequencies(self.clean, self.cols, self.n_buckets, self.cfg)
+            raw = None
+            if self.n_buckets > 1:
+                # Read twice (bucket totals, then the join): keep it once.
+                raw = f = materialize(f, self.reuse)
+            r = fq.ranked_frequencies(f, len(self.cols), self.n_buckets, self.cfg)
+            self._ranked = materialize(r, self.reuse)
+            if raw is not None and self.reuse == "persist":
+                self._ranked.count()
+                raw.unpersist()
+            self._freq = self._ranked
         return self._ranked
 
     # ---- per-column summary (k rows) ------------------------------------------
@@ -103,22 +112,26 @@ class NumericProfile:
             F.min("value").alias("min"), F.max("value").alias("max"))
 
     def summary_rows(self) -> list:
+        """One aggregate over the persisted ranked table: each row already
+        carries its column's ``n_total`` and ``value_total``, so central moments
+        (two-pass, exact), quartile picks, mode and distinct count come out of
+        a single pass; k rows reach the driver."""
         if self._summary_rows is None:
             if not self.cols:
                 self._summary_rows = []
                 return self._summary_rows
-            basic = F.broadcast(self._basic())
-            j = self.ranked().join(basic, "column_name")
-            dev = F.col("value") - F.col("mean")
+            n = F.col("n_total")
+            j = self.ranked().withColumn("_mean", F.col("value_total") / n)
+            dev = F.col("value") - F.col("_mean")
             w = F.col("cnt")
-            aggs = [F.first("n").alias("n"), F.first("n_distinct").alias("n_distinct"),
-                    F.first("mean").alias("mean"), F.first("min").alias("min"),
-                    F.first("max").alias("max"),
+            aggs = [F.first("n_total").alias("n"), F.count(F.lit(1)).alias("n_distinct"),
+                    F.first("_mean").alias("mean"), F.min("value").alias("min"),
+                    F.max("value").alias("max"),
                     F.sum(w * dev * dev).alias("s2"), F.sum(w * dev * dev * dev).alias("s3"),
                     F.sum(w * dev * dev * dev * dev).alias("s4"),
                     F.min_by("value", F.struct(-w, F.col("value"))).alias("mode")]
             for name, p in QUARTILES.items():
-                h = (F.col("n") - 1) * F.lit(p)
+                h = (n - 1) * F.lit(p)
                 aggs.append(F.max(F.when(F.col("cum_before") <= F.floor(h), F.col("value"))).alias(f"_{name}_lo"))
                 aggs.append(F.max(F.when(F.col("cum_before") <= F.ceil(h), F.col("value"))).alias(f"_{name}_hi"))
             agg = j.groupBy("column_name").agg(*aggs)

@@ -106,7 +106,9 @@ class SchemaFacts:
         if not self.cols:
             self._rows = []
             return self._rows
-        long = unpivot_pairs(self.df, self.cols,
+        from ..session import spread
+
+        long = unpivot_pairs(spread(self.df.select(*[qcol(c) for c in self.cols])), self.cols,
                              {"value": lambda c: _value_expr(c, self.types[c])})
         v = F.col("value")
         num = v.try_cast("double")

@@ -58,3 +58,16 @@ def materialize(df: DataFrame, mode: str = "persist") -> DataFrame:
         from pyspark import StorageLevel
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's parallelism when the input has
+    fewer partitions than cores (e.g. a file with a single row group), so the
+    per-row work after the scan is not single-threaded.  A no-op on large
+    inputs, whose scan already yields far more splits than cores."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. streaming frames
+        return df
+    return df.repartition(target) if n < target else df
