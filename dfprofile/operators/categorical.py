@@ -73,9 +73,18 @@ class CategoricalProfile:
     """Persisted frequency table shared by stats, top-k and bar charts."""
 
     def __init__(self, df: DataFrame, columns: list[str], config: ProfileConfig = DEFAULT,
-                 reuse: str = "persist"):
+                 reuse: str = "persist", shared_freq: DataFrame | None = None):
+        """``shared_freq``: an existing ``(column_name, value, cnt)`` table that
+        covers ``columns`` (NULL groups allowed); it is filtered, not rebuilt."""
         self.df, self.cols, self.cfg = df, list(columns), config
-        self.freq = materialize(string_frequencies(df, self.cols), reuse) if self.cols else None
+        self.owned = shared_freq is None
+        if not self.cols:
+            self.freq = None
+        elif shared_freq is not None:
+            self.freq = shared_freq.where(F.col("column_name").isin(self.cols)
+                                          & F.col("value").isNotNull())
+        else:
+            self.freq = materialize(string_frequencies(df, self.cols), reuse)
 
     def stats(self) -> DataFrame:
         return categorical_stats(self.df, self.cols, self.cfg, self.freq)

@@ -52,6 +52,32 @@ def _pearson_ml(clean: DataFrame, cols: list[str]) -> list[list[float]]:
     return m.head()[0].toArray().tolist()
 
 
+SQL_PEARSON_MAX_COLUMNS = 24
+
+
+def _pearson_sums(clean: DataFrame, cols: list[str], shifts: dict[str, float]) -> list[list]:
+    """Complete-case Pearson from one aggregate of mean-shifted sums and
+    cross-products (k + k + k(k-1)/2 sums; shifting keeps it stable)."""
+    x = {c: qcol(c) - F.lit(shifts.get(c) or 0.0) for c in cols}
+    aggs = [F.count(F.lit(1))]
+    aggs += [F.sum(x[c]) for c in cols] + [F.sum(x[c] * x[c]) for c in cols]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    aggs += [F.sum(x[cols[i]] * x[cols[j]]) for i, j in pairs]
+    row = clean.agg(*aggs).collect()[0]
+    k = len(cols)
+    n = row[0]
+    s1, s2 = row[1:1 + k], row[1 + k:1 + 2 * k]
+    var = [s2[i] - s1[i] * s1[i] / n if n else 0.0 for i in range(k)]
+    m = [[None] * k for _ in range(k)]
+    for i in range(k):
+        m[i][i] = 1.0 if var[i] > 0 else None
+    for t, (i, j) in enumerate(pairs):
+        cov = row[1 + 2 * k + t] - s1[i] * s1[j] / n
+        den = math.sqrt(var[i] * var[j]) if var[i] > 0 and var[j] > 0 else 0.0
+        m[i][j] = m[j][i] = cov / den if den > 0 else None
+    return m
+
+
 def _pearson_masked(clean: DataFrame, cols: list[str], shifts: dict[str, float]
                     ) -> dict[tuple[int, int], float | None]:
     """Pairwise-complete Pearson for every i <= j from shifted masked sums."""
@@ -93,10 +119,13 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None,
         return spark.createDataFrame([], MATRIX_SCHEMA)
     clean = p.clean.select(*[qcol(c) for c in cols])
     if set(cols) <= _null_free(p):
-        m = _pearson_ml(clean, cols)
         # A constant column has no defined correlation, even with itself.
-        stds = {r[0]: r[3] for r in p.light_rows()}
-        ok = [bool(stds.get(c)) for c in cols]
+        light = {r[0]: r for r in p.light_rows()}
+        ok = [bool(light[c][3]) for c in cols]
+        if len(cols) <= SQL_PEARSON_MAX_COLUMNS:
+            m = _pearson_sums(clean, cols, {c: light[c][2] for c in cols})
+        else:
+            m = _pearson_ml(clean, cols)
         rows = _matrix_rows(cols, lambda i, j: m[i][j] if ok[i] and ok[j] else None)
     else:
         means = {r[0]: r[2] for r in p.light_rows()}

@@ -37,6 +37,7 @@ SUMMARY_SCHEMA = T.StructType([
     T.StructField("median", T.DoubleType()),
     T.StructField("q3", T.DoubleType()),
     T.StructField("mode", T.DoubleType()),
+    T.StructField("n_float_exact", T.LongType()),
 ])
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -129,7 +130,9 @@ class NumericProfile:
                     F.max("value").alias("max"),
                     F.sum(w * dev * dev).alias("s2"), F.sum(w * dev * dev * dev).alias("s3"),
                     F.sum(w * dev * dev * dev * dev).alias("s4"),
-                    F.min_by("value", F.struct(-w, F.col("value"))).alias("mode")]
+                    F.min_by("value", F.struct(-w, F.col("value"))).alias("mode"),
+                    F.sum(F.when(F.col("value").cast("float").cast("double") == F.col("value"), w)
+                          .otherwise(0)).cast("long").alias("n_float_exact")]
             for name, p in QUARTILES.items():
                 h = (n - 1) * F.lit(p)
                 aggs.append(F.max(F.when(F.col("cum_before") <= F.floor(h), F.col("value"))).alias(f"_{name}_lo"))
@@ -149,7 +152,7 @@ class NumericProfile:
                 F.sqrt(m2).alias("std_pop"), "min", "max",
                 F.when(m2 > 0, m3 / F.pow(m2, 1.5)).alias("g1"),
                 F.when(m2 > 0, m4 / (m2 * m2) - 3.0).alias("g2"),
-                *quart, "mode")
+                *quart, "mode", "n_float_exact")
             got = {r["column_name"]: tuple(r) for r in out.collect()}
             empty = (0, 0) + (None,) * (len(SUMMARY_SCHEMA.fields) - 3)
             self._summary_rows = [got.get(c, (c,) + empty) for c in self.cols]

@@ -70,7 +70,13 @@ def detect_outliers(df: DataFrame, columns: list[str] | None = None, method: str
                                F.lit(0.0)).alias("outlier_percentage")))
     if not with_keys:
         return base
-    keys = outlier_keys(df, cols, method, row_key, config, p)
+    # Counts are k rows: keep them, and re-read raw rows only for columns that
+    # actually have outliers.
+    base = df.sparkSession.createDataFrame(base.collect(), base.schema)
+    hit = [r["column_name"] for r in base.collect() if r["outlier_count"] > 0]
+    if not hit:
+        return base.withColumn("outlier_keys", F.array().cast("array<bigint>"))
+    keys = outlier_keys(df, hit, method, row_key, config, p)
     return (base.join(keys, "column_name", "left")
             .withColumn("outlier_keys",
                         F.coalesce("outlier_keys", F.array().cast("array<bigint>"))))

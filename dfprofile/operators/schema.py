@@ -89,51 +89,91 @@ def _infer(dt: T.DataType, n_rows, n_missing, n_unique, n_numeric, n_datetime,
 
 
 class SchemaFacts:
-    """Per-column facts from a single job, reused by every schema operator."""
+    """Per-column facts, reused by every schema operator.
+
+    Numeric-typed columns take their facts from a ``NumericProfile`` (its
+    persisted ranked frequency table: counts, distinct values, min / max and a
+    float round-trip count in one small pass); every other column from one
+    persisted string frequency table (missing, distinct, parse checks and
+    lengths evaluated once per distinct value).  A full profile shares both
+    tables with the numeric and categorical analyses, so the raw data is
+    unpivoted once per family.
+    """
 
     def __init__(self, df: DataFrame, config: ProfileConfig = DEFAULT,
-                 exact_distinct: bool | None = None):
+                 exact_distinct: bool | None = None, reuse: str = "persist"):
+        from .numeric import NumericProfile
+
         self.df = df
         self.cfg = config
         self.exact = config.exact_distinct if exact_distinct is None else exact_distinct
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.cols = [f.name for f in df.schema.fields]
+        self.numeric_typed = [c for c in self.cols if is_numeric(self.types[c])]
+        self.others = [c for c in self.cols if c not in set(self.numeric_typed)]
+        self.numeric = NumericProfile(df, self.numeric_typed, config, reuse)
+        self.reuse = reuse
+        self._string_freq = None
         self._rows = None
 
-    def rows(self) -> list:
-        if self._rows is not None:
-            return self._rows
-        if not self.cols:
-            self._rows = []
-            return self._rows
-        from ..session import spread
+    def string_freq(self) -> DataFrame | None:
+        """``(column_name, value, cnt)`` for the non-numeric columns, NULL
+        values kept as their own group (so missing counts come out too)."""
+        if not self.others:
+            return None
+        if self._string_freq is None:
+            from ..session import materialize, spread
+
+            long = unpivot_pairs(spread(self.df.select(*[qcol(c) for c in self.others])),
+                                 self.others,
+                                 {"value": lambda c: _value_expr(c, self.types[c])})
+            cells = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+            self._string_freq = materialize(cells, self.reuse)
+        return self._string_freq
 
-        long = unpivot_pairs(spread(self.df.select(*[qcol(c) for c in self.cols])), self.cols,
-                             {"value": lambda c: _value_expr(c, self.types[c])})
+    def _other_rows(self) -> dict:
+        f = self.string_freq()
+        if f is None:
+            return {}
         v = F.col("value")
+        w = F.col("cnt")
         num = v.try_cast("double")
-        if self.exact:
-            cells = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-            w = F.col("cnt")
-            unique = F.count(v)
-        else:
-            cells = long.withColumn("cnt", F.lit(1))
-            w = F.col("cnt")
-            unique = F.approx_count_distinct(v)
-        facts = cells.groupBy("column_name").agg(
+        nn = F.when(v.isNotNull(), w).otherwise(0)
+        facts = f.groupBy("column_name").agg(
             F.sum(w).cast("long").alias("n_rows"),
             F.sum(F.when(v.isNull(), w).otherwise(0)).cast("long").alias("n_missing"),
-            unique.cast("long").alias("n_unique"),
+            F.count(v).cast("long").alias("n_unique"),
             F.sum(F.when(num.isNotNull(), w).otherwise(0)).cast("long").alias("n_numeric"),
             F.sum(F.when(v.try_cast("timestamp").isNotNull(), w).otherwise(0)).cast("long")
             .alias("n_datetime"),
-            (F.sum(w * F.length(v)) / F.sum(F.when(v.isNotNull(), w))).alias("mean_length"),
+            (F.sum(w * F.length(v)) / F.sum(nn)).alias("mean_length"),
             F.sum(w * F.octet_length(v)).cast("long").alias("string_bytes"),
             F.min(num).alias("min_value"), F.max(num).alias("max_value"),
             F.sum(F.when(num.cast("float").cast("double") == num, w).otherwise(0)).cast("long")
-            .alias("n_float_exact"),
-        )
-        got = {r["column_name"]: r for r in facts.collect()}
+            .alias("n_float_exact"))
+        return {r["column_name"]: r.asDict() for r in facts.collect()}
+
+    def _numeric_rows(self) -> dict:
+        if not self.numeric_typed:
+            return {}
+        p = self.numeric
+        n_rows = p.n_rows()
+        summ = {r[0]: r for r in p.summary_rows()}
+        exact = {c: r[-1] for c, r in summ.items()}
+        out = {}
+        for c in self.numeric_typed:
+            r = summ[c]
+            n = r[1] or 0
+            out[c] = {"n_rows": n_rows, "n_missing": n_rows - n, "n_unique": r[2] or 0,
+                      "n_numeric": n, "n_datetime": 0, "mean_length": None,
+                      "string_bytes": None, "min_value": r[7], "max_value": r[8],
+                      "n_float_exact": exact.get(c, 0)}
+        return out
+
+    def rows(self) -> list:
+        if self._rows is not None:
+            return self._rows
+        got = {**self._numeric_rows(), **self._other_rows()}
         rows = []
         for i, c in enumerate(self.cols):
             r = got[c]
@@ -169,6 +209,11 @@ class SchemaFacts:
                 total += 8 * r[3]
         return total
 
+    def release(self):
+        self.numeric.release()
+        if self._string_freq is not None and self.reuse == "persist":
+            self._string_freq.unpersist()
+
 
 def infer_types(df: DataFrame, config: ProfileConfig = DEFAULT,
                 facts: SchemaFacts | None = None) -> DataFrame:

@@ -50,8 +50,13 @@ class Profile:
         self.types = types
         self.numeric_cols = [c for c in df.columns if types[c] == S.NUMERIC]
         self.cat_cols = [c for c in df.columns if types[c] in C.CATEGORY_TYPES]
-        self.num = NumericProfile(df, self.numeric_cols, config, reuse)
-        self.cat = C.CategoricalProfile(df, self.cat_cols, config, reuse)
+        # Share the schema job's frequency tables whenever they cover the columns.
+        if self.numeric_cols == self.facts.numeric_typed:
+            self.num = self.facts.numeric
+        else:
+            self.num = NumericProfile(df, self.numeric_cols, config, reuse)
+        shared = self.facts.string_freq() if set(self.cat_cols) <= set(self.facts.others) else None
+        self.cat = C.CategoricalProfile(df, self.cat_cols, config, reuse, shared_freq=shared)
         self._order = self.spark.createDataFrame([(c, i) for i, c in enumerate(df.columns)],
                                                  "column_name string, ord int")
         self._cache: dict[str, DataFrame | None] = {}
@@ -60,8 +65,15 @@ class Profile:
         return self.run_all or name in self.analyses
 
     def _memo(self, key, fn):
+        """Compute a section once.  Every section is bounded by the number of
+        columns (k rows, k^2 for matrices, <= 100 keys per column), so it is
+        collected and re-enters Spark as a small local relation: later uses
+        (the report, the insight context) never re-run its jobs."""
         if key not in self._cache:
-            self._cache[key] = fn()
+            df = fn()
+            if df is not None:
+                df = self.spark.createDataFrame(df.collect(), df.schema)
+            self._cache[key] = df
         return self._cache[key]
 
     # ---- pieces ------------------------------------------------------------------
@@ -192,7 +204,8 @@ class Profile:
 
     def release(self):
         self.num.release()
-        if self.cat.freq is not None:
+        self.facts.release()
+        if self.cat.freq is not None and self.cat.owned:
             self.cat.freq.unpersist()
 
 
