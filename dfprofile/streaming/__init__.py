@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The profiled service has no streams, watermarks or stateful operators; its
+"upload, then analyse" flow maps to calling ``dfprofile.profile`` on each new
+file.  Nothing here, by design (see README).
+"""
