@@ -92,6 +92,19 @@ def unpivot_pairs(df: DataFrame, cols: list[str], value_cols: dict[str, Column],
     return long.select("column_name", *[F.col("_s." + f).alias(f) for f in value_cols])
 
 
+LOG_BUCKETS_PER_DOUBLING = 64
+
+
+def log_bucket(v: Column) -> Column:
+    """A free, order-preserving bucket: about 64 buckets per doubling of |v|,
+    negatives below zero below positives.  Used below the sketch threshold so
+    the exact rank windows still run in parallel (no extra data pass)."""
+    k = LOG_BUCKETS_PER_DOUBLING
+    return (F.when(v > 0, F.lit(100_000) + F.floor(F.log2(v) * k))
+            .when(v < 0, F.lit(-100_000) - F.floor(F.log2(-v) * k))
+            .otherwise(F.lit(0))).cast("int")
+
+
 def numeric_frequencies(clean: DataFrame, cols: list[str], n_buckets: int = 1,
                         cfg: ProfileConfig = DEFAULT) -> DataFrame:
     """``(column_name, bucket, value, cnt)`` over non-null values."""
@@ -100,7 +113,7 @@ def numeric_frequencies(clean: DataFrame, cols: list[str], n_buckets: int = 1,
         return (long.where(F.col("value").isNotNull())
                 .groupBy("column_name", "value")
                 .agg(F.count(F.lit(1)).alias("cnt"))
-                .withColumn("bucket", F.lit(0)))
+                .withColumn("bucket", log_bucket(F.col("value"))))
     bucketed = with_buckets(clean, cols, n_buckets, cfg)
     long = unpivot_pairs(bucketed, cols, {
         "value": lambda c: qcol(c),
@@ -177,9 +190,12 @@ def ranked_frequencies(freq: DataFrame, n_columns: int, n_buckets: int,
                        cfg: ProfileConfig = DEFAULT) -> DataFrame:
     """Frequency table with exact ``cum_before`` and average ``rank`` (1-based,
     ties averaged as in pandas ``rank(method='average')``)."""
-    small = n_columns * max(n_buckets, 1) <= cfg.broadcast_row_limit
+    # Below the sketch threshold buckets are log-scale (<= ~140k per column in
+    # theory, a few thousand in practice); above it, k x B quantile buckets.
+    bound = n_columns * (max(n_buckets, 1) if n_buckets > 1 else 2 * 64 * 1100)
+    small = bound <= cfg.broadcast_row_limit or n_buckets <= 1
     r = running_counts(freq, ["column_name"], "value", broadcast_offsets=small,
-                       single_bucket=n_buckets <= 1, totals_of="value")
+                       totals_of="value")
     return r.withColumn("rank", F.col("cum_before") + (F.col("cnt") + 1) / 2.0)
 
 
