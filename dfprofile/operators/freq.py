@@ -186,14 +186,20 @@ def running_counts(freq: DataFrame, keys: list[str], order: str, bucket: str = "
             .drop("_off", "_doff"))
 
 
+MAX_LOG_BUCKETS = 2 * LOG_BUCKETS_PER_DOUBLING * 1100 + 1  # all finite doubles
+
+
 def ranked_frequencies(freq: DataFrame, n_columns: int, n_buckets: int,
-                       cfg: ProfileConfig = DEFAULT) -> DataFrame:
+                       cfg: ProfileConfig = DEFAULT, n_rows: int | None = None) -> DataFrame:
     """Frequency table with exact ``cum_before`` and average ``rank`` (1-based,
     ties averaged as in pandas ``rank(method='average')``)."""
-    # Below the sketch threshold buckets are log-scale (<= ~140k per column in
-    # theory, a few thousand in practice); above it, k x B quantile buckets.
-    bound = n_columns * (max(n_buckets, 1) if n_buckets > 1 else 2 * 64 * 1100)
-    small = bound <= cfg.broadcast_row_limit or n_buckets <= 1
+    # Offsets hold one row per (column, bucket): k x B for quantile buckets,
+    # k x min(n, all log buckets) below the sketch threshold.  Hint a broadcast
+    # only under a proven bound; otherwise AQE broadcasts at runtime if the
+    # measured size is small, or keeps the shuffle join.
+    per_col = n_buckets if n_buckets > 1 else min(n_rows if n_rows is not None else MAX_LOG_BUCKETS,
+                                                   MAX_LOG_BUCKETS)
+    small = n_columns * per_col <= cfg.broadcast_row_limit
     r = running_counts(freq, ["column_name"], "value", broadcast_offsets=small,
                        totals_of="value")
     return r.withColumn("rank", F.col("cum_before") + (F.col("cnt") + 1) / 2.0)

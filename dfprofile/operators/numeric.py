@@ -95,7 +95,7 @@ class NumericProfile:
             f = fq.numeric_frequencies(self.clean, self.cols, self.n_buckets, self.cfg)
             # Read twice (bucket totals, then the join): keep it once.
             raw = f = materialize(f, self.reuse)
-            r = fq.ranked_frequencies(f, len(self.cols), self.n_buckets, self.cfg)
+            r = fq.ranked_frequencies(f, len(self.cols), self.n_buckets, self.cfg, self.n_rows())
             self._ranked = materialize(r, self.reuse)
             if raw is not None and self.reuse == "persist":
                 self._ranked.count()

@@ -178,6 +178,8 @@ class SchemaFacts:
         for i, c in enumerate(self.cols):
             r = got[c]
             dt = self.types[c]
+            if not _profiled(dt):
+                r = {**r, "n_unique": None}  # values are not compared, only counted
             rows.append((c, i, dt.simpleString(), r["n_rows"], r["n_missing"], r["n_unique"],
                          r["n_numeric"], r["n_datetime"], r["mean_length"], r["string_bytes"],
                          r["min_value"], r["max_value"], r["n_float_exact"],
@@ -233,7 +235,8 @@ def sample_values(df: DataFrame, row_key: str | None = None, k: int = 5,
     column, nothing unbounded on the driver.
     """
     spark = df.sparkSession
-    cols = columns or [c for c in df.columns if c != "__key"]
+    cols = columns or [c for c in df.columns
+                       if c != "__key" and _profiled(df.schema[c].dataType)]
     key = qcol(row_key) if row_key else F.monotonically_increasing_id()
     keyed = df.select(key.alias("__key"), *[_value_expr(c, df.schema[c].dataType).alias(c)
                                             for c in cols])

@@ -307,6 +307,24 @@ def q_insight_context(spark, sf):
     return insight_context(profile(load(spark, sf, "orders"), row_key="o_orderkey"))
 
 
+EMBEDDINGS = [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")]
+DOC_CATS = ["lang", "source", "text"]
+
+
+def q_schema_profile_text(spark, sf):
+    return S.schema_profile(load(spark, sf, "documents"), row_key="doc_id").withColumn(
+        "sample_values", F.array_join("sample_values", ", "))
+
+
+def q_categorical_stats_text(spark, sf):
+    return C.categorical_stats(load(spark, sf, "documents"), DOC_CATS)
+
+
+def q_schema_profile_embeddings(spark, sf):
+    return S.schema_profile(load(spark, sf, "embeddings"), row_key="vec_id").withColumn(
+        "sample_values", F.array_join("sample_values", ", "))
+
+
 QUERIES = {
     "numeric_stats": q_numeric_stats,
     "schema_profile": q_schema_profile,
@@ -349,6 +367,9 @@ QUERIES = {
     "trend_daily": q_trend_daily,
     "trend_fit": q_trend_fit,
     "trend_seasonality": q_trend_seasonality,
+    "schema_profile_text": q_schema_profile_text,
+    "categorical_stats_text": q_categorical_stats_text,
+    "schema_profile_embeddings": q_schema_profile_embeddings,
     "full_report": q_full_report,
     "insight_context": q_insight_context,
 }
@@ -401,6 +422,9 @@ ORACLES = {
                      "FROM supplier",
     "head_sample": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100",
     "validation_checks": O.validation_sql("part", [c for c, _ in PART]),
+    "schema_profile_text": O.schema_profile_sql("documents", DOCUMENTS, "doc_id"),
+    "categorical_stats_text": O.categorical_stats_sql("documents", DOC_CATS),
+    "schema_profile_embeddings": O.schema_profile_sql("embeddings", EMBEDDINGS, "vec_id"),
     "trend_daily": O.trend_series_sql("events", "ts", "value"),
     "trend_fit": O.trend_fit_sql("events", "ts", "value"),
     "trend_seasonality": O.seasonality_sql("events", "ts", "value"),

@@ -106,11 +106,16 @@ def type_inference_sql(tables: list[tuple[str, str, list[tuple[str, str]]]]) ->
     return " UNION ALL ".join(blocks)
 
 
+def _complex(t: str) -> bool:
+    return t.startswith(("array", "map", "struct", "binary"))
+
+
 def schema_profile_sql(source: str, schema: list[tuple[str, str]], key: str, k: int = 5) -> str:
     facts = " UNION ALL ".join(
         f"SELECT column_name, ord, {_type_case(t)} AS data_type, count(*) - count(value) AS n_missing, "
-        f"count(*) AS n_rows, count(DISTINCT value) AS n_unique FROM long WHERE column_name = '{c}' "
-        f"GROUP BY column_name, ord"
+        f"count(*) AS n_rows, "
+        f"{'CAST(NULL AS BIGINT)' if _complex(t) else 'count(DISTINCT value)'} AS n_unique "
+        f"FROM long WHERE column_name = '{c}' GROUP BY column_name, ord"
         for c, t in schema)
     return f"""
 WITH long AS ({string_long_sql(source, schema, key)}),
@@ -119,7 +124,8 @@ samp AS (
   SELECT column_name, string_agg(value, ', ' ORDER BY k) AS sample_values FROM (
     SELECT column_name, value, k,
            row_number() OVER (PARTITION BY column_name ORDER BY k) AS rn
-    FROM long WHERE value IS NOT NULL) WHERE rn <= {k} GROUP BY column_name)
+    FROM long WHERE value IS NOT NULL AND spark_type NOT LIKE 'array%') WHERE rn <= {k}
+  GROUP BY column_name)
 SELECT f.column_name, f.data_type, CAST(f.n_missing AS BIGINT) AS missing_count,
        round(100.0 * f.n_missing / f.n_rows, 2) AS missing_percentage,
        CAST(f.n_unique AS BIGINT) AS unique_count, coalesce(s.sample_values, '') AS sample_values
