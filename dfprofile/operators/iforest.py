@@ -183,5 +183,5 @@ def isolation_forest_outliers(df: DataFrame, columns: list[str] | None = None,
     w = Window.partitionBy("column_name").orderBy("_key")
     first = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= config.max_outlier_keys)
     keys = first.groupBy("column_name").agg(F.sort_array(F.collect_list("_key")).alias("outlier_keys"))
-    return (base.join(keys, "column_name", "left")
+    return (base.join(F.broadcast(keys), "column_name", "left")  # keys: <= k rows
             .withColumn("outlier_keys", F.coalesce("outlier_keys", F.array().cast("array<bigint>"))))

@@ -236,7 +236,7 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None,
         return p.spark.createDataFrame([], _STATS_SCHEMA)
     base = p.shape()
     outl = p.iqr_outlier_counts()
-    j = base.join(outl, "column_name", "left")
+    j = base.join(F.broadcast(outl), "column_name", "left")  # outl: k rows
     has = F.col("n") > 0
     return j.select(
         "column_name",

@@ -76,8 +76,8 @@ def detect_outliers(df: DataFrame, columns: list[str] | None = None, method: str
     hit = [r["column_name"] for r in base.collect() if r["outlier_count"] > 0]
     if not hit:
         return base.withColumn("outlier_keys", F.array().cast("array<bigint>"))
-    keys = outlier_keys(df, hit, method, row_key, config, p)
-    return (base.join(keys, "column_name", "left")
+    keys = outlier_keys(df, hit, method, row_key, config, p)  # <= k rows
+    return (base.join(F.broadcast(keys), "column_name", "left")
             .withColumn("outlier_keys",
                         F.coalesce("outlier_keys", F.array().cast("array<bigint>"))))
 

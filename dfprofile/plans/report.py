@@ -140,10 +140,11 @@ class Profile:
         ns = self.numeric_stats().select(
             "column_name", "mean", "median", "std_dev", "min", "max",
             F.col("outlier_count").alias("outliers"), "skewness")
-        j = types.join(ns, "column_name", "left")
+        j = types.join(F.broadcast(ns), "column_name", "left")
         cs = self.categorical_stats()
         if cs is not None:
-            j = j.join(cs.select("column_name", "unique_count", "most_frequent"), "column_name", "left")
+            j = j.join(F.broadcast(cs.select("column_name", "unique_count", "most_frequent")),
+                       "column_name", "left")
         else:
             j = (j.withColumn("unique_count", F.lit(None).cast("bigint"))
                  .withColumn("most_frequent", F.lit(None).cast("string")))
