@@ -84,3 +84,15 @@ def test_bucketed_ranks_are_exact(spark):
     q = {r[0]: r for r in many.summary_rows()}["a"]
     assert q[11] == pytest.approx(s.quantile(0.25)) and q[13] == pytest.approx(s.quantile(0.75))
     assert not math.isnan(q[3])
+
+
+def test_sketch_bucket_path_exact_on_driver_table(spark):
+    """The at-scale rank path (approximate-quantile splits -> Bucketizer ->
+    bucket offsets) must give exactly the single-pass statistics."""
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    base = numeric_stats(df).orderBy("column_name").collect()
+    cfg = ProfileConfig(rank_bucket_rows=300)
+    p = NumericProfile(df, None, cfg)
+    assert p.n_buckets > 10
+    scaled = numeric_stats(df, profile=p).orderBy("column_name").collect()
+    assert [r.asDict() for r in base] == [r.asDict() for r in scaled]

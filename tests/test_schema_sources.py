@@ -81,3 +81,10 @@ def test_summary_missing_and_narrowing(spark):
     n = rows_by(type_narrowing(df))
     assert n["i"]["recommended_type"] == "smallint"
     assert n["f"]["recommended_type"] == "float"
+
+
+def test_csv_typing_integral_vs_decimal(spark):
+    rows = ["i,d,t,s"] + [f"{k},{k}.5,2024-01-{k + 1:02d},x{k % 3}" for k in range(12)]
+    df = load_csv(spark, _csv("\n".join(rows) + "\n"))
+    assert dict(df.dtypes) == {"i": "bigint", "d": "double", "t": "timestamp", "s": "string"}
+    assert df.where("d = 3.5").count() == 1
