@@ -9,8 +9,9 @@
   and emits its leaves as intervals with path length depth + c(size).
 * In one dimension the whole forest is a step function: the union of all split
   points (<= trees x 256 per column) is collected as bounded metadata, each
-  elementary interval gets its mean path length, and values are scored with a
-  JVM ``Bucketizer`` binary search plus a broadcast join — no per-row Python.
+  elementary interval gets its mean path length, and the distinct values of the
+  frequency table are scored by an Arrow-batched ``pandas_udf`` doing a
+  vectorised binary search (``np.searchsorted``) — never row-at-a-time.
 * The cut is the exact ``(1 - contamination)`` quantile of the scores over all
   rows (from the score frequency table), so about 10 % of rows are flagged.
 
@@ -108,9 +109,11 @@ def isolation_scores(df: DataFrame, columns: list[str], row_key: str | Column |
     # Bounded metadata: <= trees x samples leaves per column.
     leaf_rows = leaves.collect()
     per_col: dict[str, list] = {}
+    per_tree: dict[str, set] = {}
     for r in leaf_rows:
         per_col.setdefault(r["column_name"], []).append((r["lo"], r["hi"], r["path"]))
-    splits_array, step_rows, cols_done = [], [], []
+        per_tree.setdefault(r["column_name"], set()).add((r["tree"], 0))
+    tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for c in columns:
         lv = per_col.get(c)
         if not lv:
@@ -124,31 +127,28 @@ def isolation_scores(df: DataFrame, columns: list[str], row_key: str | Column |
             diff[index[lo]] += path
             diff[index[hi]] -= path
         total = np.cumsum(diff)[:-1]
-        n_used = min(m, counts[c])
-        c_n = average_path_length(n_used)
-        ntrees = len({r["tree"] for r in leaf_rows if r["column_name"] == c})
-        for b, s_path in enumerate(total):
-            score = 2.0 ** (-(s_path / ntrees) / c_n) if c_n > 0 else 0.5
-            step_rows.append((c, b, float(score)))
-        splits_array.append(edges)
-        cols_done.append(c)
-    from pyspark.ml.feature import Bucketizer
-
-    spark = df.sparkSession
-    steps = spark.createDataFrame(step_rows, "column_name string, bucket int, score double")
-    freq = p.freq().select("column_name", "value", "cnt")
-    pieces = []
-    for c, edges in zip(cols_done, splits_array):
-        fc = freq.where(F.col("column_name") == c)
-        b = Bucketizer(splits=edges, inputCol="value", outputCol="_b").transform(fc)
-        st = steps.where(F.col("column_name") == c).select(F.col("bucket").alias("_b"), "score")
-        small_steps = len(edges) <= config.broadcast_row_limit
-        pieces.append(b.withColumn("_b", F.col("_b").cast("int"))
-                      .join(F.broadcast(st) if small_steps else st, "_b").drop("_b"))
-    out = pieces[0]
-    for x in pieces[1:]:
-        out = out.unionByName(x)
-    return out, p
+        c_n = average_path_length(min(m, counts[c]))
+        ntrees = len({t for t, _ in per_tree.get(c, [])}) or t
+        scores = (np.power(2.0, -(total / ntrees) / c_n) if c_n > 0
+                  else np.full(len(total), 0.5))
+        tables[c] = (np.asarray(edges[:-1], dtype=float), scores)
+
+    @F.pandas_udf("double")
+    def score(names: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.full(len(values), np.nan)
+        for c in names.unique():
+            if c not in tables:
+                continue
+            starts, sc = tables[c]
+            idx = (names == c).to_numpy()
+            # Interval i covers [starts[i], starts[i + 1]).
+            pos = np.searchsorted(starts, values.to_numpy()[idx], side="right") - 1
+            out[idx] = sc[pos]
+        return pd.Series(out)
+
+    freq = p.freq().select("column_name", "value", "cnt").where(
+        F.col("column_name").isin(list(tables)))
+    return freq.withColumn("score", score("column_name", "value")), p
 
 
 def isolation_forest_outliers(df: DataFrame, columns: list[str] | None = None,
