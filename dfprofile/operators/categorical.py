@@ -84,7 +84,8 @@ class CategoricalProfile:
             self.freq = shared_freq.where(F.col("column_name").isin(self.cols)
                                           & F.col("value").isNotNull())
         else:
-            self.freq = materialize(string_frequencies(df, self.cols), reuse)
+            self.freq = materialize(string_frequencies(df, self.cols), reuse,
+                                    df.count() * len(self.cols))
 
     def stats(self) -> DataFrame:
         return categorical_stats(self.df, self.cols, self.cfg, self.freq)

@@ -88,7 +88,7 @@ def kendall_matrix(df: DataFrame, columns: list[str] | None = None,
     distinct = {r[0]: r[2] for r in p.summary_rows()}
     bits = _bits(max(distinct.values()) + 1)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    cells = materialize(kendall_cells(coded, pairs), "persist")
+    cells = materialize(kendall_cells(coded, pairs), "persist", p.n_rows() * len(pairs))
     tau = {r["pair"]: r["tau"] for r in kendall_tau(cells, bits).collect()}
     cells.unpersist()
     values = {}

@@ -94,9 +94,10 @@ class NumericProfile:
         if self._ranked is None:
             f = fq.numeric_frequencies(self.clean, self.cols, self.n_buckets, self.cfg)
             # Read twice (bucket totals, then the join): keep it once.
-            raw = f = materialize(f, self.reuse)
+            bound = self.n_rows() * max(len(self.cols), 1)
+            raw = f = materialize(f, self.reuse, bound)
             r = fq.ranked_frequencies(f, len(self.cols), self.n_buckets, self.cfg, self.n_rows())
-            self._ranked = materialize(r, self.reuse)
+            self._ranked = materialize(r, self.reuse, bound)
             if raw is not None and self.reuse == "persist":
                 self._ranked.count()
                 raw.unpersist()

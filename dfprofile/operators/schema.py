@@ -128,7 +128,8 @@ class SchemaFacts:
                                  self.others,
                                  {"value": lambda c: _value_expr(c, self.types[c])})
             cells = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-            self._string_freq = materialize(cells, self.reuse)
+            bound = self.numeric.n_rows() * len(self.others)
+            self._string_freq = materialize(cells, self.reuse, bound)
         return self._string_freq
 
     def _other_rows(self) -> dict:
