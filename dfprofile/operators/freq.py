@@ -136,7 +136,7 @@ def string_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def running_counts(freq: DataFrame, keys: list[str], order: str, bucket: str = "bucket",
-                   weight: str = "cnt", broadcast_offsets: bool = True,
+                   weight: str = "cnt", broadcast_offsets: bool | int = True,
                    single_bucket: bool = False, totals_of: str | None = None) -> DataFrame:
     """Add ``cum_before`` (sum of ``weight`` over rows strictly earlier in ``order``
     within ``keys``) and ``distinct_before`` (number of such rows).
@@ -147,6 +147,8 @@ def running_counts(freq: DataFrame, keys: list[str], order: str, bucket: str = "
     ``totals_of`` names a value column: the group totals ``n_total`` (sum of
     weights) and ``value_total`` (sum of value x weight) ride along, computed in
     the same windows.
+    ``broadcast_offsets``: True / False, or an int row limit — then the (small,
+    cached) bucket-totals table is counted and broadcast only if it fits.
     """
     if single_bucket:
         w = Window.partitionBy(*keys).orderBy(order)
@@ -162,6 +164,11 @@ def running_counts(freq: DataFrame, keys: list[str], order: str, bucket: str = "
     if totals_of:
         aggs.append(F.sum(F.col(totals_of) * F.col(weight)).alias("_bs"))
     totals = freq.groupBy(*keys, bucket).agg(*aggs)
+    if not isinstance(broadcast_offsets, bool):
+        from pyspark import StorageLevel
+
+        totals = totals.persist(StorageLevel.MEMORY_AND_DISK)
+        broadcast_offsets = totals.count() <= broadcast_offsets
     w1 = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, -1)
     sel = [*keys, bucket,
@@ -200,7 +207,9 @@ def ranked_frequencies(freq: DataFrame, n_columns: int, n_buckets: int,
     per_col = n_buckets if n_buckets > 1 else min(n_rows if n_rows is not None else MAX_LOG_BUCKETS,
                                                    MAX_LOG_BUCKETS)
     small = n_columns * per_col <= cfg.broadcast_row_limit
-    r = running_counts(freq, ["column_name"], "value", broadcast_offsets=small,
+    # Proven small: hint directly; otherwise measure the totals table first.
+    r = running_counts(freq, ["column_name"], "value",
+                       broadcast_offsets=True if small else cfg.broadcast_row_limit,
                        totals_of="value")
     return r.withColumn("rank", F.col("cum_before") + (F.col("cnt") + 1) / 2.0)
 
