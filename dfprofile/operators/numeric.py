@@ -67,6 +67,8 @@ class NumericProfile:
         self._summary = None
         self._n_buckets = None
         self._light = None
+        self._raw = None
+        self._basic_rows = None
 
     def n_rows(self) -> int:
         if self._n_rows is None:
@@ -84,6 +86,15 @@ class NumericProfile:
                                           "column_name string, ord int")
 
     # ---- frequency table ------------------------------------------------------
+    def raw_freq(self) -> DataFrame:
+        """Persisted ``(column_name, bucket, value, cnt)``; read by the light
+        facts and twice by the rank build (bucket totals, then the join)."""
+        if self._raw is None:
+            f = fq.numeric_frequencies(self.clean, self.cols, self.n_buckets, self.cfg)
+            bound = self.n_rows() * max(len(self.cols), 1)
+            self._raw = materialize(f, self.reuse, bound)
+        return self._raw
+
     def freq(self) -> DataFrame:
         """The frequency table; it is the persisted ranked table (a superset:
         ``cum_before``, ``distinct_before`` and ``rank`` ride along), so the
@@ -92,18 +103,31 @@ class NumericProfile:
 
     def ranked(self) -> DataFrame:
         if self._ranked is None:
-            f = fq.numeric_frequencies(self.clean, self.cols, self.n_buckets, self.cfg)
-            # Read twice (bucket totals, then the join): keep it once.
             bound = self.n_rows() * max(len(self.cols), 1)
-            raw = f = materialize(f, self.reuse, bound)
-            r = fq.ranked_frequencies(f, len(self.cols), self.n_buckets, self.cfg, self.n_rows())
+            r = fq.ranked_frequencies(self.raw_freq(), len(self.cols), self.n_buckets, self.cfg,
+                                      self.n_rows())
             self._ranked = materialize(r, self.reuse, bound)
-            if raw is not None and self.reuse == "persist":
+            if self.reuse == "persist":
                 self._ranked.count()
-                raw.unpersist()
+                self._raw.unpersist()  # the ranked table supersedes it
             self._freq = self._ranked
         return self._ranked
 
+    def basic_rows(self) -> dict:
+        """``column -> (n, n_distinct, min, max, n_float_exact)`` from one small
+        aggregate over the frequency table (no rank windows needed)."""
+        if self._summary_rows is not None:
+            return {r[0]: (r[1], r[2], r[7], r[8], r[-1]) for r in self._summary_rows}
+        if self._basic_rows is None:
+            src = self._ranked if self._ranked is not None else self.raw_freq()
+            v, w = F.col("value"), F.col("cnt")
+            agg = src.groupBy("column_name").agg(
+                F.sum(w).cast("long"), F.count(F.lit(1)).cast("long"), F.min(v), F.max(v),
+                F.sum(F.when(v.cast("float").cast("double") == v, w).otherwise(0)).cast("long"))
+            got = {r[0]: tuple(r)[1:] for r in agg.collect()}
+            self._basic_rows = {c: got.get(c, (0, 0, None, None, 0)) for c in self.cols}
+        return self._basic_rows
+
     # ---- per-column summary (k rows) ------------------------------------------
     def _basic(self) -> DataFrame:
         return self.freq().groupBy("column_name").agg(
@@ -218,8 +242,10 @@ class NumericProfile:
         return self.summary().select("*", skew.alias("skewness"), kurt.alias("kurtosis"))
 
     def release(self):
-        if self._freq is not None and self.reuse == "persist":
-            self._freq.unpersist()
+        if self.reuse == "persist":
+            for t in (self._freq, self._raw):
+                if t is not None:
+                    t.unpersist()
 
 
 def numeric_stats(df: DataFrame, columns: list[str] | None = None,

@@ -159,16 +159,15 @@ class SchemaFacts:
             return {}
         p = self.numeric
         n_rows = p.n_rows()
-        summ = {r[0]: r for r in p.summary_rows()}
-        exact = {c: r[-1] for c, r in summ.items()}
+        basic = p.basic_rows()
         out = {}
         for c in self.numeric_typed:
-            r = summ[c]
-            n = r[1] or 0
-            out[c] = {"n_rows": n_rows, "n_missing": n_rows - n, "n_unique": r[2] or 0,
+            n, n_distinct, mn, mx, exact = basic[c]
+            n = n or 0
+            out[c] = {"n_rows": n_rows, "n_missing": n_rows - n, "n_unique": n_distinct or 0,
                       "n_numeric": n, "n_datetime": 0, "mean_length": None,
-                      "string_bytes": None, "min_value": r[7], "max_value": r[8],
-                      "n_float_exact": exact.get(c, 0)}
+                      "string_bytes": None, "min_value": mn, "max_value": mx,
+                      "n_float_exact": exact or 0}
         return out
 
     def rows(self) -> list:
