@@ -73,19 +73,28 @@ class CategoricalProfile:
     """Persisted frequency table shared by stats, top-k and bar charts."""
 
     def __init__(self, df: DataFrame, columns: list[str], config: ProfileConfig = DEFAULT,
-                 reuse: str = "persist", shared_freq: DataFrame | None = None):
-        """``shared_freq``: an existing ``(column_name, value, cnt)`` table that
-        covers ``columns`` (NULL groups allowed); it is filtered, not rebuilt."""
+                 reuse: str = "persist", shared_freq: DataFrame | None = None,
+                 shared_columns: list[str] | None = None):
+        """``shared_freq``: an existing table with ``column_name, value, cnt``
+        whose rows for ``shared_columns`` hold every value (NULL groups allowed);
+        those columns are filtered from it, the rest get their own table."""
         self.df, self.cols, self.cfg = df, list(columns), config
-        self.owned = shared_freq is None
-        if not self.cols:
-            self.freq = None
-        elif shared_freq is not None:
-            self.freq = shared_freq.where(F.col("column_name").isin(self.cols)
-                                          & F.col("value").isNotNull())
-        else:
-            self.freq = materialize(string_frequencies(df, self.cols), reuse,
-                                    df.count() * len(self.cols))
+        shared_cols = [c for c in self.cols if shared_freq is not None
+                       and c in set(shared_columns or [])]
+        own_cols = [c for c in self.cols if c not in set(shared_cols)]
+        self.owned = None
+        parts = []
+        if shared_cols:
+            parts.append(shared_freq.where(F.col("column_name").isin(shared_cols)
+                                           & F.col("value").isNotNull())
+                         .select("column_name", "value", "cnt"))
+        if own_cols:
+            self.owned = materialize(string_frequencies(df, own_cols), reuse,
+                                     df.count() * len(own_cols))
+            parts.append(self.owned)
+        self.freq = None
+        for p in parts:
+            self.freq = p if self.freq is None else self.freq.unionByName(p)
 
     def stats(self) -> DataFrame:
         return categorical_stats(self.df, self.cols, self.cfg, self.freq)

@@ -22,6 +22,9 @@ from .freq import unpivot_pairs
 NUMERIC, CATEGORICAL, DATETIME, TEXT, BOOLEAN, UNKNOWN = (
     "numeric", "categorical", "datetime", "text", "boolean", "unknown")
 
+# Longer strings are grouped by digest, never shuffled whole just to be counted.
+SHORT_STRING = 64
+
 # Bytes per value for the memory estimate (D12); strings use their UTF-8 length.
 FIXED_WIDTH = {
     T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4,
@@ -114,45 +117,75 @@ class SchemaFacts:
         self.numeric = NumericProfile(df, self.numeric_typed, config, reuse)
         self.reuse = reuse
         self._string_freq = None
+        self._max_len: dict = {}
         self._rows = None
 
     def string_freq(self) -> DataFrame | None:
-        """``(column_name, value, cnt)`` for the non-numeric columns, NULL
-        values kept as their own group (so missing counts come out too)."""
+        """Cells ``(column_name, value, digest, cnt, len, bytes, num, is_ts)``
+        for the non-numeric columns; NULL is its own group.
+
+        Values up to ``SHORT_STRING`` characters are grouped by the value itself
+        (and parsed once per distinct value); longer ones by the MD5 of the
+        whole text, with their flags computed map-side, so long texts are never
+        shuffled just to be counted."""
         if not self.others:
             return None
         if self._string_freq is None:
-            from ..session import materialize, spread
-
-            long = unpivot_pairs(spread(self.df.select(*[qcol(c) for c in self.others])),
-                                 self.others,
-                                 {"value": lambda c: _value_expr(c, self.types[c])})
-            cells = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+            from ..session import materialize
+
+            long = unpivot_pairs(self.df.select(*[qcol(c) for c in self.others]), self.others,
+                                 {"s": lambda c: _value_expr(c, self.types[c])})
+            sv = F.col("s")
+            short = F.length(sv) <= SHORT_STRING
+            big = ~short
+            rows = long.select(
+                "column_name", F.when(short, sv).alias("value"),
+                F.when(big, F.unhex(F.md5(sv))).alias("digest"),
+                F.length(sv).alias("len"), F.octet_length(sv).alias("bytes"),
+                F.when(big, sv.try_cast("double")).alias("num_long"),
+                F.when(big, sv.try_cast("timestamp").isNotNull()).alias("ts_long"))
+            cells = rows.groupBy("column_name", "value", "digest").agg(
+                F.count(F.lit(1)).alias("cnt"), F.first("len").alias("len"),
+                F.first("bytes").alias("bytes"), F.first("num_long").alias("num_long"),
+                F.max("ts_long").alias("ts_long"))
+            v = F.col("value")
+            cells = cells.select(
+                "column_name", "value", "digest", "cnt", "len", "bytes",
+                F.coalesce(v.try_cast("double"), F.col("num_long")).alias("num"),
+                F.coalesce(v.try_cast("timestamp").isNotNull() & v.isNotNull(),
+                           F.col("ts_long"), F.lit(False)).alias("is_ts"))
             bound = self.numeric.n_rows() * len(self.others)
             self._string_freq = materialize(cells, self.reuse, bound)
         return self._string_freq
 
+    def short_value_columns(self) -> list[str]:
+        """Non-numeric columns whose every value is keyed by itself in
+        ``string_freq`` (so categorical statistics can reuse it)."""
+        self.rows()
+        return [c for c in self.others if (self._max_len.get(c) or 0) <= SHORT_STRING]
+
     def _other_rows(self) -> dict:
         f = self.string_freq()
         if f is None:
             return {}
-        v = F.col("value")
         w = F.col("cnt")
-        num = v.try_cast("double")
-        nn = F.when(v.isNotNull(), w).otherwise(0)
+        present = F.col("value").isNotNull() | F.col("digest").isNotNull()
+        num = F.col("num")
         facts = f.groupBy("column_name").agg(
             F.sum(w).cast("long").alias("n_rows"),
-            F.sum(F.when(v.isNull(), w).otherwise(0)).cast("long").alias("n_missing"),
-            F.count(v).cast("long").alias("n_unique"),
+            F.sum(F.when(~present, w).otherwise(0)).cast("long").alias("n_missing"),
+            F.count(F.when(present, 1)).cast("long").alias("n_unique"),
             F.sum(F.when(num.isNotNull(), w).otherwise(0)).cast("long").alias("n_numeric"),
-            F.sum(F.when(v.try_cast("timestamp").isNotNull(), w).otherwise(0)).cast("long")
-            .alias("n_datetime"),
-            (F.sum(w * F.length(v)) / F.sum(nn)).alias("mean_length"),
-            F.sum(w * F.octet_length(v)).cast("long").alias("string_bytes"),
+            F.sum(F.when(F.col("is_ts"), w).otherwise(0)).cast("long").alias("n_datetime"),
+            (F.sum(F.when(present, w * F.col("len"))) / F.sum(F.when(present, w))).alias("mean_length"),
+            F.sum(w * F.col("bytes")).cast("long").alias("string_bytes"),
             F.min(num).alias("min_value"), F.max(num).alias("max_value"),
             F.sum(F.when(num.cast("float").cast("double") == num, w).otherwise(0)).cast("long")
-            .alias("n_float_exact"))
-        return {r["column_name"]: r.asDict() for r in facts.collect()}
+            .alias("n_float_exact"),
+            F.max("len").alias("max_length"))
+        got = {r["column_name"]: r.asDict() for r in facts.collect()}
+        self._max_len = {c: r["max_length"] for c, r in got.items()}
+        return got
 
     def _numeric_rows(self) -> dict:
         if not self.numeric_typed:

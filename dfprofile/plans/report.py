@@ -55,8 +55,9 @@ class Profile:
             self.num = self.facts.numeric
         else:
             self.num = NumericProfile(df, self.numeric_cols, config, reuse)
-        shared = self.facts.string_freq() if set(self.cat_cols) <= set(self.facts.others) else None
-        self.cat = C.CategoricalProfile(df, self.cat_cols, config, reuse, shared_freq=shared)
+        self.cat = C.CategoricalProfile(df, self.cat_cols, config, reuse,
+                                        shared_freq=self.facts.string_freq(),
+                                        shared_columns=self.facts.short_value_columns())
         self._order = self.spark.createDataFrame([(c, i) for i, c in enumerate(df.columns)],
                                                  "column_name string, ord int")
         self._cache: dict[str, DataFrame | None] = {}
@@ -206,8 +207,8 @@ class Profile:
     def release(self):
         self.num.release()
         self.facts.release()
-        if self.cat.freq is not None and self.cat.owned:
-            self.cat.freq.unpersist()
+        if self.cat.owned is not None:
+            self.cat.owned.unpersist()
 
 
 def profile(df: DataFrame, config: ProfileConfig = DEFAULT, analyses=("all",),
