@@ -88,3 +88,25 @@ def test_csv_typing_integral_vs_decimal(spark):
     df = load_csv(spark, _csv("\n".join(rows) + "\n"))
     assert dict(df.dtypes) == {"i": "bigint", "d": "double", "t": "timestamp", "s": "string"}
     assert df.where("d = 3.5").count() == 1
+
+
+def test_long_text_digest_path(spark):
+    from dfprofile.operators.categorical import categorical_stats
+    from dfprofile.plans.report import profile
+
+    long_a, long_b = "lorem ipsum " * 20, "dolor sit amet " * 20
+    rows = [(long_a if i % 3 else long_b, "k" if i % 2 else None, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "t string, c string, i int")
+    f = SchemaFacts(df)
+    facts = {r[0]: r for r in f.rows()}
+    assert facts["t"][5] == 2 and facts["t"][4] == 0          # unique, missing
+    assert facts["c"][5] == 1 and facts["c"][4] == 15
+    assert f.type_map()["t"] == "categorical"  # 2 / 30 unique < 0.5
+    assert "t" not in f.short_value_columns() and "c" in f.short_value_columns()
+    p = profile(df)
+    got = {r.column_name: (r.unique_count, r.most_frequent, r.frequency)
+           for r in p.categorical_stats().collect()}
+    exp = {r.column_name: (r.unique_count, r.most_frequent, r.frequency)
+           for r in categorical_stats(df, ["t", "c"]).collect()}
+    assert got == exp and got["t"] == (2, long_a, 20)
+    p.release()
