@@ -126,9 +126,7 @@ def numeric_frequencies(clean: DataFrame, cols: list[str], n_buckets: int = 1,
 
 def string_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(column_name, value, cnt)`` of non-null values cast to string."""
-    from ..session import spread
-
-    long = unpivot_pairs(spread(df.select(*[qcol(c) for c in cols])), cols,
+    long = unpivot_pairs(df.select(*[qcol(c) for c in cols]), cols,
                          {"value": lambda c: qcol(c).cast("string")})
     return (long.where(F.col("value").isNotNull())
             .groupBy("column_name", "value")
