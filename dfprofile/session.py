@@ -81,54 +81,3 @@ def materialize(df: DataFrame, mode: str = "persist", rows_hint: int | None = No
         from pyspark import StorageLevel
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
-
-
-ROWS_PER_PARTITION = 1_000_000
-
-
-def right_size(df: DataFrame, rows_hint: int | None) -> DataFrame:
-    """Coalesce a small shuffle output before caching it: AQE does not
-    re-coalesce a cached plan's output, so a tiny table would otherwise keep
-    ``spark.sql.shuffle.partitions`` partitions and every later pass would run
-    that many near-empty tasks.  Coalesce only ever reduces, so large inputs
-    (hint above partitions x 1M rows) keep the configured parallelism."""
-    if not rows_hint:
-        return df
-    spark = df.sparkSession
-    try:
-        configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # noqa: BLE001
-        return df
-    floor = spark.sparkContext.defaultParallelism
-    target = max(floor, -(-rows_hint // ROWS_PER_PARTITION))
-    return df.coalesce(target) if target < configured else df
-
-
-def materialize(df: DataFrame, mode: str = "persist", rows_hint: int | None = None) -> DataFrame:
-    """Reuse an intermediate across several jobs.
-
-    ``persist``: memory+disk cache; lost blocks are recomputed from lineage.
-    ``checkpoint``: written to the shared checkpoint dir, cutting lineage.
-    ``rows_hint`` (an upper bound of the row count) right-sizes partitions.
-    """
-    df = right_size(df, rows_hint)
-    if mode == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    if mode == "persist":
-        from pyspark import StorageLevel
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's parallelism when the input has
-    fewer partitions than cores (e.g. a file with a single row group), so the
-    per-row work after the scan is not single-threaded.  A no-op on large
-    inputs, whose scan already yields far more splits than cores."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. streaming frames
-        return df
-    return df.repartition(target) if n < target else df
