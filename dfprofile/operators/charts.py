@@ -3,11 +3,13 @@ Rendering is not built; a caller draws from these rows."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ProfileConfig
-from ..functions.columns import numeric_columns, rnd
+from ..functions.columns import numeric_columns, qcol, rnd
 from .categorical import top_values
 from .freq import string_frequencies
 
@@ -151,9 +153,9 @@ def boxplot_stats(df: DataFrame, columns: list[str] | None = None,
 
 def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     """V7: the points of a scatter plot (every row with both coordinates)."""
-    cols = [F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")]
+    cols = [qcol(x).cast("double").alias("x"), qcol(y).cast("double").alias("y")]
     if color:
-        cols.append(F.col(color).cast("string").alias("color"))
+        cols.append(qcol(color).cast("string").alias("color"))
     return df.select(*cols).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
@@ -163,7 +165,10 @@ def pairplot_sample(df: DataFrame, columns: list[str] | None = None, row_key: st
     ``pair_sample`` of them, chosen reproducibly by a seeded hash of the row key
     (D9).  ``orderBy(hash).limit`` runs as per-partition top-k + merge."""
     cols = (columns or numeric_columns(df))[:config.pair_columns]
-    key = F.col(row_key) if row_key else F.monotonically_increasing_id()
-    sel = df.select(key.alias("_key"), *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
+    key = qcol(row_key) if row_key else F.monotonically_increasing_id()
+    sel = df.select(key.alias("_key"), *[qcol(c).cast("double").alias(c) for c in cols])
+    if cols:
+        any_null = functools.reduce(lambda a, b: a | b, [qcol(c).isNull() for c in cols])
+        sel = sel.where(~any_null)
     return (sel.withColumn("_h", F.xxhash64(F.col("_key"), F.lit(config.seed)))
             .orderBy("_h", "_key").limit(config.pair_sample).drop("_h"))

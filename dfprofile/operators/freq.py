@@ -82,13 +82,13 @@ def unpivot_pairs(df: DataFrame, cols: list[str], value_cols: dict[str, Column],
         # One field: a plain Expand of the column values, no per-row struct.
         (field, tmpl), = value_cols.items()
         wide = df.select(*[tmpl(c).alias(c) for c in cols])
-        return wide.unpivot([], list(cols), "column_name", field)
+        return wide.unpivot([], [qcol(c) for c in cols], "column_name", field)
     structs = [
         F.struct(*[tmpl(c).alias(field) for field, tmpl in value_cols.items()]).alias(c)
         for c in cols
     ]
     wide = df.select(*structs)
-    long = wide.unpivot([], list(cols), "column_name", "_s")
+    long = wide.unpivot([], [qcol(c) for c in cols], "column_name", "_s")
     return long.select("column_name", *[F.col("_s." + f).alias(f) for f in value_cols])
 
 

@@ -67,3 +67,20 @@ def test_s9_s10_sink_and_retention(spark):
     c = counts.collect()[0]
     assert (c.kept_count, c.expired_count) == (1, 1)
     assert [r.job_id for r in expired.collect()] == ["j2"]
+
+
+def test_column_names_with_spaces_and_dots(spark):
+    df = spark.createDataFrame([(float(i), i % 3, f"c{i % 4}") for i in range(40)],
+                               "`sales amount` double, `a.b` int, `region name` string")
+    p = profile(df)
+    r = p.report(job_id="x").collect()[0]
+    assert [c.column_name for c in r.columns] == ["sales amount", "a.b", "region name"]
+    stats = {s.name: s for s in r.column_statistics}
+    assert stats["sales amount"].stats.mean == 19.5 and stats["a.b"].stats.max == 2.0
+    assert stats["region name"].stats.unique_count == 4
+    from dfprofile.operators.charts import pairplot_sample, scatter_points
+    from dfprofile.operators.kendall import kendall_matrix
+    assert scatter_points(df, "sales amount", "a.b", "region name").count() == 40
+    assert pairplot_sample(df).count() == 40
+    assert len(kendall_matrix(df, ["sales amount", "a.b"]).collect()) == 4
+    p.release()
