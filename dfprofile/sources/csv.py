@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ProfileConfig
 from ..functions.columns import qcol
+from ..operators.freq import unpivot_pairs
 
 # Strings pandas ``read_csv`` treats as missing by default.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -80,14 +81,17 @@ def type_columns(df: DataFrame, config: ProfileConfig = DEFAULT, facts=None) ->
     bool_like = {}
     integral = {}
     if strings:
+        # Long form: one Expand and a per-column aggregate (code size does not
+        # grow with the number of columns).
         tokens = TRUE_TOKENS + FALSE_TOKENS
-        row = df.agg(*[F.count(F.when(~qcol(c).isin(tokens), 1)).alias(f"b{i}")
-                       for i, c in enumerate(strings)],
-                     *[F.count(F.when(qcol(c).try_cast("double").isNotNull()
-                                      & qcol(c).try_cast("bigint").isNull(), 1)).alias(f"i{i}")
-                       for i, c in enumerate(strings)]).collect()[0]
-        bool_like = {c: row[f"b{i}"] == 0 for i, c in enumerate(strings)}
-        integral = {c: row[f"i{i}"] == 0 for i, c in enumerate(strings)}
+        long = unpivot_pairs(df, strings, {"v": lambda c: qcol(c)})
+        v = F.col("v")
+        got = {r[0]: (r[1], r[2]) for r in long.groupBy("column_name").agg(
+            F.count(F.when(~v.isin(tokens), 1)),
+            F.count(F.when(v.try_cast("double").isNotNull() & v.try_cast("bigint").isNull(), 1))
+        ).collect()}
+        bool_like = {c: got.get(c, (0, 0))[0] == 0 for c in strings}
+        integral = {c: got.get(c, (0, 0))[1] == 0 for c in strings}
     out = []
     for c in df.columns:
         x = qcol(c)
@@ -110,10 +114,12 @@ def validation_checks(df: DataFrame, header: list[str] | None = None,
     limit, all-NULL columns (warning) and duplicate column names."""
     spark = df.sparkSession
     cols = df.columns
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count(qcol(c)).alias(f"c{i}") for i, c in enumerate(cols)]).collect()[0]
-    n = row["_n"]
-    all_null = [c for i, c in enumerate(cols) if row[f"c{i}"] == 0]
+    # Long form: per-column non-null counts from one Expand + group-by.
+    flags = unpivot_pairs(df, cols, {"present": lambda c: qcol(c).isNotNull().cast("int")})
+    per = {r[0]: (r[1], r[2]) for r in flags.groupBy("column_name").agg(
+        F.count(F.lit(1)), F.sum("present")).collect()}
+    n = next(iter(per.values()))[0] if per else df.count()
+    all_null = [c for c in cols if (per.get(c, (0, 0))[1] or 0) == 0]
     names = header if header is not None else cols
     seen, dups = set(), []
     for c in names:
