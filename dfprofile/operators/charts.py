@@ -39,6 +39,9 @@ def _profile(df, cols, config, profile):
     return NumericProfile(df, cols, config)
 
 
+DENSE_BIN_LIMIT = 10_000
+
+
 def histogram_data(df: DataFrame, columns: list[str] | None = None,
                    config: ProfileConfig = DEFAULT, profile=None) -> DataFrame:
     """V1: density histogram with NumPy 1.26 ``bins="auto"``.
@@ -46,8 +49,9 @@ def histogram_data(df: DataFrame, columns: list[str] | None = None,
     width = min(Sturges, Freedman-Diaconis), Sturges when the FD width is 0;
     ``ceil(range / width)`` equal bins between min and max, the last closed.
     Values are binned from the frequency table (one row per distinct value)
-    with NumPy's edge corrections.  Only non-empty bins are emitted (empty bins
-    are implied), so the output never exceeds the distinct values.
+    with NumPy's edge corrections.  Every bin is listed when a column has at
+    most ``DENSE_BIN_LIMIT`` bins; above that only non-empty bins (zeros
+    implied), so the output never exceeds the distinct values.
     Columns: column_name, bin, bin_start, bin_end, count, density.
     """
     cols = columns or numeric_columns(df)
@@ -77,6 +81,16 @@ def histogram_data(df: DataFrame, columns: list[str] | None = None,
     f = f.withColumn("_i", F.when((v >= edge(F.col("_i") + 1)) & (F.col("_i") != F.col("nb") - 1),
                                   F.col("_i") + 1).otherwise(F.col("_i")))
     h = f.groupBy("column_name", "_i").agg(F.sum("cnt").cast("long").alias("count"))
+    # Columns with at most DENSE_BIN_LIMIT bins list every bin (zeros included,
+    # as NumPy does); beyond that only non-empty bins are listed (zeros implied).
+    dense = (meta.where(F.col("nb") <= DENSE_BIN_LIMIT)
+             .select("column_name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
+                     .alias("_i")))
+    sparse = h.join(F.broadcast(meta.where(F.col("nb") > DENSE_BIN_LIMIT).select("column_name")),
+                    "column_name")
+    h = (dense.join(h, ["column_name", "_i"], "left")
+         .select("column_name", "_i", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+         .unionByName(sparse))
     out = h.join(F.broadcast(meta), "column_name")
     start, end = edge(F.col("_i")), edge(F.col("_i") + 1)
     d = config.numeric_precision

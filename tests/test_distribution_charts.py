@@ -59,3 +59,13 @@ def test_boxplot_whiskers(spark):
     df = _col(spark, [1, 2, 3, 4, 5, 100])
     r = rows_by(boxplot_stats(df))["x"]
     assert (r["whislo"], r["whishi"], r["fliers"]) == (1.0, 5.0, 1)
+
+
+def test_histogram_lists_empty_bins_like_numpy(spark):
+    rng = np.random.default_rng(12)
+    vals = np.concatenate([rng.normal(0, 1, 500), rng.normal(40, 1, 500)])
+    h = histogram_data(_col(spark, vals)).orderBy("bin").collect()
+    counts, edges = np.histogram(vals, bins="auto")
+    assert 0 in counts.tolist()
+    assert [r["count"] for r in h] == counts.tolist()
+    assert h[0].bin_start == round(edges[0], 4) and h[-1].bin_end == round(edges[-1], 4)
