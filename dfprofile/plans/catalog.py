@@ -325,6 +325,23 @@ def q_schema_profile_embeddings(spark, sf):
         "sample_values", F.array_join("sample_values", ", "))
 
 
+PAGES = [("page_id", "bigint"), ("url", "string"), ("html", "string")]
+LABELS_NUMERIC = ["doc_id", "quality", "toxic"]
+
+
+def q_schema_profile_pages(spark, sf):
+    return S.schema_profile(load(spark, sf, "pages"), row_key="page_id").withColumn(
+        "sample_values", F.array_join("sample_values", ", "))
+
+
+def q_numeric_stats_labels(spark, sf):
+    return numeric_stats(load(spark, sf, "labels"))
+
+
+def q_value_counts_roles(spark, sf):
+    return C.value_counts(load(spark, sf, "conversations"), ["role"])
+
+
 QUERIES = {
     "numeric_stats": q_numeric_stats,
     "schema_profile": q_schema_profile,
@@ -370,6 +387,9 @@ QUERIES = {
     "schema_profile_text": q_schema_profile_text,
     "categorical_stats_text": q_categorical_stats_text,
     "schema_profile_embeddings": q_schema_profile_embeddings,
+    "schema_profile_pages": q_schema_profile_pages,
+    "numeric_stats_labels": q_numeric_stats_labels,
+    "value_counts_roles": q_value_counts_roles,
     "full_report": q_full_report,
     "insight_context": q_insight_context,
 }
@@ -425,6 +445,9 @@ ORACLES = {
     "schema_profile_text": O.schema_profile_sql("documents", DOCUMENTS, "doc_id"),
     "categorical_stats_text": O.categorical_stats_sql("documents", DOC_CATS),
     "schema_profile_embeddings": O.schema_profile_sql("embeddings", EMBEDDINGS, "vec_id"),
+    "schema_profile_pages": O.schema_profile_sql("pages", PAGES, "page_id"),
+    "numeric_stats_labels": O.numeric_stats_sql("labels", LABELS_NUMERIC),
+    "value_counts_roles": O.value_counts_sql("conversations", ["role"]),
     "trend_daily": O.trend_series_sql("events", "ts", "value"),
     "trend_fit": O.trend_fit_sql("events", "ts", "value"),
     "trend_seasonality": O.seasonality_sql("events", "ts", "value"),
