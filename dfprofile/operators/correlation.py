@@ -9,7 +9,8 @@ form, strong pairs and strength labels.
 * Spearman: exact average ranks from the frequency table (two bounded windows),
   attached by a join on value (broadcast only when the column's distinct count,
   known from the profile, is small), then Pearson on the ranks.  Pairs involving a
-  column with NULLs are re-ranked on their pairwise-complete rows, as pandas does.
+  column with NULLs are re-ranked on their pairwise-complete rows, as pandas
+  does — all such pairs together from one cell table (no per-pair passes).
 * Kendall tau-b: see ``kendall.py``.
 """
 
@@ -174,25 +175,54 @@ def spearman_matrix(df: DataFrame, columns: list[str] | None = None,
             for j, b in enumerate(dense):
                 if i != j:
                     values[(a, b)] = m[i][j] if std.get(a) and std.get(b) else None
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            if (a, b) in values:
-                continue
-            # Pairwise-complete rows, re-ranked for this pair only.
-            sub = p.clean.where(qcol(a).isNotNull() & qcol(b).isNotNull()).select(qcol(a), qcol(b))
-            sp = NumericProfile(sub, [a, b], config)
-            sstd = {r[0]: r[3] for r in sp.light_rows()}
-            if sstd.get(a) and sstd.get(b):
-                rs, _ = _with_ranks(sub, [a, b], config, sp)
-                values[(a, b)] = _pearson_ml(rs, [a, b])[0][1]
-            else:
-                values[(a, b)] = None
-            sp.release()
+    todo = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:] if (a, b) not in values]
+    if todo:
+        # Pairs touching a column with NULLs: re-rank on pairwise-complete rows,
+        # all such pairs at once (constant number of jobs, no per-pair passes).
+        values.update(_spearman_pairwise(p.clean, todo, config))
     rows = _matrix_rows(cols, lambda i, j: values.get((cols[i], cols[j]),
                                                      values.get((cols[j], cols[i]))))
     return spark.createDataFrame(rows, MATRIX_SCHEMA)
 
 
+def _pair_ranks(cells: DataFrame, side: str, config: ProfileConfig) -> DataFrame:
+    """``(pair, <side>, r_<side>)``: average rank of each distinct value of one
+    side of every pair, over that pair's complete rows (bounded windows)."""
+    from .freq import log_bucket, running_counts
+
+    f = (cells.groupBy("pair", side).agg(F.sum("c").alias("cnt"))
+         .withColumn("bucket", log_bucket(F.col(side))))
+    r = running_counts(f, ["pair"], side, broadcast_offsets=False)
+    return r.select("pair", side, (F.col("cum_before") + (F.col("cnt") + 1) / 2.0).alias("r_" + side))
+
+
+def _spearman_pairwise(clean: DataFrame, pairs: list[tuple[str, str]],
+                       config: ProfileConfig) -> dict[tuple[str, str], float | None]:
+    """Spearman for column pairs on their pairwise-complete rows: cells
+    ``(pair, x, y, c)``, exact average ranks per pair and side, then a
+    count-weighted Pearson on the ranks per pair."""
+    from ..session import materialize
+    from .kendall import kendall_cells
+
+    cells = materialize(kendall_cells(clean, pairs), "persist")
+    j = (cells.join(_pair_ranks(cells, "x", config), ["pair", "x"])
+         .join(_pair_ranks(cells, "y", config), ["pair", "y"]))
+    c, rx, ry = F.col("c"), F.col("r_x"), F.col("r_y")
+    agg = j.groupBy("pair").agg(
+        F.sum(c).alias("n"), F.sum(c * rx).alias("sx"), F.sum(c * ry).alias("sy"),
+        F.sum(c * rx * rx).alias("sxx"), F.sum(c * ry * ry).alias("syy"),
+        F.sum(c * rx * ry).alias("sxy")).collect()
+    cells.unpersist()
+    got = {}
+    for r in agg:
+        n = float(r["n"])
+        vxx = r["sxx"] - r["sx"] * r["sx"] / n
+        vyy = r["syy"] - r["sy"] * r["sy"] / n
+        vxy = r["sxy"] - r["sx"] * r["sy"] / n
+        got[r["pair"]] = vxy / math.sqrt(vxx * vyy) if vxx > 1e-12 * n and vyy > 1e-12 * n else None
+    return {pq: got.get(f"p{i}") for i, pq in enumerate(pairs)}
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, method: str | None = None,
                        config: ProfileConfig = DEFAULT, profile: NumericProfile | None = None
                        ) -> DataFrame:
