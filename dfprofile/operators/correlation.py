@@ -4,8 +4,9 @@ form, strong pairs and strength labels.
 * Pearson, no NULLs: ``VectorAssembler`` + ``pyspark.ml.stat.Correlation`` — one
   tree aggregate of a mean-centred Gramian; only the k x k matrix reaches the
   driver.
-* Pearson with NULLs: pairwise-complete statistics from shifted sums under a
-  per-pair mask (one aggregate job per chunk of pairs); no pair is dropped.
+* Pearson with NULLs: pairwise-complete statistics from the cell table of all
+  pairs (identical value pairs combined map-side) and mean-shifted weighted sums,
+  one job for every pair; no pair is dropped.
 * Spearman: exact average ranks from the frequency table (two bounded windows),
   attached by a join on value (broadcast only when the column's distinct count,
   known from the profile, is small), then Pearson on the ranks.  Pairs involving a
@@ -27,7 +28,6 @@ from ..functions.labels import correlation_strength
 from .numeric import NumericProfile
 
 MATRIX_SCHEMA = "column1 string, column2 string, correlation double"
-PAIRS_PER_JOB = 40
 
 
 def _null_free(profile: NumericProfile) -> set[str]:
@@ -79,35 +79,6 @@ def _pearson_sums(clean: DataFrame, cols: list[str], shifts: dict[str, float]) -
     return m
 
 
-def _pearson_masked(clean: DataFrame, cols: list[str], shifts: dict[str, float]
-                    ) -> dict[tuple[int, int], float | None]:
-    """Pairwise-complete Pearson for every i <= j from shifted masked sums."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    out: dict[tuple[int, int], float | None] = {}
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        chunk = pairs[start:start + PAIRS_PER_JOB]
-        aggs = []
-        for i, j in chunk:
-            a = qcol(cols[i]) - F.lit(shifts.get(cols[i]) or 0.0)
-            b = qcol(cols[j]) - F.lit(shifts.get(cols[j]) or 0.0)
-            m = qcol(cols[i]).isNotNull() & qcol(cols[j]).isNotNull()
-            am, bm = F.when(m, a), F.when(m, b)
-            aggs += [F.count(am), F.sum(am), F.sum(bm), F.sum(am * am), F.sum(bm * bm),
-                     F.sum(am * bm)]
-        row = clean.agg(*aggs).collect()[0]
-        for t, (i, j) in enumerate(chunk):
-            n, sa, sb, saa, sbb, sab = row[6 * t:6 * t + 6]
-            if not n or n < 2:
-                out[(i, j)] = None
-                continue
-            vxx = saa - sa * sa / n
-            vyy = sbb - sb * sb / n
-            vxy = sab - sa * sb / n
-            den = math.sqrt(vxx * vyy) if vxx > 0 and vyy > 0 else 0.0
-            out[(i, j)] = vxy / den if den > 0 else None
-    return out
-
-
 def pearson_matrix(df: DataFrame, columns: list[str] | None = None,
                    config: ProfileConfig = DEFAULT, profile: NumericProfile | None = None
                    ) -> DataFrame:
@@ -129,9 +100,13 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None,
             m = _pearson_ml(clean, cols)
         rows = _matrix_rows(cols, lambda i, j: m[i][j] if ok[i] and ok[j] else None)
     else:
-        means = {r[0]: r[2] for r in p.light_rows()}
-        half = _pearson_masked(clean, cols, means)
-        rows = _matrix_rows(cols, lambda i, j: half[(min(i, j), max(i, j))])
+        light = {r[0]: r for r in p.light_rows()}
+        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+        got = _pearson_cells(clean, pairs, {c: light[c][2] for c in cols})
+        vals = {(a, a): (1.0 if light[a][3] else None) for a in cols}
+        for (a, b), v in got.items():
+            vals[(a, b)] = vals[(b, a)] = v
+        rows = _matrix_rows(cols, lambda i, j: vals.get((cols[i], cols[j])))
     return spark.createDataFrame(rows, MATRIX_SCHEMA)
 
 
@@ -185,6 +160,36 @@ def spearman_matrix(df: DataFrame, columns: list[str] | None = None,
     return spark.createDataFrame(rows, MATRIX_SCHEMA)
 
 
+def _pearson_cells(clean: DataFrame, pairs: list[tuple[str, str]],
+                   shifts: dict[str, float]) -> dict[tuple[str, str], float | None]:
+    """Pairwise-complete Pearson for many pairs in one job: the cell table
+    ``(pair, x, y, c)`` (identical value pairs combined map-side), then
+    mean-shifted count-weighted sums per pair."""
+    from ..session import materialize
+    from .kendall import kendall_cells
+
+    shifted = clean.select(*[(qcol(c) - F.lit(shifts.get(c) or 0.0)).alias(c)
+                             for c in dict.fromkeys(x for pq in pairs for x in pq)])
+    cells = materialize(kendall_cells(shifted, pairs), "persist")
+    c, x, y = F.col("c"), F.col("x"), F.col("y")
+    agg = cells.groupBy("pair").agg(
+        F.sum(c).alias("n"), F.sum(c * x).alias("sx"), F.sum(c * y).alias("sy"),
+        F.sum(c * x * x).alias("sxx"), F.sum(c * y * y).alias("syy"),
+        F.sum(c * x * y).alias("sxy")).collect()
+    cells.unpersist()
+    got = {}
+    for r in agg:
+        n = float(r["n"])
+        if n < 2:
+            continue
+        vxx = r["sxx"] - r["sx"] * r["sx"] / n
+        vyy = r["syy"] - r["sy"] * r["sy"] / n
+        vxy = r["sxy"] - r["sx"] * r["sy"] / n
+        den = math.sqrt(vxx * vyy) if vxx > 0 and vyy > 0 else 0.0
+        got[r["pair"]] = vxy / den if den > 0 else None
+    return {pq: got.get(f"p{i}") for i, pq in enumerate(pairs)}
+
+
 def _pair_ranks(cells: DataFrame, side: str, config: ProfileConfig) -> DataFrame:
     """``(pair, <side>, r_<side>)``: average rank of each distinct value of one
     side of every pair, over that pair's complete rows (bounded windows)."""

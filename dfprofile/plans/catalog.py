@@ -342,6 +342,17 @@ def q_value_counts_roles(spark, sf):
     return C.value_counts(load(spark, sf, "conversations"), ["role"])
 
 
+NULLS_NUMERIC = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def q_corr_pearson_nulls(spark, sf):
+    return R.correlation_matrix(lineitem_nulls(spark, sf), NULLS_NUMERIC, "pearson")
+
+
+def q_corr_spearman_nulls(spark, sf):
+    return R.correlation_matrix(lineitem_nulls(spark, sf), NULLS_NUMERIC, "spearman")
+
+
 QUERIES = {
     "numeric_stats": q_numeric_stats,
     "schema_profile": q_schema_profile,
@@ -358,6 +369,8 @@ QUERIES = {
     "strong_correlations": q_strong_correlations,
     "corr_spearman": q_corr_spearman,
     "corr_constant": q_corr_constant,
+    "corr_pearson_nulls": q_corr_pearson_nulls,
+    "corr_spearman_nulls": q_corr_spearman_nulls,
     "corr_heatmap": q_corr_heatmap,
     "outliers_iqr": q_outliers_iqr,
     "outliers_zscore": q_outliers_zscore,
@@ -415,6 +428,8 @@ ORACLES = {
     "corr_constant": O.pearson_sql(LINEITEM_CONST_SQL,
                                    ["l_quantity", "l_extendedprice", "l_discount", "const_col"]),
     "corr_heatmap": O.pearson_sql("lineitem", LINEITEM_NUMERIC, 2),
+    "corr_pearson_nulls": O.pearson_sql(LINEITEM_NULLS_SQL, NULLS_NUMERIC),
+    "corr_spearman_nulls": O.spearman_pairwise_sql(LINEITEM_NULLS_SQL, NULLS_NUMERIC),
     "outliers_iqr": O.outliers_sql("orders", ORDERS_NUMERIC, "o_orderkey", "iqr"),
     "outliers_zscore": O.outliers_sql("events", EVENTS_NUMERIC, "event_id", "zscore"),
     "outlier_keys": O.outliers_sql("events", ["value"], "event_id", "iqr"),

@@ -559,3 +559,19 @@ UNION ALL
 SELECT 'weekday', isodow({ts}) - 1, CAST(count(*) AS BIGINT), round(avg({value}), {d})
 FROM {source} WHERE {ts} IS NOT NULL GROUP BY 2
 """
+
+
+def spearman_pairwise_sql(source: str, cols: list[str], d: int = 4) -> str:
+    """Spearman per pair on its pairwise-complete rows (ranks recomputed per pair)."""
+    parts = []
+    for a in cols:
+        for b in cols:
+            x, y = _q(a), _q(b)
+            parts.append(f"""SELECT '{a}' AS column1, '{b}' AS column2, (
+  SELECT corr(rx, ry) FROM (
+    SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
+           rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry
+    FROM (SELECT CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {source}
+          WHERE {x} IS NOT NULL AND {y} IS NOT NULL) s) t) AS r""")
+    return (f"SELECT column1, column2, round(CASE WHEN isnan(r) THEN NULL ELSE r END, {d}) + 0.0 "
+            f"AS correlation FROM ({' UNION ALL '.join(parts)}) u")
