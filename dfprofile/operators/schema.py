@@ -271,16 +271,19 @@ def sample_values(df: DataFrame, row_key: str | None = None, k: int = 5,
     cols = columns or [c for c in df.columns
                        if c != "__key" and _profiled(df.schema[c].dataType)]
     key = qcol(row_key) if row_key else F.monotonically_increasing_id()
-    keyed = df.select(key.alias("__key"), *[_value_expr(c, df.schema[c].dataType).alias(c)
-                                            for c in cols])
-    head = keyed.orderBy("__key").limit(4 * k).collect()
+    types = {c: df.schema[c].dataType for c in cols}
+    keyed = df.select(key.alias("__key"), *[qcol(c) for c in cols])
+    # String casts run after the top-k, on the few selected rows only.
+    as_str = [_value_expr(c, types[c]).alias(c) for c in cols]
+    head = keyed.orderBy("__key").limit(4 * k).select("__key", *as_str).collect()
     out = []
     for c in cols:
         vals = [r[c] for r in head if r[c] is not None][:k]
         if len(vals) < k and len(head) == 4 * k:
-            more = (keyed.where(qcol(c).isNotNull()).select("__key", qcol(c))
-                    .orderBy("__key").limit(k).collect())
-            vals = [r[1] for r in more]
+            present = _value_expr(c, types[c]).isNotNull()
+            more = (keyed.where(present).select("__key", qcol(c)).orderBy("__key").limit(k)
+                    .select(_value_expr(c, types[c]).alias(c)).collect())
+            vals = [r[0] for r in more]
         out.append((c, vals))
     return spark.createDataFrame(out, "column_name string, sample_values array<string>")
 
