@@ -46,7 +46,6 @@ class ProfileConfig:
     max_rank_buckets: int = 65_536
     rank_relative_error: float = 1e-4
     broadcast_row_limit: int = 200_000  # largest side we broadcast, proven by a count we know
-    exact_distinct: bool = True  # False: approx_count_distinct for unique counts
 
     def with_(self, **kw) -> "ProfileConfig":
         return replace(self, **kw)

@@ -103,13 +103,11 @@ class SchemaFacts:
     unpivoted once per family.
     """
 
-    def __init__(self, df: DataFrame, config: ProfileConfig = DEFAULT,
-                 exact_distinct: bool | None = None, reuse: str = "persist"):
+    def __init__(self, df: DataFrame, config: ProfileConfig = DEFAULT, reuse: str = "persist"):
         from .numeric import NumericProfile
 
         self.df = df
         self.cfg = config
-        self.exact = config.exact_distinct if exact_distinct is None else exact_distinct
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.cols = [f.name for f in df.schema.fields]
         self.numeric_typed = [c for c in self.cols if is_numeric(self.types[c])]
