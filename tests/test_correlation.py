@@ -77,3 +77,14 @@ def test_kendall_matches_brute_force_with_ties(spark):
         exp = _tau_b([r[i] for r in rows], [r[j] for r in rows])
         assert got[(x, y)] == pytest.approx(exp, abs=1e-12)
         assert got[(y, x)] == pytest.approx(exp, abs=1e-12)
+
+
+def test_kendall_pairwise_complete_with_nulls(spark):
+    random.seed(21)
+    rows = [(None if i % 5 == 0 else float(random.randint(0, 6)),
+             None if i % 7 == 0 else float(random.randint(0, 4))) for i in range(120)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = mat(kendall_matrix(df))
+    keep = [(x, y) for x, y in rows if x is not None and y is not None]
+    exp = _tau_b([x for x, _ in keep], [y for _, y in keep])
+    assert got[("a", "b")] == pytest.approx(exp, abs=1e-12)
