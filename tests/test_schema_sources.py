@@ -110,3 +110,15 @@ def test_long_text_digest_path(spark):
            for r in categorical_stats(df, ["t", "c"]).collect()}
     assert got == exp and got["t"] == (2, long_a, 20)
     p.release()
+
+
+def test_narrowing_apply_and_head_sample(spark):
+    from dfprofile.sources.csv import head_sample
+
+    df = spark.createDataFrame([(i, float(i) / 2, "a") for i in range(30)],
+                               "i bigint, f double, s string")
+    narrowed = type_narrowing(df, apply=True)
+    assert dict(narrowed.dtypes) == {"i": "tinyint", "f": "float", "s": "string"}
+    assert narrowed.count() == 30
+    first = [r.i for r in head_sample(df, 5, row_key="i").collect()]
+    assert first == [0, 1, 2, 3, 4]
