@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
-from dfprofile.llm import packing, token_files
+from dfprofile.llm import packing, sharding, token_files, topk, wordpiece
 
 QUERIES = {
     "op1_packing": packing.q_packing,
+    "op2_sharding": sharding.q_sharding,
+    "op3_topk": topk.q_topk,
+    "op5_token_counts": wordpiece.q_token_counts,
     "op8_token_files": token_files.q_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_topk": """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND q.vec_id % 50 = 0 AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM s QUALIFY rank <= 5
+""",
+}
