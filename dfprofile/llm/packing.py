@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dfprofile.llm.common import fresh, load, pieces, stash, text_bytes
+from dfprofile.llm.common import fresh, load, pieces, stash
 from dfprofile.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -36,9 +36,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path), np.uint32(end_id).tobytes()
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 16 << 20, 10_000):
             rows: list[tuple] = []
-            ids = enc.encode([t.decode() for t in b.column("text").to_pylist()])
+            ids = enc.encode(b.column("text"))
             for doc, x in zip(b.column("doc_id").to_pylist(), ids):
                 x += end
                 for i in range(0, len(x), 4 * size):
@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       text_bytes().alias("text")).mapInArrow(encode, schema)
+                       F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, schema)
 
 
 def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:

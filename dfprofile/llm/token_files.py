@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dfprofile.llm.common import load, pieces, scratch, text_bytes
+from dfprofile.llm.common import load, pieces, scratch
 from dfprofile.llm.tokens import encoder
 
 FILE_SCHEMA = "doc_id long, start_in_file long, n_tokens long, ids array<int>"
+MOST_FILES = 100_000  # up to so many, the starts of files are broadcast
 PARQUET = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.writer.version": "PARQUET_2_0",  # delta encoding where no dictionary is wanted
     "parquet.enable.dictionary": "true",
     "parquet.enable.dictionary#doc_id": "false",
@@ -41,8 +42,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, start = encoder(tokenizer_path), np.uint32(end_id).tobytes(), 0
-        for b in pieces(batches, "text"):
-            ids = [x + end for x in enc.encode([t.decode() for t in b.column("text").to_pylist()])]
+        for b in pieces(batches, "text", 16 << 20, 10_000):
+            ids = [x + end for x in enc.encode(b.column("text"))]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             ends = np.cumsum(n)
             yield pa.RecordBatch.from_arrays([
@@ -52,7 +53,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 names=["doc_id", "start_in_file", "n_tokens", "ids"])
             start += int(ends[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     (rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie)
      .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
@@ -69,14 +70,22 @@ def file_starts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (tokens of all documents before it), n_tokens, ids."""
-    files = spark.read.schema(FILE_SCHEMA).parquet(path).select(
-        "*", F.col("_metadata.file_name").alias("file"))
-    return files.join(file_starts(spark, path), "file").select(
-        "doc_id", (F.col("start_in_file") + F.col("file_start")).alias("start"), "n_tokens", "ids")
+    return _with_starts(spark, path, _files(spark, path)).select("doc_id", "start", "n_tokens", "ids")
 
 
-def ids_digest(tokens: DataFrame) -> DataFrame:
-    """Replace ``ids`` by the crc32 of their little-endian 32-bit form."""
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FILE_SCHEMA).parquet(path).select("*", F.col("_metadata.file_name").alias("file"))
+
+
+def _with_starts(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    starts = file_starts(spark, path)
+    if len(spark.read.schema(FILE_SCHEMA).parquet(path).inputFiles()) <= MOST_FILES:
+        starts = F.broadcast(starts)  # a checked size; else both sides are shuffled
+    return rows.join(starts, "file").withColumn("start", F.col("start_in_file") + F.col("file_start"))
+
+
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and the crc32 of the ids in their little-endian 32-bit form."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,10 +94,13 @@ def ids_digest(tokens: DataFrame) -> DataFrame:
             at = lists.offsets.to_numpy()
             crc = [zlib.crc32(raw[4 * i:4 * j]) for i, j in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                [*(b.column(c) for c in ("doc_id", "start_in_file", "n_tokens", "file")),
+                 pa.array(crc, pa.int64())],
+                names=["doc_id", "start_in_file", "n_tokens", "file", "ids_crc32"])
 
-    return tokens.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = _files(spark, path).mapInArrow(
+        digest, "doc_id long, start_in_file long, n_tokens long, file string, ids_crc32 long")
+    return _with_starts(spark, path, rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def q_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +108,4 @@ def q_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch(spark, "tokens")
     write_tokens(load(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return ids_digest(read_tokens(spark, path))
+    return read_digests(spark, path)

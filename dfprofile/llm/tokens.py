@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
-MAX_WORDS = 300_000  # words kept by a worker; the memo starts anew beyond that
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+MAX_PIECES = 500_000  # pieces kept by a worker, in each of two generations
+JOINED = 20_000  # pieces encoded in one call
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Both supported vocabularies split a text before every space that follows another character
-    than white space, so the ids of a text are those of its space-separated pieces in a row:
+    The supported vocabularies split a text at certain borders before they merge anything, so ids
+    can be put together from parts that are encoded once and kept (up to fixed numbers):
 
-    * ``byte-level``: a piece keeps the space before it.  An empty piece, or one that ends in
-      white space, has no such border behind it; such a text is encoded whole.
-    * ``dropped``: white space belongs to no token, so every space is a border.
+    * before a space that follows another character than white space.  ``byte-level`` vocabularies
+      give that space to the word behind it; others drop white space, and every space is a border;
+    * on both sides of a single newline between other characters.
 
-    Equal pieces have equal ids; they are encoded once and kept, up to ``MAX_WORDS``.
+    A text with a piece that has no such border behind it (an empty one, or one that ends in white
+    space, under ``byte-level``) is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -26,42 +33,90 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        a, b = (self.tok.encode(x, add_special_tokens=False).ids for x in ("a b", "a"))
-        c = self.tok.encode(" b", add_special_tokens=False).ids
-        d = self.tok.encode("b", add_special_tokens=False).ids
-        if a == b + d and c == d:
-            self.lead = ""
-        elif a == b + c:
-            self.lead = " "
+        two, a, space_b, b = (self._ids([x])[0] for x in ("a b", "a", " b", "b"))
+        if two == a + b and space_b == b:
+            self.lead, self.newline, self.sep = "", b"", " | "
+        elif two == a + space_b:
+            self.lead, self.newline, self.sep = " ", self._ids(["\n"])[0], "\n"
         else:
             raise ValueError(f"{path}: this vocabulary does not split texts at spaces")
-        self.inner: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
+        sep = self._ids([self.sep])[0]
+        if len(sep) != 4 or self._ids([f"a{self.sep}b"])[0] != a + sep + b:
+            raise ValueError(f"{path}: no separator of words")
+        self.sep_id = int.from_bytes(sep, "little")
+        self.pieces: dict[str, bytes | str] = {}
+        self.older: dict[str, bytes | str] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
         return [array("I", e.ids).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memo: dict[str, bytes | None], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in memo]
-        for w, ids in zip(new, self._ids([lead + w for w in new])):
-            memo[w] = None if self.lead and (not w or w[-1].isspace()) else ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) + len(self.first) > MAX_WORDS:
-            self.inner.clear()
-            self.first.clear()
-        split = [t.split(" ") for t in texts]
-        self._learn(self.first, {s[0] for s in split}, "")
-        self._learn(self.inner, set().union(*(s[1:] for s in split)) if split else set(), self.lead)
-        out, inner = [], self.inner.__getitem__
-        for t, s in zip(texts, split):
-            try:
-                out.append(b"".join([self.first[s[0]], *map(inner, s[1:])]))
-            except TypeError:  # a piece without a border behind it
-                out.append(self._ids([t])[0])
+    def _learn(self, missing: list[str]) -> None:
+        """Ids of pieces; a piece that begins with a newline has no space before it.  Pieces
+        without a border behind them are kept as strings."""
+        if len(self.pieces) > MAX_PIECES:  # two generations: pieces in use are kept
+            self.older, self.pieces = self.pieces, {}
+        memo, older, lead, mark = self.pieces, self.older, self.lead, self.sep.strip(" ")
+        first, inner = [], []
+        for p in missing:
+            if p in older:
+                memo[p] = older[p]
+            elif not p:
+                memo[p] = p if lead else b""
+            elif lead and (p[-1].isspace() or p[0] == "\n" and p[1].isspace()):
+                memo[p] = p
+            elif mark in p[1:] or not lead and (mark == p[0] or p.isspace()):
+                memo[p] = self._ids([p])[0] if p[0] == "\n" or not lead else self._ids([lead + p])[0]
+            elif p[0] == "\n":
+                first.append(p)
+            else:
+                inner.append(p)
+        for some, cut, gap in ((first, 1, self.sep), (inner, 0, self.sep + lead)):
+            for i in range(0, len(some), JOINED):
+                part = some[i:i + JOINED]
+                text = gap[len(self.sep):] + gap.join([p[1:] for p in part] if cut else part)
+                raw = self._ids([text])[0]
+                ends = (4 * np.flatnonzero(np.frombuffer(raw, np.uint32) == self.sep_id)).tolist()
+                if len(ends) != len(part) - 1:
+                    raise AssertionError("a piece holds the separator's id")
+                a, before = 0, self.newline if cut else b""
+                for p, b in zip(part, [*ends, len(raw)]):
+                    memo[p] = before + raw[a:b]
+                    a = b + 4
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (a string array without nulls)."""
+        if not len(texts):
+            return []
+        if self.lead:
+            # the first piece has no space before it either; its newline's id is cut off again
+            texts_ = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
+        else:
+            texts_ = pc.replace_substring(texts, "\n", " ")
+        split = pc.split_pattern(texts_, " ")
+        coded = split.flatten().dictionary_encode()
+        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        get = self.pieces.get
+        found = list(map(get, pieces))
+        self._learn([p for p, x in zip(pieces, found) if x is None])
+        memo = self.pieces
+        found = [memo[p] if x is None else x for p, x in zip(pieces, found)]
+        whole = np.array([isinstance(x, str) for x in found])
+        found = [b"" if isinstance(x, str) else x for x in found] if whole.any() else found
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        first = np.cumsum(size) - size
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1])]
+        rows = split.offsets.to_numpy()
+        rows = rows - rows[0]
+        bounds = np.concatenate([[0], ends])[rows]
+        out = [ids[a:b].tobytes() for a, b in zip(bounds[:-1] + len(self.newline) // 4, bounds[1:])]
+        if whole.any():  # texts with a piece without a border behind it
+            odd = np.unique(np.searchsorted(rows, np.flatnonzero(whole[at]), "right") - 1).tolist()
+            for i, x in zip(odd, self._ids(texts.take(pa.array(odd)).to_pylist())):
+                out[i] = x
         return out
 
 
