@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dfprofile.llm import packing, sharding, token_files, topk, wordpiece
+from dfprofile.llm import jaccard, packing, repeats, sharding, token_files, topk, wordpiece
 
 QUERIES = {
     "op1_packing": packing.q_packing,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_topk": topk.q_topk,
     "op5_token_counts": wordpiece.q_token_counts,
     "op8_token_files": token_files.q_token_files,
+    "op9_jaccard": jaccard.q_jaccard,
+    "op10_repeats": repeats.q_repeats,
 }
 
 ORACLES = {

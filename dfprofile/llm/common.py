@@ -90,3 +90,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+MOST_BROADCAST = 1_000_000
+
+
+def checked(keys: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Checkpoint a narrow table and mark it for broadcast if it has ``most`` rows or fewer; a
+    larger one is left to a shuffled join."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= most else keys
