@@ -4,12 +4,12 @@ Two sets of Jaccard similarity t or more share a shingle among the first ``n - c
 each, in any order common to all; shingles of few documents come first here, by a count sketch of
 fixed size.  Documents that share such a shingle meet in its tiles, one for each size band (a factor
 of 1/t; similar sets lie in the same or in neighbouring bands).  In a tile, bitmap signatures bound
-the overlap from above: bit i holds the parity of the shingles hashed to i, so the bits in which two
+the overlap from above (128 bits in the tiles, 1024 for the pairs left): bit i holds the parity of the shingles hashed to i, so the bits in which two
 signatures differ count no more than the shingles only one set has.  Pairs within bounds are decided
 by intersecting their sorted sets.
 
-Equal sets are one node.  First each node meets the first node of its tiles only, which is linear in
-a tile; links found so are contracted to components.  Then all pairs of a tile whose nodes lie in
+Equal sets are one node.  First each node meets one first node of its tiles, which is linear; links
+found so are contracted to components.  Then all pairs of a tile whose nodes lie in
 different components are compared, so that no link that can join two components is lost, and groups
 of near copies are not expanded into all their pairs.  Set hashes have 64 bits.
 
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,45 +35,50 @@ from pyspark.sql import functions as F
 from dfprofile.llm.common import checked, cut, drop_stash, fresh, load, pieces, stash, text_bytes
 from dfprofile.llm.graph import components
 
-MAX_WORDS = 300_000
 SLOTS = 1 << 20  # of the count sketch
 CHUNK = 1 << 14
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class WordHash(dict):
-    """Memo of a word's 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * K2
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: bytes, width: int, memo: WordHash) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    words = text.lower().split()
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    n = len(words) - width + 1
-    if n < 1:
-        parts, n = [h[i:i + 1] for i in range(len(h))], min(1, len(h))
-    else:
-        parts = [h[i:i + n] for i in range(width)]
-    x = np.zeros(n, np.uint64)
-    for p in parts:
-        x = _mix(x * K1 + p)
-    return np.unique(x)
-
-
-def _signature(s: np.ndarray) -> tuple[int, int]:
-    odd = np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1
-    return tuple(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text (a string array without nulls).  Words are the
+    runs between ASCII white space, A-Z lower-cased; each distinct word is hashed once."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    at = coded.indices.to_numpy()
+    rows = split.offsets.to_numpy()
+    rows = rows - rows[0]
+    if b"" in words:  # around leading and trailing white space
+        full = np.array([bool(w) for w in words])[at]
+        rows = np.concatenate([[0], np.cumsum(full)])[rows]
+        at = at[full]
+    h = h[at]
+    x = np.zeros(max(0, len(h) - width + 1), np.uint64)
+    for i in range(width):
+        x = _mix(x * K1 + h[i:i + len(x)])
+    out = []
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
+        if b - a >= width:
+            out.append(np.unique(x[a:b - width + 1]))
+        else:
+            y = np.zeros(min(1, b - a), np.uint64)
+            for i in range(a, b):
+                y = _mix(y * K1 + h[i:i + 1])
+            out.append(y)
+    return out
+
+
+def _signature(s: np.ndarray) -> tuple[int, int, bytes]:
+    """Parity bits by hash: 1024, and the same folded to 128."""
+    odd = np.packbits((np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8))
+    return *np.bitwise_xor.reduce(odd.view(np.int64).reshape(8, 2), axis=0).tolist(), odd.tobytes()
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -86,30 +92,30 @@ def _node(digest: bytes, seed: int) -> int:
 
 def _scan(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """Documents (doc_id, mark: a hash of the text, n, digest, node, s0, s1) and, in rows of their own, sketch chunks."""
-    schema = "doc_id long, mark long, n int, digest binary, node long, s0 long, s1 long, chunk int, counts binary"
-    arrow = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    schema = "doc_id long, mark long, n int, digest binary, node long, s0 long, s1 long, sig binary, chunk int, counts binary"
+    arrow = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sketch = WordHash(), np.zeros(SLOTS, np.uint32)
+        sketch = np.zeros(SLOTS, np.uint32)
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow)],
                                               names=[c.split()[0] for c in schema.split(", ")])
 
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 16 << 20, 10_000):
             rows = []
-            for i, mark, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
-                s = shingles(t, width, memo)
+            ids = (b.column(c).to_pylist() for c in ("doc_id", "mark"))
+            for i, mark, s in zip(*ids, shingle_sets(b.column("text"), width)):
                 sketch[s >> np.uint64(44)] += 1  # distinct shingles; two in one slot count once
                 d = _digest(s)
                 rows.append((i, mark, len(s), d, _node(d, seed), *_signature(s), None, None))
             yield batch(rows)
         for c in range(0, SLOTS, CHUNK):
             if (part := sketch[c:c + CHUNK]).any():
-                yield batch([(None, None, None, None, None, None, None, c, part.tobytes())])
+                yield batch([(None, None, None, None, None, None, None, None, c, part.tobytes())])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_bytes()).alias("mark"),
-                       text_bytes().alias("text")).mapInArrow(scan, schema)
+                       F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan, schema)
 
 
 def _sketch(scanned: DataFrame) -> np.ndarray:
@@ -135,25 +141,25 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
 
 def _prefix_rows(docs: DataFrame, width: int, percent: int, seed: int, order) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts, seen = WordHash(), order.value, set()
-        for b in pieces(batches, "text"):
+        counts, seen = order.value.astype(np.uint64) << np.uint64(56), set()
+        for b in pieces(batches, "text", 16 << 20, 10_000):
             keys, nodes = [], []
-            for t in b.column("text").to_pylist():
-                s = shingles(t, width, memo)
+            for s in shingle_sets(b.column("text"), width):
                 node = _node(_digest(s), seed)
                 if not len(s) or node in seen:
                     continue
                 if len(seen) < 1 << 17:
                     seen.add(node)
                 first = len(s) - -(-percent * len(s) // 100) + 1
-                rank = np.lexsort((s, counts[s >> np.uint64(44)]))[:first]
-                keys.append(s[rank].view(np.int64))
-                nodes.append(np.full(len(rank), node, np.int64))
+                # the order: frequency, then hash; its value is the shingle's key
+                rank = counts[s >> np.uint64(44)] | (s >> np.uint64(8))
+                keys.append(np.partition(rank, first - 1)[:first].view(np.int64))
+                nodes.append(np.full(first, node, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes)],
                                                  names=["key", "node"])
 
-    return docs.select(text_bytes().alias("text")).mapInArrow(rows, "key long, node long")
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, "key long, node long")
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
@@ -164,17 +170,31 @@ def _possible(x: str, y: str, percent: int) -> Column:
             & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m)))
 
 
+def _screen(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that the full signatures leave possible."""
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, 16) for c in ("sig_a", "sig_b"))
+            size = b.column("size").to_numpy()
+            left = (100 + percent) * (size - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) >= 2 * percent * size
+            yield b.select(["a", "b"]).filter(pa.array(left))
+
+    side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .select("a", "b", (F.col("n_a").cast("long") + F.col("n_b")).alias("size"), "sig_a", "sig_b")
+            .mapInArrow(screen, "a long, b long"))
+
+
 def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) that are similar, by their whole sets."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = checked(nodes.join(reps.select("node", "rep"), "node"))
+    wanted = checked(nodes.join(reps.select("node", "rep"), "node").select(F.col("node").alias("want"), "rep"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for b in pieces(batches, "text"):
             out = {}
-            for node, t in zip(b.column("want").to_pylist(), b.column("text").to_pylist()):
-                s = shingles(t, width, memo)
+            for node, s in zip(b.column("want").to_pylist(), shingle_sets(b.column("text"), width)):
                 if _node(_digest(s), seed) == node:  # an id may stand for several texts
                     out[node] = s.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())],
@@ -189,13 +209,12 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, perc
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    rows = rows.join(wanted.select(F.col("node").alias("want"), "rep"), F.col("doc_id").eqNullSafe(F.col("rep")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
     found = stash(rows.select("want", "text").mapInArrow(sets, "node long, set binary"), "sets")
-    found = found.dropDuplicates(["node"]) if found.count() > wanted.count() else found
-    links = cut(pairs.select("a", "b")
-                .join(found.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-                .join(found.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    once = found.dropDuplicates(["node"]) if found.count() > wanted.count() else found
+    side = lambda x: once.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
+    links = cut(pairs.select("a", "b").join(side("b"), "b").join(side("a").join(pairs.select("a").distinct(), "a"), "a")
                 .mapInArrow(intersect, "a long, b long"))
     drop_stash(found)
     return links
@@ -215,6 +234,7 @@ def similar_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
         base = scanned.where("chunk is null")
         reps = cut(base.groupBy("node").agg(
             F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"),
+            F.first("sig").alias("sig"),
             F.min("digest").alias("d0"), F.max("digest").alias("d1")))
         if not reps.where("d0 <> d1").limit(1).count():
             break
@@ -226,12 +246,13 @@ def similar_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     nodes = reps.where("n > 0").select("node", "n", "s0", "s1").withColumn("band", band)
     rows = cut(prefix.join(shared, "key").distinct().join(nodes, "node"))
 
-    # each node with the first node of its tiles
+    # each node with one of the first nodes of its tiles
     firsts = rows.groupBy("key", "band").agg(F.min("node").alias("node"))
     firsts = firsts.join(nodes.drop("band"), "node").alias("y")
     near = (_tiles(rows).alias("x").join(firsts, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.band"))
                                          & (F.col("x.node") != F.col("y.node")) & _possible("x", "y", percent)))
-    pairs = cut(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    near = _screen(near.select(F.col("x.node").alias("b"), F.col("y.node").alias("a")).distinct(), reps, percent)
+    pairs = cut(near.groupBy("b").agg(F.min("a").alias("a")))
     links = _verify(docs, reps, pairs, width, percent, seed)
     roots = cut(components(links))
 
@@ -245,7 +266,8 @@ def similar_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
                   & ((F.col("x.band") != F.col("y.band")) | (F.col("x.node") < F.col("y.node")))
                   & _possible("x", "y", percent))
     late = late.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    late = cut(late.join(pairs, ["a", "b"], "left_anti"))
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    late = cut(_screen(late.join(done, ["a", "b"], "left_anti"), reps, percent))
     if late.limit(1).count():
         links = links.union(_verify(docs, reps, late, width, percent, seed))
         roots = cut(components(links))
