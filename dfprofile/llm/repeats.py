@@ -6,8 +6,8 @@ k bytes at p and at p + k, so each level reuses the last one's buckets at later
 bytes, positions in one bucket start equal strings.  Identifiers follow from the bytes alone (64
 bits), so buckets need no exchange of pointers between machines; refinement is pruned like this:
 
-1. The initial buckets are those of 64-byte strings, entered only at the positions that are least
-   (by identifier) in some 200-byte window; equal windows have their least string at the same place.
+1. The initial buckets are those of 64-byte strings, entered only at the positions that are the first
+   least (by identifier) in some 200-byte window; equal windows have it at the same place.
    Buckets with one position leave: no window around it repeats.
 2. Around each position left, the windows for which it is the least are refined in its bucket by
    doubling up to 200 bytes; windows whose last bucket holds two positions repeat.  Buckets of very
@@ -34,7 +34,7 @@ from dfprofile.llm.common import checked, cut, drop_stash, fresh, load, pieces,
 
 WINDOW = 200
 GRAM = 64  # length of the initial buckets' strings
-HOT = 4096  # positions up to which a bucket is refined in one task
+HOT = 50_000  # positions up to which a bucket is refined in one task (some 15 MB)
 SEGMENT = 1 << 20  # bytes handled at once
 BYTE_IDS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -96,37 +96,20 @@ def _segments(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.
         yield out()
 
 
-def anchors(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, position and identifier of the strings that are least in some window."""
-    width, found = window - gram + 1, []
+def owners(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple]:
+    """Of texts packed together: text number, position and identifier of each string that is the
+    first least one of some windows, and the start of the first and last such window (in a row)."""
+    width, low = window - gram + 1, np.uint64((1 << 32) - 1)
     for buf, valid, text, offset, start in _segments(texts, window):
         ids = identifiers(BYTE_IDS[buf], 1, gram)
-        order = (ids >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        least = np.where(valid, _extreme(order, width, np.minimum), np.uint32(0))
-        padded = np.zeros(len(order) + width - 1, np.uint32)
-        padded[width - 1:width - 1 + len(least)] = least
-        at = np.flatnonzero(_extreme(padded, width, np.maximum) == order)
-        part = np.searchsorted(start, at, "right") - 1
-        found.append((text[part], at - start[part] + offset[part], ids[at]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    doc, pos, ids = (np.concatenate(x) for x in zip(*found))
-    return doc.astype(np.int64), pos.astype(np.int64), ids
-
-
-def context(text: bytes, pos: int, window: int, gram: int) -> tuple[int, bytes] | None:
-    """Start and bytes of the windows in which the string at ``pos`` is the first least one."""
-    width = window - gram + 1
-    lo = max(0, pos - width + 1)
-    buf = np.frombuffer(text, np.uint8, min(len(text), pos + window) - lo, lo)
-    order = (identifiers(BYTE_IDS[buf], 1, gram) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    at = pos - lo
-    tied = np.flatnonzero(order[:at] == order[at])  # the first of equal strings has the window
-    first = int(tied[-1]) + 1 if len(tied) else 0
-    own = first + np.flatnonzero(_extreme(order, width, np.minimum)[first:at + 1] == order[at])
-    if not len(own):
-        return None
-    return lo + int(own[0]), text[lo + own[0]:lo + own[-1] + window]
+        order = (ids & ~low) | np.arange(len(ids), dtype=np.uint64)
+        at = np.flatnonzero(valid)
+        own = (_extreme(order, width, np.minimum)[at] & low).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(at) != 1)]))
+        first, last, own = at[new], at[np.concatenate([new[1:], [len(at)]]) - 1], own[new]
+        part = np.searchsorted(start, own, "right") - 1
+        shift = offset[part] - start[part]
+        yield text[part], own + shift, ids[own], first + shift, last + shift
 
 
 def _runs(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -148,75 +131,100 @@ def _positions(docs: DataFrame, window: int, gram: int) -> DataFrame:
                         seen.add(node)
                     nodes.append(node)
                     texts.append(t)
-            doc, pos, ids = anchors(texts, window, gram)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids.view(np.int64)), pa.array(np.array(nodes, np.int64)[doc]), pa.array(pos)],
-                names=["key", "node", "pos"])
+            nodes = np.array(nodes, np.int64)
+            for doc, pos, ids, _, _ in owners(texts, window, gram):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids.view(np.int64), nodes[doc], pos)],
+                                                 names=["key", "node", "pos"])
 
     return docs.select("node", "text").mapInArrow(enter, "key long, node long, pos long")
 
 
 def _contexts(docs: DataFrame, reps: DataFrame, marks: DataFrame, window: int, gram: int) -> DataFrame:
-    """key, node, pos, start, bytes of the windows around marked positions (key, node, pos); one
+    """key, node, start, bytes of the windows around marked positions (key, node, pos); one
     document stands for a node (more where an id repeats)."""
-    per_node = marks.groupBy("node").agg(F.collect_set(F.struct("pos", "key")).alias("at"))
+    per_node = marks.groupBy("node").agg(F.collect_set("pos").alias("at"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            rows = []
-            for node, t, at in zip(*(b.column(c).to_pylist() for c in ("node", "text", "at"))):
-                for x in at:
-                    if found := context(t, x["pos"], window, gram):
-                        rows.append((x["key"], node, x["pos"], *found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, [*[pa.int64()] * 4, pa.binary()])],
-                names=["key", "node", "pos", "start", "bytes"])
+            texts, at, nodes = b.column("text").to_pylist(), b.column("at"), b.column("node").to_numpy()
+            marked = (np.repeat(np.arange(len(texts)), np.diff(at.offsets.to_numpy())) << 40) | at.flatten().to_numpy()
+            for doc, pos, ids, first, last in owners(texts, window, gram):
+                hit = np.flatnonzero(np.isin((doc.astype(np.int64) << 40) | pos, marked))
+                doc, first, last = doc[hit], first[hit], last[hit]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[hit].view(np.int64)), pa.array(nodes[doc]), pa.array(first),
+                     pa.array([texts[i][lo:hi + window] for i, lo, hi in zip(doc.tolist(), first.tolist(), last.tolist())],
+                              pa.binary())], names=["key", "node", "start", "bytes"])
 
     nodes = checked(marks.select("node").distinct().join(reps, "node").select(F.col("node").alias("own"), "rep"))
     texts = docs.join(nodes, (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     return texts.join(per_node, "node").select("node", "text", "at").mapInArrow(
-        cut_out, "key long, node long, pos long, start long, bytes binary")
+        cut_out, "key long, node long, start long, bytes binary")
 
 
 def _refine(contexts: DataFrame, window: int) -> DataFrame:
     """node, lo, hi of repeated strings, whole buckets in a task."""
 
+    def repeated(pool: list[tuple[bytes, tuple | None]]) -> list[tuple[int, int, int]]:
+        """Runs of the strings of one row each (node, start) that repeat in any string."""
+        buf = np.frombuffer(b"".join(p[0] for p in pool), np.uint8)
+        n = np.array([len(p[0]) for p in pool])
+        begin, count = np.cumsum(n) - n, n - window + 1
+        row = np.repeat(np.arange(len(pool)), count)
+        off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        ids = identifiers(BYTE_IDS[buf], 1, window)[begin[row] + off]
+        order = np.argsort(ids)
+        same = np.diff(ids[order]) == 0
+        hit = np.zeros(len(ids), bool)
+        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        hit = np.flatnonzero(hit & np.array([p[1] is not None for p in pool])[row])
+        out = []
+        if len(hit):
+            row, off = row[hit], off[hit]
+            for g in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(row)) + 1):
+                node, start = pool[row[g[0]]][1]
+                out += [(node, lo, hi) for lo, hi in _runs(start + off[g], window)]
+        return out
+
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
+        pool: list[tuple[bytes, tuple | None]] = []
+        found: list[tuple[int, int, int]] = []
+        bucket: dict[bytes, list[tuple]] = {}
+        size, last, key = 0, None, None
+
+        def close() -> None:
+            """Strings that occur twice repeat as a whole; others are compared with all strings."""
+            nonlocal size
+            if len(bucket) == 1 and len(next(iter(bucket.values()))) == 1:
+                return
+            alone = any(len(rows) == 1 for rows in bucket.values())
+            for text, rows in bucket.items():
+                if len(rows) > 1:
+                    found.extend((node, start, start + len(text)) for node, start in rows)
+                if alone:
+                    pool.append((text, rows[0] if len(rows) == 1 else None))
+                    size += len(text)
 
         def out() -> pa.RecordBatch:
-            buf = np.frombuffer(b"".join(r[4] for r in held), np.uint8)
-            n = np.array([len(r[4]) for r in held])
-            begin = np.cumsum(n) - n
-            row = np.repeat(np.arange(len(held)), n - window + 1)
-            off = np.arange(len(row)) - np.repeat(np.cumsum(n - window + 1) - (n - window + 1), n - window + 1)
-            ids = identifiers(BYTE_IDS[buf], 1, window)[begin[row] + off]
-            _, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
-            hit = np.flatnonzero(count[inverse] > 1)
-            rows = []
-            if len(hit):
-                row, off = row[hit], off[hit]
-                for g in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(row)) + 1):
-                    r = held[row[g[0]]]
-                    rows += [(r[1], lo, hi) for lo, hi in _runs(r[3] + off[g], window)]
+            rows = found + (repeated(pool) if pool else [])
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows)) or [[]] * 3],
                                               names=["node", "lo", "hi"])
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("key", "node", "pos", "start", "bytes"))):
-                if r[:3] == last:
-                    continue  # a copy of the text
-                if size > 4 << 20 and r[0] != last[0]:
-                    yield out()
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[4])
-                last = r[:3]
-        if held:
-            yield out()
-
-    return (contexts.repartition("key").sortWithinPartitions("key", "node", "pos")
+            for k, node, start, text in zip(*(b.column(c).to_pylist() for c in ("key", "node", "start", "bytes"))):
+                if k != key:
+                    close()
+                    bucket, key, last = {}, k, None
+                    if size > 4 << 20 or len(found) > 100_000:
+                        yield out()
+                        pool, found, size = [], [], 0
+                if (node, start) != last:  # else a row with the same id and text
+                    last = node, start
+                    bucket.setdefault(text, []).append(last)
+        close()
+        yield out()
+
+    return (contexts.repartition("key").sortWithinPartitions("key", "node", "start")
             .mapInArrow(refine, "node long, lo long, hi long"))
 
 
