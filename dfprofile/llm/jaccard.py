@@ -4,7 +4,7 @@ Two sets of Jaccard similarity t or more share a shingle among the first ``n - c
 each, in any order common to all; shingles of few documents come first here, by a count sketch of
 fixed size.  Documents that share such a shingle meet in its tiles, one for each size band (a factor
 of 1/t; similar sets lie in the same or in neighbouring bands).  In a tile, bitmap signatures bound
-the overlap from above (128 bits in the tiles, 1024 for the pairs left): bit i holds the parity of the shingles hashed to i, so the bits in which two
+the overlap from above (128 bits in the tiles, 1024 or the size for the pairs left): bit i holds the parity of the shingles hashed to i, so the bits in which two
 signatures differ count no more than the shingles only one set has.  Pairs within bounds are decided
 by intersecting their sorted sets.
 
@@ -76,9 +76,16 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def _signature(s: np.ndarray) -> tuple[int, int, bytes]:
-    """Parity bits by hash: 1024, and the same folded to 128."""
-    odd = np.packbits((np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8))
-    return *np.bitwise_xor.reduce(odd.view(np.int64).reshape(8, 2), axis=0).tolist(), odd.tobytes()
+    """Parity bits by hash: 1024 or, in a larger set, the next power of two of its size; and the
+    same folded to 128."""
+    bits = 1 << max(10, (len(s) - 1).bit_length())
+    odd = np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+    return *_fold(odd.view(np.int64), 2).tolist(), odd.tobytes()
+
+
+def _fold(words: np.ndarray, size: int) -> np.ndarray:
+    """The signature that ``size`` words would have had."""
+    return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -143,7 +150,7 @@ def _prefix_rows(docs: DataFrame, width: int, percent: int, seed: int, order) ->
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = order.value.astype(np.uint64) << np.uint64(56), set()
         for b in pieces(batches, "text", 16 << 20, 10_000):
-            keys, nodes = [], []
+            keys, nodes, bands = [], [], []
             for s in shingle_sets(b.column("text"), width):
                 node = _node(_digest(s), seed)
                 if not len(s) or node in seen:
@@ -155,11 +162,14 @@ def _prefix_rows(docs: DataFrame, width: int, percent: int, seed: int, order) ->
                 rank = counts[s >> np.uint64(44)] | (s >> np.uint64(8))
                 keys.append(np.partition(rank, first - 1)[:first].view(np.int64))
                 nodes.append(np.full(first, node, np.int64))
+                bands.append(np.full(first, int(math.log(len(s)) / step), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes)],
-                                                 names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, bands)],
+                                                 names=["key", "node", "band"])
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, "key long, node long")
+    step = math.log(100 / percent) * (1 + 1e-9)  # similar sizes differ by one band at most
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+        rows, "key long, node long, band int")
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
@@ -175,9 +185,13 @@ def _screen(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, 16) for c in ("sig_a", "sig_b"))
+            differ = []
+            for x, y in zip(b.column("sig_a").to_pylist(), b.column("sig_b").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                size = min(len(x), len(y))
+                differ.append(int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum(dtype=np.int64)))
             size = b.column("size").to_numpy()
-            left = (100 + percent) * (size - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) >= 2 * percent * size
+            left = (100 + percent) * (size - np.array(differ, np.int64)) >= 2 * percent * size
             yield b.select(["a", "b"]).filter(pa.array(left))
 
     side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
@@ -238,36 +252,45 @@ def similar_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
             F.min("digest").alias("d0"), F.max("digest").alias("d1")))
         if not reps.where("d0 <> d1").limit(1).count():
             break
-    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent))).cast("int")
     order = spark.sparkContext.broadcast(_sketch(scanned))
     prefix = _prefix_rows(docs, width, percent, seed, order)
-    shared = (prefix.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"))
-              .where("x <> y").select("key"))
-    nodes = reps.where("n > 0").select("node", "n", "s0", "s1").withColumn("band", band)
-    rows = cut(prefix.join(shared, "key").distinct().join(nodes, "node"))
+    # keys shared within a band or by neighbouring bands, told by a mask of the bands modulo 64
+    shared = (prefix.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("c"),
+                                        F.bit_or(F.expr("shiftleft(1L, pmod(band, 64))")).alias("mask"))
+              .withColumn("twice", F.expr("c > bit_count(mask)"))
+              .where("x <> y and (twice or (mask & (shiftleft(mask, 1) | shiftrightunsigned(mask, 63))) <> 0)")
+              .select("key", "twice", "mask"))
+    nodes = reps.where("n > 0").select("node", "n", "s0", "s1")
+    rows = prefix.join(shared, "key").where(
+        "twice or getbit(mask, pmod(band + 1, 64)) = 1 or getbit(mask, pmod(band - 1, 64)) = 1")
+    rows = cut(rows.select("key", "node", "band").distinct().join(nodes, "node"))
 
     # each node with one of the first nodes of its tiles
     firsts = rows.groupBy("key", "band").agg(F.min("node").alias("node"))
-    firsts = firsts.join(nodes.drop("band"), "node").alias("y")
+    firsts = firsts.join(nodes, "node").alias("y")
     near = (_tiles(rows).alias("x").join(firsts, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.band"))
                                          & (F.col("x.node") != F.col("y.node")) & _possible("x", "y", percent)))
-    near = _screen(near.select(F.col("x.node").alias("b"), F.col("y.node").alias("a")).distinct(), reps, percent)
+    near = cut(_screen(near.select(F.col("x.node").alias("b"), F.col("y.node").alias("a")).distinct(), reps, percent))
     pairs = cut(near.groupBy("b").agg(F.min("a").alias("a")))
     links = _verify(docs, reps, pairs, width, percent, seed)
     roots = cut(components(links))
 
-    # all pairs of nodes of different components
+    # all pairs of nodes of different components; of two nodes, one was the other's first
     rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    mixed = (rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c"))
+             .where("x <> y and c > 2").select("key"))
     rooted = cut(rooted.join(mixed, "key"))
     x, y = rooted.alias("x"), _tiles(rooted).alias("y")
     late = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.tile"))
                   & (F.col("x.root") != F.col("y.root"))
                   & ((F.col("x.band") != F.col("y.band")) | (F.col("x.node") < F.col("y.node")))
                   & _possible("x", "y", percent))
-    late = late.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = cut(_screen(late.join(done, ["a", "b"], "left_anti"), reps, percent))
+    ends = lambda df, p, q: df.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    late = _screen(ends(late, "x.node", "y.node").distinct(), reps, percent)
+    late = late.union(ends(near, "a", "b")).distinct().join(ends(pairs, "a", "b"), ["a", "b"], "left_anti")
+    root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    late = cut(late.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+               .where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))
     if late.limit(1).count():
         links = links.union(_verify(docs, reps, late, width, percent, seed))
         roots = cut(components(links))
