@@ -254,7 +254,7 @@ def repeated_runs(docs: DataFrame, reps: DataFrame, window: int = WINDOW, gram:
     buckets = table.groupBy("key").agg(
         F.min("node").alias("n0"), F.max("node").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"),
         F.count(F.lit(1)).alias("c")).where("n0 <> n1 or p0 <> p1").select("key", (F.col("c") > hot).alias("hot"))
-    marks = cut(table.join(buckets, "key").distinct())
+    marks = cut(table.join(buckets, "key"))
     drop_stash(table)
     found = _refine(_contexts(docs, reps, marks.where("not hot"), window, gram), window)
     if marks.where("hot").limit(1).count():
