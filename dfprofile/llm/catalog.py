@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from dfprofile.llm import jaccard, packing, repeats, sharding, token_files, topk, wordpiece
+from dfprofile.llm import (decontaminate, jaccard, langid, packing, quality, repeats, sharding, token_files, topk,
+                           wordpiece)
 
 QUERIES = {
     "op1_packing": packing.q_packing,
     "op2_sharding": sharding.q_sharding,
     "op3_topk": topk.q_topk,
+    "op4_decontaminate": decontaminate.q_decontaminate,
     "op5_token_counts": wordpiece.q_token_counts,
+    "op6_langid": langid.q_langid,
+    "op7_quality": quality.q_quality,
     "op8_token_files": token_files.q_token_files,
     "op9_jaccard": jaccard.q_jaccard,
     "op10_repeats": repeats.q_repeats,
