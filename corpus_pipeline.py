@@ -1,8 +1,61 @@
-"""Corpus pipeline: documents in, packed pieces out."""
+"""Corpus pipeline: documents in, packed pieces out.
 
-STAGES = []
+``STAGES`` lists (name, function) in order.  Each function takes (spark, docs, sf_dir), works on all
+documents that the stage before it kept, and returns a DataFrame that is written as Parquet and read
+again as the next one's ``docs``.  All but the last return the columns of ``documents``.
+
+1. quality classifier: documents rejected for quality or toxicity go;
+2. n-gram Jaccard join: of documents alike in five-word shingles (0.8 or more) one stays;
+3. suffix-array dedup: strings of 200 bytes that also start elsewhere are cut out of ``text``, and
+   ``n_chars`` follows; texts cut out as a whole stay as empty texts;
+4. benchmark decontamination: documents with a benchmark item go;
+5. packing: the texts left, as pieces of sequences of 4096 ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from dfprofile.llm import decontaminate, jaccard, packing, quality, repeats
+from dfprofile.llm.common import load, stash
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs, load(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs, width=5, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_benchmark(docs, load(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("ngram_jaccard_join", keep_one_of_each),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: Models, shingle joins and repeated strings are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return docs
