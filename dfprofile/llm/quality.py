@@ -89,12 +89,12 @@ class Model:
     def fit(self, doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, steps: int = 200) -> None:
         if not len(y) or y.min() == y.max():
             return
-        n = len(y)
+        n = len(y)  # the sample is held in 32-bit arrays
         seen = np.bincount(feature, minlength=BUCKETS)
         expected = seen * y.mean()
-        z = (np.bincount(feature, y[doc], BUCKETS) - expected) / np.sqrt(np.maximum(expected * (1 - y.mean()), 1e-9))
+        z = (np.bincount(feature[y[doc] == 1], minlength=BUCKETS) - expected) / np.sqrt(np.maximum(expected * (1 - y.mean()), 1e-9))
         keep = ((seen >= 4) & (np.abs(z) >= 4))[feature]  # features that go with the class
-        value = (_scale(doc, value, n) if self.share else np.ones(len(value)))[keep]
+        value = (_scale(doc, value, n) if self.share else np.ones(len(value), np.float32))[keep]
         doc, feature = doc[keep], feature[keep]
         self.base = self.b = math.log(y.mean() / (1 - y.mean()))
         m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
@@ -109,7 +109,7 @@ class Model:
             self.b -= d[-1]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> dict[str, Model]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> dict[str, Model]:
     """Models of ``quality`` and ``toxic`` from up to ``max_rows`` labelled documents."""
     rows = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic")
     rows = rows.orderBy(F.xxhash64("id"), "quality", "toxic").limit(max_rows)  # the sample
@@ -132,9 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> dict[str
         model = out[name] = Model(share)
         if known.num_rows:
             size = pc.list_value_length(known["feature"]).to_numpy()
-            doc = np.repeat(np.arange(known.num_rows), size)
-            model.fit(doc, pc.list_flatten(known["feature"]).to_numpy().astype(np.int64),
-                      pc.list_flatten(known["value"]).to_numpy().astype(np.float64), known[name].to_numpy().astype(float))
+            doc = np.repeat(np.arange(known.num_rows, dtype=np.int32), size)
+            model.fit(doc, pc.list_flatten(known["feature"]).to_numpy(), pc.list_flatten(known["value"]).to_numpy(),
+                      known[name].to_numpy().astype(float))
     return out
 
 
@@ -185,7 +185,7 @@ def site_rates(scored: DataFrame, models: dict[str, Model]) -> DataFrame:
     return cut(paths.select(F.col("host_").alias("site"), F.col("path_").alias("part"), "q_host", "t_host", "q_rate", "t_rate"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_rows: int = 12000,
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_rows: int = 6000,
              carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, host, path, host_quality, path_quality, quality, toxic (posteriors), keep."""
     models = train(docs, labels, max_rows)
