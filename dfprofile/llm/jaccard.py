@@ -109,7 +109,7 @@ def _scan(docs: DataFrame, width: int, seed: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow)],
                                               names=[c.split()[0] for c in schema.split(", ")])
 
-        for b in pieces(batches, "text", 16 << 20, 10_000):
+        for b in pieces(batches, "text", 8 << 20, 10_000):
             rows = []
             ids = (b.column(c).to_pylist() for c in ("doc_id", "mark"))
             for i, mark, s in zip(*ids, shingle_sets(b.column("text"), width)):
@@ -149,7 +149,7 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
 def _prefix_rows(docs: DataFrame, width: int, percent: int, seed: int, order) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = order.value.astype(np.uint64) << np.uint64(56), set()
-        for b in pieces(batches, "text", 16 << 20, 10_000):
+        for b in pieces(batches, "text", 8 << 20, 10_000):
             keys, nodes, bands = [], [], []
             for s in shingle_sets(b.column("text"), width):
                 node = _node(_digest(s), seed)

@@ -179,7 +179,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
-        for b in pieces(batches, "text", 16 << 20, 10_000):
+        for b in pieces(batches, "text", 8 << 20, 10_000):
             split = pc.ascii_split_whitespace(b.column("text"))
             coded = split.flatten().dictionary_encode()
             words = coded.dictionary.cast(pa.binary()).to_pylist()

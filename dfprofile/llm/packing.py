@@ -36,7 +36,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path), np.uint32(end_id).tobytes()
-        for b in pieces(batches, "text", 16 << 20, 10_000):
+        for b in pieces(batches, "text", 8 << 20, 10_000):
             rows: list[tuple] = []
             ids = enc.encode(b.column("text"))
             for doc, x in zip(b.column("doc_id").to_pylist(), ids):

@@ -144,7 +144,7 @@ def evidence(docs: DataFrame, models: dict[str, Model], *carry: str) -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(models)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text_", 16 << 20, 10_000):
+        for b in pieces(batches, "text_", 4 << 20, 10_000):
             c = counts(b.column("text_"))
             llr = [pa.array(np.clip(m.logit(*c, b.num_rows) - m.base, -30, 30)) for m in (model.value["quality"], model.value["toxic"])]
             rest = [x for x in b.schema.names if x != "text_"]

@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, start = encoder(tokenizer_path), np.uint32(end_id).tobytes(), 0
-        for b in pieces(batches, "text", 16 << 20, 10_000):
+        for b in pieces(batches, "text", 8 << 20, 10_000):
             ids = [x + end for x in enc.encode(b.column("text"))]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             ends = np.cumsum(n)

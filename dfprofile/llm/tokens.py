@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_PIECES = 500_000  # pieces kept by a worker, in each of two generations
+MAX_PIECES = 250_000  # pieces kept by a worker, in each of two generations
 JOINED = 20_000  # pieces encoded in one call
 
 
@@ -104,11 +104,13 @@ class Encoder:
         whole = np.array([isinstance(x, str) for x in found])
         found = [b"" if isinstance(x, str) else x for x in found] if whole.any() else found
         flat = np.frombuffer(b"".join(found), np.uint32)
-        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        first = np.cumsum(size) - size
+        size = np.fromiter(map(len, found), np.int32, len(found)) >> 2
+        first = np.cumsum(size, dtype=np.int32) - size
         n = size[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1])]
+        ends = np.cumsum(n, dtype=np.int32)  # a batch is far below 2 ** 31 ids
+        where = np.repeat(first[at] - (ends - n), n)
+        where += np.arange(ends[-1], dtype=np.int32)
+        ids = flat[where]
         rows = split.offsets.to_numpy()
         rows = rows - rows[0]
         bounds = np.concatenate([[0], ends])[rows]
