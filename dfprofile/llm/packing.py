@@ -49,6 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
             if with_ids:
                 cols.append(pa.array([r[5] for r in rows], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
+        encoder(tokenizer_path).older.clear()
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -107,6 +107,7 @@ class Model:
             d = 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
             self.w -= d[:-1]
             self.b -= d[-1]
+        self.w = self.w.astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> dict[str, Model]:
@@ -138,13 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> dict[str,
     return out
 
 
-def evidence(docs: DataFrame, models: dict[str, Model], *carry: str) -> DataFrame:
+def evidence(docs: DataFrame, model, *carry: str) -> DataFrame:
     """doc_id, host, path and the evidence (log-odds less the base rate) of each document, and the
-    columns of ``carry``."""
-    model = docs.sparkSession.sparkContext.broadcast(models)
+    columns of ``carry``; ``model``: the broadcast models."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text_", 4 << 20, 10_000):
+        for b in pieces(batches, "text_", 2 << 20, 10_000):
             c = counts(b.column("text_"))
             llr = [pa.array(np.clip(m.logit(*c, b.num_rows) - m.base, -30, 30)) for m in (model.value["quality"], model.value["toxic"])]
             rest = [x for x in b.schema.names if x != "text_"]
@@ -191,10 +191,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     models = train(docs, labels, max_rows)
     rows = docs.withColumns({"doc_id_": F.col("doc_id").cast("long"), "host_": F.col(host).cast("string"),
                              "path_": F.col(path).cast("string")})
-    rates = site_rates(evidence(rows, models), models)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    rates = site_rates(evidence(rows, shared), models)
     if rates.count() <= 100_000:  # a checked size; beyond it both sides are shuffled
         rates = F.broadcast(rates)
-    scored = evidence(rows, models, *carry).join(
+    scored = evidence(rows, shared, *carry).join(
         rates, F.col("host_").eqNullSafe(F.col("site")) & F.col("path_").eqNullSafe(F.col("part")))
 
     def posterior(c: str):

@@ -52,6 +52,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                                          pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))],
                 names=["doc_id", "start_in_file", "n_tokens", "ids"])
             start += int(ends[-1])
+        encoder(tokenizer_path).older.clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
