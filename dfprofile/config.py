@@ -21,7 +21,7 @@ class ProfileConfig:
     top_categories: int = 20
     bar_chart_top_n: int = 15
     max_outlier_keys: int = 100
-    sweep_columns: int = 20
+    sweep_columns: int | None = None  # a named limit; None sweeps every numeric column
     max_plots: int = 20
     hist_columns: int = 10
     bar_columns: int = 5

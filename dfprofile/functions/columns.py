@@ -26,6 +26,11 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def numeric_text(v: Column) -> Column:
+    """A text's number; digits with a type letter behind them (``1d``, ``4f``) are none."""
+    return F.when(~v.rlike(r"[0-9.]\s*[dDfF]\s*$"), v.try_cast("double"))
+
+
 def qcol(name: str) -> Column:
     """Column by exact name, safe for names with dots or spaces."""
     return F.col("`" + name.replace("`", "``") + "`")

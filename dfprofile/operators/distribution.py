@@ -154,7 +154,7 @@ def distribution_analysis(df: DataFrame, columns: list[str] | None = None,
 def distribution_sweep(df: DataFrame, columns: list[str] | None = None,
                        config: ProfileConfig = DEFAULT, profile: NumericProfile | None = None
                        ) -> DataFrame:
-    """D4s: the first ``sweep_columns`` numeric columns."""
+    """D4s: all numeric columns (or the first ``sweep_columns``)."""
     cols = (columns or numeric_columns(df))[:config.sweep_columns]
     return distribution_analysis(df, cols, config, profile)
 

@@ -100,7 +100,9 @@ def log_bucket(v: Column) -> Column:
     negatives below zero below positives.  Used below the sketch threshold so
     the exact rank windows still run in parallel (no extra data pass)."""
     k = LOG_BUCKETS_PER_DOUBLING
-    return (F.when(v > 0, F.lit(100_000) + F.floor(F.log2(v) * k))
+    far = F.lit(float("inf"))
+    return (F.when(v == far, F.lit(1_000_000)).when(v == -far, F.lit(-1_000_000))
+            .when(v > 0, F.lit(100_000) + F.floor(F.log2(v) * k))
             .when(v < 0, F.lit(-100_000) - F.floor(F.log2(-v) * k))
             .otherwise(F.lit(0))).cast("int")
 

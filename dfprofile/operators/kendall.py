@@ -48,7 +48,7 @@ def kendall_cells(coded: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def kendall_tau(cells: DataFrame, code_bits: int) -> DataFrame:
     """``(pair, tau)`` from the cell table; codes are non-negative longs below
     ``2 ** code_bits``."""
-    ties = lambda t: F.sum(t * (t - 1) / 2.0)
+    ties = lambda t: F.sum(t.cast("double") * (t.cast("double") - 1) / 2.0)
     tx = cells.groupBy("pair", "x").agg(F.sum("c").alias("t")).groupBy("pair").agg(
         ties(F.col("t")).alias("n1"))
     ty = cells.groupBy("pair", "y").agg(F.sum("c").alias("t")).groupBy("pair").agg(
@@ -67,7 +67,7 @@ def kendall_tau(cells: DataFrame, code_bits: int) -> DataFrame:
     per = per.withColumn("xb", F.shiftright("x", shift))
     run = running_counts(per, ["pair", "lvl", "prefix"], "x", bucket="xb", weight="c1",
                          broadcast_offsets=False)
-    disc = run.groupBy("pair").agg(F.sum(F.col("c0") * F.col("cum_before")).cast("double").alias("d"))
+    disc = run.groupBy("pair").agg(F.sum(F.col("c0").cast("double") * F.col("cum_before")).alias("d"))
     j = base.join(tx, "pair").join(ty, "pair").join(disc, "pair", "left")
     n0 = F.col("n") * (F.col("n") - 1) / 2.0
     num = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2.0 * F.coalesce(F.col("d"), F.lit(0.0))

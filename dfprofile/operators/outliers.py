@@ -104,7 +104,7 @@ def outlier_keys(df: DataFrame, cols: list[str], method: str, row_key, config: P
 def outlier_sweep(df: DataFrame, columns: list[str] | None = None,
                   row_key: str | Column | None = None, config: ProfileConfig = DEFAULT,
                   profile: NumericProfile | None = None) -> DataFrame:
-    """Outliers of the first ``sweep_columns`` numeric columns with the
+    """Outliers of all numeric columns (or the first ``sweep_columns``) with the
     configured method; only columns with at least one outlier are kept."""
     cols = (columns or numeric_columns(df))[:config.sweep_columns]
     p = profile if profile is not None and set(cols) <= set(profile.cols) else None

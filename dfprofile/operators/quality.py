@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ProfileConfig
-from ..functions.columns import is_missing, numeric_columns, qcol, rnd
+from ..functions.columns import FLOAT_TYPES, is_missing, numeric_columns, qcol, rnd
 from ..functions.labels import quality_label
 from .freq import unpivot_pairs
 
@@ -25,10 +25,15 @@ def constant_columns(df: DataFrame, columns: list[str] | None = None) -> DataFra
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column_name string")
-    long = unpivot_pairs(df, cols, {"value": lambda c: F.nanvl(qcol(c).cast("double"),
-                                                               F.lit(None).cast("double"))})
-    per = long.groupBy("column_name").agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
-    return per.where(F.col("mn") == F.col("mx")).select("column_name")
+    def value(c: str):
+        x, dt = qcol(c), df.schema[c].dataType
+        return F.nanvl(x, F.lit(None).cast(dt)) if isinstance(dt, FLOAT_TYPES) else x
+
+    # compared in the column's own type: large integers keep their identity
+    one = df.agg(*[(F.min(value(c)) == F.max(value(c))).alias(f"c{i}") for i, c in enumerate(cols)])
+    flags = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("same"))
+                      for i, c in enumerate(cols)])
+    return one.select(F.inline(flags)).where("same").select("column_name")
 
 
 def missing_cells(df: DataFrame) -> DataFrame:

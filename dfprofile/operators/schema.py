@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, ProfileConfig
-from ..functions.columns import (DATETIME_TYPES, FLOAT_TYPES, INTEGRAL_TYPES, is_numeric,
+from ..functions.columns import (numeric_text, DATETIME_TYPES, FLOAT_TYPES, INTEGRAL_TYPES, is_numeric,
                                  qcol, rnd)
 from .freq import unpivot_pairs
 
@@ -140,7 +140,7 @@ class SchemaFacts:
                 "column_name", F.when(short, sv).alias("value"),
                 F.when(big, F.unhex(F.md5(sv))).alias("digest"),
                 F.length(sv).alias("len"), F.octet_length(sv).alias("bytes"),
-                F.when(big, sv.try_cast("double")).alias("num_long"),
+                F.when(big, numeric_text(sv)).alias("num_long"),
                 F.when(big, sv.try_cast("timestamp").isNotNull()).alias("ts_long"))
             cells = rows.groupBy("column_name", "value", "digest").agg(
                 F.count(F.lit(1)).alias("cnt"), F.first("len").alias("len"),
@@ -149,7 +149,7 @@ class SchemaFacts:
             v = F.col("value")
             cells = cells.select(
                 "column_name", "value", "digest", "cnt", "len", "bytes",
-                F.coalesce(v.try_cast("double"), F.col("num_long")).alias("num"),
+                F.coalesce(numeric_text(v), F.col("num_long")).alias("num"),
                 F.coalesce(v.try_cast("timestamp").isNotNull() & v.isNotNull(),
                            F.col("ts_long"), F.lit(False)).alias("is_ts"))
             bound = self.numeric.n_rows() * len(self.others)

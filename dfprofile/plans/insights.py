@@ -50,8 +50,9 @@ def parse_insights(responses: DataFrame, column: str = "response") -> DataFrame:
     opts = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowUnquotedFieldNames": "false",
             "allowNumericLeadingZeros": "false", "allowNonNumericNumbers": "false"}
     df = df.withColumn("__p", F.from_json(F.col("__s"), RESPONSE_SCHEMA, opts))
-    # A JSON object always starts with "{"; anything else is not a record.
-    ok = F.col("__p").isNotNull() & F.col("__s").startswith("{")
+    # A record is a whole JSON object; from_json alone also fills structs from broken text.
+    ok = (F.col("__p").isNotNull() & F.col("__s").startswith("{")
+          & F.try_parse_json(F.col("__s")).isNotNull())
     items = F.transform(
         F.coalesce(F.col("__p.insights"), F.array()),
         lambda it: F.struct(
@@ -86,7 +87,7 @@ def parse_insights(responses: DataFrame, column: str = "response") -> DataFrame:
 def insight_context(report) -> DataFrame:
     """The bounded context (one row, ``context`` JSON) built from a
     ``Profile``: overview, first 10 column summaries, 10 strong pairs, the
-    outliers among the first 10 entries with a positive count, 10 distributions."""
+    outliers among the first 10 outlier entries with a positive count, 10 distributions."""
     spark = report.spark
     key = F.lit(1).alias("_k")
     ov = report.summary().select(key, F.struct(F.col("row_count").alias("rows"),
@@ -105,14 +106,14 @@ def insight_context(report) -> DataFrame:
             .select(key, F.transform("_c", lambda x: x.dropFields("_o")).alias("correlations")))
     out = report.outliers()
     if out is not None:
-        o = out.where(F.col("ord") < 10).where(F.col("outlier_count") > 0)
+        o = out.orderBy("ord").limit(10).where(F.col("outlier_count") > 0)  # the context's own bound
         parts.append(o.groupBy().agg(F.sort_array(F.collect_list(F.struct(
             "ord", F.col("column_name").alias("column"), F.col("outlier_count").alias("count"),
             F.col("outlier_percentage").alias("percentage")))).alias("_o"))
             .select(key, F.transform("_o", lambda x: x.dropFields("ord")).alias("outliers")))
     dist = report.distributions()
     if dist is not None:
-        d = dist.where(F.col("ord") < 10)
+        d = dist.orderBy("ord").limit(10)
         parts.append(d.groupBy().agg(F.sort_array(F.collect_list(F.struct(
             "ord", F.col("column_name").alias("column"), F.col("distribution_type").alias("type"),
             "is_normal"))).alias("_d"))

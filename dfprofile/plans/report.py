@@ -40,6 +40,8 @@ class Profile:
         bad = [a for a in analyses if a not in ANALYSES]
         if bad:
             raise ValueError(f"Unknown analysis types: {bad}")
+        if "trend" in analyses:
+            raise ValueError("trend needs a time column: call dfprofile.operators.trend instead")
         self.df, self.cfg, self.row_key = df, config, row_key
         self.spark = df.sparkSession
         self.analyses = set(analyses)

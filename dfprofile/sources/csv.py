@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ProfileConfig
-from ..functions.columns import qcol
+from ..functions.columns import numeric_text, qcol
 from ..operators.freq import unpivot_pairs
 
 # Strings pandas ``read_csv`` treats as missing by default.
@@ -88,7 +88,7 @@ def type_columns(df: DataFrame, config: ProfileConfig = DEFAULT, facts=None) ->
         v = F.col("v")
         got = {r[0]: (r[1], r[2]) for r in long.groupBy("column_name").agg(
             F.count(F.when(~v.isin(tokens), 1)),
-            F.count(F.when(v.try_cast("double").isNotNull() & v.try_cast("bigint").isNull(), 1))
+            F.count(F.when(numeric_text(v).isNotNull() & v.try_cast("bigint").isNull(), 1))
         ).collect()}
         bool_like = {c: got.get(c, (0, 0))[0] == 0 for c in strings}
         integral = {c: got.get(c, (0, 0))[1] == 0 for c in strings}
@@ -100,7 +100,7 @@ def type_columns(df: DataFrame, config: ProfileConfig = DEFAULT, facts=None) ->
         if bool_like.get(c) and has_values:
             out.append(F.when(x.isNull(), None).otherwise(x.isin(TRUE_TOKENS)).alias(c))
         elif c in integral and t == "numeric":
-            out.append((x.try_cast("bigint") if integral[c] else x.try_cast("double")).alias(c))
+            out.append((x.try_cast("bigint") if integral[c] else numeric_text(x)).alias(c))
         elif c in strings and t == "datetime":
             out.append(x.try_cast("timestamp").alias(c))
         else:
