@@ -86,6 +86,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             size += x
         if n > lo:
             yield b.slice(lo)
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

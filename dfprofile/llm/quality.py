@@ -140,18 +140,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> dict[str,
 
 
 def evidence(docs: DataFrame, model, *carry: str) -> DataFrame:
-    """doc_id, host, path and the evidence (log-odds less the base rate) of each document, and the
-    columns of ``carry``; ``model``: the broadcast models."""
+    """doc_id, host, path and the evidence (log-odds less the base rate) of each document, and, if
+    there are any, the columns of ``carry`` and text_; ``model``: the broadcast models."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text_", 2 << 20, 10_000):
+        for b in pieces(batches, "text_", 4 << 20, 10_000):
             c = counts(b.column("text_"))
             llr = [pa.array(np.clip(m.logit(*c, b.num_rows) - m.base, -30, 30)) for m in (model.value["quality"], model.value["toxic"])]
-            rest = [x for x in b.schema.names if x != "text_"]
+            rest = [x for x in b.schema.names if x != "text_" or carry]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in rest), *llr], names=[*rest, "q_llr", "t_llr"])
 
     rows = docs.select("doc_id_", "host_", "path_", *carry, F.coalesce("text", F.lit("")).alias("text_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text_")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text_" or carry)
     return rows.mapInArrow(score, schema + ", q_llr double, t_llr double")
 
 
@@ -207,14 +207,18 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     return scored.select(F.col("doc_id_").alias("doc_id"), F.col("host_").alias("host"), F.col("path_").alias("path"),
                          F.col("q_host").alias("host_quality"), F.col("q_rate").alias("path_quality"),
                          quality.alias("quality"), toxic.alias("toxic"),
-                         ((quality >= 0.5) & (toxic < 0.5)).alias("keep"), *carry)
+                         ((quality >= 0.5) & (toxic < 0.5)).alias("keep"), *carry, *(["text_"] if carry else []))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept."""
     (mark,) = fresh(docs, "mark_")
-    verdicts = docs.withColumn(mark, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return classify(verdicts, labels, carry=(mark,)).where("keep").select(f"{mark}.*")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]  # the text itself goes along once
+    verdicts = docs.withColumn(mark, F.struct(F.col("text").isNull().alias("text"), *rest))
+    kept = classify(verdicts, labels, carry=(mark,)).where("keep")
+    return kept.withColumn(mark, F.col(mark).withField(
+        "text", F.when(~F.col(f"{mark}.text"), F.col("text_")))).select(
+        *[F.col(f"{mark}.`{c}`").alias(c) for c in docs.columns])
 
 
 def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
