@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ProfileConfig
@@ -39,7 +39,7 @@ def _profile(df, cols, config, profile):
     return NumericProfile(df, cols, config)
 
 
-DENSE_BIN_LIMIT = 10_000
+BINS_A_STEP = 10_000  # bins are listed in steps, so no row ever holds a long array
 
 
 def histogram_data(df: DataFrame, columns: list[str] | None = None,
@@ -49,9 +49,8 @@ def histogram_data(df: DataFrame, columns: list[str] | None = None,
     width = min(Sturges, Freedman-Diaconis), Sturges when the FD width is 0;
     ``ceil(range / width)`` equal bins between min and max, the last closed.
     Values are binned from the frequency table (one row per distinct value)
-    with NumPy's edge corrections.  Every bin is listed when a column has at
-    most ``DENSE_BIN_LIMIT`` bins; above that only non-empty bins (zeros
-    implied), so the output never exceeds the distinct values.
+    with NumPy's edge corrections.  Every bin is listed, zeros included, as
+    NumPy does.
     Columns: column_name, bin, bin_start, bin_end, count, density.
     """
     cols = columns or numeric_columns(df)
@@ -81,16 +80,12 @@ def histogram_data(df: DataFrame, columns: list[str] | None = None,
     f = f.withColumn("_i", F.when((v >= edge(F.col("_i") + 1)) & (F.col("_i") != F.col("nb") - 1),
                                   F.col("_i") + 1).otherwise(F.col("_i")))
     h = f.groupBy("column_name", "_i").agg(F.sum("cnt").cast("long").alias("count"))
-    # Columns with at most DENSE_BIN_LIMIT bins list every bin (zeros included,
-    # as NumPy does); beyond that only non-empty bins are listed (zeros implied).
-    dense = (meta.where(F.col("nb") <= DENSE_BIN_LIMIT)
-             .select("column_name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
-                     .alias("_i")))
-    sparse = h.join(F.broadcast(meta.where(F.col("nb") > DENSE_BIN_LIMIT).select("column_name")),
-                    "column_name")
-    h = (dense.join(h, ["column_name", "_i"], "left")
-         .select("column_name", "_i", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
-         .unionByName(sparse))
+    steps = meta.select("column_name", "nb", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col("nb") - 1, F.lit(BINS_A_STEP).cast("long"))).alias("_s"))
+    bins = steps.select("column_name", F.explode(F.sequence(
+        F.col("_s"), F.least(F.col("_s") + BINS_A_STEP, F.col("nb")) - 1)).alias("_i"))
+    h = bins.join(h, ["column_name", "_i"], "left").select(
+        "column_name", "_i", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
     out = h.join(F.broadcast(meta), "column_name")
     start, end = edge(F.col("_i")), edge(F.col("_i") + 1)
     d = config.numeric_precision
@@ -103,8 +98,8 @@ def kde_curve(df: DataFrame, columns: list[str] | None = None, config: ProfileCo
               profile=None) -> DataFrame:
     """V2: Gaussian KDE (Scott bandwidth h = sd * n^(-1/5)) on ``kde_points``
     points spread evenly from min to max; columns with more than ``kde_min_n``
-    values.  One pass over the frequency table with one sum per grid point —
-    no value x grid expansion.  Columns: column_name, point, x, density."""
+    values.  Each distinct value meets the grid points in its own task and the
+    sums combine map-side, so the shuffle holds columns x points rows a task.  Columns: column_name, point, x, density."""
     cols = columns or numeric_columns(df)
     p = _profile(df, cols, config, profile)
     g = config.kde_points
@@ -113,14 +108,12 @@ def kde_curve(df: DataFrame, columns: list[str] | None = None, config: ProfileCo
         ((F.col("max") - F.col("min")) / (g - 1)).alias("gstep"),
         (F.col("std") * F.pow(F.col("n").cast("double"), -0.2)).alias("h"))
     j = p.freq().join(F.broadcast(s), "column_name")
-    aggs = []
-    for k in range(g):
-        x = F.col("max") if k == g - 1 else F.lit(float(k)) * F.col("gstep") + F.col("min")
-        z = (x - F.col("value")) / F.col("h")
-        aggs.append(F.sum(F.col("cnt") * F.exp(-0.5 * z * z)).alias(f"_k{k}"))
-    sums = j.groupBy("column_name").agg(*aggs)
-    long = sums.select("column_name", F.posexplode(F.array(*[F.col(f"_k{k}") for k in range(g)]))
-                       .alias("point", "_s"))
+    at = j.select("column_name", "value", "cnt", "gstep", "min", "max", "h",
+                  F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("point"))
+    x = F.when(F.col("point") == g - 1, F.col("max")).otherwise(
+        F.col("point").cast("double") * F.col("gstep") + F.col("min"))
+    z = (x - F.col("value")) / F.col("h")
+    long = at.groupBy("column_name", "point").agg(F.sum(F.col("cnt") * F.exp(-0.5 * z * z)).alias("_s"))
     out = long.join(F.broadcast(s), "column_name")
     x = F.when(F.col("point") == g - 1, F.col("max")).otherwise(
         F.col("point").cast("double") * F.col("gstep") + F.col("min"))
@@ -173,16 +166,16 @@ def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None) -> D
     return df.select(*cols).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
-def pairplot_sample(df: DataFrame, columns: list[str] | None = None, row_key: str | None = None,
+def pairplot_sample(df: DataFrame, columns: list[str] | None = None, row_key: str | Column | None = None,
                     config: ProfileConfig = DEFAULT) -> DataFrame:
     """V6: rows complete in the first ``pair_columns`` numeric columns, at most
-    ``pair_sample`` of them, chosen reproducibly by a seeded hash of the row key
-    (D9).  ``orderBy(hash).limit`` runs as per-partition top-k + merge."""
+    ``pair_sample`` of them, chosen by the MD5 of row key and seed (D9), so the
+    choice repeats wherever the key is given.  Without one the scan position stands in.  ``orderBy(hash).limit`` runs as per-partition top-k + merge."""
     cols = (columns or numeric_columns(df))[:config.pair_columns]
-    key = qcol(row_key) if row_key else F.monotonically_increasing_id()
+    key = F.monotonically_increasing_id() if row_key is None else qcol(row_key) if isinstance(row_key, str) else row_key
     sel = df.select(key.alias("_key"), *[qcol(c).cast("double").alias(c) for c in cols])
     if cols:
         any_null = functools.reduce(lambda a, b: a | b, [qcol(c).isNull() for c in cols])
         sel = sel.where(~any_null)
-    return (sel.withColumn("_h", F.xxhash64(F.col("_key"), F.lit(config.seed)))
+    return (sel.withColumn("_h", F.md5(F.concat(F.col("_key").cast("string"), F.lit(f":{config.seed}"))))
             .orderBy("_h", "_key").limit(config.pair_sample).drop("_h"))

@@ -1,12 +1,9 @@
 """Correlation (R1-R5, V4): Pearson, Spearman and Kendall tau-b matrices in long
 form, strong pairs and strength labels.
 
-* Pearson, no NULLs: ``VectorAssembler`` + ``pyspark.ml.stat.Correlation`` — one
-  tree aggregate of a mean-centred Gramian; only the k x k matrix reaches the
-  driver.
-* Pearson with NULLs: pairwise-complete statistics from the cell table of all
-  pairs (identical value pairs combined map-side) and mean-shifted weighted sums,
-  one job for every pair; no pair is dropped.
+* Pearson, with or without NULLs: pairwise-complete masked sums of all column pairs
+  in one scan, per task and then merged; the data rows are not shuffled and only
+  k x k rows reach the driver.
 * Spearman: exact average ranks from the frequency table (two bounded windows),
   attached by a join on value (broadcast only when the column's distinct count,
   known from the profile, is small), then Pearson on the ranks.  Pairs involving a
@@ -19,6 +16,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,39 +43,61 @@ def _matrix_rows(cols: list[str], get) -> list[tuple]:
     return rows
 
 
-def _pearson_ml(clean: DataFrame, cols: list[str]) -> list[list[float]]:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+SUMS = ("n", "s", "ss", "p", "low", "high", "far")
 
-    vec = VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="error")
-    m = Correlation.corr(vec.transform(clean).select("_features"), "_features", "pearson")
-    return m.head()[0].toArray().tolist()
 
-
-SQL_PEARSON_MAX_COLUMNS = 24
-
-
-def _pearson_sums(clean: DataFrame, cols: list[str], shifts: dict[str, float]) -> list[list]:
-    """Complete-case Pearson from one aggregate of mean-shifted sums and
-    cross-products (k + k + k(k-1)/2 sums; shifting keeps it stable)."""
-    x = {c: qcol(c) - F.lit(shifts.get(c) or 0.0) for c in cols}
-    aggs = [F.count(F.lit(1))]
-    aggs += [F.sum(x[c]) for c in cols] + [F.sum(x[c] * x[c]) for c in cols]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    aggs += [F.sum(x[cols[i]] * x[cols[j]]) for i, j in pairs]
-    row = clean.agg(*aggs).collect()[0]
+def _pair_sums(clean: DataFrame, cols: list[str], shifts: dict[str, float]) -> dict:
+    """What Pearson needs of every ordered column pair (i, j), over the rows where both are present:
+    count, sum and square sum of i, product sum, least and greatest i, infinities of i.  One scan;
+    a task holds k x k sums and emits k x k rows, which combine before the shuffle.  Shifting by the
+    means keeps the sums stable."""
     k = len(cols)
-    n = row[0]
-    s1, s2 = row[1:1 + k], row[1 + k:1 + 2 * k]
-    var = [s2[i] - s1[i] * s1[i] / n if n else 0.0 for i in range(k)]
-    m = [[None] * k for _ in range(k)]
-    for i in range(k):
-        m[i][i] = 1.0 if var[i] > 0 else None
-    for t, (i, j) in enumerate(pairs):
-        cov = row[1 + 2 * k + t] - s1[i] * s1[j] / n
-        den = math.sqrt(var[i] * var[j]) if var[i] > 0 and var[j] > 0 else 0.0
-        m[i][j] = m[j][i] = cov / den if den > 0 else None
-    return m
+    shift = np.array([s if s is not None and math.isfinite(s) else 0.0
+                      for s in (shifts.get(c) for c in cols)])
+
+    def sums(batches):
+        n, s, ss, p, far = (np.zeros((k, k)) for _ in range(5))
+        low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(float) - shift
+            there, endless = ~np.isnan(x), np.isinf(x)
+            v, m = np.where(there & ~endless, x, 0.0), there.astype(float)
+            with np.errstate(over="ignore", invalid="ignore"):
+                n += m.T @ m
+                s += v.T @ m
+                ss += (v * v).T @ m
+                p += v.T @ v
+            far += endless.astype(float).T @ m
+            for j in range(k):
+                rows = there[:, j]
+                if rows.any():
+                    low[:, j] = np.minimum(low[:, j], np.where(there[rows], x[rows], np.inf).min(axis=0))
+                    high[:, j] = np.maximum(high[:, j], np.where(there[rows], x[rows], -np.inf).max(axis=0))
+        i, j = np.divmod(np.arange(k * k, dtype=np.int32), np.int32(k))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i), pa.array(j), *(pa.array(a.ravel()) for a in (n, s, ss, p, low, high, far))],
+            names=["i", "j", *SUMS])
+
+    rows = clean.select(*[qcol(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    got = rows.mapInArrow(sums, "i int, j int, " + ", ".join(f"{c} double" for c in SUMS))
+    merged = got.groupBy("i", "j").agg(*[
+        {"low": F.min, "high": F.max}.get(c, F.sum)(c).alias(c) for c in SUMS])
+    return {(r["i"], r["j"]): r for r in merged.collect()}  # k x k rows, as the result
+
+
+def _pearson(sums: dict, i: int, j: int) -> float | None:
+    """NULL below two common rows, or where one side is constant or infinite on them."""
+    a, b = sums.get((i, j)), sums.get((j, i))
+    if a is None or a["n"] < 2 or a["low"] == a["high"] or b["low"] == b["high"] or a["far"] or b["far"]:
+        return None
+    if i == j:
+        return 1.0
+    n = a["n"]
+    va, vb = a["ss"] - a["s"] * a["s"] / n, b["ss"] - b["s"] * b["s"] / n
+    if not (va > 0 and vb > 0):
+        return None
+    r = (a["p"] - a["s"] * b["s"] / n) / (math.sqrt(va) * math.sqrt(vb))
+    return None if math.isnan(r) else min(1.0, max(-1.0, r))
 
 
 def pearson_matrix(df: DataFrame, columns: list[str] | None = None,
@@ -89,25 +110,8 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None,
     spark = df.sparkSession
     if len(cols) < 2:
         return spark.createDataFrame([], MATRIX_SCHEMA)
-    clean = p.clean.select(*[qcol(c) for c in cols])
-    if set(cols) <= _null_free(p):
-        # A constant column has no defined correlation, even with itself.
-        light = {r[0]: r for r in p.light_rows()}
-        ok = [bool(light[c][3]) for c in cols]
-        if len(cols) <= SQL_PEARSON_MAX_COLUMNS:
-            m = _pearson_sums(clean, cols, {c: light[c][2] for c in cols})
-        else:
-            m = _pearson_ml(clean, cols)
-        rows = _matrix_rows(cols, lambda i, j: m[i][j] if ok[i] and ok[j] else None)
-    else:
-        light = {r[0]: r for r in p.light_rows()}
-        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-        got = _pearson_cells(clean, pairs, {c: light[c][2] for c in cols})
-        vals = {(a, a): (1.0 if light[a][3] else None) for a in cols}
-        for (a, b), v in got.items():
-            vals[(a, b)] = vals[(b, a)] = v
-        rows = _matrix_rows(cols, lambda i, j: vals.get((cols[i], cols[j])))
-    return spark.createDataFrame(rows, MATRIX_SCHEMA)
+    sums = _pair_sums(p.clean, cols, {r[0]: r[2] for r in p.light_rows()})
+    return spark.createDataFrame(_matrix_rows(cols, lambda i, j: _pearson(sums, i, j)), MATRIX_SCHEMA)
 
 
 def _with_ranks(df: DataFrame, cols: list[str], config: ProfileConfig,
@@ -145,11 +149,11 @@ def spearman_matrix(df: DataFrame, columns: list[str] | None = None,
     dense = [c for c in cols if c in full]
     if len(dense) >= 2:
         ranked, _ = _with_ranks(df, dense, config, p)
-        m = _pearson_ml(ranked, dense)
+        sums = _pair_sums(ranked, dense, {c: (p.n_rows() + 1) / 2 for c in dense})
         for i, a in enumerate(dense):
             for j, b in enumerate(dense):
                 if i != j:
-                    values[(a, b)] = m[i][j] if std.get(a) and std.get(b) else None
+                    values[(a, b)] = _pearson(sums, i, j)
     todo = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:] if (a, b) not in values]
     if todo:
         # Pairs touching a column with NULLs: re-rank on pairwise-complete rows,
@@ -160,36 +164,6 @@ def spearman_matrix(df: DataFrame, columns: list[str] | None = None,
     return spark.createDataFrame(rows, MATRIX_SCHEMA)
 
 
-def _pearson_cells(clean: DataFrame, pairs: list[tuple[str, str]],
-                   shifts: dict[str, float]) -> dict[tuple[str, str], float | None]:
-    """Pairwise-complete Pearson for many pairs in one job: the cell table
-    ``(pair, x, y, c)`` (identical value pairs combined map-side), then
-    mean-shifted count-weighted sums per pair."""
-    from ..session import materialize
-    from .kendall import kendall_cells
-
-    shifted = clean.select(*[(qcol(c) - F.lit(shifts.get(c) or 0.0)).alias(c)
-                             for c in dict.fromkeys(x for pq in pairs for x in pq)])
-    cells = materialize(kendall_cells(shifted, pairs), "persist")
-    c, x, y = F.col("c"), F.col("x"), F.col("y")
-    agg = cells.groupBy("pair").agg(
-        F.sum(c).alias("n"), F.sum(c * x).alias("sx"), F.sum(c * y).alias("sy"),
-        F.sum(c * x * x).alias("sxx"), F.sum(c * y * y).alias("syy"),
-        F.sum(c * x * y).alias("sxy")).collect()
-    cells.unpersist()
-    got = {}
-    for r in agg:
-        n = float(r["n"])
-        if n < 2:
-            continue
-        vxx = r["sxx"] - r["sx"] * r["sx"] / n
-        vyy = r["syy"] - r["sy"] * r["sy"] / n
-        vxy = r["sxy"] - r["sx"] * r["sy"] / n
-        den = math.sqrt(vxx * vyy) if vxx > 0 and vyy > 0 else 0.0
-        got[r["pair"]] = vxy / den if den > 0 else None
-    return {pq: got.get(f"p{i}") for i, pq in enumerate(pairs)}
-
-
 def _pair_ranks(cells: DataFrame, side: str, config: ProfileConfig) -> DataFrame:
     """``(pair, <side>, r_<side>)``: average rank of each distinct value of one
     side of every pair, over that pair's complete rows (bounded windows)."""

@@ -2,9 +2,9 @@
 
 * Type from the adjusted skewness (|g| < 0.5 symmetric, > 0 right, else left);
   fewer than 20 values -> ``unknown``, not normal.
-* n <= 5000: Shapiro-Wilk W with Royston's (1995) approximation (AS R94); the
-  column's sorted values come from the ranked frequency table expanded to at
-  most 5000 positions, so each column's work is bounded.
+* n <= 5000 (or on demand, at any n): Shapiro-Wilk W with Royston's (1995) approximation (AS R94); the
+  column's sorted values come from the ranked frequency table, its positions dealt out
+  in steps so that a frequent value is no single task's work.
 * n > 5000: Kolmogorov-Smirnov against N(mean, sd ddof=1).  D is exact from the
   ECDF in the ranked frequency table (one aggregate, no sort of raw rows); the
   p-value is the asymptotic Kolmogorov tail with Stephens' small-sample factor
@@ -37,6 +37,8 @@ SW_C2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
 SW_MU = [-1.5861, -0.31082, -0.083751, 0.0038915]
 SW_SIGMA = [-0.4803, -0.082676, 0.0030302]
 
+POSITIONS_A_STEP = 10_000
+
 
 def _poly(coefs, x):
     out = F.lit(coefs[-1])
@@ -66,13 +68,19 @@ def ks_statistics(p: NumericProfile, cols: list[str]) -> DataFrame:
 
 
 def shapiro_statistics(p: NumericProfile, cols: list[str]) -> DataFrame:
-    """``(column_name, statistic, p_value)`` Shapiro-Wilk for 20 <= n <= 5000."""
+    """``(column_name, statistic, p_value)`` Shapiro-Wilk for n >= 20 (Royston's
+    approximation of the p-value is fitted to n <= 5000)."""
     stats = F.broadcast(p.summary().where(F.col("column_name").isin(cols))
                         .select("column_name", "n", "mean", "min", "max"))
     pos = (p.ranked().join(stats, "column_name")
            .select("column_name", "n", "mean", "min", "max", F.col("value").alias("x"),
-                   F.explode(F.sequence(F.col("cum_before") + 1, F.col("cum_before") + F.col("cnt")))
-                   .alias("i")))
+                   (F.col("cum_before") + F.col("cnt")).alias("_to"),
+                   F.explode(F.sequence(F.col("cum_before") + 1, F.col("cum_before") + F.col("cnt"),
+                                        F.lit(POSITIONS_A_STEP).cast("long"))).alias("_from"))
+           .repartition("column_name", "_from")
+           .withColumn("i", F.explode(F.sequence("_from", F.least(
+               F.col("_from") + POSITIONS_A_STEP - 1, F.col("_to")))))
+           .drop("_from", "_to"))
     n = F.col("n").cast("double")
     j = F.least(F.col("i"), F.col("n") + 1 - F.col("i"))
     pos = ppf_stages(pos.withColumn("_pj", (j - 0.375) / (n + 0.25)), "_pj", "_mj")
@@ -112,10 +120,15 @@ def shapiro_statistics(p: NumericProfile, cols: list[str]) -> DataFrame:
 
 
 def distribution_analysis(df: DataFrame, columns: list[str] | None = None,
-                          config: ProfileConfig = DEFAULT, profile: NumericProfile | None = None
-                          ) -> DataFrame:
+                          config: ProfileConfig = DEFAULT, profile: NumericProfile | None = None,
+                          test: str = "auto") -> DataFrame:
     """D1s-D3s per column: ``column_name, distribution_type, is_normal,
-    normality_test, normality_test_statistic, normality_p_value`` (4 dp)."""
+    normality_test, normality_test_statistic, normality_p_value`` (4 dp).
+
+    ``test``: ``shapiro`` or ``ks`` at every n, or ``auto`` for the rule of the
+    data model (Shapiro-Wilk up to ``shapiro_max_n`` values, KS above)."""
+    if test not in ("auto", "shapiro", "ks"):
+        raise ValueError(f"no such normality test: {test}")
     cols = columns or numeric_columns(df)
     spark = df.sparkSession
     if not cols:
@@ -123,8 +136,9 @@ def distribution_analysis(df: DataFrame, columns: list[str] | None = None,
     p = profile if profile is not None and set(cols) <= set(profile.cols) else \
         NumericProfile(df, cols, config)
     counts = p.counts()
-    sw = [c for c in cols if config.min_distribution_n <= counts[c] <= config.shapiro_max_n]
-    ks = [c for c in cols if counts[c] > config.shapiro_max_n]
+    enough = [c for c in cols if counts[c] >= config.min_distribution_n]
+    sw = [c for c in enough if test == "shapiro" or test == "auto" and counts[c] <= config.shapiro_max_n]
+    ks = [c for c in enough if c not in sw]
     tests = None
     if sw:
         tests = shapiro_statistics(p, sw).withColumn("normality_test", F.lit("shapiro"))

@@ -36,13 +36,12 @@ def trend_series(df: DataFrame, ts: str, value: str, window: int = 7, d: int = 4
 def trend_fit(df: DataFrame, ts: str, value: str, d: int = 6) -> DataFrame:
     """``buckets, slope, intercept, r2, direction`` of daily means vs day index."""
     b = _buckets(df, ts, value)
-    first = b.agg(F.min("bucket").alias("_first"))
-    x = F.datediff(F.col("bucket"), F.col("_first")).cast("double")
-    j = b.join(F.broadcast(first.select("*", F.lit(1).alias("_k"))),
-               F.lit(1) == F.col("_k")).select(x.alias("x"), F.col("mean_value").alias("y"))
-    fit = j.agg(F.count(F.lit(1)).cast("long").alias("buckets"),
-                F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
-                F.regr_r2("y", "x").alias("r2"))
+    x, y = F.unix_date("bucket").cast("double"), F.col("mean_value")
+    # regression on the calendar day; the intercept then moves to the first day
+    fit = b.agg(F.count(F.lit(1)).cast("long").alias("buckets"), F.min(F.unix_date("bucket")).alias("_first"),
+                F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("_at0"),
+                F.regr_r2(y, x).alias("r2"))
+    fit = fit.withColumn("intercept", F.col("_at0") + F.col("slope") * F.col("_first"))
     return fit.select("buckets", rnd(F.col("slope"), d).alias("slope"),
                       rnd(F.col("intercept"), d).alias("intercept"), rnd(F.col("r2"), d).alias("r2"),
                       F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing")

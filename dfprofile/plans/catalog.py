@@ -203,7 +203,7 @@ def q_normality_ks(spark, sf):
 
 
 def q_normality_shapiro(spark, sf):
-    return D.distribution_analysis(load(spark, sf, "part"), PART_NUMERIC)
+    return D.distribution_analysis(load(spark, sf, "part"), PART_NUMERIC, test="shapiro")
 
 
 def q_distribution_sweep(spark, sf):
@@ -233,7 +233,67 @@ def q_scatter_points(spark, sf):
 def q_pairplot_sample(spark, sf):
     from ..operators.charts import pairplot_sample
     return pairplot_sample(load(spark, sf, "lineitem"), LINEITEM_NUMERIC,
-                           row_key=None).drop("_key")
+                           row_key=F.expr(LINEITEM_KEY)).drop("_key")
+
+
+# Documents with two more measures of length: both go with n_chars.
+DOC_SIZES = ["n_chars", "len_text", "doc_id"]
+
+
+def q_strong_correlations_documents(spark, sf):
+    df = load(spark, sf, "documents").selectExpr("n_chars", "length(text) AS len_text", "doc_id")
+    return R.strong_correlations(R.pearson_matrix(df, DOC_SIZES), DOC_SIZES)
+
+
+def q_outlier_sweep_events(spark, sf):
+    return _keys_str(OUT.outlier_sweep(load(spark, sf, "events"), EVENTS_NUMERIC, row_key="event_id"))
+
+
+# Quantity is there only where tax is zero, and is constant on the rows with a discount of 4 %.
+PAIR_CONSTANT_EXPRS = ["l_extendedprice", "l_tax",
+                       "CASE WHEN l_discount = 0.04 THEN 0.1 WHEN l_tax = 0 THEN l_quantity END AS odd",
+                       "CASE WHEN l_discount = 0.04 THEN l_quantity END AS some"]
+PAIR_CONSTANT = ["l_extendedprice", "l_tax", "odd", "some"]
+PAIR_CONSTANT_SQL = "(SELECT " + ", ".join(PAIR_CONSTANT_EXPRS) + " FROM lineitem)"
+
+
+def q_corr_pearson_pair_constant(spark, sf):
+    return R.correlation_matrix(load(spark, sf, "lineitem").selectExpr(*PAIR_CONSTANT_EXPRS), None, "pearson")
+
+
+# More numeric columns than any sweep used to take, the outliers in the last one.
+WIDE_EXPRS = [f"event_id + {i} AS c{i:02d}" for i in range(24)] + ["value"]
+WIDE = [f"c{i:02d}" for i in range(24)] + ["value"]
+WIDE_SQL = "(SELECT event_id, " + ", ".join(WIDE_EXPRS) + " FROM events)"
+
+
+def q_outliers_wide(spark, sf):
+    df = load(spark, sf, "events").selectExpr("event_id", *WIDE_EXPRS)
+    return _keys_str(OUT.outlier_sweep(df, WIDE, row_key="event_id"))
+
+
+def q_distribution_wide(spark, sf):
+    return D.distribution_sweep(load(spark, sf, "events").selectExpr(*WIDE_EXPRS), WIDE)
+
+
+# Keys beyond 2^53, where doubles no longer tell them apart.
+BIGKEYS_EXPRS = ["o_orderkey + 1152921504606846976 AS big_key",
+                 "CAST(1152921504606846977 AS BIGINT) AS same_key", "o_orderstatus"]
+BIGKEYS_SQL = "(SELECT " + ", ".join(BIGKEYS_EXPRS) + " FROM orders)"
+
+
+def q_constant_columns_bigkeys(spark, sf):
+    return Q.constant_columns(load(spark, sf, "orders").selectExpr(*BIGKEYS_EXPRS))
+
+
+NULL_STATS_EXPRS = ["l_quantity", "NULLIF(l_discount, 0.0) AS l_discount", "CAST(NULL AS DOUBLE) AS nothing",
+                    "CAST(7.5 AS DOUBLE) AS same"]
+NULL_STATS = ["l_quantity", "l_discount", "nothing", "same"]
+NULL_STATS_SQL = "(SELECT " + ", ".join(NULL_STATS_EXPRS) + " FROM lineitem)"
+
+
+def q_numeric_stats_nulls(spark, sf):
+    return numeric_stats(load(spark, sf, "lineitem").selectExpr(*NULL_STATS_EXPRS), NULL_STATS)
 
 
 def q_chart_plan(spark, sf):
@@ -404,6 +464,13 @@ QUERIES = {
     "numeric_stats_labels": q_numeric_stats_labels,
     "value_counts_roles": q_value_counts_roles,
     "full_report": q_full_report,
+    "strong_correlations_documents": q_strong_correlations_documents,
+    "outlier_sweep_events": q_outlier_sweep_events,
+    "corr_pearson_pair_constant": q_corr_pearson_pair_constant,
+    "outliers_wide": q_outliers_wide,
+    "distribution_wide": q_distribution_wide,
+    "constant_columns_bigkeys": q_constant_columns_bigkeys,
+    "numeric_stats_nulls": q_numeric_stats_nulls,
     "insight_context": q_insight_context,
 }
 
@@ -444,7 +511,7 @@ ORACLES = {
                         f"FROM {ORDERS_QUALITY_SQL} q) WHERE d = 1",
     "distribution_type": O.distribution_type_sql("lineitem", LINEITEM_NUMERIC),
     "normality_ks": O.distribution_sql("lineitem", LINEITEM_NUMERIC),
-    "normality_shapiro": O.distribution_sql("part", PART_NUMERIC),
+    "normality_shapiro": O.distribution_sql("part", PART_NUMERIC, sw_max=10 ** 12),
     "distribution_sweep": O.distribution_sql("customer", CUSTOMER_NUMERIC),
     "histogram": O.histogram_sql("orders", ORDERS_NUMERIC),
     "kde_curve": O.kde_sql("part", PART_NUMERIC),
@@ -463,6 +530,17 @@ ORACLES = {
     "schema_profile_pages": O.schema_profile_sql("pages", PAGES, "page_id"),
     "numeric_stats_labels": O.numeric_stats_sql("labels", LABELS_NUMERIC),
     "value_counts_roles": O.value_counts_sql("conversations", ["role"]),
+    "pairplot_sample": "SELECT " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in LINEITEM_NUMERIC[:4])
+                       + f" FROM lineitem ORDER BY md5(CAST({LINEITEM_KEY} AS VARCHAR) || ':42'), {LINEITEM_KEY} LIMIT 1000",
+    "strong_correlations_documents": O.strong_sql(O.pearson_raw_sql(
+        "(SELECT n_chars, length(text) AS len_text, doc_id FROM documents)", DOC_SIZES), DOC_SIZES),
+    "outlier_sweep_events": O.outliers_sql("events", EVENTS_NUMERIC, "event_id", "iqr", keep_positive=True),
+    "corr_pearson_pair_constant": O.pearson_sql(PAIR_CONSTANT_SQL, PAIR_CONSTANT),
+    "outliers_wide": O.outliers_sql(WIDE_SQL, WIDE, "event_id", "iqr", keep_positive=True),
+    "distribution_wide": O.distribution_sql(WIDE_SQL, WIDE),
+    "constant_columns_bigkeys": "SELECT 'same_key' AS column_name FROM (SELECT count(DISTINCT same_key) AS d "
+                                f"FROM {BIGKEYS_SQL} q) WHERE d = 1",
+    "numeric_stats_nulls": O.numeric_stats_sql(NULL_STATS_SQL, NULL_STATS),
     "trend_daily": O.trend_series_sql("events", "ts", "value"),
     "trend_fit": O.trend_fit_sql("events", "ts", "value"),
     "trend_seasonality": O.seasonality_sql("events", "ts", "value"),

@@ -422,11 +422,9 @@ i1 AS (SELECT * REPLACE (CASE WHEN i = nb THEN nb - 1 ELSE i END AS i) FROM i0),
 i2 AS (SELECT * REPLACE (CASE WHEN value < {edge('i')} THEN i - 1 ELSE i END AS i) FROM i1),
 i3 AS (SELECT * REPLACE (CASE WHEN value >= {edge('(i + 1)')} AND i != nb - 1 THEN i + 1 ELSE i END AS i) FROM i2),
 h0 AS (SELECT column_name, i, CAST(sum(cnt) AS BIGINT) AS "count" FROM i3 GROUP BY column_name, i),
-allbins AS (SELECT m2.column_name, r.i FROM m2, range(m2.nb) r(i) WHERE m2.nb <= 10000),
+allbins AS (SELECT m2.column_name, r.i FROM m2, range(m2.nb) r(i)),
 h1 AS (SELECT a.column_name, a.i, coalesce(h0."count", 0) AS "count" FROM allbins a
-         LEFT JOIN h0 ON a.column_name = h0.column_name AND a.i = h0.i
-       UNION ALL
-       SELECT h0.column_name, h0.i, h0."count" FROM h0 JOIN m2 USING (column_name) WHERE m2.nb > 10000),
+         LEFT JOIN h0 ON a.column_name = h0.column_name AND a.i = h0.i),
 h AS (SELECT h1.*, m2.n, m2.nb, m2.first, m2.last, m2.step FROM h1 JOIN m2 USING (column_name))
 SELECT column_name, i AS bin, round({edge('i')}, {d}) AS bin_start, round({edge('(i + 1)')}, {d}) AS bin_end,
        "count", round("count" / (n * ({edge('(i + 1)')} - {edge('i')})), {d + 2}) AS density
