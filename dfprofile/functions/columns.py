@@ -1,4 +1,4 @@
-"""Column helpers: type classes, NaN folding, rounding, safe division."""
+"""Column helpers: type classes, NaN folding, rounding."""
 
 from __future__ import annotations
 
@@ -22,10 +22,6 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
 
 
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-
-
 def numeric_text(v: Column) -> Column:
     """A text's number; digits with a type letter behind them (``1d``, ``4f``) are none."""
     return F.when(~v.rlike(r"[0-9.]\s*[dDfF]\s*$"), v.try_cast("double"))
@@ -57,11 +53,6 @@ def rnd(c: Column, digits: int = 4) -> Column:
     return F.round(c, digits)
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """Division that yields NULL on a zero or NULL denominator (ANSI safe)."""
-    return F.try_divide(a, b)
-
-
 def fields_of(df: DataFrame, names: list[str]) -> dict[str, T.DataType]:
     types = {f.name: f.dataType for f in df.schema.fields}
     return {n: types[n] for n in names}

@@ -236,9 +236,3 @@ def quantiles_from_ranked(ranked: DataFrame, counts: DataFrame,
         a, b, t = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_t")
         outs.append((a + (b - a) * t).alias(name))
     return agg.select(*outs)
-
-
-def mode_from_frequencies(freq: DataFrame) -> DataFrame:
-    """Most frequent value, smallest among ties; one partial aggregate."""
-    return freq.groupBy("column_name").agg(
-        F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("mode"))

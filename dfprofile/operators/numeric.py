@@ -129,12 +129,6 @@ class NumericProfile:
         return self._basic_rows
 
     # ---- per-column summary (k rows) ------------------------------------------
-    def _basic(self) -> DataFrame:
-        return self.freq().groupBy("column_name").agg(
-            F.sum("cnt").cast("long").alias("n"), F.count(F.lit(1)).alias("n_distinct"),
-            (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
-            F.min("value").alias("min"), F.max("value").alias("max"))
-
     def summary_rows(self) -> list:
         """One aggregate over the persisted ranked table: each row already
         carries its column's ``n_total`` and ``value_total``, so central moments

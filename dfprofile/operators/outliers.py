@@ -36,7 +36,7 @@ def _flag(method: str, cfg: ProfileConfig, value: Column) -> Column:
         # Population standard deviation (ddof = 0); a zero spread flags nothing.
         z = F.abs(value - F.col("mean")) / F.col("std_pop")
         return (F.col("std_pop") > 0) & (z > F.lit(cfg.zscore_threshold))
-    raise ValueError(f"Unknown outlier detection method: {method}")
+    raise ValueError(f"outlier method {method!r} is none of {METHODS}")
 
 
 def detect_outliers(df: DataFrame, columns: list[str] | None = None, method: str | None = None,
@@ -54,7 +54,7 @@ def detect_outliers(df: DataFrame, columns: list[str] | None = None, method: str
         from .iforest import isolation_forest_outliers
         return isolation_forest_outliers(df, columns, row_key, config, with_keys=with_keys)
     if method not in METHODS:
-        raise ValueError(f"Unknown outlier detection method: {method}")
+        raise ValueError(f"outlier method {method!r} is none of {METHODS}")
     cols = columns or numeric_columns(df)
     p = profile or NumericProfile(df, cols, config)
     b = F.broadcast(_bounds(p, method, config))

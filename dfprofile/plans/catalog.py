@@ -312,8 +312,8 @@ PART = [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("
 
 
 def q_csv_roundtrip(spark, sf):
-    """Write ``supplier`` as CSV into the shared checkpoint folder, load it
-    back through the validated, typed CSV path."""
+    """Write ``supplier`` as a folder of CSV files into the shared checkpoint
+    folder, load it back through the validated, typed CSV path."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
@@ -321,9 +321,8 @@ def q_csv_roundtrip(spark, sf):
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/csv-roundtrip-{uuid.uuid4().hex}"
-    load(spark, sf, "supplier").coalesce(1).write.option("header", True).csv(path)
-    files = [r[0] for r in spark.read.text(path).select(F.input_file_name()).distinct().collect()]
-    return load_csv(spark, files[0])
+    load(spark, sf, "supplier").repartition(4).write.option("header", True).csv(path)
+    return load_csv(spark, path)
 
 
 def q_head_sample(spark, sf):

@@ -26,9 +26,6 @@ from .chart_plan import chart_plan_rows
 # Analysis selectors.
 ANALYSES = ("descriptive", "correlation", "distribution", "outlier", "trend", "all")
 
-STATS_STRUCT = ("mean double, median double, std_dev double, min double, max double, "
-                "outliers bigint, skewness double, unique_count bigint, most_frequent string")
-
 
 class Profile:
     """Every column analysed by its semantic type; ``analyses`` selects
@@ -142,18 +139,20 @@ class Profile:
         types = self.facts.facts().select("column_name", "ord", F.col("data_type").alias("type"))
         ns = self.numeric_stats().select(
             "column_name", "mean", "median", "std_dev", "min", "max",
-            F.col("outlier_count").alias("outliers"), "skewness")
+            F.col("outlier_count").alias("outliers"), "skewness", "mode", "variance", "q1", "q3", "iqr", "kurtosis")
         j = types.join(F.broadcast(ns), "column_name", "left")
         cs = self.categorical_stats()
         if cs is not None:
-            j = j.join(F.broadcast(cs.select("column_name", "unique_count", "most_frequent")),
+            j = j.join(F.broadcast(cs.select("column_name", "unique_count", "most_frequent", "frequency")),
                        "column_name", "left")
         else:
             j = (j.withColumn("unique_count", F.lit(None).cast("bigint"))
-                 .withColumn("most_frequent", F.lit(None).cast("string")))
+                 .withColumn("most_frequent", F.lit(None).cast("string"))
+                 .withColumn("frequency", F.lit(None).cast("bigint")))
         return j.select("ord", F.col("column_name").alias("name"), "type",
                         F.struct("mean", "median", "std_dev", "min", "max", "outliers", "skewness",
-                                 "unique_count", "most_frequent").alias("stats"))
+                                 "unique_count", "most_frequent", "mode", "variance", "q1", "q3", "iqr",
+                                 "kurtosis", "frequency").alias("stats"))
 
     # ---- assembly ------------------------------------------------------------------
     def report(self, job_id: str | None = None) -> DataFrame:
@@ -194,6 +193,11 @@ class Profile:
             parts.append(arr(d, "distribution_analysis", ["ord"],
                              ["column_name", "distribution_type", "is_normal",
                               "normality_test_statistic", "normality_p_value"]))
+        top = self.top_categories()
+        if top is not None:
+            to = top.join(F.broadcast(self._order), "column_name")
+            parts.append(arr(to, "top_categories", ["ord", "rank"], ["column_name", "value", "count"]))
+        parts.append(self.quality().select(key, F.struct(*self.quality().columns).alias("data_quality")))
         v = self.chart_plan()
         if v is not None:
             parts.append(arr(v, "visualizations", ["plot_index"], ["viz_type", "title", "columns_used"]))

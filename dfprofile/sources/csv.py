@@ -43,13 +43,13 @@ class DataValidationError(FileValidationError):
     """Structural problem such as duplicate column names."""
 
 
-def _exists(spark: SparkSession, path: str) -> tuple[bool, bool]:
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file, folder or glob names anything."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return False, False
-    return True, fs.getFileStatus(hpath).isFile()
+    found = fs.globStatus(hpath)
+    return found is not None and len(found) > 0
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
@@ -145,7 +145,7 @@ def _raise_on(checks: list) -> None:
     if by["not_empty"][1] == "fail" or by["min_rows"][1] == "fail":
         raise InsufficientData(by["min_rows"][2])
     if by["duplicate_names"][1] == "fail":
-        raise DataValidationError(f"Duplicate column names found: {by['duplicate_names'][2]}")
+        raise DataValidationError(f"repeated column names: {by['duplicate_names'][2]}")
 
 
 def head_sample(df: DataFrame, n: int, row_key: str | None = None) -> DataFrame:
@@ -157,21 +157,20 @@ def head_sample(df: DataFrame, n: int, row_key: str | None = None) -> DataFrame:
 
 def load_csv(spark: SparkSession, path: str, sample_size: int | None = None,
              config: ProfileConfig = DEFAULT, typed: bool = True) -> DataFrame:
-    """Validated, typed DataFrame from a CSV file with a header.
+    """Validated, typed DataFrame from a CSV file with a header, or from a
+    folder or glob of files with the same header.
 
     Raises ``FileValidationError`` (or a subclass) like the reference: missing
-    path, not a file, too many columns, too few rows, duplicate names.
+    path, too many columns, too few rows, duplicate names.
     ``sample_size`` keeps the first rows of the file (S2); ``max_rows`` in the
     config truncates whenever set (S3, D13).
     """
     try:
-        exists, is_file = _exists(spark, path)
+        exists = _exists(spark, path)
     except Exception as e:  # noqa: BLE001
-        raise FileValidationError(f"Failed to access {path}: {e}") from e
+        raise FileValidationError(f"cannot look at {path}: {e}") from e
     if not exists:
-        raise FileValidationError(f"File not found: {path}")
-    if not is_file:
-        raise FileValidationError(f"Path is not a file: {path}")
+        raise FileValidationError(f"nothing at {path}")
     try:
         header = read_header(spark, path)
         if len(header) > config.max_columns:
@@ -186,4 +185,4 @@ def load_csv(spark: SparkSession, path: str, sample_size: int | None = None,
     except FileValidationError:
         raise
     except Exception as e:  # noqa: BLE001
-        raise FileValidationError(f"Failed to load CSV: {e}") from e
+        raise FileValidationError(f"cannot read {path} as CSV: {e}") from e
