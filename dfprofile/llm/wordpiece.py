@@ -1,6 +1,6 @@
 """Token counts by a linear longest-match automaton.
 
-The vocabulary is a trie over the characters of a word and an end sign.  Greedy longest-match would
+The vocabulary is a trie over the UTF-8 bytes of a word and an end sign.  Greedy longest-match would
 restart after each piece; here every trie node has a failure link, the node that is reached when the
 longest pieces of the text up to the node are cut off, and the number of pieces that cutting pops,
 both computed once.  Reading a word follows an edge, or else adds the popped count and follows the
@@ -32,15 +32,15 @@ END = "\n"  # the end sign: no word holds white space
 
 
 class Automaton:
-    """Trie with failure links.  ``vocabulary``: pieces over characters, those that may end a word
-    with ``END`` behind them."""
+    """Trie with failure links.  ``vocabulary``: pieces, those that may end a word with ``END`` behind
+    them; bytes that are no whole characters stand as in Python's ``surrogateescape``."""
 
     def __init__(self, vocabulary: list[str]) -> None:
-        self.edges: list[dict[str, int]] = [{}]
+        self.edges: list[dict[int, int]] = [{}]
         piece = [False]
         for token in vocabulary:
             at = 0
-            for c in token:
+            for c in token.encode("utf-8", "surrogateescape"):
                 nxt = self.edges[at].get(c)
                 if nxt is None:
                     nxt = self.edges[at][c] = len(self.edges)
@@ -67,7 +67,7 @@ class Automaton:
     def count(self, word: str) -> int:
         """Pieces of greedy longest-match; 1 if the word cannot be spelt."""
         edges, fail, pops, at, n = self.edges, self.fail, self.pops, 0, 0
-        for c in word + END:
+        for c in (word + END).encode():
             nxt = edges[at].get(c)
             while nxt is None:
                 n += pops[at]
@@ -98,7 +98,7 @@ class Counts(dict):
 
 def vocabulary(path: str, end: str = "</w>") -> list[str]:
     """Pieces of a tokenizers file whose words carry an end mark and whose characters stand for
-    bytes, in plain characters; pieces that are no whole characters are left out."""
+    bytes, in plain characters; bytes that are no whole characters as in ``surrogateescape``."""
     with open(path, encoding="utf-8") as f:
         tokens = json.load(f)["model"]["vocab"]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
@@ -107,10 +107,7 @@ def vocabulary(path: str, end: str = "</w>") -> list[str]:
     out = []
     for t in tokens:
         body, last = (t[:-len(end)], END) if t.endswith(end) else (t, "")
-        try:
-            out.append(bytes(byte[c] for c in body).decode() + last)
-        except (KeyError, UnicodeDecodeError):
-            continue
+        out.append(bytes(byte[c] for c in body).decode("utf-8", "surrogateescape") + last)
     return out
 
 

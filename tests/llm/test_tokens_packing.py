@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter
@@ -126,3 +127,32 @@ def test_token_counts(spark, edge_docs):
     got = Counter((r.doc_id, r.n_words, r.n_tokens) for r in wordpiece.token_counts(edge_docs, path).collect())
     words = [(r.doc_id, (r.text or "").lower().split()) for r in edge_docs.collect()]
     assert got == Counter((i, len(w), sum(greedy(vocab, x) for x in w)) for i, w in words)
+
+
+def byte_pieces(path):
+    """Every piece of the file as bytes, and those that end a word; byte 10 stands for the end too."""
+    with open(path, encoding="utf-8") as f:
+        pieces = json.load(f)["model"]["vocab"]
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    byte = {chr(b if b in plain else next(other)): b for b in range(256)}
+    return {bytes(byte[c] for c in t.removesuffix("</w>")) + b"\n" * t.endswith("</w>") for t in pieces}
+
+
+def test_token_counts_read_all_byte_pieces(spark, make_docs):
+    path = public_tokenizers.path(FILES[1])
+    vocab = byte_pieces(path)
+    assert len(wordpiece.vocabulary(path)) == len(set(wordpiece.vocabulary(path))) == len(vocab) == 49406
+
+    def count(word):
+        word, n, i = word.encode() + b"\n", 0, 0
+        while i < len(word):
+            i = next(j for j in range(len(word), i, -1) if word[i:j] in vocab)
+            n += 1
+        return n
+    words = ["größe", "straße", "日本語の文章", "龘靐齉", "언어", "щёлк", "ѣ", "🦤", "naïve", "ꙮ", "plain"]
+    assert (count("größe"), count("straße")) == (5, 4)
+    rows = [(i, w) for i, w in enumerate(words)] + [(50, " ".join(words))]
+    got = {r.doc_id: r.n_tokens for r in wordpiece.token_counts(make_docs(rows), path).collect()}
+    assert got == {i: count(w) for i, w in enumerate(words)} | {50: sum(map(count, words))}
+    assert wordpiece.token_counts(make_docs([(1, "龘" * 500)]), path).first().n_tokens == count("龘" * 500) >= 500
