@@ -3,14 +3,14 @@
 Words are runs of letters and digits, lower-cased.  A CGK walk reads a window of words with a pointer
 that stays or moves by a random bit of (step, word), so it maps edit distance to Hamming distance:
 walks over windows that differ by few edits fall in step again.  An LSH key is a sample of the
-walk's steps; each of ``tables`` repetitions has its own walk and sample.
+walk's steps.
 
-Windows start at every word of every benchmark item (if they end in it) and at every ``stride``-th
-word of a document, whatever its length, so a passage of an item meets the index at each of its
-windows that starts on the stride, in each table.  A passage of m words has about m / stride such
-windows; it is missed only if edits hit the sampled words of all of them in all tables.  Measured on
-items of 15 to 59 words: all exact ones and those with half of the allowed edits are found, 98 % of
-all with random edits up to the limit.
+Items are dealt to tables by their size, and a table's walks end after as many words as any match
+of its items must hold unedited in a row: k edits cut an item of m words into k + 1 stretches, of
+which one has (m - k) / (k + 1) words or more (at 20 %: four words of nearly every item of 12 words
+or more, two or three of shorter ones, all of those of up to four).  Windows start at every word of
+items and documents, so the windows of that stretch are the same words and have the same key: each
+match within the limit meets the index, and no repetitions with other walks are needed.
 
 A collision proposes an alignment; the whole item is then compared with that stretch of the document
 by exact edit distance over words (the item's ends are fixed, the stretch's are free), and a document
@@ -39,8 +39,10 @@ from pyspark.sql import functions as F
 from dfprofile.llm.common import checked, cut, fresh, load, pieces, text_bytes
 
 MOST_WORDS = 2_000_000
-WALK = 15  # steps of a walk
-SAMPLE = 10  # of them in a key
+LONGEST = 8  # words of a window, at most
+STEPS = 3  # of a walk, for each word of its window
+SAMPLE = 0.8  # share of the steps in a key
+MOST_HITS = 1 << 20  # collisions held at once, about
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Letters and digits stay (upper case lowered, bytes of other scripts too), all else is a border.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256))
@@ -59,16 +61,28 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[coded.indices.to_numpy()[full]], rows
 
 
-def walk_keys(words: np.ndarray, starts: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
-    """LSH key of the walk from each of ``starts``, and where the walk ended.  Words of different
-    texts stand in a row; a walk that leaves its text reads on, which costs a comparison at most."""
-    rng = np.random.default_rng(1000 + table)
-    sampled = set(rng.permutation(WALK)[:SAMPLE].tolist())
-    padded = np.append(words, np.zeros(WALK, np.uint64))
-    bits, one = K1 + np.uint64(2 * table), np.uint64(1)
-    at, key = starts.copy(), np.full(len(starts), table + 1, np.uint64)
-    for step in range(WALK):
+def most_edits(size: int, similarity: float) -> int:
+    """Edits allowed in an item of ``size`` words."""
+    return int((1 - similarity) * size + 1e-9)
+
+
+def window(size: int, similarity: float) -> int:
+    """Words that any match of an item of ``size`` words holds unedited in a row."""
+    edits = most_edits(size, similarity)
+    return max(1, min(LONGEST, -(-(size - edits) // (edits + 1))))
+
+
+def walk_keys(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """LSH key of the walk over the ``width`` words from each of ``starts``; a walk that has passed
+    them stays behind them and reads nothing."""
+    rng = np.random.default_rng(1000 + width)
+    sampled = set(rng.permutation(STEPS * width)[:round(SAMPLE * STEPS * width)].tolist())
+    padded = np.append(words, np.uint64(0))
+    bits, one = K1 + np.uint64(2 * width), np.uint64(1)
+    at, end, key = starts.copy(), starts + width, np.full(len(starts), width, np.uint64)
+    for step in range(STEPS * width):
         here = padded.take(at)
+        here *= at < end
         if step in sampled:
             key ^= here
             key *= K2
@@ -77,49 +91,46 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, table: int) -> tuple[np.nda
         here >>= np.uint64(17 + step)
         here &= one
         at += here.view(np.int64)
-    return key, at
+    return key
 
 
 class Index:
-    """LSH tables over all windows of the items."""
+    """LSH tables over all windows of the items, by the width of the windows."""
 
-    def __init__(self, items: list[tuple[int, bytes]], tables: int) -> None:
+    def __init__(self, items: list[tuple[int, bytes]], similarity: float) -> None:
         self.ids = [i for i, _ in items]
         self.words, self.rows = _words([t for _, t in items])
         size = np.diff(self.rows)
+        self.item = np.repeat(np.arange(len(items)), size)
+        width = np.array([window(n, similarity) for n in size.tolist()], np.int64)[self.item]
         starts = np.arange(len(self.words))
-        item = np.repeat(np.arange(len(items)), size)
-        self.keys, self.at = [], []
-        for t in range(tables):
-            keys, end = walk_keys(self.words, starts, t)
-            whole = (end <= self.rows[1:][item]) | (starts == self.rows[:-1][item])
-            order = np.argsort(keys[whole], kind="stable")
-            self.keys.append(keys[whole][order])
-            self.at.append(starts[whole][order])
-        self.item = item
-
-    def candidates(self, words: np.ndarray, rows: np.ndarray, stride: int) -> np.ndarray:
+        fits = starts + width <= self.rows[1:][self.item]
+        self.tables = {}
+        for w in np.unique(width).tolist():
+            at = starts[fits & (width == w)]
+            keys = walk_keys(self.words, at, w)
+            order = np.argsort(keys, kind="stable")
+            self.tables[w] = keys[order], at[order]
+
+    def candidates(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Distinct (text, item, start of the item in the words of the text) that collide."""
-        size = np.diff(rows)
-        text = np.repeat(np.arange(len(size)), size)
-        starts = np.arange(len(words))
-        on = (starts - rows[:-1][text]) % stride == 0
-        starts, text = starts[on], text[on]
+        text = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+        left = rows[1:][text] - np.arange(len(words))
         found = []
-        for t, (keys, at) in enumerate(zip(self.keys, self.at)):
-            if not len(keys):
-                continue
-            k, _ = walk_keys(words, starts, t)
+        for width, (keys, at) in self.tables.items():
+            starts = np.flatnonzero(left >= width)
+            k = walk_keys(words, starts, width)
             lo = np.searchsorted(keys, k)
             hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == k)
-            if not len(hit):
-                continue
-            lo = lo[hit]
+            starts, lo = starts[hit], lo[hit]
             n = np.searchsorted(keys, k[hit], "right") - lo
-            place = at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            hit = np.repeat(hit, n)
-            item = self.item[place]
-            found.append(np.stack([text[hit], item, starts[hit] - rows[:-1][text[hit]] - (place - self.rows[:-1][item])]))
+            ends = np.cumsum(n)
+            for some in np.split(np.arange(len(n)), np.flatnonzero(np.diff(ends // MOST_HITS)) + 1):
+                m = n[some]
+                place = at[np.repeat(lo[some], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                here, item = np.repeat(starts[some], m), self.item[place]
+                begin = here - rows[:-1][text[here]] - (place - self.rows[:-1][item])
+                found.append(np.unique(np.stack([text[here], item, begin]), axis=1))
         return np.unique(np.concatenate(found, axis=1), axis=1).T if found else np.zeros((0, 3), np.int64)
 
 
@@ -141,14 +152,14 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(begin[end]), end
 
 
-def _matches(index: Index, texts: list[bytes], stride: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
+def _matches(index: Index, texts: list[bytes], similarity: float) -> list[tuple[int, int, int, int, int]]:
     """Text number, item number, distance, first word and number of words of each match."""
     words, rows = _words(texts)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     done: dict[tuple[int, int], int] = {}
-    for text, item, at in index.candidates(words, rows, stride).tolist():
+    for text, item, at in index.candidates(words, rows).tolist():
         own = index.words[index.rows[item]:index.rows[item + 1]]
-        edits = int((1 - similarity) * len(own) + 1e-9)
+        edits = most_edits(len(own), similarity)
         if at - done.get((text, item), at - edits - 1) <= 0:
             continue  # compared already
         lo = max(0, at - 2 * edits)
@@ -162,8 +173,7 @@ def _matches(index: Index, texts: list[bytes], stride: int, similarity: float) -
     return [(*k, *v) for k, v in best.items()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, tables: int = 3,
-                  stride: int = 3) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, item_id, distance (words), item_words, first_word, n_words for each benchmark item
     found in a document."""
     spark = docs.sparkSession
@@ -177,12 +187,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         some = [(r[0], bytes(r[1])) for r in some.collect()]  # MOST_WORDS words, about
         some = sorted((x for x in some if re.search(rb"[^ ]", x[1].translate(WORD_BYTES))), key=str)
-        index = spark.sparkContext.broadcast(Index(some, tables))
+        index = spark.sparkContext.broadcast(Index(some, similarity))
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             known = index.value
             for b in pieces(batches, "text"):
-                found = _matches(known, b.column("text").to_pylist(), stride, similarity) if known.ids else []
+                found = _matches(known, b.column("text").to_pylist(), similarity) if known.ids else []
                 ids = b.column("doc_id").to_pylist()
                 rows = [(ids[t], known.ids[i], d, int(known.rows[i + 1] - known.rows[i]), a, n) for t, i, d, a, n in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows)) or [[]] * 6],

@@ -182,3 +182,43 @@ def test_contamination_recall(spark, make_docs, edge_docs, empty_docs):
     assert decontaminate.contamination(edge_docs, none).count() == 0
     assert decontaminate.without_benchmark(edge_docs, bench).count() == 10
     assert decontaminate.contamination(empty_docs, bench).count() == 0
+
+
+def test_contamination_finds_every_item_at_the_limit(spark, make_docs):
+    """Items of 1 to 40 words, exact and with exactly the allowed edits, mixed: all are found."""
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(5000)]
+    items = {n * 10 + k: rng.sample(vocab, n) for n in range(1, 41) for k in range(6)}
+    rows, want = [], {}
+    for item, own in items.items():
+        for edits in {0, len(own) // 5}:
+            w = list(own)
+            for e in range(edits):
+                at, kind = rng.randrange(len(w)), rng.choice("sid")
+                w[at:at + (kind != "i")] = [] if kind == "d" else [f"x{e}"]
+            body = [f"y{rng.randrange(300)}" for _ in range(rng.randint(0, 7))]
+            want[len(rows)] = item, plain_distance(own, w)
+            rows.append((len(rows), " ".join([*body, *w, *body[::-1]])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contamination(make_docs(rows), bench).collect()}
+    missed = [(len(items[i]), d) for doc, (i, d) in want.items() if got.get((doc, i), 99) > d]
+    assert not missed, Counter(missed)
+
+
+def test_contamination_equals_brute_force(monkeypatch):
+    """Few distinct words, so that keys collide often; collisions in many parts."""
+    monkeypatch.setattr(decontaminate, "MOST_HITS", 7)
+    rng = random.Random(13)
+    for similarity in (0.6, 0.8, 1.0):
+        text = lambda lo, hi: " ".join(rng.choice("abcd") for _ in range(rng.randint(lo, hi)))
+        items, texts = [(i, text(1, 11).encode()) for i in range(25)], [text(0, 25) for _ in range(20)]
+        index = decontaminate.Index(items, similarity)
+        got = {(t, i): d for t, i, d, _, _ in decontaminate._matches(index, [t.encode() for t in texts], similarity)}
+        want = {}
+        for t, words in enumerate(x.split() for x in texts):
+            for i, own in items:
+                own = own.decode().split()
+                d = min(plain_distance(own, words[a:b]) for a in range(len(words) + 1) for b in range(a, len(words) + 1))
+                if d <= decontaminate.most_edits(len(own), similarity):
+                    want[t, i] = d
+        assert got == want
