@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dfprofile.llm.common import cut, fresh, load, pieces
+from dfprofile.llm.common import cut, drop_stash, fresh, load, pieces, stash
 
 BUCKETS = 1 << 20
 EDGE = ".,;:!?*&%$#@|-_=+~^'\"()[]{}<>/\\"
@@ -82,20 +82,15 @@ class Model:
     def __init__(self, share: bool) -> None:
         self.share, self.w, self.b, self.base = share, np.zeros(BUCKETS), 0.0, 0.0
 
+    def values(self, doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        return _scale(doc, value, n) if self.share else np.ones(len(value))
+
     def logit(self, doc: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-        value = _scale(doc, value, n) if self.share else np.ones(len(value))
-        return self.b + np.bincount(doc, value * self.w[feature], n)
+        return self.b + np.bincount(doc, self.values(doc, value, n) * self.w[feature], n)
 
     def fit(self, doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, steps: int = 200) -> None:
-        if not len(y) or y.min() == y.max():
-            return
-        n = len(y)  # the sample is held in 32-bit arrays
-        seen = np.bincount(feature, minlength=BUCKETS)
-        expected = seen * y.mean()
-        z = (np.bincount(feature[y[doc] == 1], minlength=BUCKETS) - expected) / np.sqrt(np.maximum(expected * (1 - y.mean()), 1e-9))
-        keep = ((seen >= 4) & (np.abs(z) >= 4))[feature]  # features that go with the class
-        value = (_scale(doc, value, n) if self.share else np.ones(len(value), np.float32))[keep]
-        doc, feature = doc[keep], feature[keep]
+        """``feature`` and ``value``: the features that go with the class, as ``values`` gives them."""
+        n = len(y)
         self.base = self.b = math.log(y.mean() / (1 - y.mean()))
         m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
         for t in range(1, steps + 1):
@@ -110,8 +105,19 @@ class Model:
         self.w = self.w.astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> dict[str, Model]:
-    """Models of ``quality`` and ``toxic`` from up to ``max_rows`` labelled documents."""
+def _telling(known: DataFrame, n: int, ones: int) -> DataFrame:
+    """Features that go with the class ``y`` of the ``n`` rows, ``ones`` of which are of class 1."""
+    seen = known.select("y", F.explode("feature").alias("feature")).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("seen"), F.count(F.when(F.col("y") == 1, 1)).alias("hits"))
+    mean = ones / n
+    expected = F.col("seen") * F.lit(mean)
+    z = (F.col("hits") - expected) / F.sqrt(F.greatest(expected * F.lit(1 - mean), F.lit(1e-9)))
+    return seen.where((F.col("seen") >= 4) & (F.abs(z) >= 4)).select("feature")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> dict[str, Model]:
+    """Models of ``quality`` and ``toxic`` from up to ``max_rows`` labelled documents.  Features are
+    counted by class in grouped aggregations; only those that go with a class reach the driver."""
     rows = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic")
     rows = rows.orderBy(F.xxhash64("id"), "quality", "toxic").limit(max_rows)  # the sample
     rows = (docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
@@ -125,17 +131,32 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> dict[str,
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("quality").cast(pa.int32()), b.column("toxic").cast(pa.int32()), *lists],
                                              names=["id", "quality", "toxic", "feature", "value"])
 
-    got = rows.mapInArrow(extract, "id long, quality int, toxic int, feature array<int>, value array<float>").toArrow()
-    got = got.sort_by([("id", "ascending")]).combine_chunks()
+    sample = stash(rows.mapInArrow(extract, "id long, quality int, toxic int, feature array<int>, value array<float>"), "features")
     out = {}
     for name, share in (("quality", True), ("toxic", False)):
-        known = got.filter(pc.is_valid(got[name])).combine_chunks()
         model = out[name] = Model(share)
-        if known.num_rows:
-            size = pc.list_value_length(known["feature"]).to_numpy()
-            doc = np.repeat(np.arange(known.num_rows, dtype=np.int32), size)
-            model.fit(doc, pc.list_flatten(known["feature"]).to_numpy(), pc.list_flatten(known["value"]).to_numpy(),
-                      known[name].to_numpy().astype(float))
+        known = sample.where(F.col(name).isNotNull()).select("id", F.col(name).alias("y"), "feature", "value")
+        total = known.agg(F.count("y").alias("n"), F.sum("y").alias("ones"), F.min("y").alias("lo"), F.max("y").alias("hi")).first()
+        if total["lo"] == total["hi"]:
+            continue
+        telling = np.sort([r[0] for r in _telling(known, total["n"], total["ones"]).collect()]).astype(np.int32)
+
+        def pick(batches: Iterator[pa.RecordBatch], model=model, telling=telling) -> Iterator[pa.RecordBatch]:
+            for b in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+                size = pc.list_value_length(b.column("feature")).to_numpy()
+                doc, feature = np.repeat(np.arange(b.num_rows), size), pc.list_flatten(b.column("feature")).to_numpy()
+                value = model.values(doc, pc.list_flatten(b.column("value")).to_numpy(), b.num_rows)
+                keep = np.isin(feature, telling)
+                cuts = pa.array(np.searchsorted(doc[keep], np.arange(b.num_rows + 1)).astype(np.int32))
+                lists = (pa.ListArray.from_arrays(cuts, pa.array(x[keep])) for x in (feature, value))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *lists], names=["id", "y", "feature", "value"])
+
+        got = known.mapInArrow(pick, "id long, y int, feature array<int>, value array<double>").toArrow()
+        got = got.sort_by([("id", "ascending")]).combine_chunks()
+        doc = np.repeat(np.arange(got.num_rows, dtype=np.int32), pc.list_value_length(got["feature"]).to_numpy())
+        model.fit(doc, pc.list_flatten(got["feature"]).to_numpy(), pc.list_flatten(got["value"]).to_numpy(),
+                  got["y"].to_numpy().astype(float))
+    drop_stash(sample)
     return out
 
 
@@ -185,7 +206,7 @@ def site_rates(scored: DataFrame, models: dict[str, Model]) -> DataFrame:
     return cut(paths.select(F.col("host_").alias("site"), F.col("path_").alias("part"), "q_host", "t_host", "q_rate", "t_rate"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_rows: int = 6000,
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_rows: int = 12_000,
              carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, host, path, host_quality, path_quality, quality, toxic (posteriors), keep."""
     models = train(docs, labels, max_rows)

@@ -1,6 +1,8 @@
+import inspect
 import zlib
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 
 import __spark_entry__ as entry
@@ -58,6 +60,30 @@ def test_quality_keeps_clean_and_drops_bad(spark, edge_docs, empty_docs):
     assert {(r.quality, r.toxic, r.keep) for r in quality.classify(edge_docs, none).collect()} == {(0.5, 0.0, True)}
 
 
+def test_only_features_that_go_with_the_class_reach_the_driver(spark, monkeypatch):
+    assert inspect.signature(quality.train).parameters["max_rows"].default == 12_000
+    assert inspect.signature(quality.classify).parameters["max_rows"].default == 12_000
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.selectExpr("doc_id", "quality", "if(doc_id % 7 = 0, null, toxic) AS toxic")
+    held, fit = [], quality.Model.fit
+    monkeypatch.setattr(quality.Model, "fit", lambda self, *a, **k: (held.append((self.share, *a)), fit(self, *a, **k)))
+    models = quality.train(docs, labels)
+    rows = docs.join(labels, "doc_id").where("text is not null").orderBy("doc_id").toArrow().combine_chunks()
+    assert rows.num_rows > 100
+    for share, doc, feature, value, y in held:
+        name = "quality" if share else "toxic"
+        known = rows.filter(pc.is_valid(rows[name])).combine_chunks()
+        d, f, v = quality.counts(known["text"].combine_chunks())
+        v, want = v.astype(np.float32), known[name].to_numpy()
+        seen, hits = np.bincount(f, minlength=quality.BUCKETS), np.bincount(f[want[d] == 1], minlength=quality.BUCKETS)
+        z = (hits - seen * want.mean()) / np.sqrt(np.maximum(seen * want.mean() * (1 - want.mean()), 1e-9))
+        keep = ((seen >= 4) & (np.abs(z) >= 4))[f]
+        assert y.tolist() == want.tolist() and 0 < keep.sum() < len(f)
+        assert doc.tolist() == d[keep].tolist() and feature.tolist() == f[keep].tolist()
+        assert np.allclose(value, models[name].values(d, v, len(y))[keep])
+    assert len(held) == 2
+
+
 def test_shrinkage_follows_site_size(spark):
     rows = [("a", 1000, 900.0), ("b", 1000, 100.0), ("c", 2, 2.0), ("d", 500, 400.0)]
     rates = spark.createDataFrame(rows, "host_ string, n long, q double")
