@@ -1,17 +1,18 @@
-"""Removal of repeated byte strings, by bucket-pointer refinement of the corpus's suffixes.
+"""Removal of repeated byte strings, by doubled hashes at window minima.
 
-The bucket of a position is an identifier of the bytes behind it.  Identifiers of single bytes are
-combined to those of 2, 4, ... bytes: the identifier of 2k bytes at p comes from the identifiers of
-k bytes at p and at p + k, so each level reuses the last one's buckets at later offsets.  At 200
-bytes, positions in one bucket start equal strings.  Identifiers follow from the bytes alone (64
-bits), so buckets need no exchange of pointers between machines; refinement is pruned like this:
+The identifier of a string is a 64-bit hash that follows from its bytes alone: identifiers of single
+bytes are combined to those of 2, 4, ... bytes, that of 2k bytes at p from those of k bytes at p and
+at p + k.  Positions with one identifier of 200 bytes start equal strings.  This is not the
+bucket-pointer refinement of suffixes: no bucket is refined by sorting on the buckets of later
+offsets, and levels are not kept from one step to the next.
 
-1. The initial buckets are those of 64-byte strings, entered only at the positions that are the first
-   least (by identifier) in some 200-byte window; equal windows have it at the same place.
+1. Buckets are those of 64-byte strings, entered only at the positions that are the first least (by
+   identifier) in some 200-byte window; equal windows have it at the same place.
    Buckets with one position leave: no window around it repeats.
-2. Around each position left, the windows for which it is the least are refined in its bucket by
-   doubling up to 200 bytes; windows whose last bucket holds two positions repeat.  Buckets of very
-   common strings are not gathered but counted window by window, pre-aggregated.
+2. Around each position left, the windows for which it is the least get their identifiers anew from
+   single bytes and are sorted on them once; windows with an identifier that two positions have
+   repeat.  Buckets of very common strings are not gathered but counted window by window,
+   pre-aggregated.
 
 Equal texts are one node; each of them, of 200 bytes or more, is a repeat as a whole.
 
