@@ -9,7 +9,7 @@ query and of the unseen remainders around their middle.  A vector leaves when it
 bound is below the k-th best lower bound: never without this proof.  Those left are rescored exactly.
 
 Vectors are indexed in blocks of ``block_rows``; each block of queries meets each block of vectors
-once, and a task holds one pair of blocks.  That work, queries times vectors, is the search itself.
+once, in the task that its salt is dealt to.  That work, queries times vectors, is the search itself.
 
 Defined results: vectors null, or with null or non-finite components, take no part; only vectors of
 the query's length are compared; an empty vector scores 0; ties go to the smaller id; a repeated id
@@ -140,10 +140,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
                     [pa.array(np.concatenate([f[j] for f in found]), pa.int64()) for j in range(3)],
                     names=["query_id", "vec_id", "score"])
 
-    # each block of queries meets each block of vectors of its length, once
+    # each block of queries meets each block of vectors of its length, once: the blocks of vectors
+    # are dealt over salts, those of queries are copied to each, and pairs are scored where they meet
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = rows.join(asks, "dim").repartition(parts)
-    hits = pairs.mapInArrow(score, "query_id long, vec_id long, score long")
+    salts = max(1, min(parts, rows.count()))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+    asks = asks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hits = rows.join(asks, ["dim", "salt"]).mapInArrow(score, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -69,3 +69,17 @@ def test_topk_equals_brute_force(spark, block):
 def test_topk_empty(spark):
     v = topk.integer_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.search(v, v).count() == 0
+
+
+def test_topk_deals_blocks_of_one_length_over_partitions(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(0, 0.4, 4).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    v = topk.integer_vectors(df)
+    found = topk.search(v, v.where("vec_id % 50 = 0"), block_rows=10, query_rows=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan and "RoundRobin" not in plan  # full blocks are shuffled once
+    joins = [x for x in plan.split("\n") if "hashpartitioning(dim" in x]
+    assert joins and all("salt" in x for x in joins), plan
+    want = brute([(r.vec_id, r.embedding) for r in df.collect()], 5)
+    assert Counter((r.query_id, r.vec_id, r.score) for r in found.collect()) == Counter(
+        (q, i, x) for q, best in want.items() for i, x in best)
