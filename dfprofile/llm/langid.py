@@ -157,7 +157,10 @@ def train(docs: DataFrame, max_docs: int = 400, max_runs: int = 8000) -> Network
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
     known = known.withColumn("k", F.xxhash64("text")).withColumn("r", first("k")).where(F.col("r") <= max_docs)
     runs = known.select("lang", F.explode(F.split("text", r"[\s]+")).alias("run")).where(F.col("run").rlike(r"\p{L}"))
-    runs = runs.select("lang", F.col("run").cast("binary").substr(1, RUN).alias("run")).groupBy("lang", "run").count()
+    runs = runs.select("lang", F.col("run").cast("binary").alias("run"))
+    starts = F.sequence(F.lit(0), F.floor((F.octet_length("run") - 1) / RUN).cast("int"))  # as predict() reads them
+    stretches = F.transform(starts, lambda i: F.col("run").substr(i * RUN + 1, F.lit(RUN)))
+    runs = runs.select("lang", F.explode(stretches).alias("run")).groupBy("lang", "run").count()
     runs = runs.withColumn("k", F.xxhash64("run", "lang")).withColumn("r", first("k")).where(F.col("r") <= max_runs)
     rows = sorted((r[0], bytes(r[1])) for r in runs.select("lang", "run").collect())  # max_runs a language
     if not rows:

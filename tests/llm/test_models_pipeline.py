@@ -46,6 +46,21 @@ def test_held_out_accuracy_and_edges(spark, edge_docs, empty_docs):
     assert {r.lang_pred for r in langid.predict(edge_docs, None).collect()} == {"und"}
 
 
+def test_training_reads_all_stretches_of_a_run(spark, make_docs, monkeypatch):
+    held = []
+    monkeypatch.setattr(langid.Network, "fit", lambda self, runs, label: held.extend(zip(runs, label.tolist())))
+    long, dots = "".join(chr(0x4E00 + i) for i in range(30)), "abc" + "." * 50
+    rows = [(i, f"{long} short {'x' * 24} 12 {dots}", "zh", "s", 1) for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    net = langid.train(make_docs(rows))
+    words = [w.encode() for w in (long, "short", "x" * 24, dots)]
+    assert net.labels == ["zh"] and sorted(r for r, _ in held) == sorted(
+        {w[a:a + langid.RUN] for w in words for a in range(0, len(w), langid.RUN)})
+    few = len(held) - 2
+    held.clear()
+    langid.train(make_docs(rows), max_runs=few)
+    assert len(held) == few
+
+
 def test_quality_keeps_clean_and_drops_bad(spark, edge_docs, empty_docs):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
