@@ -17,7 +17,7 @@ rounds: a toxic document's witnesses are its sentences that the last round finds
 The sample: up to ``max_docs`` labelled documents by hash order, one of near copies, and of each up to ``max_sentences``
 sentences with the most likeness to landmarks.  Scoring reads whole texts.
 
-Defined results: null and empty texts have no sentence and get the score of one without features;
+Defined results: null and empty texts are one sentence without features;
 null and repeated ids keep a row each, a null id counts as the empty text when folds are dealt; of a
 document's differing labels the highest counts, others than 0 and 1 are left out; if nothing can be
 learned all scores are 0; an empty table gives no rows; other columns are ignored.
