@@ -26,12 +26,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -138,8 +136,8 @@ class Pair:
 
     def tokens(self, units: list[str]) -> tuple[list[bytes], list[bytes]]:
         self._learn([u for u in units if u not in self.memo])
-        memo = self.memo
-        both = [memo[u] for u in units]
+        memo, older = self.memo, self.older  # units known before may have grown old meanwhile
+        both = [memo[u] if u in memo else older[u] for u in units]
         return [x for x, _ in both], [y for _, y in both]
 
 

@@ -93,6 +93,15 @@ def test_pair_counts_flush(spark):
     batches.unpersist()
 
 
+def test_units_grow_old(monkeypatch):
+    monkeypatch.setattr(align, "MEMO", 2)
+    pair = align.Pair(A, B)
+    want = {u: align.Pair(A, B).tokens([u]) for u in (" a", " b", " c", "\nd", " e f")}
+    for some in ([" a", " b", " c"], [" a", "\nd"], [" b", " e f", " c"], [" a", " c"]):
+        for u, x, y in zip(some, *pair.tokens(some)):
+            assert ([x], [y]) == want[u]
+
+
 def test_chains_end_at_common_borders():
     a, b = np.array([2, 5, 6, 9, 10]), np.array([1, 4, 6, 10])
     assert align._converge(a, b).tolist() == [2, 2, 2, 4, 4, 2, 2, 2, 4]
@@ -211,7 +220,7 @@ def test_toxicity_learns_and_holds_out(spark):
         for _ in range(3 * bad):
             w = rng.choice(["gropnik", "wuzzlod"])
             words.insert(rng.randrange(len(words)), rng.choice([w, w, w.upper(), "-".join(w), w + "s"]))
-        rows.append((i, " ".join(words) + ".", f"src{i % 3}"))
+        rows.append((i, " ".join(w + "." * (rng.random() < 0.1) for w in words), f"src{i % 3}"))
         labels.append((i, int(bad), 1))
     rows += [(900, None, None), (901, "", None), (None, "gropnik wuzzlod. " * 3, None), (3, rows[3][1], None), (902, "w u z z l o d. gropnik. wuzzlod", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
