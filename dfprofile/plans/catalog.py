@@ -325,6 +325,24 @@ def q_csv_roundtrip(spark, sf):
     return load_csv(spark, path)
 
 
+def q_csv_mixed(spark, sf):
+    """A folder of ``supplier`` files in two column orders, half of them with
+    line breaks, quotes and commas inside fields; read back by name."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.csv import load_csv
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-mixed-{uuid.uuid4().hex}"
+    t = load(spark, sf, "supplier")
+    even, odd = t.where("s_suppkey % 2 = 0"), t.where("s_suppkey % 2 = 1")
+    wide = F.concat("s_name", F.lit('\nsaid "'), F.col("s_nationkey").cast("string"), F.lit('", twice'))
+    even.repartition(2).write.option("header", True).csv(path)
+    (odd.withColumn("s_name", wide).select(*reversed(t.columns)).repartition(2)
+     .write.option("header", True).option("escape", '"').mode("append").csv(path))
+    return load_csv(spark, path).select(*t.columns)
+
+
 def q_head_sample(spark, sf):
     from ..sources.csv import head_sample
     return head_sample(load(spark, sf, "orders"), 100, row_key="o_orderkey")
@@ -450,6 +468,7 @@ QUERIES = {
     "chart_plan": q_chart_plan,
     "corr_kendall": q_corr_kendall,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_mixed": q_csv_mixed,
     "head_sample": q_head_sample,
     "validation_checks": q_validation_checks,
     "outliers_iforest": q_outliers_iforest,
@@ -521,6 +540,9 @@ ORACLES = {
     "corr_kendall": O.kendall_sql("part", PART_NUMERIC),
     "csv_roundtrip": "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal "
                      "FROM supplier",
+    "csv_mixed": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE s_name || chr(10) || 'said \"' "
+                 "|| s_nationkey || '\", twice' END AS s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, "
+                 "s_acctbal FROM supplier",
     "head_sample": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100",
     "validation_checks": O.validation_sql("part", [c for c, _ in PART]),
     "schema_profile_text": O.schema_profile_sql("documents", DOCUMENTS, "doc_id"),
