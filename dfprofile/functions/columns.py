@@ -56,3 +56,28 @@ def rnd(c: Column, digits: int = 4) -> Column:
 def fields_of(df: DataFrame, names: list[str]) -> dict[str, T.DataType]:
     types = {f.name: f.dataType for f in df.schema.fields}
     return {n: types[n] for n in names}
+
+
+EXACT_INT = 2 ** 53  # integers up to here are doubles
+
+
+def wide_bound(dt: T.DataType) -> str | None:
+    """The magnitude beyond which values of an exact type may share a double (None: never)."""
+    if isinstance(dt, T.LongType):
+        return str(EXACT_INT)
+    if isinstance(dt, T.DecimalType) and dt.precision > 15:
+        return f"1e{15 - dt.scale}"
+    return None
+
+
+def residual(name: str, dt: T.DataType) -> Column:
+    """What a wide value has beyond its double; (double, residual) orders and tells apart
+    longs, and decimals of up to 31 digits."""
+    c = qcol(name)
+    if isinstance(dt, T.LongType):
+        d = c.cast("double").try_cast("bigint")  # NULL where the double is 2^63
+        diff = F.coalesce(c - d, (c - F.lit(2 ** 63 - 1)) - F.lit(1))
+    else:
+        t = f"decimal(37,{dt.scale})"
+        diff = c.try_cast(t) - c.cast("double").try_cast(t)
+    return F.when(c.isNotNull(), F.coalesce(diff.cast("double"), F.lit(0.0)))

@@ -6,9 +6,9 @@ form, strong pairs and strength labels.
   k x k rows reach the driver.
 * Spearman: exact average ranks from the frequency table (two bounded windows),
   attached by a join on value (broadcast only when the column's distinct count,
-  known from the profile, is small), then Pearson on the ranks.  Pairs involving a
-  column with NULLs are re-ranked on their pairwise-complete rows, as pandas
-  does — all such pairs together from one cell table (no per-pair passes).
+  known from the profile, is small), then Pearson on the ranks.  With NULLs, ranks
+  are those among pairwise-complete rows, as with pandas: columns fall into classes
+  that are present in the same rows, and each column is ranked once a class.
 * Kendall tau-b: see ``kendall.py``.
 """
 
@@ -24,16 +24,13 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, ProfileConfig
 from ..functions.columns import numeric_columns, qcol, rnd
 from ..functions.labels import correlation_strength
+from ..session import materialize
+from .freq import low_of, numeric_frequencies, running_sums, value_key
 from .numeric import NumericProfile
 
 MATRIX_SCHEMA = "column1 string, column2 string, correlation double"
 
 
-def _null_free(profile: NumericProfile) -> set[str]:
-    n_rows = profile.n_rows()
-    return {c for c, n in profile.counts().items() if n == n_rows}
-
-
 def _matrix_rows(cols: list[str], get) -> list[tuple]:
     rows = []
     for i, a in enumerate(cols):
@@ -114,6 +111,20 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None,
     return spark.createDataFrame(_matrix_rows(cols, lambda i, j: _pearson(sums, i, j)), MATRIX_SCHEMA)
 
 
+def _look_up(out: DataFrame, ranked: DataFrame, c: str, distinct: int, low: dict, fields: dict[str, str],
+             config: ProfileConfig) -> DataFrame:
+    """``out`` with the ``fields`` (source -> new name) of column ``c``'s row in a ranked table: a
+    broadcast where the number of distinct values is small, else a shuffled join."""
+    keys = {"__v": F.col("value"), **({"__l": F.col("low")} if low else {})}
+    rk = ranked.where(F.col("column_name") == c).select(
+        *[e.alias(k) for k, e in keys.items()], *[F.col(f).alias(n) for f, n in fields.items()])
+    on = qcol(c) == F.col("__v")
+    if low:
+        on = on & (low[c] == F.col("__l"))
+    small = distinct <= config.broadcast_row_limit
+    return out.join(F.broadcast(rk) if small else rk, on, "left").drop("__v", "__l")
+
+
 def _with_ranks(df: DataFrame, cols: list[str], config: ProfileConfig,
                 profile: NumericProfile | None = None, field: str = "rank"
                 ) -> tuple[DataFrame, NumericProfile]:
@@ -121,16 +132,118 @@ def _with_ranks(df: DataFrame, cols: list[str], config: ProfileConfig,
     average rank (or another ranked-table ``field``, e.g. the dense code
     ``distinct_before``) within its column; NULL stays NULL."""
     p = profile or NumericProfile(df, cols, config)
-    ranked = p.ranked().select("column_name", "value", F.col(field).alias("rank"))
+    ranked = p.ranked()
     distinct = {r[0]: r[2] for r in p.summary_rows()}
-    out = p.clean.select(*[qcol(c) for c in cols])
+    low = low_of(p.clean, p.cols)
+    out, names = p.clean, {c: f"__r{i}" for i, c in enumerate(cols)}
     for c in cols:
-        rk = ranked.where(F.col("column_name") == c).select(
-            F.col("value").alias("_v"), F.col("rank").alias("_r"))
-        small = (distinct.get(c) or 0) <= config.broadcast_row_limit
-        out = (out.join(F.broadcast(rk) if small else rk, qcol(c) == F.col("_v"), "left")
-               .drop(c, "_v").withColumnRenamed("_r", c))
-    return out.select(*[qcol(c) for c in cols]), p
+        out = _look_up(out, ranked, c, distinct.get(c) or 0, low, {field: names[c]}, config)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()]), p
+
+
+def null_classes(clean: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Columns present in exactly the same rows share a class: as many rows hold both as hold
+    either.  One scan; a task emits k x k counts."""
+    k = len(cols)
+
+    def count(batches):
+        n = np.zeros((k, k), np.int64)
+        for b in batches:
+            m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(np.float64)
+            n += (m.T @ m).astype(np.int64)
+        i, j = np.divmod(np.arange(k * k, dtype=np.int32), np.int32(k))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(n.ravel())], names=["i", "j", "n"])
+
+    present = clean.select(*[qcol(c).isNotNull().alias(f"p{i}") for i, c in enumerate(cols)])
+    both = present.mapInArrow(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    n = {(r["i"], r["j"]): r["n"] for r in both.collect()}
+    firsts: list[int] = []
+    out: dict[str, int] = {}
+    for j, c in enumerate(cols):
+        same = next((g for g, f in enumerate(firsts)
+                     if n.get((f, j), 0) == n.get((f, f), 0) == n.get((j, j), 0)), None)
+        if same is None:
+            firsts.append(j)
+            same = len(firsts) - 1
+        out[c] = same
+    return out
+
+
+def _class_ranks(p: NumericProfile, cols: list[str], classes: dict[str, int], config: ProfileConfig) -> DataFrame:
+    """``(column_name, value[, low], r_<i>)``: average rank of each distinct value among the rows
+    where the columns of null class i are present.  One frequency table with a count per class,
+    one pair of bounded windows for all classes."""
+    given = [next(c for c in cols if classes[c] == i) for i in range(max(classes.values()) + 1)]
+    freq = numeric_frequencies(p.clean, cols, p.n_buckets, config, given)
+    freq = materialize(freq, p.reuse, p.n_rows() * len(cols))
+    weights = [f"cnt_{i}" for i in range(len(given))]
+    run = running_sums(freq, ["column_name"], value_key(freq), weights, config.broadcast_row_limit)
+    return run.select("column_name", *value_key(freq), *[
+        F.when(F.col(w) > 0, F.col(f"before_{w}") + (F.col(w) + 1) / 2.0).alias(f"r_{i}")
+        for i, w in enumerate(weights)])
+
+
+def _class_sums(ranks: DataFrame, cols: list[str], classes: dict[str, int], todo: list[tuple[int, int]],
+                shift: float) -> dict:
+    """Pearson sums of the pairs ``todo`` in one scan: the rank of i among the rows of j's class with
+    that of j among the rows of i's.  ``ranks`` has a column ``__r<i>_<class>`` for each."""
+    k, m = len(cols), max(classes.values()) + 1
+    of = [classes[c] for c in cols]
+
+    def sums(batches):
+        acc = {t: np.zeros(6) for t in todo}
+        ends = {t: np.array([np.inf, -np.inf] * 2) for t in todo}
+        for b in batches:
+            x = [[b.column(i * m + g).to_numpy(zero_copy_only=False).astype(float) - shift for g in range(m)] for i in range(k)]
+            for (i, j), a in acc.items():
+                u, v = x[i][of[j]], x[j][of[i]]
+                both = ~(np.isnan(u) | np.isnan(v))
+                u, v = u[both], v[both]
+                a += (len(u), u.sum(), v.sum(), u @ u, v @ v, u @ v)
+                if len(u):
+                    e = ends[i, j]
+                    e[0::2] = np.minimum(e[0::2], (u.min(), v.min()))
+                    e[1::2] = np.maximum(e[1::2], (u.max(), v.max()))
+        i, j = (pa.array(np.array([t[s] for t in todo], np.int32)) for s in (0, 1))
+        yield pa.RecordBatch.from_arrays(
+            [i, j, *(pa.array([a[s] for a in acc.values()]) for s in range(6)),
+             *(pa.array([e[s] for e in ends.values()]) for s in range(4))], names=["i", "j", *names])
+
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy", "x0", "x1", "y0", "y1"]
+    merge = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
+    got = ranks.select(*[F.col(f"__r{i}_{g}") for i in range(k) for g in range(m)]).mapInArrow(
+        sums, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+    merged = got.groupBy("i", "j").agg(*[merge.get(c, F.sum)(c).alias(c) for c in names])
+    return {(r["i"], r["j"]): r for r in merged.collect()}  # a row per pair
+
+
+def _spearman_by_class(p: NumericProfile, cols: list[str], classes: dict[str, int],
+                       todo: list[tuple[str, str]], config: ProfileConfig) -> dict[tuple[str, str], float | None]:
+    """Spearman of column pairs on their pairwise-complete rows.  The rank of a value there depends
+    only on the other column's null class, so each column is ranked once a class; ranks come back to
+    the rows by one look-up a column."""
+    m = max(classes.values()) + 1
+    ranked = materialize(_class_ranks(p, cols, classes, config), p.reuse, p.n_rows() * len(cols))
+    distinct = {r[0]: r[1] for r in ranked.groupBy("column_name").count().collect()}
+    low, out = low_of(p.clean, p.cols), p.clean
+    for i, c in enumerate(cols):
+        out = _look_up(out, ranked, c, distinct.get(c, 0), low, {f"r_{g}": f"__r{i}_{g}" for g in range(m)}, config)
+    at = {c: i for i, c in enumerate(cols)}
+    sums = _class_sums(out, cols, classes, [(at[a], at[b]) for a, b in todo], (p.n_rows() + 1) / 2)
+    got = {(c, c): 1.0 if distinct.get(c, 0) > 1 else None for c in cols}
+    for a, b in todo:
+        got[(a, b)] = None
+        r = sums.get((at[a], at[b]))
+        if r is None or r["n"] < 2 or r["x0"] == r["x1"] or r["y0"] == r["y1"]:
+            continue
+        n = r["n"]
+        vxx, vyy = r["sxx"] - r["sx"] * r["sx"] / n, r["syy"] - r["sy"] * r["sy"] / n
+        if vxx > 0 and vyy > 0:
+            v = (r["sxy"] - r["sx"] * r["sy"] / n) / math.sqrt(vxx * vyy)
+            got[(a, b)] = max(-1.0, min(1.0, v))
+    if p.reuse == "persist":
+        ranked.unpersist()
+    return got
 
 
 def spearman_matrix(df: DataFrame, columns: list[str] | None = None,
@@ -142,66 +255,19 @@ def spearman_matrix(df: DataFrame, columns: list[str] | None = None,
     if len(cols) < 2:
         return spark.createDataFrame([], MATRIX_SCHEMA)
     p = profile or NumericProfile(df, cols, config)
-    full = _null_free(p)
-    std = {r[0]: r[3] for r in p.light_rows()}
-    values: dict[tuple[str, str], float | None] = {(a, a): (1.0 if std.get(a) else None)
-                                                   for a in cols}
-    dense = [c for c in cols if c in full]
-    if len(dense) >= 2:
-        ranked, _ = _with_ranks(df, dense, config, p)
-        sums = _pair_sums(ranked, dense, {c: (p.n_rows() + 1) / 2 for c in dense})
-        for i, a in enumerate(dense):
-            for j, b in enumerate(dense):
-                if i != j:
-                    values[(a, b)] = _pearson(sums, i, j)
-    todo = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:] if (a, b) not in values]
-    if todo:
-        # Pairs touching a column with NULLs: re-rank on pairwise-complete rows,
-        # all such pairs at once (constant number of jobs, no per-pair passes).
-        values.update(_spearman_pairwise(p.clean, todo, config))
+    todo = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    classes = null_classes(p.clean, cols)
+    if max(classes.values()) == 0:  # present in the same rows: one rank a value
+        ranked, _ = _with_ranks(df, cols, config, p)
+        sums = _pair_sums(ranked, cols, {c: (p.n_rows() + 1) / 2 for c in cols})
+        values = {(a, b): _pearson(sums, i, j) for i, a in enumerate(cols) for j, b in enumerate(cols)}
+    else:
+        values = _spearman_by_class(p, cols, classes, todo, config)
     rows = _matrix_rows(cols, lambda i, j: values.get((cols[i], cols[j]),
                                                      values.get((cols[j], cols[i]))))
     return spark.createDataFrame(rows, MATRIX_SCHEMA)
 
 
-def _pair_ranks(cells: DataFrame, side: str, config: ProfileConfig) -> DataFrame:
-    """``(pair, <side>, r_<side>)``: average rank of each distinct value of one
-    side of every pair, over that pair's complete rows (bounded windows)."""
-    from .freq import log_bucket, running_counts
-
-    f = (cells.groupBy("pair", side).agg(F.sum("c").alias("cnt"))
-         .withColumn("bucket", log_bucket(F.col(side))))
-    r = running_counts(f, ["pair"], side, broadcast_offsets=False)
-    return r.select("pair", side, (F.col("cum_before") + (F.col("cnt") + 1) / 2.0).alias("r_" + side))
-
-
-def _spearman_pairwise(clean: DataFrame, pairs: list[tuple[str, str]],
-                       config: ProfileConfig) -> dict[tuple[str, str], float | None]:
-    """Spearman for column pairs on their pairwise-complete rows: cells
-    ``(pair, x, y, c)``, exact average ranks per pair and side, then a
-    count-weighted Pearson on the ranks per pair."""
-    from ..session import materialize
-    from .kendall import kendall_cells
-
-    cells = materialize(kendall_cells(clean, pairs), "persist")
-    j = (cells.join(_pair_ranks(cells, "x", config), ["pair", "x"])
-         .join(_pair_ranks(cells, "y", config), ["pair", "y"]))
-    c, rx, ry = F.col("c"), F.col("r_x"), F.col("r_y")
-    agg = j.groupBy("pair").agg(
-        F.sum(c).alias("n"), F.sum(c * rx).alias("sx"), F.sum(c * ry).alias("sy"),
-        F.sum(c * rx * rx).alias("sxx"), F.sum(c * ry * ry).alias("syy"),
-        F.sum(c * rx * ry).alias("sxy")).collect()
-    cells.unpersist()
-    got = {}
-    for r in agg:
-        n = float(r["n"])
-        vxx = r["sxx"] - r["sx"] * r["sx"] / n
-        vyy = r["syy"] - r["sy"] * r["sy"] / n
-        vxy = r["sxy"] - r["sx"] * r["sy"] / n
-        got[r["pair"]] = vxy / math.sqrt(vxx * vyy) if vxx > 1e-12 * n and vyy > 1e-12 * n else None
-    return {pq: got.get(f"p{i}") for i, pq in enumerate(pairs)}
-
-
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, method: str | None = None,
                        config: ProfileConfig = DEFAULT, profile: NumericProfile | None = None
                        ) -> DataFrame:

@@ -28,9 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ProfileConfig
-from ..functions.columns import clean_double, fields_of, qcol
+from ..functions.columns import clean_double, fields_of, qcol, residual
 
 BUCKET_SUFFIX = "__bucket"
+LOW_SUFFIX = "__low"
 
 
 def bucket_count(n_max: int, cfg: ProfileConfig = DEFAULT) -> int:
@@ -49,7 +50,7 @@ def quantile_splits(df: DataFrame, cols: list[str], n_buckets: int,
     qs = df.stat.approxQuantile(cols, probs, rel)
     out = []
     for q in qs:
-        inner = sorted({float(v) for v in q if v is not None and not math.isnan(v)})
+        inner = sorted({float(v) for v in q if v is not None and not math.isnan(v)}) or [0.0]
         out.append([-math.inf] + inner + [math.inf])
     return out
 
@@ -58,8 +59,7 @@ def with_buckets(clean: DataFrame, cols: list[str], n_buckets: int,
                  cfg: ProfileConfig = DEFAULT) -> DataFrame:
     """Add ``<col>__bucket`` for every column (literal 0 when one bucket)."""
     if n_buckets <= 1:
-        return clean.select(*[qcol(c) for c in cols],
-                            *[F.lit(0.0).alias(c + BUCKET_SUFFIX) for c in cols])
+        return clean.select("*", *[F.lit(0.0).alias(c + BUCKET_SUFFIX) for c in cols])
     from pyspark.ml.feature import Bucketizer
 
     splits = quantile_splits(clean, cols, n_buckets, cfg)
@@ -68,10 +68,25 @@ def with_buckets(clean: DataFrame, cols: list[str], n_buckets: int,
     return b.transform(clean)
 
 
-def clean_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Project the numeric columns as doubles with NaN folded to NULL."""
+def clean_numeric(df: DataFrame, cols: list[str], wide: list[str] | tuple = ()) -> DataFrame:
+    """Project the numeric columns as doubles with NaN folded to NULL; ``wide`` columns
+    (exact types with values that share a double) also as ``<col>__low``, the rest of the value."""
     types = fields_of(df, cols)
-    return df.select(*[clean_double(c, types[c]).alias(c) for c in cols])
+    return df.select(*[clean_double(c, types[c]).alias(c) for c in cols],
+                     *[residual(c, types[c]).alias(c + LOW_SUFFIX) for c in wide])
+
+
+def low_of(clean: DataFrame, cols: list[str]) -> dict[str, Column]:
+    """The residual of each column, if any column of ``clean`` has one."""
+    have = set(clean.columns)
+    if not any(c + LOW_SUFFIX in have for c in cols):
+        return {}
+    return {c: qcol(c + LOW_SUFFIX) if c + LOW_SUFFIX in have else F.lit(0.0) for c in cols}
+
+
+def value_key(freq: DataFrame) -> list[str]:
+    """The columns that tell a frequency table's values apart, in their order."""
+    return ["value", "low"] if "low" in freq.columns else ["value"]
 
 
 def unpivot_pairs(df: DataFrame, cols: list[str], value_cols: dict[str, Column],
@@ -108,22 +123,26 @@ def log_bucket(v: Column) -> Column:
 
 
 def numeric_frequencies(clean: DataFrame, cols: list[str], n_buckets: int = 1,
-                        cfg: ProfileConfig = DEFAULT) -> DataFrame:
-    """``(column_name, bucket, value, cnt)`` over non-null values."""
-    if n_buckets <= 1:
-        long = unpivot_pairs(clean, cols, {"value": lambda c: qcol(c)})
-        return (long.where(F.col("value").isNotNull())
-                .groupBy("column_name", "value")
-                .agg(F.count(F.lit(1)).alias("cnt"))
-                .withColumn("bucket", log_bucket(F.col("value"))))
-    bucketed = with_buckets(clean, cols, n_buckets, cfg)
-    long = unpivot_pairs(bucketed, cols, {
-        "value": lambda c: qcol(c),
-        "bucket": lambda c: qcol(c + BUCKET_SUFFIX).cast("int"),
-    })
-    return (long.where(F.col("value").isNotNull())
-            .groupBy("column_name", "bucket", "value")
-            .agg(F.count(F.lit(1)).alias("cnt")))
+                        cfg: ProfileConfig = DEFAULT, given: list[str] | tuple = ()) -> DataFrame:
+    """``(column_name, bucket, value[, low], cnt)`` over non-null values; ``low`` only where a
+    column has values that share a double.
+
+    ``given`` names columns: for the i-th, ``cnt_<i>`` counts the rows where it is present."""
+    low = low_of(clean, cols)
+    fields = {"value": lambda c: qcol(c)}
+    if low:
+        fields["low"] = lambda c: low[c]
+    src = clean
+    if n_buckets > 1:
+        src = with_buckets(clean, cols, n_buckets, cfg)
+        fields["bucket"] = lambda c: qcol(c + BUCKET_SUFFIX).cast("int")
+    for i, g in enumerate(given):
+        fields[f"in_{i}"] = lambda c, g=g: qcol(g).isNotNull()
+    long = unpivot_pairs(src, cols, fields).where(F.col("value").isNotNull())
+    keys = ["column_name", *(["bucket"] if n_buckets > 1 else []), "value", *(["low"] if low else [])]
+    out = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"), *[
+        F.count(F.when(F.col(f"in_{i}"), 1)).alias(f"cnt_{i}") for i in range(len(given))])
+    return out if n_buckets > 1 else out.withColumn("bucket", log_bucket(F.col("value")))
 
 
 def string_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -135,7 +154,7 @@ def string_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def running_counts(freq: DataFrame, keys: list[str], order: str, bucket: str = "bucket",
+def running_counts(freq: DataFrame, keys: list[str], order: str | list[str], bucket: str = "bucket",
                    weight: str = "cnt", broadcast_offsets: bool | int = True,
                    single_bucket: bool = False, totals_of: str | None = None) -> DataFrame:
     """Add ``cum_before`` (sum of ``weight`` over rows strictly earlier in ``order``
@@ -193,6 +212,26 @@ def running_counts(freq: DataFrame, keys: list[str], order: str, bucket: str = "
             .drop("_off", "_doff"))
 
 
+def running_sums(freq: DataFrame, keys: list[str], order: list[str], weights: list[str],
+                 most_broadcast: int, bucket: str = "bucket") -> DataFrame:
+    """``before_<w>`` for every weight: its sum over rows strictly earlier within ``keys``.
+    The same two bounded windows as ``running_counts``, for several weights at once."""
+    from pyspark import StorageLevel
+
+    totals = freq.groupBy(*keys, bucket).agg(*[F.sum(w).alias(f"_{w}") for w in weights])
+    totals = totals.persist(StorageLevel.MEMORY_AND_DISK)
+    w1 = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, bucket, *[
+        F.coalesce(F.sum(f"_{w}").over(w1), F.lit(0)).cast("long").alias(f"_{w}") for w in weights])
+    if totals.count() <= most_broadcast:
+        offsets = F.broadcast(offsets)
+    w2 = (Window.partitionBy(*keys, bucket).orderBy(*order)
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return freq.join(offsets, [*keys, bucket]).withColumns({
+        f"before_{w}": (F.col(f"_{w}") + F.sum(w).over(w2) - F.col(w)).cast("long") for w in weights
+    }).drop(*[f"_{w}" for w in weights])
+
+
 MAX_LOG_BUCKETS = 2 * LOG_BUCKETS_PER_DOUBLING * 1100 + 1  # all finite doubles
 
 
@@ -208,7 +247,7 @@ def ranked_frequencies(freq: DataFrame, n_columns: int, n_buckets: int,
                                                    MAX_LOG_BUCKETS)
     small = n_columns * per_col <= cfg.broadcast_row_limit
     # Proven small: hint directly; otherwise measure the totals table first.
-    r = running_counts(freq, ["column_name"], "value",
+    r = running_counts(freq, ["column_name"], value_key(freq),
                        broadcast_offsets=True if small else cfg.broadcast_row_limit,
                        totals_of="value")
     return r.withColumn("rank", F.col("cum_before") + (F.col("cnt") + 1) / 2.0)

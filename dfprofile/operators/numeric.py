@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, ProfileConfig
-from ..functions.columns import numeric_columns, qcol, rnd
+from ..functions.columns import fields_of, numeric_columns, qcol, rnd, wide_bound
 from ..session import materialize
 from . import freq as fq
 
@@ -43,6 +43,12 @@ SUMMARY_SCHEMA = T.StructType([
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
+def _float_exact(freq: DataFrame):
+    v = F.col("value")
+    same = v.cast("float").cast("double") == v
+    return same & (F.col("low") == 0) if "low" in freq.columns else same
+
+
 class NumericProfile:
     """Shared, lazily built numeric intermediates for a set of columns.
 
@@ -59,8 +65,9 @@ class NumericProfile:
         self.cols = list(columns) if columns is not None else numeric_columns(df)
         self.reuse = reuse
         self.spark = df.sparkSession
-        self.clean = fq.clean_numeric(df, self.cols)
+        self._clean = None
         self._n_rows = None
+        self._wide = None
         self._freq = None
         self._ranked = None
         self._summary_rows = None
@@ -72,9 +79,27 @@ class NumericProfile:
 
     def n_rows(self) -> int:
         if self._n_rows is None:
-            self._n_rows = self.df.count()
+            self._measure()
         return self._n_rows
 
+    def _measure(self) -> None:
+        """Row count, and which columns of exact types hold values beyond the doubles' precision."""
+        types = fields_of(self.df, self.cols)
+        bounds = {c: wide_bound(t) for c, t in types.items() if wide_bound(t)}
+        big = {c: (qcol(c) > F.lit(b).cast(types[c])) | (qcol(c) < -F.lit(b).cast(types[c]))
+               for c, b in bounds.items()}
+        got = self.df.agg(F.count(F.lit(1)), *[F.max(x) for x in big.values()]).first()
+        self._n_rows, self._wide = got[0], [c for c, x in zip(big, got[1:]) if x]
+
+    @property
+    def clean(self) -> DataFrame:
+        """The columns as doubles; wide ones with the rest of their values."""
+        if self._clean is None:
+            if self._wide is None:
+                self._measure()
+            self._clean = fq.clean_numeric(self.df, self.cols, self._wide)
+        return self._clean
+
     @property
     def n_buckets(self) -> int:
         if self._n_buckets is None:
@@ -123,7 +148,7 @@ class NumericProfile:
             v, w = F.col("value"), F.col("cnt")
             agg = src.groupBy("column_name").agg(
                 F.sum(w).cast("long"), F.count(F.lit(1)).cast("long"), F.min(v), F.max(v),
-                F.sum(F.when(v.cast("float").cast("double") == v, w).otherwise(0)).cast("long"))
+                F.sum(F.when(_float_exact(src), w).otherwise(0)).cast("long"))
             got = {r[0]: tuple(r)[1:] for r in agg.collect()}
             self._basic_rows = {c: got.get(c, (0, 0, None, None, 0)) for c in self.cols}
         return self._basic_rows
@@ -147,9 +172,8 @@ class NumericProfile:
                     F.max("value").alias("max"),
                     F.sum(w * dev * dev).alias("s2"), F.sum(w * dev * dev * dev).alias("s3"),
                     F.sum(w * dev * dev * dev * dev).alias("s4"),
-                    F.min_by("value", F.struct(-w, F.col("value"))).alias("mode"),
-                    F.sum(F.when(F.col("value").cast("float").cast("double") == F.col("value"), w)
-                          .otherwise(0)).cast("long").alias("n_float_exact")]
+                    F.min_by("value", F.struct(-w, *fq.value_key(j))).alias("mode"),
+                    F.sum(F.when(_float_exact(j), w).otherwise(0)).cast("long").alias("n_float_exact")]
             for name, p in QUARTILES.items():
                 h = (n - 1) * F.lit(p)
                 aggs.append(F.max(F.when(F.col("cum_before") <= F.floor(h), F.col("value"))).alias(f"_{name}_lo"))

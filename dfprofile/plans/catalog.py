@@ -286,6 +286,33 @@ def q_constant_columns_bigkeys(spark, sf):
     return Q.constant_columns(load(spark, sf, "orders").selectExpr(*BIGKEYS_EXPRS))
 
 
+# The same keys, read as a schema, and with nulls among them.
+BIGKEY_COLS = [("big_key", "bigint"), ("some_key", "bigint"), ("big_dec", "decimal(28,4)"), ("same_key", "bigint"),
+               ("o_orderstatus", "string"), ("o_orderkey", "bigint")]
+BIGKEY_SCHEMA_EXPRS = [*BIGKEYS_EXPRS, "CASE WHEN o_orderkey % 3 <> 0 THEN -1152921504606846976 - o_orderkey END AS some_key",
+                       "CAST(o_orderkey AS DECIMAL(28,4)) / 10000 + CAST('123456789012345678' AS DECIMAL(28,4)) AS big_dec",
+                       "o_orderkey"]
+BIGKEY_CASTS = ["o_orderkey", "big_key", "some_key", "same_key", "o_orderstatus", "CAST(big_dec AS DECIMAL(28,4)) AS big_dec"]
+
+
+def _bigkeys(spark, sf):
+    df = load(spark, sf, "orders").selectExpr(*BIGKEY_SCHEMA_EXPRS).selectExpr(*BIGKEY_CASTS)
+    return df.select(*[c for c, _ in BIGKEY_COLS])
+
+
+def q_schema_profile_bigkeys(spark, sf):
+    s = S.schema_profile(_bigkeys(spark, sf), row_key="o_orderkey")
+    return s.drop("sample_values")
+
+
+def q_corr_spearman_bigkeys(spark, sf):
+    return R.correlation_matrix(_bigkeys(spark, sf), ["big_key", "some_key", "big_dec", "o_orderkey"], "spearman")
+
+
+def q_corr_kendall_bigkeys(spark, sf):
+    return R.correlation_matrix(_bigkeys(spark, sf), ["big_key", "big_dec", "o_orderkey"], "kendall")
+
+
 NULL_STATS_EXPRS = ["l_quantity", "NULLIF(l_discount, 0.0) AS l_discount", "CAST(NULL AS DOUBLE) AS nothing",
                     "CAST(7.5 AS DOUBLE) AS same"]
 NULL_STATS = ["l_quantity", "l_discount", "nothing", "same"]
@@ -488,6 +515,9 @@ QUERIES = {
     "outliers_wide": q_outliers_wide,
     "distribution_wide": q_distribution_wide,
     "constant_columns_bigkeys": q_constant_columns_bigkeys,
+    "schema_profile_bigkeys": q_schema_profile_bigkeys,
+    "corr_spearman_bigkeys": q_corr_spearman_bigkeys,
+    "corr_kendall_bigkeys": q_corr_kendall_bigkeys,
     "numeric_stats_nulls": q_numeric_stats_nulls,
     "insight_context": q_insight_context,
 }
@@ -559,6 +589,9 @@ ORACLES = {
     "corr_pearson_pair_constant": O.pearson_sql(PAIR_CONSTANT_SQL, PAIR_CONSTANT),
     "outliers_wide": O.outliers_sql(WIDE_SQL, WIDE, "event_id", "iqr", keep_positive=True),
     "distribution_wide": O.distribution_sql(WIDE_SQL, WIDE),
+    "schema_profile_bigkeys": O.bigkeys_schema_sql(BIGKEY_COLS),
+    "corr_spearman_bigkeys": O.bigkeys_rank_sql(["big_key", "some_key", "big_dec", "o_orderkey"]),
+    "corr_kendall_bigkeys": O.bigkeys_rank_sql(["big_key", "big_dec", "o_orderkey"]),
     "constant_columns_bigkeys": "SELECT 'same_key' AS column_name FROM (SELECT count(DISTINCT same_key) AS d "
                                 f"FROM {BIGKEYS_SQL} q) WHERE d = 1",
     "numeric_stats_nulls": O.numeric_stats_sql(NULL_STATS_SQL, NULL_STATS),

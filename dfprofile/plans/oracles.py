@@ -573,3 +573,26 @@ def spearman_pairwise_sql(source: str, cols: list[str], d: int = 4) -> str:
           WHERE {x} IS NOT NULL AND {y} IS NOT NULL) s) t) AS r""")
     return (f"SELECT column1, column2, round(CASE WHEN isnan(r) THEN NULL ELSE r END, {d}) + 0.0 "
             f"AS correlation FROM ({' UNION ALL '.join(parts)}) u")
+
+
+# Keys beyond 2^53 and decimals beyond 15 digits, in types that hold them.
+BIGKEYS = """(SELECT o_orderkey, o_orderkey + 1152921504606846976 AS big_key,
+  CASE WHEN o_orderkey % 3 <> 0 THEN -1152921504606846976 - o_orderkey END AS some_key,
+  CAST('123456789012345678' AS DECIMAL(28,4)) + CAST(CAST(o_orderkey AS DECIMAL(24,0)) AS DECIMAL(28,4)) * 0.0001 AS big_dec,
+  CAST(1152921504606846977 AS BIGINT) AS same_key, o_orderstatus FROM orders)"""
+
+
+def bigkeys_schema_sql(schema: list[tuple[str, str]]) -> str:
+    kind = {"string": "categorical"}
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, '{kind.get(t, 'numeric')}' AS data_type, count(*) - count({c}) AS missing_count,
+  round(100.0 * (count(*) - count({c})) / count(*), 2) AS missing_percentage, count(DISTINCT {c}) AS unique_count
+FROM {BIGKEYS} s""" for c, t in schema)
+
+
+def bigkeys_rank_sql(cols: list[str]) -> str:
+    """Every column rises or falls with the order key, so rank correlations are 1 or -1."""
+    sign = {c: f"(SELECT CASE WHEN count(*) = count(DISTINCT {c}) THEN CASE WHEN arg_max({c}, o_orderkey) > "
+               f"arg_min({c}, o_orderkey) THEN 1.0 ELSE -1.0 END END FROM {BIGKEYS} s WHERE {c} IS NOT NULL)" for c in cols}
+    return " UNION ALL ".join(f"SELECT '{a}' AS column1, '{b}' AS column2, "
+                              f"CAST({sign[a]} * {sign[b]} AS DOUBLE) AS correlation" for a in cols for b in cols)
