@@ -6,29 +6,36 @@ For a pair of columns (x, y) on their pairwise-complete rows:
 
 with n0 = n(n-1)/2, n1 / n2 / n3 the pairs tied in x / y / both, and D the
 discordant pairs (x_i < x_j, y_i > y_j).  Ties come from three small group-bys
-of the cell table ``(x, y, c)``.  D is counted exactly by bit levels of an
-order-preserving integer code of y: two values first differ at one bit level
-b, inside the group of equal higher bits; there, D_b sums, for every bit-0
-cell, the bit-1 weight at strictly smaller x.  That running sum uses the same
-two bounded windows as the rank helper (x-code buckets of ~sqrt(#codes)), so no
-task ever holds a whole column, and all pairs and levels run in one job.
+of the cell table ``(x, y, c)``.  D is counted exactly by digits of an
+order-preserving integer code of y: two values first differ at one digit, inside
+the group of equal higher digits (four levels for 10^9 codes).  There a grid
+splits x into blocks: pairs in different blocks come from the counts per
+(block, digit), pairs in one block from its own rows; both are weighted
+inversions of (x or block) against the digit, counted in memory by a vectorised
+merge over groups whose size the grid bounds.  Cells are shuffled once a level.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ProfileConfig
 from ..functions.columns import numeric_columns, qcol
 from .correlation import MATRIX_SCHEMA, _matrix_rows, _with_ranks
-from .freq import running_counts, unpivot_pairs
+from .freq import unpivot_pairs
 from .numeric import NumericProfile
 from ..session import materialize
 
 
+DIGIT = 8  # bits of y told apart on a level
+MAX_BLOCKS = 4096  # blocks of x a group
+
+
 def _bits(n: int) -> int:
     return max(1, math.ceil(math.log2(max(n, 2))))
 
@@ -45,6 +52,76 @@ def kendall_cells(coded: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("c")))
 
 
+def _count(group: np.ndarray, x: np.ndarray, digit: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each row (sorted by group and x): its weight times the weight of rows of its group with
+    smaller x and greater digit.  Two digits first differ at one bit: one pass a bit."""
+    out = np.zeros(len(c))
+    for bit in range(DIGIT):
+        own = (group << DIGIT) | (digit >> (bit + 1))
+        order = np.argsort(own, kind="stable")  # x stays in order
+        g, v, w = own[order], x[order], c[order]
+        one = (digit[order] >> bit) & 1
+        upto = np.concatenate([[0.0], np.cumsum(np.where(one == 1, w, 0.0))])
+        new_g = np.concatenate([[True], g[1:] != g[:-1]])
+        new_x = new_g | np.concatenate([[True], v[1:] != v[:-1]])
+        at = np.arange(len(g))
+        before = upto[np.maximum.accumulate(np.where(new_x, at, 0))] - upto[np.maximum.accumulate(np.where(new_g, at, 0))]
+        out[order] += np.where(one == 0, w * before, 0.0)
+    return out
+
+
+def _inversions(rows: DataFrame, group: list[str], order: str, batch: int = 200_000) -> DataFrame:
+    """``(pair, d)``, a row per task and pair: weighted inversions of ``order`` against ``digit``
+    within the groups.  Groups are whole within a task and handled some ``batch`` rows at a time."""
+
+    def run(batches):
+        total: dict[str, float] = {}
+        held: list[pa.RecordBatch] = []
+
+        def flush(t: pa.Table) -> None:
+            t = t.combine_chunks()
+            names = t["pair"].dictionary_encode().combine_chunks()
+            new = np.zeros(t.num_rows, bool)
+            new[0] = True
+            pair = names.indices.to_numpy()
+            for k in [pair, *(t[g].to_numpy() for g in group[1:])]:
+                new[1:] |= k[1:] != k[:-1]
+            d = _count(np.cumsum(new) - 1, t[order].to_numpy(), t["digit"].to_numpy().astype(np.int64), t["c"].to_numpy())
+            for name, s in zip(names.dictionary.to_pylist(), np.bincount(pair, d)):
+                total[name] = total.get(name, 0.0) + float(s)
+
+        def last_group(t: pa.Table) -> int:
+            """Where the last group begins."""
+            n, start = t.num_rows, 0
+            for g in group:
+                k = t[g].combine_chunks()
+                k = k.dictionary_encode().indices.to_numpy() if g == "pair" else k.to_numpy()
+                diff = np.flatnonzero(k != k[-1])
+                start = max(start, int(diff[-1]) + 1 if len(diff) else 0)
+            return min(start, n)
+
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.num_rows
+            if size >= batch:
+                t = pa.Table.from_batches(held)
+                cut = last_group(t)
+                if cut:
+                    flush(t.slice(0, cut))
+                held = t.slice(cut).combine_chunks().to_batches()
+                size = max(t.num_rows - cut, 0) if cut else 0  # a group longer than a batch: wait for as many more
+        if held:
+            flush(pa.Table.from_batches(held))
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()))], names=["pair", "d"])
+
+    dealt = rows.select(*group, order, "digit", "c").repartition(*group).sortWithinPartitions(*group, order)
+    return dealt.mapInArrow(run, "pair string, d double")
+
+
 def kendall_tau(cells: DataFrame, code_bits: int) -> DataFrame:
     """``(pair, tau)`` from the cell table; codes are non-negative longs below
     ``2 ** code_bits``."""
@@ -55,19 +132,17 @@ def kendall_tau(cells: DataFrame, code_bits: int) -> DataFrame:
         ties(F.col("t")).alias("n2"))
     base = cells.groupBy("pair").agg(F.sum("c").cast("double").alias("n"),
                                      ties(F.col("c")).alias("n3"))
-    levels = (cells.select("pair", "x", "y", "c",
-                           F.explode(F.sequence(F.lit(0), F.lit(code_bits - 1))).alias("lvl"))
-              .select("pair", "lvl", "x", "c",
-                      F.expr("shiftright(y, lvl + 1)").alias("prefix"),
-                      F.expr("shiftright(y, lvl) & 1").alias("bit")))
-    per = levels.groupBy("pair", "lvl", "prefix", "x").agg(
-        F.sum(F.when(F.col("bit") == 1, F.col("c")).otherwise(0)).alias("c1"),
-        F.sum(F.when(F.col("bit") == 0, F.col("c")).otherwise(0)).alias("c0"))
-    shift = (code_bits + 1) // 2
-    per = per.withColumn("xb", F.shiftright("x", shift))
-    run = running_counts(per, ["pair", "lvl", "prefix"], "x", bucket="xb", weight="c1",
-                         broadcast_offsets=False)
-    disc = run.groupBy("pair").agg(F.sum(F.col("c0").cast("double") * F.col("cum_before")).alias("d"))
+    shift = max((code_bits + 1) // 2, code_bits - _bits(MAX_BLOCKS))
+    levels = (cells.select("pair", "x", "y", "c", F.explode(F.sequence(
+                  F.lit(0), F.lit((code_bits - 1) // DIGIT))).alias("lvl"))
+              .groupBy("pair", "lvl", F.expr(f"shiftright(y, {DIGIT} * (lvl + 1))").alias("prefix"),
+                       F.shiftright("x", shift).alias("xb"), "x",
+                       F.expr(f"CAST(shiftright(y, {DIGIT} * lvl) & {2 ** DIGIT - 1} AS INT)").alias("digit"))
+              .agg(F.sum("c").cast("double").alias("c")))
+    blocks = levels.groupBy("pair", "lvl", "prefix", "xb", "digit").agg(F.sum("c").alias("c"))
+    disc = (_inversions(levels, ["pair", "lvl", "prefix", "xb"], "x")
+            .unionByName(_inversions(blocks, ["pair", "lvl", "prefix"], "xb"))
+            .groupBy("pair").agg(F.sum("d").alias("d")))
     j = base.join(tx, "pair").join(ty, "pair").join(disc, "pair", "left")
     n0 = F.col("n") * (F.col("n") - 1) / 2.0
     num = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2.0 * F.coalesce(F.col("d"), F.lit(0.0))

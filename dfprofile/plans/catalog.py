@@ -332,6 +332,13 @@ def q_corr_kendall(spark, sf):
     return R.correlation_matrix(load(spark, sf, "part"), PART_NUMERIC, "kendall")
 
 
+ORDERS_PAIR = ["o_custkey", "o_totalprice"]
+
+
+def q_corr_kendall_orders(spark, sf):
+    return R.correlation_matrix(load(spark, sf, "orders"), ORDERS_PAIR, "kendall")
+
+
 SUPPLIER = [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"),
             ("s_acctbal", "double")]
 PART = [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
@@ -494,6 +501,7 @@ QUERIES = {
     "pairplot_sample": q_pairplot_sample,
     "chart_plan": q_chart_plan,
     "corr_kendall": q_corr_kendall,
+    "corr_kendall_orders": q_corr_kendall_orders,
     "csv_roundtrip": q_csv_roundtrip,
     "csv_mixed": q_csv_mixed,
     "head_sample": q_head_sample,
@@ -568,6 +576,7 @@ ORACLES = {
                       "p_brand AS color FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL",
     "chart_plan": O.chart_plan_sql("customer", CUSTOMER),
     "corr_kendall": O.kendall_sql("part", PART_NUMERIC),
+    "corr_kendall_orders": O.kendall_sql("orders", ORDERS_PAIR),
     "csv_roundtrip": "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal "
                      "FROM supplier",
     "csv_mixed": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE s_name || chr(10) || 'said \"' "

@@ -69,3 +69,21 @@ def test_one_narrow_range_still_ranks_in_parallel(spark):
     p = NumericProfile(df, ["ts", "v"], ProfileConfig(rank_bucket_rows=100))
     assert p.raw_freq().where("column_name = 'ts'").select("bucket").distinct().count() >= 30
     p.release()
+
+
+def test_kendall_counts_inversions_over_levels_and_blocks(spark, monkeypatch):
+    from dfprofile.operators import kendall as K
+
+    rng = np.random.default_rng(5)
+    rows = [("p0", int(x), int(y), int(c)) for x, y, c in zip(rng.integers(0, 700, 900), rng.integers(0, 70000, 900), rng.integers(1, 4, 900))]
+    rows += [("p1", 5, int(y), 1) for y in rng.integers(0, 9, 50)] + [("p2", 1, 2, 3)]
+    for blocks, batch in ((4096, 200_000), (4, 7)):
+        monkeypatch.setattr(K, "MAX_BLOCKS", blocks)
+        monkeypatch.setattr(K._inversions, "__defaults__", (batch,))
+        df = spark.createDataFrame(rows, "pair string, x long, y long, c long").groupBy("pair", "x", "y").agg({"c": "sum"}).withColumnRenamed("sum(c)", "c")
+        got = {r["pair"]: r["tau"] for r in K.kendall_tau(df, 17).collect()}
+        x, y, c = (np.array([r[i] for r in rows if r[0] == "p0"], float) for i in (1, 2, 3))
+        s = np.sign(x[:, None] - x) * np.sign(y[:, None] - y) * c[:, None] * c
+        tie = lambda v: ((v[:, None] != v) * c[:, None] * c).sum()
+        assert abs(got["p0"] - s.sum() / np.sqrt(tie(x) * tie(y))) < 1e-12
+        assert got["p1"] is None and got["p2"] is None
