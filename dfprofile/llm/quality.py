@@ -165,7 +165,7 @@ def evidence(docs: DataFrame, model, *carry: str) -> DataFrame:
     there are any, the columns of ``carry`` and text_; ``model``: the broadcast models."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text_", 4 << 20, 10_000):
+        for b in pieces(batches, "text_", 2 << 20, 10_000):
             c = counts(b.column("text_"))
             llr = [pa.array(np.clip(m.logit(*c, b.num_rows) - m.base, -30, 30)) for m in (model.value["quality"], model.value["toxic"])]
             rest = [x for x in b.schema.names if x != "text_" or carry]
@@ -213,10 +213,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     rows = docs.withColumns({"doc_id_": F.col("doc_id").cast("long"), "host_": F.col(host).cast("string"),
                              "path_": F.col(path).cast("string")})
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    rates = site_rates(evidence(rows, shared), models)
+    found = stash(evidence(rows, shared, *carry), "evidence")  # every text is read once
+    shared.unpersist()
+    rates = site_rates(found, models)
     if rates.count() <= 100_000:  # a checked size; beyond it both sides are shuffled
         rates = F.broadcast(rates)
-    scored = evidence(rows, shared, *carry).join(
+    scored = found.join(
         rates, F.col("host_").eqNullSafe(F.col("site")) & F.col("path_").eqNullSafe(F.col("part")))
 
     def posterior(c: str):
