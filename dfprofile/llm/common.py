@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,6 +71,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20,
            max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of the incoming batches: about ``max_bytes`` of ``column`` (one row at
@@ -86,7 +96,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             size += x
         if n > lo:
             yield b.slice(lo)
-    pa.default_memory_pool().release_unused()  # the worker lives on
+    give_back()
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

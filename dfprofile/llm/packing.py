@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dfprofile.llm.common import fresh, load, pieces, stash
+from dfprofile.llm.common import fresh, give_back, load, pieces, stash
 from dfprofile.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2,
-                 with_ids: bool = False) -> DataFrame:
+                 with_ids: bool = False, forget: bool = False) -> DataFrame:
     """Every document's ids plus ``end_id``, cut into pieces of at most ``size`` ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +49,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
             if with_ids:
                 cols.append(pa.array([r[5] for r in rows], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
-        encoder(tokenizer_path).older.clear()
+        enc.older.clear()
+        if forget:
+            enc.pieces.clear()
+            give_back()
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -122,8 +125,10 @@ def sequences(packed: DataFrame) -> DataFrame:
         F.col("p.offset").alias("offsets"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 4096) -> DataFrame:
-    return pack(stash(token_pieces(docs, tokenizer_path, size), "pieces"), size)
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 4096, forget: bool = False) -> DataFrame:
+    """Pieces with ``sequence_id`` and ``offset``; ``forget``: tasks leave no encoded words behind, for
+    workers that go on to other stages."""
+    return pack(stash(token_pieces(docs, tokenizer_path, size, forget=forget), "pieces"), size)
 
 
 def q_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
