@@ -42,7 +42,7 @@ from dfprofile.llm.common import drop_stash, load, pieces, stash
 # Fixed value: the split pattern of byte-level vocabularies with ``use_regex``.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BORDER = re.compile(r"(?<=\S)(?= )|(?<=\S)(?=\n\S)")
-MEMO = 100_000  # units kept by a task, in each of two generations
+MEMO = 40_000  # units kept by a task, in each of two generations
 JOINED = 20_000  # units tokenized in one call
 SHIFT = 32  # an id pair as one number: id of A above, id of B below
 
@@ -271,7 +271,7 @@ def aligned_batches(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(a_path, b_path)
-        for b in pieces(batches, "text", 2 << 20, 10_000):
+        for b in pieces(batches, "text", 1 << 20, 10_000):
             row = _batch_row(b, pair) | {"batch": uuid.uuid4().hex}
             cols = [pa.array([row[k]], pa.string()) if k == "batch" else
                     pa.ListArray.from_arrays(pa.array([0, len(row[k])], pa.int32()), row[k] if isinstance(row[k], pa.Array) else pa.array(row[k], pa.string() if k == "sha" else None))
