@@ -7,11 +7,11 @@
 * Trees: ``groupBy(column, tree).applyInPandas`` builds each isolation tree on
   <= 256 values (random split uniform in [min, max), depth limit ceil(log2 256))
   and emits its leaves as intervals with path length depth + c(size).
-* In one dimension the whole forest is a step function: the union of all split
-  points (<= trees x 256 per column) is collected as bounded metadata, each
-  elementary interval gets its mean path length, and the distinct values of the
-  frequency table are scored by an Arrow-batched ``pandas_udf`` doing a
-  vectorised binary search (``np.searchsorted``) — never row-at-a-time.
+* In one dimension the whole forest is a step function: the leaves of a column
+  (<= trees x 256) are merged on executors into intervals with their mean path
+  length, one row per column reaches the driver, and values are scored by an
+  Arrow-batched ``pandas_udf`` doing a vectorised binary search
+  (``np.searchsorted``) — never row-at-a-time, and without a join on values.
 * The cut is the exact ``(1 - contamination)`` quantile of the scores over all
   rows (from the score frequency table), so about 10 % of rows are flagged.
 
@@ -36,6 +36,7 @@ from .numeric import NumericProfile
 
 EULER_GAMMA = 0.5772156649015329
 LEAF_SCHEMA = "column_name string, tree int, lo double, hi double, path double"
+STEP_SCHEMA = "column_name string, starts array<double>, scores array<double>"
 
 
 def average_path_length(n: int) -> float:
@@ -70,10 +71,43 @@ def _build_trees(seed: int, max_depth: int):
     return build
 
 
+def _merge_trees(sizes: dict[str, int]):
+    """A column's leaves (<= trees x samples) as one step function: starts of the elementary
+    intervals and the anomaly score on each."""
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        col = pdf["column_name"].iloc[0]
+        ends = np.concatenate([pdf["lo"].to_numpy(), pdf["hi"].to_numpy()])
+        starts, at = np.unique(ends, return_inverse=True)
+        path = pdf["path"].to_numpy()
+        total = np.cumsum(np.bincount(at, np.concatenate([path, -path]), len(starts)))[:-1]
+        c_n = average_path_length(sizes[col])
+        mean = total / pdf["tree"].nunique()
+        scores = np.power(2.0, -mean / c_n) if c_n > 0 else np.full(len(total), 0.5)
+        return pd.DataFrame({"column_name": [col], "starts": [starts[:-1]], "scores": [scores]})
+    return merge
+
+
+def _step_score(tables: dict):
+    """The score of a value: the step whose interval [start, next start) holds it."""
+    @F.pandas_udf("double")
+    def score(names: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.full(len(values), np.nan)
+        for c in names.unique():
+            if c not in tables:
+                continue
+            starts, sc = tables[c]
+            idx = (names == c).to_numpy()
+            pos = np.searchsorted(starts, values.to_numpy()[idx], side="right") - 1
+            out[idx] = sc[pos]
+        return pd.Series(out)
+    return score
+
+
 def isolation_scores(df: DataFrame, columns: list[str], row_key: str | Column | None = None,
                      config: ProfileConfig = DEFAULT, profile: NumericProfile | None = None
-                     ) -> tuple[DataFrame, NumericProfile]:
-    """``(column_name, value, cnt, score)`` over the frequency table."""
+                     ) -> tuple[DataFrame, NumericProfile, dict]:
+    """``(column_name, value, cnt, score)`` over the frequency table, and the forest as a step
+    function per column."""
     p = profile or NumericProfile(df, columns, config)
     counts = p.counts()
     t, m = config.iforest_trees, config.iforest_samples
@@ -106,49 +140,14 @@ def isolation_scores(df: DataFrame, columns: list[str], row_key: str | Column |
     max_depth = int(math.ceil(math.log2(max(2, m))))
     leaves = sample.groupBy("column_name", "tree").applyInPandas(
         _build_trees(config.seed, max_depth), LEAF_SCHEMA)
-    # Bounded metadata: <= trees x samples leaves per column.
-    leaf_rows = leaves.collect()
-    per_col: dict[str, list] = {}
-    per_tree: dict[str, set] = {}
-    for r in leaf_rows:
-        per_col.setdefault(r["column_name"], []).append((r["lo"], r["hi"], r["path"]))
-        per_tree.setdefault(r["column_name"], set()).add((r["tree"], 0))
-    tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for c in columns:
-        lv = per_col.get(c)
-        if not lv:
-            continue
-        pts = sorted({x for lo, hi, _ in lv for x in (lo, hi) if math.isfinite(x)})
-        edges = [-math.inf] + pts + [math.inf]
-        # Sum of path lengths on each elementary interval (difference array).
-        diff = np.zeros(len(edges))
-        index = {x: i for i, x in enumerate(edges)}
-        for lo, hi, path in lv:
-            diff[index[lo]] += path
-            diff[index[hi]] -= path
-        total = np.cumsum(diff)[:-1]
-        c_n = average_path_length(min(m, counts[c]))
-        ntrees = len({t for t, _ in per_tree.get(c, [])}) or t
-        scores = (np.power(2.0, -(total / ntrees) / c_n) if c_n > 0
-                  else np.full(len(total), 0.5))
-        tables[c] = (np.asarray(edges[:-1], dtype=float), scores)
-
-    @F.pandas_udf("double")
-    def score(names: pd.Series, values: pd.Series) -> pd.Series:
-        out = np.full(len(values), np.nan)
-        for c in names.unique():
-            if c not in tables:
-                continue
-            starts, sc = tables[c]
-            idx = (names == c).to_numpy()
-            # Interval i covers [starts[i], starts[i + 1]).
-            pos = np.searchsorted(starts, values.to_numpy()[idx], side="right") - 1
-            out[idx] = sc[pos]
-        return pd.Series(out)
-
+    sizes = {c: min(m, counts[c]) for c in columns}
+    steps = leaves.groupBy("column_name").applyInPandas(_merge_trees(sizes), STEP_SCHEMA)
+    tables = {r["column_name"]: (np.asarray(r["starts"]), np.asarray(r["scores"]))
+              for r in steps.collect()}  # one row per column
+    score = _step_score(tables)
     freq = p.freq().select("column_name", "value", "cnt").where(
         F.col("column_name").isin(list(tables)))
-    return freq.withColumn("score", score("column_name", "value")), p
+    return freq.withColumn("score", score("column_name", "value")), p, tables
 
 
 def isolation_forest_outliers(df: DataFrame, columns: list[str] | None = None,
@@ -157,7 +156,7 @@ def isolation_forest_outliers(df: DataFrame, columns: list[str] | None = None,
                               profile: NumericProfile | None = None) -> DataFrame:
     """O4 with the O1 output schema (method ``isolation_forest``)."""
     cols = columns or numeric_columns(df)
-    scored, p = isolation_scores(df, cols, row_key, config, profile)
+    scored, p, tables = isolation_scores(df, cols, row_key, config, profile)
     sf = (scored.groupBy("column_name", F.col("score").alias("value"))
           .agg(F.sum("cnt").alias("cnt")).withColumn("bucket", F.lit(0)))
     ranked = running_counts(sf, ["column_name"], "value")
@@ -178,8 +177,10 @@ def isolation_forest_outliers(df: DataFrame, columns: list[str] | None = None,
                       *[F.nanvl(qcol(c).cast("double"), F.lit(None).cast("double")).alias(c)
                         for c in cols])
     long = unpivot_pairs(keyed, cols, {"value": lambda c: qcol(c), "_key": lambda c: F.col("_key")})
-    bad_values = flagged.select("column_name", "value")
-    hits = long.join(bad_values, ["column_name", "value"], "left_semi")
+    # rows meet the step function, not the table of flagged values: no join on values
+    found = long.where(F.col("value").isNotNull() & F.col("column_name").isin(list(tables))).withColumn(
+        "score", _step_score(tables)("column_name", "value"))
+    hits = found.join(F.broadcast(cut), "column_name").where(F.col("score") > F.col("cut"))
     w = Window.partitionBy("column_name").orderBy("_key")
     first = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= config.max_outlier_keys)
     keys = first.groupBy("column_name").agg(F.sort_array(F.collect_list("_key")).alias("outlier_keys"))

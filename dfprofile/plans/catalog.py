@@ -402,6 +402,41 @@ def q_trend_fit(spark, sf):
     return trend_fit(load(spark, sf, "events"), "ts", "value")
 
 
+def q_trend_acf(spark, sf):
+    from ..operators.trend import trend_acf
+    return trend_acf(load(spark, sf, "events"), "ts", "value")
+
+
+def q_trend_weekly(spark, sf):
+    from ..operators.trend import trend_series
+    return trend_series(load(spark, sf, "orders"), "o_orderdate", "o_custkey", window=4, unit="week")
+
+
+def q_trend_report(spark, sf):
+    """The trend section of ``profile()`` for ``orders``."""
+    from .report import profile
+    p = profile(load(spark, sf, "orders"), analyses=["trend"])
+    out = p.trends()
+    p.release()
+    return out.select("time_column", "column_name", "buckets", F.round("slope", 4).alias("slope"), "direction")
+
+
+def q_report_retention(spark, sf):
+    """``events`` as finished jobs in a store by day; what a week's retention keeps, per day."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.sink import retention, store
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/jobs-{uuid.uuid4().hex}"
+    t = load(spark, sf, "events").select("event_id", F.col("ts").alias("completed_at"), "event_type")
+    store(t, path)
+    now = t.agg(F.max("completed_at")).first()[0]
+    kept, expired, _ = retention(spark.read.parquet(path), now=now)
+    both = kept.withColumn("state", F.lit("kept")).unionByName(expired.withColumn("state", F.lit("expired")))
+    return both.groupBy("run_date", "state").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
 def q_trend_seasonality(spark, sf):
     from ..operators.trend import seasonality
     return seasonality(load(spark, sf, "events"), "ts", "value")
@@ -510,6 +545,10 @@ QUERIES = {
     "trend_daily": q_trend_daily,
     "trend_fit": q_trend_fit,
     "trend_seasonality": q_trend_seasonality,
+    "trend_acf": q_trend_acf,
+    "trend_weekly": q_trend_weekly,
+    "trend_report": q_trend_report,
+    "report_retention": q_report_retention,
     "schema_profile_text": q_schema_profile_text,
     "categorical_stats_text": q_categorical_stats_text,
     "schema_profile_embeddings": q_schema_profile_embeddings,
@@ -607,4 +646,10 @@ ORACLES = {
     "trend_daily": O.trend_series_sql("events", "ts", "value"),
     "trend_fit": O.trend_fit_sql("events", "ts", "value"),
     "trend_seasonality": O.seasonality_sql("events", "ts", "value"),
+    "trend_acf": O.trend_acf_sql("events", "ts", "value"),
+    "trend_weekly": O.trend_series_sql("orders", "o_orderdate", "o_custkey", 4, unit="week"),
+    "trend_report": O.trend_report_sql("orders", "o_orderdate", ["o_orderkey", "o_custkey", "o_totalprice"]),
+    "report_retention": "WITH c AS (SELECT max(ts) - INTERVAL 7 DAY AS cut FROM events) SELECT CAST(ts AS DATE) AS run_date, "
+                        "CASE WHEN ts < cut THEN 'expired' ELSE 'kept' END AS state, count(*) AS n, min(event_id) AS first_id "
+                        "FROM events, c GROUP BY ALL",
 }

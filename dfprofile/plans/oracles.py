@@ -526,9 +526,9 @@ UNION ALL SELECT 'duplicate_names', 'pass', '' FROM t
 
 # ---- trend -----------------------------------------------------------------
 
-def trend_series_sql(source: str, ts: str, value: str, window: int = 7, d: int = 4) -> str:
+def trend_series_sql(source: str, ts: str, value: str, window: int = 7, d: int = 4, unit: str = "day") -> str:
     return f"""
-WITH b AS (SELECT CAST({ts} AS DATE) AS bucket, CAST(count(*) AS BIGINT) AS n, avg({value}) AS m
+WITH b AS (SELECT CAST(date_trunc('{unit}', {ts}) AS DATE) AS bucket, CAST(count(*) AS BIGINT) AS n, avg({value}) AS m
            FROM {source} WHERE {ts} IS NOT NULL GROUP BY 1)
 SELECT bucket, n, round(m, {d}) AS mean_value,
        round(avg(m) OVER (ORDER BY bucket ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW), {d}) AS moving_avg
@@ -549,6 +549,28 @@ FROM x
 """
 
 
+def trend_acf_sql(source: str, ts: str, value: str, max_lag: int = 30, d: int = 4) -> str:
+    return f"""
+WITH b AS (SELECT CAST({ts} AS DATE) AS bucket, avg({value}) AS m FROM {source} WHERE {ts} IS NOT NULL GROUP BY 1),
+s AS (SELECT CAST(unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL 1 DAY)) AS DATE) AS bucket),
+y AS (SELECT s.bucket, coalesce(m - (SELECT avg(m) FROM b), 0.0) AS y FROM s LEFT JOIN b USING (bucket)),
+a AS (SELECT CAST(l.lag AS INTEGER) AS lag, (SELECT count(*) FROM y) AS n,
+             sum(y1.y * y2.y) / (SELECT sum(y * y) FROM y) AS acf
+      FROM generate_series(1, {max_lag}) l(lag) JOIN y y1 ON TRUE JOIN y y2 ON y2.bucket = y1.bucket + CAST(l.lag AS INTEGER)
+      GROUP BY l.lag),
+p AS (SELECT arg_min(lag, (-acf, lag)) AS period FROM a WHERE lag > 1 AND acf > 2 / sqrt(n))
+SELECT lag, round(acf, {d}) AS acf, coalesce(lag = period, FALSE) AS is_period FROM a, p WHERE lag < n
+"""
+
+
+def trend_report_sql(source: str, ts: str, cols: list[str], d: int = 4) -> str:
+    return " UNION ALL ".join(f"""
+SELECT '{ts}' AS time_column, '{c}' AS column_name, count(*) AS buckets, round(regr_slope(m, x), {d}) AS slope,
+       CASE WHEN regr_slope(m, x) > 0 THEN 'increasing' WHEN regr_slope(m, x) < 0 THEN 'decreasing' ELSE 'flat' END AS direction
+FROM (SELECT CAST(CAST({ts} AS DATE) - DATE '1970-01-01' AS DOUBLE) AS x, avg({c}) AS m FROM {source} GROUP BY CAST({ts} AS DATE)) t"""
+                              for c in cols)
+
+
 def seasonality_sql(source: str, ts: str, value: str, d: int = 4) -> str:
     return f"""
 SELECT 'hour' AS period, hour({ts}) AS slot, CAST(count(*) AS BIGINT) AS n, round(avg({value}), {d}) AS mean_value

@@ -20,6 +20,8 @@ from ..operators import distribution as D
 from ..operators import outliers as O
 from ..operators import quality as Q
 from ..operators import schema as S
+from ..operators import trend as TR
+from ..functions.columns import DATETIME_TYPES
 from ..operators.numeric import NumericProfile, numeric_stats
 from .chart_plan import chart_plan_rows
 
@@ -29,7 +31,8 @@ ANALYSES = ("descriptive", "correlation", "distribution", "outlier", "trend", "a
 
 class Profile:
     """Every column analysed by its semantic type; ``analyses`` selects
-    correlation / outlier / distribution (descriptive always runs)."""
+    correlation / outlier / distribution / trend (descriptive always runs; ``all``
+    leaves trends out, which need a time column)."""
 
     def __init__(self, df: DataFrame, config: ProfileConfig = DEFAULT,
                  analyses: tuple[str, ...] | list[str] = ("all",), row_key: str | Column | None = None,
@@ -37,8 +40,6 @@ class Profile:
         bad = [a for a in analyses if a not in ANALYSES]
         if bad:
             raise ValueError(f"Unknown analysis types: {bad}")
-        if "trend" in analyses:
-            raise ValueError("trend needs a time column: call dfprofile.operators.trend instead")
         self.df, self.cfg, self.row_key = df, config, row_key
         self.spark = df.sparkSession
         self.analyses = set(analyses)
@@ -49,6 +50,7 @@ class Profile:
         self.types = types
         self.numeric_cols = [c for c in df.columns if types[c] == S.NUMERIC]
         self.cat_cols = [c for c in df.columns if types[c] in C.CATEGORY_TYPES]
+        self.time_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, DATETIME_TYPES)]
         # Share the schema job's frequency tables whenever they cover the columns.
         if self.numeric_cols == self.facts.numeric_typed:
             self.num = self.facts.numeric
@@ -123,6 +125,12 @@ class Profile:
             self.df, self.numeric_cols, self.cfg, self.num)
             .join(F.broadcast(self._order), "column_name"))
 
+    def trends(self) -> DataFrame | None:
+        """Only when asked for by name, and with a time column to go by."""
+        if "trend" not in self.analyses or not self.time_cols or not self.numeric_cols:
+            return None
+        return self._memo("trend", lambda: TR.trend_sweep(self.df, self.time_cols, self.numeric_cols))
+
     def chart_plan(self) -> DataFrame | None:
         if not self.visualizations:
             return None
@@ -193,6 +201,10 @@ class Profile:
             parts.append(arr(d, "distribution_analysis", ["ord"],
                              ["column_name", "distribution_type", "is_normal",
                               "normality_test_statistic", "normality_p_value"]))
+        t = self.trends()
+        if t is not None:
+            to = t.select(F.col("time_column").alias("_a"), F.col("column_name").alias("_b"), "*")
+            parts.append(arr(to, "trend_analysis", ["_a", "_b"], t.columns))
         top = self.top_categories()
         if top is not None:
             to = top.join(F.broadcast(self._order), "column_name")

@@ -30,16 +30,28 @@ def read_report(spark: SparkSession, path: str, job_id: str) -> DataFrame:
 
 
 def retention(reports: DataFrame, days_to_keep: int = 7, now: dt.datetime | None = None,
-              ts_col: str = "completed_at") -> tuple[DataFrame, DataFrame, DataFrame]:
+              ts_col: str = "completed_at", day_col: str = "run_date") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(kept, expired, counts)`` where a row expires when its completion
     time is before ``now - days_to_keep``; ``counts`` is one row
-    ``kept_count, expired_count``."""
+    ``kept_count, expired_count``.
+
+    Where the store is partitioned by ``day_col``, both sides also carry a filter on it: whole days
+    are told by their folder, and only the day of the cutoff by its rows.  Rows without a time stay."""
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    cutoff = F.lit(now - dt.timedelta(days=days_to_keep)).cast("timestamp_ntz")
-    expired_flag = F.col(ts_col).cast("timestamp_ntz") < cutoff
-    kept = reports.where(~expired_flag | F.col(ts_col).isNull())
-    expired = reports.where(expired_flag)
-    counts = reports.agg(
-        F.count(F.when(~expired_flag | F.col(ts_col).isNull(), 1)).cast("long").alias("kept_count"),
-        F.count(F.when(expired_flag, 1)).cast("long").alias("expired_count"))
+    limit = now - dt.timedelta(days=days_to_keep)
+    old = F.coalesce(F.col(ts_col).cast("timestamp_ntz") < F.lit(limit).cast("timestamp_ntz"), F.lit(False))
+    kept, expired = reports.where(~old), reports.where(old)
+    if day_col in reports.columns:
+        day = F.lit(limit.date())
+        kept = kept.where(F.col(day_col).isNull() | (F.col(day_col) >= day))
+        expired = expired.where(F.col(day_col) <= day)
+    counts = reports.agg(F.count(F.when(~old, 1)).cast("long").alias("kept_count"),
+                         F.count(F.when(old, 1)).cast("long").alias("expired_count"))
     return kept, expired, counts
+
+
+def store(rows: DataFrame, path: str, ts_col: str = "completed_at", day_col: str = "run_date") -> None:
+    """Write rows to a store partitioned by the day of ``ts_col``; days that are written again are
+    replaced, others stay (dynamic partition overwrite)."""
+    (rows.withColumn(day_col, F.to_date(F.col(ts_col)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(path))
