@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dfprofile.llm.common import checked, cut, drop_stash, fresh, load, pieces, stash, text_bytes
+from dfprofile.llm.common import checked, cut, drop_stash, fresh, give_back, load, pieces, stash, text_bytes
 
 WINDOW = 200
 GRAM = 64  # length of the initial buckets' strings
@@ -124,7 +124,7 @@ def _runs(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 def _positions(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies in this task enter once
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 2 << 20):
             nodes, texts = [], []
             for node, t in zip(b.column("node").to_pylist(), b.column("text").to_pylist()):
                 if len(t) >= window and node not in seen:
@@ -146,7 +146,7 @@ def _contexts(docs: DataFrame, reps: DataFrame, marks: DataFrame, window: int, g
     per_node = marks.groupBy("node").agg(F.collect_set("pos").alias("at"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 2 << 20):
             texts, at, nodes = b.column("text").to_pylist(), b.column("at"), b.column("node").to_numpy()
             marked = (np.repeat(np.arange(len(texts)), np.diff(at.offsets.to_numpy())) << 40) | at.flatten().to_numpy()
             for doc, pos, ids, first, last in owners(texts, window, gram):
@@ -216,7 +216,7 @@ def _refine(contexts: DataFrame, window: int) -> DataFrame:
                 if k != key:
                     close()
                     bucket, key, last = {}, k, None
-                    if size > 4 << 20 or len(found) > 100_000:
+                    if size > 1 << 20 or len(found) > 100_000:
                         yield out()
                         pool, found, size = [], [], 0
                 if (node, start) != last:  # else a row with the same id and text
@@ -224,6 +224,7 @@ def _refine(contexts: DataFrame, window: int) -> DataFrame:
                     bucket.setdefault(text, []).append(last)
         close()
         yield out()
+        give_back()
 
     return (contexts.repartition("key").sortWithinPartitions("key", "node", "start")
             .mapInArrow(refine, "node long, lo long, hi long"))
@@ -309,7 +310,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     rows, light, runs = _analysed(docs, window, gram, hot)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 2 << 20):
             out = []
             for node, t, r in zip(*(b.column(c).to_pylist() for c in ("node", "text", "runs"))):
                 r = _union(r)
