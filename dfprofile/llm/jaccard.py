@@ -252,6 +252,8 @@ def similar_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
             F.min("digest").alias("d0"), F.max("digest").alias("d1")))
         if not reps.where("d0 <> d1").limit(1).count():
             break
+    else:
+        raise ValueError("different texts share a name under every seed")
     order = spark.sparkContext.broadcast(_sketch(scanned))
     prefix = _prefix_rows(docs, width, percent, seed, order)
     # keys shared within a band or by neighbouring bands, told by a mask of the bands modulo 64

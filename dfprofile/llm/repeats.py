@@ -291,6 +291,8 @@ def _nodes(docs: DataFrame) -> DataFrame:
         clash = pairs.groupBy("node").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b")
         if not clash.limit(1).count():
             break
+    else:
+        raise ValueError("different texts share a name under every seed")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), bytes_.alias("text"),
                        F.md5(bytes_).alias("mark"))
 

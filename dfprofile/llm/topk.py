@@ -11,10 +11,10 @@ bound is below the k-th best lower bound: never without this proof.  Those left
 Vectors are indexed in blocks of ``block_rows``; each block of queries meets each block of vectors
 once, in the task that its salt is dealt to.  That work, queries times vectors, is the search itself.
 
-Defined results: vectors null, or with null or non-finite components, take no part; only vectors of
+Defined results: vectors null, with a null id, or with null or non-finite components, take no part; only vectors of
 the query's length are compared; an empty vector scores 0; ties go to the smaller id; a repeated id
 that is not the query's own takes part as often as it occurs; an empty table gives no rows; other
-columns are ignored.  A score that no 64-bit integer holds is an error.
+columns are ignored.  A component or score that no 64-bit integer holds is an error.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def index(vectors: DataFrame, block_rows: int = 8192) -> DataFrame:
         for dim in list(held):
             yield block(dim)
 
-    return vectors.mapInArrow(build, BLOCK)
+    return vectors.where("vec_id is not null").mapInArrow(build, BLOCK)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 8192,
@@ -158,7 +158,11 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def integer_vectors(table: DataFrame, scale: int = 256) -> DataFrame:
-    x = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.floor(F.lit(float(scale)) * v))
+    def whole(v: Column) -> Column:
+        y = F.lit(float(scale)) * v
+        return F.when(F.abs(y) >= F.lit(2.0 ** 63), F.raise_error(F.lit("a component is beyond 64 bits"))).otherwise(F.floor(y))
+
+    x = F.transform(F.col("embedding").cast("array<double>"), whole)
     return table.where(valid("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"),
                                                   x.cast("array<long>").alias("v"))
 

@@ -83,3 +83,14 @@ def test_topk_deals_blocks_of_one_length_over_partitions(spark):
     want = brute([(r.vec_id, r.embedding) for r in df.collect()], 5)
     assert Counter((r.query_id, r.vec_id, r.score) for r in found.collect()) == Counter(
         (q, i, x) for q, best in want.items() for i, x in best)
+
+
+def test_topk_null_ids_and_components_beyond_64_bits(spark):
+    rows = [(None, [1.0, 2.0]), (0, [1.0, 1.0]), (50, [2.0, 1.0]), (3, None), (4, [1.0, float("nan")])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = topk.integer_vectors(t)
+    got = topk.search(v, v.where("vec_id % 50 = 0")).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(0, 50), (50, 0)]
+    far = spark.createDataFrame([(0, [1e300, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.integer_vectors(far).collect()
