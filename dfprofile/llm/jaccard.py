@@ -9,9 +9,11 @@ signatures differ count no more than the shingles only one set has.  Pairs withi
 by intersecting their sorted sets.
 
 Equal sets are one node.  First each node meets one first node of its tiles, which is linear; links
-found so are contracted to components.  Then all pairs of a tile whose nodes lie in
+found so are contracted to components.  Then the pairs of a tile whose nodes lie in
 different components are compared, so that no link that can join two components is lost, and groups
-of near copies are not expanded into all their pairs.  Set hashes have 64 bits.
+of near copies are not expanded into all their pairs.  Tiles of the same nodes are one; a pair is
+left to the next tile that both nodes are in; and shingles of a prefix that no other prefix of the
+bands near holds lower the bound of the overlap.  Set hashes have 64 bits.
 
 Defined results: null and empty texts (no words) have 0 shingles and link with nothing; a text with
 fewer words than a shingle has one shingle, all its words; repeated rows link as equal sets; where
@@ -150,7 +152,7 @@ def _prefix_rows(docs: DataFrame, width: int, percent: int, seed: int, order) ->
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = order.value.astype(np.uint64) << np.uint64(56), set()
         for b in pieces(batches, "text", 4 << 20, 10_000):
-            keys, nodes, bands = [], [], []
+            keys, nodes, bands, places = [], [], [], []
             for s in shingle_sets(b.column("text"), width):
                 node = _node(_digest(s), seed)
                 if not len(s) or node in seen:
@@ -160,23 +162,27 @@ def _prefix_rows(docs: DataFrame, width: int, percent: int, seed: int, order) ->
                 first = len(s) - -(-percent * len(s) // 100) + 1
                 # the order: frequency, then hash; its value is the shingle's key
                 rank = counts[s >> np.uint64(44)] | (s >> np.uint64(8))
-                keys.append(np.partition(rank, first - 1)[:first].view(np.int64))
-                nodes.append(np.full(first, node, np.int64))
-                bands.append(np.full(first, int(math.log(len(s)) / step), np.int32))
+                low = np.unique(np.partition(rank, first - 1)[:first]).view(np.int64)
+                keys.append(low)
+                nodes.append(np.full(len(low), node, np.int64))
+                bands.append(np.full(len(low), int(math.log(len(s)) / step), np.int32))
+                places.append(np.arange(len(low), dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, bands)],
-                                                 names=["key", "node", "band"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, bands, places)],
+                                                 names=["key", "node", "band", "place"])
 
     step = math.log(100 / percent) * (1 + 1e-9)  # similar sizes differ by one band at most
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        rows, "key long, node long, band int")
+        rows, "key long, node long, band int, place int")
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
-    """Whether sizes and signatures of two nodes leave the similarity possible."""
+    """Whether sizes, signatures and shingles proven alone (``alone``: of no other node, and before
+    the tile's key) leave the similarity of two nodes possible."""
     n, m = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
     differ = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in ("s0", "s1")), F.lit(0))
-    return ((100 * F.least(n, m) >= percent * F.greatest(n, m))
+    both = F.least(n - F.col(f"{x}.alone"), m - F.col(f"{y}.alone"))
+    return (((100 + percent) * both >= percent * (n + m))
             & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m)))
 
 
@@ -265,10 +271,14 @@ def similar_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     nodes = reps.where("n > 0").select("node", "n", "s0", "s1")
     rows = prefix.join(shared, "key").where(
         "twice or getbit(mask, pmod(band + 1, 64)) = 1 or getbit(mask, pmod(band - 1, 64)) = 1")
-    rows = cut(rows.select("key", "node", "band").distinct().join(nodes, "node"))
+    rows = rows.select("key", "node", "band", "place").distinct().join(nodes, "node")
+    # of the shingles before this one, those that are in no other prefix of the bands near: another
+    # node of the tile holds all of its shingles before the key in its prefix, so it lacks them
+    met = F.row_number().over(Window.partitionBy("node").orderBy("place"))
+    rows = cut(rows.withColumn("alone", F.col("place") + 1 - met))
 
     # each node with one of the first nodes of its tiles
-    firsts = rows.groupBy("key", "band").agg(F.min("node").alias("node"))
+    firsts = rows.groupBy("key", "band").agg(F.min(F.struct("node", "alone")).alias("first")).select("key", "band", "first.*")
     firsts = firsts.join(nodes, "node").alias("y")
     near = (_tiles(rows).alias("x").join(firsts, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.band"))
                                          & (F.col("x.node") != F.col("y.node")) & _possible("x", "y", percent)))
@@ -279,12 +289,19 @@ def similar_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     # all pairs of nodes of different components; of two nodes, one was the other's first
     rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = (rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c"))
-             .where("x <> y and c > 2").select("key"))
-    rooted = cut(rooted.join(mixed, "key"))
+    # a tile of the same nodes as another has the same pairs: of these, that with the most shingles alone
+    name = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    mixed = (rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c"),
+                                       name(1).alias("f"), name(2).alias("g"), F.sum("alone").alias("alone"))
+             .where("x <> y and c > 2").groupBy("c", "f", "g").agg(F.max_by("key", F.struct("alone", "key")).alias("key"))
+             .select("key"))
+    # two nodes that share the next tile too are left to it, so a pair comes once for each run of tiles
+    after = F.lead("key").over(Window.partitionBy("node").orderBy("place"))
+    rooted = cut(rooted.join(mixed, "key").withColumn("after", after).drop("place"))
     x, y = rooted.alias("x"), _tiles(rooted).alias("y")
     late = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.tile"))
                   & (F.col("x.root") != F.col("y.root"))
+                  & F.coalesce(F.col("x.after") != F.col("y.after"), F.lit(True))
                   & ((F.col("x.band") != F.col("y.band")) | (F.col("x.node") < F.col("y.node")))
                   & _possible("x", "y", percent))
     ends = lambda df, p, q: df.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))

@@ -53,6 +53,24 @@ def test_jaccard_equals_brute_force(make_docs, width, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, width, percent)
 
 
+@pytest.mark.parametrize("width,percent", [(3, 90), (1, 80)])
+def test_jaccard_around_the_threshold_in_one_tile(make_docs, width, percent):
+    """One passage in all texts, and copies whose edits leave them just within or just beyond."""
+    rng = random.Random(17)
+    passage = [f"p{i}" for i in range(90)]
+    rows = []
+    for n in range(260):
+        text = [f"own{n % 230}x{i}" for i in range(n % 9)] + passage[:90 - n % 7]
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(len(text))] = rng.choice([f"q{n}", "common", passage[rng.randrange(90)]])
+        rows.append((n, " ".join(text)))
+    rows += [(1000 + n, " ".join(passage + [f"tail{n}y{i}" for i in range(n)])) for n in range(40)]
+    want = brute_groups(rows, width, percent)
+    assert 3 < len({c for _, _, c in want}) < 290
+    got = jaccard.similar_groups(make_docs(rows), width, percent).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_jaccard_edge_rows(edge_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
     got = jaccard.similar_groups(edge_docs, 3, 90).collect()
