@@ -13,10 +13,12 @@ from ..operators import correlation as R
 from ..operators import outliers as OUT
 from ..operators import quality as Q
 from ..operators import schema as S
+from ..operators.heavy import heavy_hitters
 from ..operators.numeric import numeric_stats
 from . import oracles as O
 from .tables import load
 
+LINEITEM_KEYS = ["l_partkey", "l_suppkey", "l_returnflag"]
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                     "l_extendedprice", "l_discount", "l_tax"]
 
@@ -127,6 +129,14 @@ def q_top_categories(spark, sf):
     return C.top_categories(load(spark, sf, "part"), PART_CATS, 20)
 
 
+def q_approx_top_values(spark, sf):
+    return heavy_hitters(load(spark, sf, "lineitem"), LINEITEM_KEYS, 20).drop("unseen")
+
+
+def q_approx_top_texts(spark, sf):
+    return heavy_hitters(load(spark, sf, "documents"), ["text", "source"], 20).drop("unseen")
+
+
 def q_categorical_stats(spark, sf):
     return C.categorical_stats(load(spark, sf, "orders"))
 
@@ -509,6 +519,8 @@ QUERIES = {
     "sample_values": q_sample_values,
     "value_counts": q_value_counts,
     "top_categories": q_top_categories,
+    "approx_top_values": q_approx_top_values,
+    "approx_top_texts": q_approx_top_texts,
     "categorical_stats": q_categorical_stats,
     "bar_chart": q_bar_chart,
     "corr_pearson": q_corr_pearson,
@@ -581,6 +593,8 @@ ORACLES = {
     "sample_values": O.sample_values_sql("nation", NATION, "n_nationkey"),
     "value_counts": O.value_counts_sql("orders", ORDER_CATS),
     "top_categories": O.top_values_sql("part", PART_CATS, 20),
+    "approx_top_values": O.proven_top_values_sql("lineitem", LINEITEM_KEYS, 20),
+    "approx_top_texts": O.proven_top_values_sql("documents", ["text", "source"], 20),
     "categorical_stats": O.categorical_stats_sql("orders", ORDER_CATS),
     "bar_chart": O.top_values_sql("part", ["p_brand"], 15),
     "corr_pearson": O.pearson_sql("lineitem", LINEITEM_NUMERIC),

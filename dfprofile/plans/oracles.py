@@ -218,6 +218,11 @@ SELECT column_name, CAST(rn AS INTEGER) AS rank, value, CAST(cnt AS BIGINT) AS "
 """
 
 
+def proven_top_values_sql(source: str, cols: list[str], k: int) -> str:
+    """The exact list, of which the sketch is to prove every row."""
+    return f"SELECT *, true AS proven FROM ({top_values_sql(source, cols, k)})"
+
+
 def categorical_stats_sql(source: str, cols: list[str]) -> str:
     return f"""
 WITH f AS ({string_freq_sql(source, cols)}),
