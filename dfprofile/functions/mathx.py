@@ -10,6 +10,8 @@ Pass a simple column reference as the argument: it is repeated in the text.
 
 from __future__ import annotations
 
+import math
+
 # Wichura (1988), Applied Statistics algorithm AS 241 (PPND16).
 AS241_A = [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
            1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,
@@ -98,10 +100,41 @@ def norm_cdf_sql(x: str) -> str:
     return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} > 0 THEN 1.0 - {tail} ELSE {tail} END)"
 
 
-def kolmogorov_sf_sql(lam: str, terms: int = 30) -> str:
-    """Upper tail of the Kolmogorov distribution, 2 * sum (-1)^(k-1) exp(-2 k^2 lam^2),
-    clamped to [0, 1]; 1 for lam below 0.2 where the series has not converged."""
-    parts = " + ".join(f"{'-' if k % 2 == 0 else ''}exp(-2.0 * {k * k}.0 * {lam} * {lam})"
-                       for k in range(1, terms + 1))
-    return (f"(CASE WHEN {lam} IS NULL THEN NULL WHEN {lam} < 0.2 THEN 1.0 "
-            f"ELSE least(greatest(2.0 * ({parts}), 0.0), 1.0) END)")
+def ks_stages(z: str, n: str) -> list[tuple[str, str]]:
+    """Helper columns ``(name, SQL)`` of the finite-n Kolmogorov distribution at ``z = sqrt(n) * D``
+    (Pelz and Good 1976: the limit and its corrections in 1/sqrt(n), 1/n and 1/n^1.5).  The series
+    has terms exp(-(pi h / z)^2 / 2): ``ks_a<i>`` weigh h^2i at h = 1/2, 3/2, ... and ``ks_b<i>``
+    at h = 1, 2, ...; ``z`` must be positive."""
+    c, p2 = SQRT_2PI, math.pi ** 2
+    zz = f"({z} * {z})"
+    z3, z4 = f"({zz} * {z})", f"({zz} * {zz})"
+    z6, z7, z8 = f"({z4} * {zz})", f"({z4} * {z3})", f"({z4} * {z4})"
+    z10 = f"({z8} * {zz})"
+    r1 = f"({c!r} / 6.0 / {z4} / sqrt({n}))"
+    r2 = f"({c!r} / 72.0 / {z7} / {n})"
+    r3 = f"({c!r} / 6480.0 / {z10} / ({n} * sqrt({n})))"
+    q2 = f"({c!r} / 36.0 / {z3} / {n})"
+    q3 = f"({c!r} / 216.0 / {z6} / ({n} * sqrt({n})))"
+    return [
+        ("ks_a0", f"{c!r} / {z} - {r1} * {zz} + {r2} * (6.0 * {z6} + 2.0 * {z4}) "
+                  f"- {r3} * (30.0 * {z6} + 90.0 * {z8})"),
+        ("ks_a1", f"{p2!r} * ({r1} + {r2} * (2.0 * {z4} - 5.0 * {zz}) + {r3} * (135.0 * {z4} - 96.0 * {z6}))"),
+        ("ks_a2", f"{p2 ** 2!r} * ({r2} * (1.0 - 2.0 * {zz}) + {r3} * (212.0 * {z4} - 60.0 * {zz}))"),
+        ("ks_a3", f"{p2 ** 3!r} * {r3} * (5.0 - 30.0 * {zz})"),
+        ("ks_b1", f"{p2!r} * (3.0 * {q3} * {zz} - {q2})"),
+        ("ks_b2", f"-{p2 ** 2!r} * {q3}"),
+    ]
+
+
+def ks_sf_sql(z: str, terms: int = 16) -> str:
+    """Upper tail of D's distribution over the columns of ``ks_stages``, clamped to [0, 1]
+    (0 from z = 5 on, where it is below 1e-21)."""
+    parts = []
+    for k in range(1, terms + 1):
+        h2 = (k - 0.5) ** 2
+        parts.append(f"exp({-math.pi ** 2 * h2 / 2!r} / ({z} * {z})) * "
+                     f"(ks_a0 + {h2!r} * (ks_a1 + {h2!r} * (ks_a2 + {h2!r} * ks_a3)))")
+        h2 = float(k * k)
+        parts.append(f"exp({-math.pi ** 2 * h2 / 2!r} / ({z} * {z})) * {h2!r} * (ks_b1 + {h2!r} * ks_b2)")
+    return (f"(CASE WHEN {z} IS NULL THEN NULL WHEN {z} >= 5.0 THEN 0.0 "
+            f"ELSE least(greatest(1.0 - ({' + '.join(parts)}), 0.0), 1.0) END)")

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ProfileConfig
 from ..functions.columns import numeric_columns, qcol, rnd
-from .categorical import top_values
-from .freq import string_frequencies
+from .categorical import top_categories
 
 
 def bar_chart_data(df: DataFrame, column: str, top_n: int | None = None,
                    config: ProfileConfig = DEFAULT) -> DataFrame:
     """V5: top ``bar_chart_top_n`` (15) value counts of one column."""
-    return top_values(string_frequencies(df, [column]), top_n or config.bar_chart_top_n)
+    return top_categories(df, [column], top_n or config.bar_chart_top_n, config)
 
 
 def heatmap_data(df: DataFrame, columns: list[str] | None = None,

@@ -7,8 +7,8 @@
   in steps so that a frequent value is no single task's work.
 * n > 5000: Kolmogorov-Smirnov against N(mean, sd ddof=1).  D is exact from the
   ECDF in the ranked frequency table (one aggregate, no sort of raw rows); the
-  p-value is the asymptotic Kolmogorov tail with Stephens' small-sample factor
-  (only ``p > alpha`` is semantic).
+  p-value is the finite-n distribution by the Pelz-Good series (absolute error below
+  0.1 / n^2: 4e-9 at n > 5000, 1e-6 from n = 320 on).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT, ProfileConfig
 from ..functions.columns import numeric_columns, rnd
-from ..functions.mathx import kolmogorov_sf_sql, norm_cdf_sql, ppf_stages
+from ..functions.mathx import ks_sf_sql, ks_stages, norm_cdf_sql, ppf_stages
 from .numeric import NumericProfile
 
 RESULT_SCHEMA = T.StructType([
@@ -63,8 +63,10 @@ def ks_statistics(p: NumericProfile, cols: list[str]) -> DataFrame:
     dminus = F.col("_cdf") - F.col("cum_before") / n
     d = (r.where(F.col("std") > 0).groupBy("column_name")
          .agg(F.max(F.greatest(dplus, dminus)).alias("statistic"), F.first("n").alias("n")))
-    lam = d.withColumn("_lam", (F.sqrt(F.col("n")) + 0.12 + 0.11 / F.sqrt(F.col("n"))) * F.col("statistic"))
-    return lam.select("column_name", "statistic", _expr(kolmogorov_sf_sql("_lam")).alias("p_value"))
+    d = d.select("column_name", "statistic", F.col("n").cast("double").alias("n"),
+                 F.greatest(F.sqrt("n") * F.col("statistic"), F.lit(0.05)).alias("_z"))
+    staged = d.select("*", *[_expr(sql).alias(name) for name, sql in ks_stages("_z", "n")])
+    return staged.select("column_name", "statistic", _expr(ks_sf_sql("_z")).alias("p_value"))
 
 
 def shapiro_statistics(p: NumericProfile, cols: list[str]) -> DataFrame:

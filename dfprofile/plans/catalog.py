@@ -129,6 +129,10 @@ def q_top_categories(spark, sf):
     return C.top_categories(load(spark, sf, "part"), PART_CATS, 20)
 
 
+def q_top_categories_text(spark, sf):
+    return C.top_categories(load(spark, sf, "documents"), ["text", "lang"], 20)
+
+
 def q_approx_top_values(spark, sf):
     return heavy_hitters(load(spark, sf, "lineitem"), LINEITEM_KEYS, 20).drop("unseen")
 
@@ -201,6 +205,8 @@ def q_constant_columns(spark, sf):
     return Q.constant_columns(load(spark, sf, "orders").selectExpr(*ORDERS_QUALITY_EXPRS))
 
 
+CUSTOMER_CATS = ["c_name", "c_mktsegment"]
+EVENTS_CATS = ["event_type", "props"]
 CUSTOMER_NUMERIC = ["c_custkey", "c_nationkey", "c_acctbal"]
 
 
@@ -349,6 +355,7 @@ def q_corr_kendall_orders(spark, sf):
     return R.correlation_matrix(load(spark, sf, "orders"), ORDERS_PAIR, "kendall")
 
 
+SUPPLIER_NUMERIC = ["s_suppkey", "s_nationkey", "s_acctbal"]
 SUPPLIER = [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"),
             ("s_acctbal", "double")]
 PART = [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
@@ -463,6 +470,52 @@ def q_insight_context(spark, sf):
     return insight_context(profile(load(spark, sf, "orders"), row_key="o_orderkey"))
 
 
+def q_insight_rows(spark, sf):
+    """The context of ``events``, one row a fact."""
+    from .insights import insight_context
+    from .report import profile
+    from .unfold import unfold_context
+    p = profile(load(spark, sf, "events"), row_key="event_id")
+    return unfold_context(insight_context(p))
+
+
+def q_report_rows(spark, sf):
+    """The whole report of ``customer``, one row a fact."""
+    from .unfold import unfold
+    return unfold(q_full_report(spark, sf))
+
+
+def q_normality_ks_supplier(spark, sf):
+    """D3s: the KS test where its p-value is neither 0 nor 1."""
+    return D.distribution_analysis(load(spark, sf, "supplier"), SUPPLIER_NUMERIC, test="ks")
+
+
+SKETCHED = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"]
+
+
+def q_approx_stats(spark, sf):
+    """Sketches of ``lineitem`` a ship year, merged; their errors against exact ranks and counts."""
+    from ..operators.numeric import NumericProfile
+    from ..operators.sketch import RANK_ERROR, UNIQUE_ERROR, approx_stats, column_sketches, merge_sketches
+    df = load(spark, sf, "lineitem")
+    yearly = column_sketches(df.withColumn("year", F.year("l_shipdate")), SKETCHED, by=["year"])
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    got = approx_stats(merge_sketches(yearly.drop("year")), probs)
+    long = got.select("column_name", "n", "unique_count", F.explode(F.array(*[
+        F.struct(F.lit(q).alias("p"), F.col(c).alias("value")) for c, q in probs.items()])).alias("at"))
+    long = F.broadcast(long.select("column_name", "n", "unique_count", "at.p", "at.value"))  # 3 rows a column
+    exact = NumericProfile(df, SKETCHED)
+    ranks = exact.ranked().join(long, ["column_name", "value"])
+    n, p, before = F.col("n"), F.col("p"), F.col("cum_before")
+    near = (before / n - RANK_ERROR <= p) & ((before + F.col("cnt")) / n + RANK_ERROR >= p)
+    ok = ranks.groupBy("column_name", "n", "unique_count").agg(
+        (F.count(F.lit(1)) == len(probs)).alias("_all"), F.bool_and(near).alias("_near"))
+    true = exact.ranked().groupBy("column_name").agg(F.count(F.lit(1)).alias("_distinct"))
+    off = F.abs(F.col("unique_count") - F.col("_distinct")) <= UNIQUE_ERROR * F.col("_distinct")
+    return ok.join(F.broadcast(true), "column_name").select(
+        "column_name", "n", (F.col("_all") & F.col("_near")).alias("ranks_within"), off.alias("uniques_within"))
+
+
 EMBEDDINGS = [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")]
 DOC_CATS = ["lang", "source", "text"]
 
@@ -579,6 +632,11 @@ QUERIES = {
     "corr_kendall_bigkeys": q_corr_kendall_bigkeys,
     "numeric_stats_nulls": q_numeric_stats_nulls,
     "insight_context": q_insight_context,
+    "insight_rows": q_insight_rows,
+    "report_rows": q_report_rows,
+    "normality_ks_supplier": q_normality_ks_supplier,
+    "approx_stats": q_approx_stats,
+    "top_categories_text": q_top_categories_text,
 }
 
 ORACLES = {
@@ -666,4 +724,10 @@ ORACLES = {
     "report_retention": "WITH c AS (SELECT max(ts) - INTERVAL 7 DAY AS cut FROM events) SELECT CAST(ts AS DATE) AS run_date, "
                         "CASE WHEN ts < cut THEN 'expired' ELSE 'kept' END AS state, count(*) AS n, min(event_id) AS first_id "
                         "FROM events, c GROUP BY ALL",
+    "insight_rows": O.context_rows_sql("events", "events", EVENTS, "event_id", EVENTS_NUMERIC, EVENTS_CATS),
+    "report_rows": O.report_rows_sql("customer", "customer", CUSTOMER, "c_custkey", CUSTOMER_NUMERIC, CUSTOMER_CATS),
+    "normality_ks_supplier": O.distribution_sql("supplier", SUPPLIER_NUMERIC, sw_max=0),
+    "approx_stats": "SELECT column_name, count(*) AS n, true AS ranks_within, true AS uniques_within FROM "
+                    f"({O.numeric_long_sql('lineitem', SKETCHED)}) l GROUP BY column_name",
+    "top_categories_text": O.top_values_sql("documents", ["text", "lang"], 20),
 }

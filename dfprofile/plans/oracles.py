@@ -339,7 +339,7 @@ def _sqlpoly(coefs, x):
 
 def distribution_sql(source: str, cols: list[str], min_n: int = 20, sw_max: int = 5000,
                      alpha: float = 0.05, d: int = 4) -> str:
-    from ..functions.mathx import kolmogorov_sf_sql, norm_cdf_sql, norm_ppf_sql
+    from ..functions.mathx import ks_sf_sql, ks_stages, norm_cdf_sql, norm_ppf_sql
     from ..operators.distribution import SW_C1, SW_C2, SW_MU, SW_SIGMA
     return f"""
 WITH long AS ({numeric_long_sql(source, cols)}),
@@ -378,8 +378,9 @@ kz AS (SELECT kr.*, s.n, (kr.value - s.mean) / s.sd AS z FROM kr JOIN s USING (c
 kc AS (SELECT *, {norm_cdf_sql('z')} AS cdf FROM kz),
 k0 AS (SELECT column_name, max(greatest((cb + cnt) / n - cdf, cdf - cb / n)) AS dd, any_value(n) AS n
        FROM kc GROUP BY column_name),
-k1 AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * dd AS lam FROM k0),
-ks AS (SELECT column_name, dd AS stat, {kolmogorov_sf_sql('lam')} AS pv, 'ks' AS test FROM k1),
+k1 AS (SELECT column_name, dd, CAST(n AS DOUBLE) AS n, greatest(sqrt(n) * dd, 0.05) AS z FROM k0),
+k2 AS (SELECT *, {', '.join(f'{e} AS {name}' for name, e in ks_stages('z', 'n'))} FROM k1),
+ks AS (SELECT column_name, dd AS stat, {ks_sf_sql('z')} AS pv, 'ks' AS test FROM k2),
 t AS (SELECT * FROM sw UNION ALL SELECT * FROM ks)
 SELECT s.column_name,
   CASE WHEN s.n < {min_n} THEN 'unknown' WHEN abs(s.sk) < 0.5 THEN 'symmetric'
@@ -623,3 +624,88 @@ def bigkeys_rank_sql(cols: list[str]) -> str:
                f"arg_min({c}, o_orderkey) THEN 1.0 ELSE -1.0 END END FROM {BIGKEYS} s WHERE {c} IS NOT NULL)" for c in cols}
     return " UNION ALL ".join(f"SELECT '{a}' AS column1, '{b}' AS column2, "
                               f"CAST({sign[a]} * {sign[b]} AS DOUBLE) AS correlation" for a in cols for b in cols)
+
+
+# ---- reports as long rows ----------------------------------------------------
+def section_sql(section: str, source: str, numbers: list[tuple[str, str]], texts: list[tuple[str, str]]) -> str:
+    """Leaves of ``source`` (which has ``ord``): fields with the expressions behind them."""
+    items = ([f"{{'field': '{f}', 'number': CAST({e} AS DOUBLE), 'text': CAST(NULL AS VARCHAR)}}" for f, e in numbers]
+             + [f"{{'field': '{f}', 'number': CAST(NULL AS DOUBLE), 'text': CAST({e} AS VARCHAR)}}" for f, e in texts])
+    return (f"SELECT '{section}' AS section, CAST(ord AS INTEGER) AS ord, u.field AS field, u.number AS number, "
+            f"u.text AS text FROM (SELECT ord, unnest([{', '.join(items)}]) AS u FROM ({source}) s) x "
+            "WHERE u.number IS NOT NULL OR u.text IS NOT NULL")
+
+
+def _same(*names: str) -> list[tuple[str, str]]:
+    return [(n, _q(n)) for n in names]
+
+
+def _in_order(sql: str, cols: list[str], limit: int = 10 ** 6) -> str:
+    """Rows of ``sql`` in the order of their columns, numbered from 0, up to the limit."""
+    return (f"SELECT *, row_number() OVER (ORDER BY place) - 1 AS ord FROM (SELECT r.*, t.ord AS place, "
+            f"row_number() OVER (ORDER BY t.ord) AS nth FROM ({sql}) r JOIN {cols_values(cols)} "
+            f"ON t.column_name = r.column_name) y WHERE nth <= {limit}")
+
+
+def _summaries_sql(name: str, source: str, schema: list[tuple[str, str]], numeric: list[str], cats: list[str],
+                   limit: int, section: str) -> str:
+    cols = [c for c, _ in schema]
+    wide = f"""
+SELECT t.ord, ty.column_name, ty.data_type, n.* EXCLUDE (column_name), c.* EXCLUDE (column_name)
+FROM ({type_inference_sql([(name, source, schema)])}) ty JOIN {cols_values(cols)} ON t.column_name = ty.column_name
+LEFT JOIN ({numeric_stats_sql(source, numeric)}) n ON n.column_name = ty.column_name
+LEFT JOIN ({categorical_stats_sql(source, cats)}) c ON c.column_name = ty.column_name WHERE t.ord < {limit}"""
+    stats = ["mean", "median", "std_dev", "min", "max", "skewness", "mode", "variance", "q1", "q3", "iqr", "kurtosis",
+             "unique_count", "frequency"]
+    return section_sql(section, wide, [(f"stats.{s}", _q(s)) for s in stats] + [("stats.outliers", "outlier_count")],
+                       [("name", "column_name"), ("type", "data_type"), ("stats.most_frequent", "most_frequent")])
+
+
+def context_rows_sql(name: str, source: str, schema: list[tuple[str, str]], key: str, numeric: list[str],
+                     cats: list[str]) -> str:
+    cols = [c for c, _ in schema]
+    strong = (f"SELECT *, row_number() OVER (ORDER BY abs(correlation) DESC, column1, column2) - 1 AS ord "
+              f"FROM ({strong_sql(pearson_raw_sql(source, numeric), numeric)}) s")
+    return "\nUNION ALL ".join([
+        section_sql("dataset_overview", f"SELECT 0 AS ord, * FROM ({dataset_summary_sql(source, schema)}) d",
+                    [("rows", "row_count"), ("columns", "column_count"), ("total_missing", "total_missing")], []),
+        _summaries_sql(name, source, schema, numeric, cats, 10, "column_summaries"),
+        section_sql("correlations", strong, _same("correlation"), _same("column1", "column2", "strength", "direction")),
+        section_sql("outliers", _in_order(outliers_sql(source, numeric, key, "iqr", keep_positive=True), cols, limit=10),
+                    [("count", "outlier_count"), ("percentage", "outlier_percentage")], [("column", "column_name")]),
+        section_sql("distributions", _in_order(distribution_sql(source, numeric), cols, limit=10), [],
+                    [("column", "column_name"), ("type", "distribution_type"), ("is_normal", "is_normal")])])
+
+
+def report_rows_sql(name: str, source: str, schema: list[tuple[str, str]], key: str, numeric: list[str],
+                    cats: list[str], k: int = 20) -> str:
+    cols = [c for c, _ in schema]
+    strong = (f"SELECT *, row_number() OVER (ORDER BY abs(correlation) DESC, column1, column2) - 1 AS ord "
+              f"FROM ({strong_sql(pearson_raw_sql(source, numeric), numeric)}) s")
+    matrix = (f"SELECT *, row_number() OVER (ORDER BY column1, column2) - 1 AS ord "
+              f"FROM ({pearson_sql(source, numeric)}) m")
+    top = (f"SELECT r.*, row_number() OVER (ORDER BY t.ord, r.rank) - 1 AS ord FROM ({top_values_sql(source, cats, k)}) r "
+           f"JOIN {cols_values(cols)} ON t.column_name = r.column_name")
+    return "\nUNION ALL ".join([
+        section_sql("report", f"SELECT 0 AS ord, * FROM ({dataset_summary_sql(source, schema)}) d",
+                    _same("row_count", "column_count", "total_missing", "memory_usage_mb"),
+                    [("job_id", f"'{name}'"), ("correlation_method", "'pearson'")]),
+        section_sql("columns", _in_order(schema_profile_sql(source, schema, key), cols),
+                    _same("missing_count", "missing_percentage", "unique_count"),
+                    _same("column_name", "data_type", "sample_values")),
+        _summaries_sql(name, source, schema, numeric, cats, 10 ** 6, "column_statistics"),
+        section_sql("correlation_matrix", matrix, _same("correlation"), _same("column1", "column2")),
+        section_sql("strong_correlations", strong, _same("correlation"),
+                    _same("column1", "column2", "strength", "direction")),
+        section_sql("outlier_analysis", _in_order(outliers_sql(source, numeric, key, "iqr", keep_positive=True), cols),
+                    _same("outlier_count", "outlier_percentage"),
+                    [*_same("column_name", "method"), ("outlier_keys", "replace(outlier_keys, ',', ', ')")]),
+        section_sql("distribution_analysis", _in_order(distribution_sql(source, numeric), cols),
+                    _same("normality_test_statistic", "normality_p_value"),
+                    _same("column_name", "distribution_type", "is_normal")),
+        section_sql("top_categories", top, _same("count"), _same("column_name", "value")),
+        section_sql("data_quality", f"SELECT 0 AS ord, * FROM ({quality_sql(source, schema)}) d",
+                    _same("overall_score", "missing_data_percentage", "duplicate_rows", "duplicate_percentage",
+                          "constant_columns"), _same("assessment")),
+        section_sql("visualizations", f"SELECT plot_index - 1 AS ord, * FROM ({chart_plan_sql(source, schema)}) v", [],
+                    _same("viz_type", "title", "columns_used"))])
