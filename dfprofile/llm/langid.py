@@ -7,7 +7,9 @@ positions in runs with a letter; the highest wins, and its mean probability is t
 Equal runs have equal labels, so a task labels each distinct run of a batch once.
 
 The network is trained here, in numpy by backpropagation through time, on a bounded sample: up to
-``max_docs`` documents a language and ``max_runs`` of their runs, by hash order.
+``max_docs`` different texts a language and ``max_runs`` of their runs, by hash order.  Hashes beyond what a
+language's count of texts makes enough are left out where they are read, so no task ranks more than a few
+texts more than ``max_docs``.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as are all texts if
 nothing can be learned; repeated rows are labelled alike; an empty table gives no rows; other columns
@@ -150,12 +152,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, max_docs: int = 400, max_runs: int = 8000) -> Network | None:
-    """Fit on up to ``max_runs`` runs a language, from up to ``max_docs`` documents a language."""
+    """Fit on up to ``max_runs`` runs a language, from up to ``max_docs`` different texts a language."""
     def first(key: str) -> Column:
         return F.row_number().over(Window.partitionBy("lang").orderBy(key))
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
-    known = known.withColumn("k", F.xxhash64("text")).withColumn("r", first("k")).where(F.col("r") <= max_docs)
+    known = known.withColumn("k", F.xxhash64("text"))
+    texts = known.groupBy("lang").agg(F.approx_count_distinct("k").alias("texts"))
+    # the lowest hashes: 25 standard deviations above max_docs of them, so enough are left
+    enough = max_docs + 25 * max_docs ** 0.5 + 100
+    known = (known.join(F.broadcast(texts), "lang").where(F.col("k") / 2.0 ** 64 + 0.5 <= enough / F.col("texts"))
+             .groupBy("lang", "k").agg(F.first("text").alias("text"))
+             .withColumn("r", first("k")).where(F.col("r") <= max_docs))
     runs = known.select("lang", F.explode(F.split("text", r"[\s]+")).alias("run")).where(F.col("run").rlike(r"\p{L}"))
     runs = runs.select("lang", F.col("run").cast("binary").alias("run"))
     starts = F.sequence(F.lit(0), F.floor((F.octet_length("run") - 1) / RUN).cast("int"))  # as predict() reads them

@@ -46,6 +46,33 @@ def test_held_out_accuracy_and_edges(spark, edge_docs, empty_docs):
     assert {r.lang_pred for r in langid.predict(edge_docs, None).collect()} == {"und"}
 
 
+def test_documents_pool_the_labels_of_their_runs(make_docs):
+    net = langid.Network(["a", "b", "c"], hidden=4, seed=3)
+    texts = ["one two  two\tthree", "12 34 ... !", "x" * 60 + " é" + "中文" * 20, "", None, "7 up", "a\x0bb\x0cc\nd "]
+    got = {r.doc_id: r for r in langid.predict(make_docs(list(enumerate(texts))), net).collect()}
+    for i, t in enumerate(texts):
+        logs, probs = np.zeros(3), np.zeros(3)
+        for w in (t or "").encode().split():
+            if any(c.isalpha() for c in w.decode()):
+                for a in range(0, len(w), langid.RUN):
+                    lp = net.log_probs(np.frombuffer(w[a:a + langid.RUN], np.uint8)[None, :])[:, 0]
+                    logs, probs = logs + lp.sum(0), probs + np.exp(lp).sum(0)
+        best = int(logs.argmax())
+        want = (net.labels[best], probs[best] / probs.sum()) if probs.sum() else ("und", 0.0)
+        assert got[i].lang_pred == want[0] and abs(got[i].score - want[1]) < 1e-5
+
+
+def test_training_takes_the_lowest_hashes_of_different_texts(spark, make_docs, monkeypatch):
+    held = []
+    monkeypatch.setattr(langid.Network, "fit", lambda self, runs, label: held.extend(runs))
+    rows = [(i, f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}"
+             f"{'abcdefghij'[i // 1000 % 10]}" if i % 3 else "copied", "en", "s", 1) for i in range(3000)]
+    docs = make_docs(rows)
+    langid.train(docs, max_docs=12)
+    fit = docs.where(~langid.held_out()).selectExpr("text", "xxhash64(text) AS k").distinct()
+    assert sorted(held) == sorted(r.text.encode() for r in fit.orderBy("k").limit(12).collect())
+
+
 def test_training_reads_all_stretches_of_a_run(spark, make_docs, monkeypatch):
     held = []
     monkeypatch.setattr(langid.Network, "fit", lambda self, runs, label: held.extend(zip(runs, label.tolist())))
