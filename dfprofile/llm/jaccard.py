@@ -9,9 +9,10 @@ signatures differ count no more than the shingles only one set has.  Pairs withi
 by intersecting their sorted sets.
 
 Equal sets are one node.  First each node meets one first node of its tiles, which is linear; links
-found so are contracted to components.  Then the pairs of a tile whose nodes lie in
-different components are compared, so that no link that can join two components is lost, and groups
-of near copies are not expanded into all their pairs.  Tiles of the same nodes are one; a pair is
+found so are contracted to components.  While tiles hold many pairs of different components and that
+helps, this is done again with another first node in each tile.  Then the pairs of a tile whose nodes
+lie in different components are compared (512 bits), so that no link that can join two components is
+lost, and groups of near copies are not expanded into all their pairs.  Tiles of the same nodes are one; a pair is
 left to the next tile that both nodes are in; and shingles of a prefix that no other prefix of the
 bands near holds lower the bound of the overlap.  Set hashes have 64 bits.
 
@@ -39,6 +40,8 @@ from dfprofile.llm.graph import components
 
 SLOTS = 1 << 20  # of the count sketch
 CHUNK = 1 << 14
+WIDE = 8  # words of the signatures that tell a tile's pairs apart
+TURNS = 8  # first nodes tried in a tile, at most, before all its pairs are compared
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -245,6 +248,66 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
 
 
+def _shared(prefix: DataFrame) -> DataFrame:
+    """Rows of keys that nodes share within a band or with a neighbouring band, told by a mask of the
+    bands modulo 64."""
+    key = Window.partitionBy("key")
+    told = prefix.withColumns({"x": F.min("node").over(key), "y": F.max("node").over(key), "c": F.count(F.lit(1)).over(key),
+                               "mask": F.bit_or(F.expr("shiftleft(1L, pmod(band, 64))")).over(key)})
+    near = "getbit(mask, pmod(band + 1, 64)) = 1 or getbit(mask, pmod(band - 1, 64)) = 1"
+    return told.where(f"x <> y and (c > bit_count(mask) or {near})").select("key", "node", "band", "place").distinct()
+
+
+def _near(rows: DataFrame, reps: DataFrame, percent: int, turn: int = 0) -> DataFrame:
+    """Possible pairs (b, a) of each node and one node of each of its tiles: the first or, in a later
+    ``turn``, any one of another component."""
+    order, apart = ["node"], F.lit(True)
+    if turn:
+        order, apart = [F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "root"], F.col("x.root") != F.col("y.root")
+    firsts = rows.groupBy("key", "band").agg(F.min(F.struct(*order, "alone", "n", "s0", "s1")).alias("first"))
+    firsts = firsts.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "first.*").alias("y")
+    near = rows.alias("x").join(firsts, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.tile"))
+                                & (F.col("x.node") != F.col("y.node")) & apart & _possible("x", "y", percent))
+    return cut(_screen(near.select(F.col("x.node").alias("b"), F.col("y.node").alias("a")).distinct(), reps, percent))
+
+
+def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with their ``root``, of tiles with nodes of different components; of two nodes, one was the
+    other's first.  ``after``: the node's next tile."""
+    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # a tile of the same nodes as another has the same pairs: of these, that with the most shingles alone
+    name = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    mixed = (rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c"),
+                                       name(1).alias("f"), name(2).alias("g"), F.sum("alone").alias("alone"))
+             .where("x <> y and c > 2").groupBy("c", "f", "g").agg(F.max_by("key", F.struct("alone", "key")).alias("key"))
+             .select("key"))
+    # two nodes that share the next tile too are left to it, so a pair comes once for each run of tiles
+    after = F.lead("key").over(Window.partitionBy("node").orderBy("place"))
+    return cut(rooted.join(mixed, "key").withColumn("after", after))
+
+
+def _apart(left: DataFrame) -> tuple[int, int]:
+    """The pairs of different components in the tiles of ``left``, and its rows."""
+    sizes = left.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    tiles = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    n, pairs = tiles.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+    return int(pairs or 0), int(n or 0)
+
+
+def _wide(reps: DataFrame) -> DataFrame:
+    """node, w0, w1, ...: ``WIDE`` words of its signature."""
+    names = [f"w{i}" for i in range(WIDE)]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [_fold(np.frombuffer(x, np.int64), WIDE) for x in b.column("sig").to_pylist()]
+            words = np.array(words, np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.array(np.ascontiguousarray(w)) for w in words.T)],
+                                             names=["node", *names])
+
+    return reps.where("n > 0").select("node", "sig").mapInArrow(fold, "node long, " + ", ".join(f"{w} long" for w in names))
+
+
 def similar_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, mark (a hash of the text), n_shingles, root (a node of the component), component_id (its
     smallest document id) of every document."""
@@ -262,51 +325,48 @@ def similar_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
         raise ValueError("different texts share a name under every seed")
     order = spark.sparkContext.broadcast(_sketch(scanned))
     prefix = _prefix_rows(docs, width, percent, seed, order)
-    # keys shared within a band or by neighbouring bands, told by a mask of the bands modulo 64
-    shared = (prefix.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("c"),
-                                        F.bit_or(F.expr("shiftleft(1L, pmod(band, 64))")).alias("mask"))
-              .withColumn("twice", F.expr("c > bit_count(mask)"))
-              .where("x <> y and (twice or (mask & (shiftleft(mask, 1) | shiftrightunsigned(mask, 63))) <> 0)")
-              .select("key", "twice", "mask"))
     nodes = reps.where("n > 0").select("node", "n", "s0", "s1")
-    rows = prefix.join(shared, "key").where(
-        "twice or getbit(mask, pmod(band + 1, 64)) = 1 or getbit(mask, pmod(band - 1, 64)) = 1")
-    rows = rows.select("key", "node", "band", "place").distinct().join(nodes, "node")
+    rows = _shared(prefix).join(nodes, "node")
     # of the shingles before this one, those that are in no other prefix of the bands near: another
     # node of the tile holds all of its shingles before the key in its prefix, so it lacks them
     met = F.row_number().over(Window.partitionBy("node").orderBy("place"))
-    rows = cut(rows.withColumn("alone", F.col("place") + 1 - met))
+    rows = stash(rows.withColumn("alone", F.col("place") + 1 - met), "tiles")
 
     # each node with one of the first nodes of its tiles
-    firsts = rows.groupBy("key", "band").agg(F.min(F.struct("node", "alone")).alias("first")).select("key", "band", "first.*")
-    firsts = firsts.join(nodes, "node").alias("y")
-    near = (_tiles(rows).alias("x").join(firsts, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.band"))
-                                         & (F.col("x.node") != F.col("y.node")) & _possible("x", "y", percent)))
-    near = cut(_screen(near.select(F.col("x.node").alias("b"), F.col("y.node").alias("a")).distinct(), reps, percent))
-    pairs = cut(near.groupBy("b").agg(F.min("a").alias("a")))
+    near = _near(rows, reps, percent)
+    tried = pairs = cut(near.groupBy("b").agg(F.min("a").alias("a")))
     links = _verify(docs, reps, pairs, width, percent, seed)
     roots = cut(components(links))
 
-    # all pairs of nodes of different components; of two nodes, one was the other's first
-    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # a tile of the same nodes as another has the same pairs: of these, that with the most shingles alone
-    name = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
-    mixed = (rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c"),
-                                       name(1).alias("f"), name(2).alias("g"), F.sum("alone").alias("alone"))
-             .where("x <> y and c > 2").groupBy("c", "f", "g").agg(F.max_by("key", F.struct("alone", "key")).alias("key"))
-             .select("key"))
-    # two nodes that share the next tile too are left to it, so a pair comes once for each run of tiles
-    after = F.lead("key").over(Window.partitionBy("node").orderBy("place"))
-    rooted = cut(rooted.join(mixed, "key").withColumn("after", after).drop("place"))
-    x, y = rooted.alias("x"), _tiles(rooted).alias("y")
+    # again with others, as long as that leaves far fewer pairs of different components
+    left = _mixed(rows, roots)
+    drop_stash(rows)
+    apart, n = _apart(left)
+    for turn in range(1, TURNS):
+        if apart <= 2 * n:
+            break
+        pairs = cut(_near(left, reps, percent, turn).groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a"))
+                    .join(tried, ["a", "b"], "left_anti"))
+        links = cut(links.union(_verify(docs, reps, pairs, width, percent, seed)))
+        tried, roots = cut(tried.unionByName(pairs)), cut(components(links))
+        left, before = _mixed(left.drop("root", "after"), roots), apart
+        apart, n = _apart(left)
+        if 10 * apart > 9 * before:
+            break
+
+    # all pairs of nodes of different components
+    wide = left.drop("place").join(_wide(reps), "node")
+    x, y = wide.alias("x"), _tiles(wide).alias("y")
+    differ = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(WIDE)), F.lit(0))
+    size = F.col("x.n").cast("long") + F.col("y.n")
     late = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.tile"))
                   & (F.col("x.root") != F.col("y.root"))
                   & F.coalesce(F.col("x.after") != F.col("y.after"), F.lit(True))
                   & ((F.col("x.band") != F.col("y.band")) | (F.col("x.node") < F.col("y.node")))
-                  & _possible("x", "y", percent))
+                  & _possible("x", "y", percent) & ((100 + percent) * (size - differ) >= 2 * percent * size))
     ends = lambda df, p, q: df.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
     late = _screen(ends(late, "x.node", "y.node").distinct(), reps, percent)
-    late = late.union(ends(near, "a", "b")).distinct().join(ends(pairs, "a", "b"), ["a", "b"], "left_anti")
+    late = late.union(ends(near, "a", "b")).distinct().join(ends(tried, "a", "b"), ["a", "b"], "left_anti")
     root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     late = cut(late.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
                .where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))

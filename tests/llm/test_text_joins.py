@@ -71,6 +71,28 @@ def test_jaccard_around_the_threshold_in_one_tile(make_docs, width, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_jaccard_of_many_near_copies_verifies_few_pairs(make_docs, monkeypatch):
+    """Copies that the first nodes of their tiles do not link are not expanded into all their pairs."""
+    rng = random.Random(5)
+    base = [f"p{i}" for i in range(200)]
+    rows = []
+    for n in range(240):
+        text = list(base)
+        for _ in range(rng.choice([2, 2, 3])):
+            text[rng.randrange(200)] = f"q{rng.randrange(40)}"
+        rows.append((n, " ".join(text)))
+    verified, verify = [], jaccard._verify
+
+    def counted(docs, reps, pairs, *args):
+        verified.append(pairs.count())
+        return verify(docs, reps, pairs, *args)
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    got = jaccard.similar_groups(make_docs(rows), 5, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, 5, 80)
+    assert sum(verified) < 4 * len(rows), verified
+
+
 def test_jaccard_edge_rows(edge_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
     got = jaccard.similar_groups(edge_docs, 3, 90).collect()
