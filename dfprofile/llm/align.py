@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dfprofile.llm.common import drop_stash, load, pieces, stash
+from dfprofile.llm.common import drop_stash, give_back, load, pieces, stash
 
 # Fixed value: the split pattern of byte-level vocabularies with ``use_regex``.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -144,7 +144,16 @@ class Pair:
 @lru_cache(maxsize=1)
 def _pair(a_path: str, b_path: str) -> Pair:
     """One pair of vocabularies per Python worker."""
-    return Pair(a_path, b_path)
+    pair = Pair(a_path, b_path)
+    give_back()
+    return pair
+
+
+def _forget() -> None:
+    """Workers that only look counts up need no vocabularies."""
+    if _pair.cache_info().currsize:
+        _pair.cache_clear()
+        give_back()
 
 
 def _units(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -278,6 +287,7 @@ def aligned_batches(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     for k in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
         pair.older, pair.memo = {}, {}
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, BATCHES)
@@ -349,11 +359,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, most_broadcast: int = MOST_
         drop_stash(counts)
 
         def look_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _forget()
             pair, n, best = shared.value
             for part in parts:
                 for i in range(part.num_rows):
                     at = np.searchsorted(pair, part.column("pairs")[i].values.to_numpy())
                     yield _finish(part, i, n[at], best[at].astype(np.int64))
+            give_back()
 
         return batches.mapInArrow(look_up, RESULT)
     own = batches.select("batch", F.posexplode("pairs").alias("at", "pair")).join(counts, "pair")
@@ -361,11 +373,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, most_broadcast: int = MOST_
     own = own.select("batch", F.col("c.n").alias("c_n"), F.transform("c.best", lambda x: x.cast("long")).alias("c_best"))
 
     def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         none = np.zeros(0, np.int64)
         for part in parts:
             for i in range(part.num_rows):
                 c = [part.column(x)[i].values for x in ("c_n", "c_best")]
                 yield _finish(part, i, *(none if x is None else x.to_numpy() for x in c))
+        give_back()
 
     return batches.join(own, "batch", "left").mapInArrow(joined, RESULT)
 
