@@ -96,3 +96,21 @@ def test_sketch_bucket_path_exact_on_driver_table(spark):
     assert p.n_buckets > 10
     scaled = numeric_stats(df, profile=p).orderBy("column_name").collect()
     assert [r.asDict() for r in base] == [r.asDict() for r in scaled]
+
+
+def test_frequencies_counted_by_groups_of_columns(spark):
+    """Few cells a shuffle and a rank partition: the same table, and more partitions than the session's."""
+    from dfprofile.config import DEFAULT
+    from dfprofile.operators.numeric import NumericProfile
+
+    df = spark.range(300).selectExpr("id % 7 AS a", "id + 9007199254740993 AS big", "CASE WHEN id % 3 > 0 THEN id / 8.0 END AS c",
+                                     "CAST(NULL AS double) AS d")
+    small = DEFAULT.with_(group_cells=600, sorted_cells=50)
+    whole, parted = NumericProfile(df), NumericProfile(df, config=small)
+    rows = lambda p: sorted(map(str, p.ranked().select(sorted(p.ranked().columns)).collect()))
+    assert rows(parted) == rows(whole)
+    for got, want in zip(parted.summary_rows(), whole.summary_rows()):
+        assert got == pytest.approx(want)
+    assert parted.ranked().rdd.getNumPartitions() == 24  # 4 columns x 300 rows by 50
+    for p in (whole, parted):
+        p.release()
