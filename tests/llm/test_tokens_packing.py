@@ -33,6 +33,23 @@ def test_encoder_equals_library(name):
             assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_encoder_keeps_no_plain_words(name):
+    """Words of letters are encoded by the model alone, whatever stands behind them, and not kept."""
+    path, rng = public_tokenizers.path(name), random.Random(7)
+    enc, tok = Encoder(path), Tokenizer.from_file(path)
+    letters = "aeinrstAEÀÉßàéüñøĀŁłŒœŠžŽ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    ends = ["", "", ".", ",", "!?", "###", "$$$", ").", "_", "...", "\n", ".\n"]
+    texts = ["a" + "".join(rng.choice(words) + (e := rng.choice(ends)) + ("" if e[-1:] == "\n" else " ")
+                           for _ in range(60)) + "z" for _ in range(300)]
+    for i in range(0, len(texts), 100):
+        part = texts[i:i + 100]
+        for t, got in zip(part, enc.encode(pa.array(part))):
+            assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert not enc.pieces
+
+
 def test_packing_is_a_partition_with_little_padding(spark, edge_docs):
     path = public_tokenizers.path(FILES[1])
     tok = Tokenizer.from_file(path)
