@@ -35,6 +35,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
     """Every document's ids plus ``end_id``, cut into pieces of at most ``size`` ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if forget:
+            give_back()  # what earlier stages have freed, before the vocabulary comes
         enc, end = encoder(tokenizer_path), np.uint32(end_id).tobytes()
         for b in pieces(batches, "text", 8 << 20, 10_000):
             rows: list[tuple] = []
