@@ -8,13 +8,15 @@ the overlap from above (128 bits in the tiles, 1024 or the size for the pairs le
 signatures differ count no more than the shingles only one set has.  Pairs within bounds are decided
 by intersecting their sorted sets.
 
-Equal sets are one node.  First each node meets one first node of its tiles, which is linear; links
-found so are contracted to components.  While tiles hold many pairs of different components and that
-helps, this is done again with another first node in each tile.  Then the pairs of a tile whose nodes
-lie in different components are compared (512 bits), so that no link that can join two components is
-lost, and groups of near copies are not expanded into all their pairs.  Tiles of the same nodes are one; a pair is
+Equal sets are one node.  In tiles of a few nodes all pairs are compared at once; in larger ones each node
+meets one first node, which is linear; links found so are contracted to components.  While larger tiles
+hold more pairs of different components than the nodes warrant, and that helps, this is done again with another first
+node in each tile.  Then the pairs of a tile whose nodes lie in different components are compared (512 bits),
+so that no link that can join two components is lost, and groups of near copies are not expanded into all
+their pairs.  Tiles of the same nodes are one; a pair is
 left to the next tile that both nodes are in; and shingles of a prefix that no other prefix of the
-bands near holds lower the bound of the overlap.  Set hashes have 64 bits.
+bands near holds lower the bound of the overlap: of two nodes, that whose prefix ends first has all such
+shingles of its own alone.  Set hashes have 64 bits.
 
 Defined results: null and empty texts (no words) have 0 shingles and link with nothing; a text with
 fewer words than a shingle has one shingle, all its words; repeated rows link as equal sets; where
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ from dfprofile.llm.graph import components
 
 SLOTS = 1 << 20  # of the count sketch
 CHUNK = 1 << 14
+FEW = 16  # rows of a tile whose pairs are all compared at once
 WIDE = 8  # words of the signatures that tell a tile's pairs apart
 TURNS = 8  # first nodes tried in a tile, at most, before all its pairs are compared
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -155,7 +158,7 @@ def _prefix_rows(docs: DataFrame, width: int, percent: int, seed: int, order) ->
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = order.value.astype(np.uint64) << np.uint64(56), set()
         for b in pieces(batches, "text", 4 << 20, 10_000):
-            keys, nodes, bands, places = [], [], [], []
+            keys, nodes, bands, places, ends = [], [], [], [], []
             for s in shingle_sets(b.column("text"), width):
                 node = _node(_digest(s), seed)
                 if not len(s) or node in seen:
@@ -170,25 +173,35 @@ def _prefix_rows(docs: DataFrame, width: int, percent: int, seed: int, order) ->
                 nodes.append(np.full(len(low), node, np.int64))
                 bands.append(np.full(len(low), int(math.log(len(s)) / step), np.int32))
                 places.append(np.arange(len(low), dtype=np.int32))
+                ends.append(places[-1] == len(low) - 1)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, bands, places)],
-                                                 names=["key", "node", "band", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, bands, places, ends)],
+                                                 names=["key", "node", "band", "place", "end"])
 
     step = math.log(100 / percent) * (1 + 1e-9)  # similar sizes differ by one band at most
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        rows, "key long, node long, band int, place int")
+        rows, "key long, node long, band int, place int, end boolean")
 
 
-def _possible(x: str, y: str, percent: int) -> Column:
-    """Whether sizes, signatures and shingles proven alone (``alone``: of no other node, and before
-    the tile's key) leave the similarity of two nodes possible."""
-    n, m = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
-    differ = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in ("s0", "s1")), F.lit(0))
-    both = F.least(n - F.col(f"{x}.alone"), m - F.col(f"{y}.alone"))
+SIDE = ["node", "band", "n", "s0", "s1", "alone", "lone", "last"]  # what a row tells of its node
+
+
+def _possible(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    """Whether sizes, signatures and shingles proven alone leave the similarity of two nodes of a tile
+    possible.  ``alone``: those before the tile's key in no other prefix; ``lone``: those in the whole
+    prefix, which the other node lacks if its prefix ends no earlier."""
+    n, m = x("n").cast("long"), y("n").cast("long")
+    differ = sum((F.bit_count(x(s).bitwiseXOR(y(s))) for s in ("s0", "s1")), F.lit(0))
+    both = F.least(n - x("alone"), m - y("alone"),
+                   F.when(x("last") <= y("last"), n - x("lone")).otherwise(m - y("lone")))
     return (((100 + percent) * both >= percent * (n + m))
             & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m)))
 
 
+def _of(side: str) -> Callable[[str], Column]:
+    return lambda c: F.col(f"{side}.{c}")
+
+
 def _screen(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that the full signatures leave possible."""
 
@@ -250,25 +263,35 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
 def _shared(prefix: DataFrame) -> DataFrame:
     """Rows of keys that nodes share within a band or with a neighbouring band, told by a mask of the
-    bands modulo 64."""
+    bands modulo 64 (``met``), and the last row of each node.  ``c``: the key's rows, or more."""
     key = Window.partitionBy("key")
     told = prefix.withColumns({"x": F.min("node").over(key), "y": F.max("node").over(key), "c": F.count(F.lit(1)).over(key),
                                "mask": F.bit_or(F.expr("shiftleft(1L, pmod(band, 64))")).over(key)})
     near = "getbit(mask, pmod(band + 1, 64)) = 1 or getbit(mask, pmod(band - 1, 64)) = 1"
-    return told.where(f"x <> y and (c > bit_count(mask) or {near})").select("key", "node", "band", "place").distinct()
+    told = told.withColumn("met", F.expr(f"x <> y and (c > bit_count(mask) or {near})")).where("met or end")
+    return told.select("key", "node", "band", "place", "met", F.col("c").cast("int").alias("c")).distinct()
 
 
-def _near(rows: DataFrame, reps: DataFrame, percent: int, turn: int = 0) -> DataFrame:
+def _few(rows: DataFrame, percent: int) -> DataFrame:
+    """All possible pairs (b, a) of tiles of ``FEW`` rows at most: each row sees those after it."""
+    after = Window.partitionBy("key").orderBy("band", "node").rowsBetween(1, FEW - 1)
+    seen = rows.select("key", *SIDE, F.collect_list(F.struct(*SIDE)).over(after).alias("others"))
+    fit = F.filter("others", lambda y: (y["band"] <= F.col("band") + 1) & _possible(F.col, lambda c: y[c], percent))
+    pairs = seen.select("node", F.explode(F.transform(fit, lambda y: y["node"])).alias("other"))
+    return pairs.select(F.greatest("node", "other").alias("b"), F.least("node", "other").alias("a"))
+
+
+def _near(rows: DataFrame, percent: int, turn: int = 0) -> DataFrame:
     """Possible pairs (b, a) of each node and one node of each of its tiles: the first or, in a later
     ``turn``, any one of another component."""
     order, apart = ["node"], F.lit(True)
     if turn:
         order, apart = [F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "root"], F.col("x.root") != F.col("y.root")
-    firsts = rows.groupBy("key", "band").agg(F.min(F.struct(*order, "alone", "n", "s0", "s1")).alias("first"))
+    firsts = rows.groupBy("key", "band").agg(F.min(F.struct(*order, *[c for c in SIDE if c not in ("node", "band")])).alias("first"))
     firsts = firsts.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "first.*").alias("y")
     near = rows.alias("x").join(firsts, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.tile"))
-                                & (F.col("x.node") != F.col("y.node")) & apart & _possible("x", "y", percent))
-    return cut(_screen(near.select(F.col("x.node").alias("b"), F.col("y.node").alias("a")).distinct(), reps, percent))
+                                & (F.col("x.node") != F.col("y.node")) & apart & _possible(_of("x"), _of("y"), percent))
+    return near.select(F.col("x.node").alias("b"), F.col("y.node").alias("a"))
 
 
 def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -308,6 +331,24 @@ def _wide(reps: DataFrame) -> DataFrame:
     return reps.where("n > 0").select("node", "sig").mapInArrow(fold, "node long, " + ", ".join(f"{w} long" for w in names))
 
 
+def _ends(pairs: DataFrame, p: str, q: str) -> DataFrame:
+    return pairs.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+
+
+def _late(left: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs (a, b) of all nodes of different components that share a tile of ``left``."""
+    wide = left.drop("place").join(_wide(reps), "node")
+    x, y = wide.alias("x"), _tiles(wide).alias("y")
+    differ = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(WIDE)), F.lit(0))
+    size = F.col("x.n").cast("long") + F.col("y.n")
+    late = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.tile"))
+                  & (F.col("x.root") != F.col("y.root"))
+                  & F.coalesce(F.col("x.after") != F.col("y.after"), F.lit(True))
+                  & ((F.col("x.band") != F.col("y.band")) | (F.col("x.node") < F.col("y.node")))
+                  & _possible(_of("x"), _of("y"), percent) & ((100 + percent) * (size - differ) >= 2 * percent * size))
+    return cut(_screen(_ends(late, "x.node", "y.node").distinct(), reps, percent))
+
+
 def similar_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, mark (a hash of the text), n_shingles, root (a node of the component), component_id (its
     smallest document id) of every document."""
@@ -327,25 +368,37 @@ def similar_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     prefix = _prefix_rows(docs, width, percent, seed, order)
     nodes = reps.where("n > 0").select("node", "n", "s0", "s1")
     rows = _shared(prefix).join(nodes, "node")
-    # of the shingles before this one, those that are in no other prefix of the bands near: another
-    # node of the tile holds all of its shingles before the key in its prefix, so it lacks them
-    met = F.row_number().over(Window.partitionBy("node").orderBy("place"))
-    rows = stash(rows.withColumn("alone", F.col("place") + 1 - met), "tiles")
-
-    # each node with one of the first nodes of its tiles
-    near = _near(rows, reps, percent)
+    # shingles that are in no other prefix of the bands near: another node of the tile holds all of its
+    # shingles up to its prefix's last in its prefix, so it lacks those of them that come before that
+    own = Window.partitionBy("node")
+    met = F.sum(F.col("met").cast("int"))
+    rows = rows.withColumns({"alone": F.col("place") + 1 - met.over(own.orderBy("place")),
+                             "lone": F.max("place").over(own) + 1 - met.over(own), "last": F.max("key").over(own)})
+    rows = stash(rows.where("met").select("key", *SIDE, "place", "c"), "tiles")
+
+    # all pairs of small tiles; in others, each node with one of the first nodes
+    some, many = rows.where(F.col("c") <= FEW), rows.where(F.col("c") > FEW).drop("c")
+    near = cut(_screen(_few(some, percent).union(_near(many, percent)).distinct(), reps, percent))
     tried = pairs = cut(near.groupBy("b").agg(F.min("a").alias("a")))
     links = _verify(docs, reps, pairs, width, percent, seed)
     roots = cut(components(links))
 
-    # again with others, as long as that leaves far fewer pairs of different components
-    left = _mixed(rows, roots)
+    # again with others, as long as that leaves far fewer pairs of different components; not where those
+    # are in proportion to the nodes and few of them possible
+    left = _mixed(many, roots)
     drop_stash(rows)
     apart, n = _apart(left)
+    late, size = None, reps.count()
     for turn in range(1, TURNS):
         if apart <= 2 * n:
             break
-        pairs = cut(_near(left, reps, percent, turn).groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a"))
+        if apart <= 16 * size:
+            late = _late(left, reps, percent)
+            if 8 * late.count() <= size:
+                break
+            late = None
+        found = _screen(_near(left, percent, turn).distinct(), reps, percent)
+        pairs = cut(found.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a"))
                     .join(tried, ["a", "b"], "left_anti"))
         links = cut(links.union(_verify(docs, reps, pairs, width, percent, seed)))
         tried, roots = cut(tried.unionByName(pairs)), cut(components(links))
@@ -355,18 +408,8 @@ def similar_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
             break
 
     # all pairs of nodes of different components
-    wide = left.drop("place").join(_wide(reps), "node")
-    x, y = wide.alias("x"), _tiles(wide).alias("y")
-    differ = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(WIDE)), F.lit(0))
-    size = F.col("x.n").cast("long") + F.col("y.n")
-    late = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.tile"))
-                  & (F.col("x.root") != F.col("y.root"))
-                  & F.coalesce(F.col("x.after") != F.col("y.after"), F.lit(True))
-                  & ((F.col("x.band") != F.col("y.band")) | (F.col("x.node") < F.col("y.node")))
-                  & _possible("x", "y", percent) & ((100 + percent) * (size - differ) >= 2 * percent * size))
-    ends = lambda df, p, q: df.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
-    late = _screen(ends(late, "x.node", "y.node").distinct(), reps, percent)
-    late = late.union(ends(near, "a", "b")).distinct().join(ends(tried, "a", "b"), ["a", "b"], "left_anti")
+    late = _late(left, reps, percent) if late is None else late
+    late = late.union(_ends(near, "a", "b")).distinct().join(_ends(tried, "a", "b"), ["a", "b"], "left_anti")
     root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     late = cut(late.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
                .where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))

@@ -93,6 +93,27 @@ def test_jaccard_of_many_near_copies_verifies_few_pairs(make_docs, monkeypatch):
     assert sum(verified) < 4 * len(rows), verified
 
 
+def test_jaccard_of_chance_meetings_settles_small_tiles_at_once(make_docs, monkeypatch):
+    """Tiles of a few nodes leave no rows to later turns, and few pairs need their whole signatures."""
+    rng = random.Random(11)
+    rows = [(n, " ".join(rng.sample([f"w{i}" for i in range(900)], 30))) for n in range(240)]
+    rows += [(1000 + n, t + f" own{n}") for n, t in rows[:9]]
+    left, screened, apart, screen = [], [], jaccard._apart, jaccard._screen
+    monkeypatch.setattr(jaccard, "_apart", lambda df: left.append(apart(df)) or left[-1])
+    monkeypatch.setattr(jaccard, "_screen", lambda pairs, *args: screened.append(pairs.count()) or screen(pairs, *args))
+    got = jaccard.similar_groups(make_docs(rows), 1, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, 1, 80)
+    assert left == [(0, 0)] and sum(screened) < 3 * len(rows), (left, screened)
+
+
+def test_components_of_stars_take_no_step(spark, monkeypatch):
+    cuts, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(1) or cut(df))
+    edges = [(5, 1), (1, 9), (7, 2), (2, 7), (3, 3)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 5: 1, 9: 1, 2: 2, 7: 2} and len(cuts) == 1
+
+
 def test_jaccard_edge_rows(edge_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
     got = jaccard.similar_groups(edge_docs, 3, 90).collect()
