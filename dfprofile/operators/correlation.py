@@ -113,11 +113,11 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None,
 
 def _look_up(out: DataFrame, ranked: DataFrame, c: str, distinct: int, low: dict, fields: dict[str, str],
              config: ProfileConfig) -> DataFrame:
-    """``out`` with the ``fields`` (source -> new name) of column ``c``'s row in a ranked table: a
+    """``out`` with the ``fields`` (SQL of the source -> new name) of column ``c``'s row in a ranked table: a
     broadcast where the number of distinct values is small, else a shuffled join."""
     keys = {"__v": F.col("value"), **({"__l": F.col("low")} if low else {})}
     rk = ranked.where(F.col("column_name") == c).select(
-        *[e.alias(k) for k, e in keys.items()], *[F.col(f).alias(n) for f, n in fields.items()])
+        *[e.alias(k) for k, e in keys.items()], *[F.expr(f).alias(n) for f, n in fields.items()])
     on = qcol(c) == F.col("__v")
     if low:
         on = on & (low[c] == F.col("__l"))

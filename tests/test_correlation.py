@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -88,3 +89,30 @@ def test_kendall_pairwise_complete_with_nulls(spark):
     keep = [(x, y) for x, y in rows if x is not None and y is not None]
     exp = _tau_b([x for x, _ in keep], [y for _, y in keep])
     assert got[("a", "b")] == pytest.approx(exp, abs=1e-12)
+
+
+def test_kendall_counts_each_pair_of_rows_in_a_block_or_the_grid(spark, monkeypatch):
+    """Small blocks, values of more rows than a block, nulls; rows are dealt once a column, not once a digit."""
+    from dfprofile.operators import kendall as K
+
+    rng = np.random.default_rng(8)
+    n = 1500
+    a = rng.integers(0, 400, n).astype(float)
+    a[rng.random(n) < 0.3] = 7.0
+    b = np.round(a + rng.normal(0, 60, n))
+    b[rng.random(n) < 0.2] = -3.0
+    c = rng.permutation(n).astype(float)
+    pdf = pd.DataFrame({"a": a, "b": b, "c": c})
+    for col, share in (("a", 0.05), ("b", 0.1)):
+        pdf.loc[rng.random(n) < share, col] = np.nan
+    dealt = []
+    inversions = K._inversions
+    for rows in (20, 250, 250_000):
+        monkeypatch.setattr(K, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(K, "_inversions", lambda df, *args: dealt.append(df.count()) or inversions(df, *args))
+        got = mat(kendall_matrix(spark.createDataFrame(
+            [tuple(None if v != v else v for v in r) for r in pdf.itertuples(index=False)], "a double, b double, c double")))
+        for x, y in itertools.product(pdf.columns, repeat=2):
+            u, v = (np.sign(w[:, None] - w) for w in pdf[[x, y]].dropna().to_numpy().T) if x != y else (np.ones(1),) * 2
+            assert abs(got[x, y] - (u * v).sum() / np.sqrt((u * u).sum() * (v * v).sum())) < 1e-12, (rows, x, y)
+    assert max(dealt[2:]) < 300, dealt  # the grid's cells, not the rows, where blocks hold 250 rows or more
