@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dfprofile.llm.common import checked, cut, fresh, load, pieces, text_bytes
+from dfprofile.llm.common import checked, cut, fresh, give_back, load, pieces, text_bytes
 
 MOST_WORDS = 2_000_000
 LONGEST = 8  # words of a window, at most
@@ -190,8 +190,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
         index = spark.sparkContext.broadcast(Index(some, similarity))
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            give_back()  # what earlier stages have freed
             known = index.value
-            for b in pieces(batches, "text"):
+            for b in pieces(batches, "text", 1 << 20):
                 found = _matches(known, b.column("text").to_pylist(), similarity) if known.ids else []
                 ids = b.column("doc_id").to_pylist()
                 rows = [(ids[t], known.ids[i], d, int(known.rows[i + 1] - known.rows[i]), a, n) for t, i, d, a, n in found]
