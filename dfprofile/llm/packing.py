@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
         if forget:
             give_back()  # what earlier stages have freed, before the vocabulary comes
         enc, end = encoder(tokenizer_path), np.uint32(end_id).tobytes()
-        for b in pieces(batches, "text", 8 << 20, 10_000):
+        for b in pieces(batches, "text", (2 if forget else 8) << 20, 10_000):
             rows: list[tuple] = []
             ids = enc.encode(b.column("text"))
             for doc, x in zip(b.column("doc_id").to_pylist(), ids):
@@ -128,8 +128,8 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 4096, forget: bool = False) -> DataFrame:
-    """Pieces with ``sequence_id`` and ``offset``; ``forget``: tasks leave no encoded words behind, for
-    workers that go on to other stages."""
+    """Pieces with ``sequence_id`` and ``offset``; ``forget``: tasks leave no encoded words behind and
+    encode less text at a time, for workers that go on to other stages."""
     return pack(stash(token_pieces(docs, tokenizer_path, size, forget=forget), "pieces"), size)
 
 

@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> dict[st
             .join(F.broadcast(rows), "id"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 1 << 20):
             doc, feature, value = counts(b.column("text"))
             cuts = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
             lists = (pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (feature.astype(np.int32), value.astype(np.float32)))
@@ -165,7 +165,7 @@ def evidence(docs: DataFrame, model, *carry: str) -> DataFrame:
     there are any, the columns of ``carry`` and text_; ``model``: the broadcast models."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text_", 2 << 20, 10_000):
+        for b in pieces(batches, "text_", 1 << 20, 10_000):
             c = counts(b.column("text_"))
             llr = [pa.array(np.clip(m.logit(*c, b.num_rows) - m.base, -30, 30)) for m in (model.value["quality"], model.value["toxic"])]
             rest = [x for x in b.schema.names if x != "text_" or carry]

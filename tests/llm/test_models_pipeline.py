@@ -2,12 +2,13 @@ import inspect
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from dfprofile.llm import langid, quality
+from dfprofile.llm import decontaminate, jaccard, langid, packing, quality, repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -146,6 +147,28 @@ def test_pipeline_stages(spark, edge_docs, empty_docs):
     assert ids and good.columns == columns and ids <= {r.doc_id for r in good.collect()}
 
 
+def test_stages_send_texts_to_workers_in_small_batches(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, f"{i} " + "x" * 100_000) for i in range(100)]).coalesce(1)
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+
+    operators = [(quality, "accepted"), (jaccard, "one_of_each"), (repeats, "without_repeats"),
+                 (decontaminate, "without_benchmark"), (packing, "pack_documents")]
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    try:
+        for (_, stage), (module, name) in zip(corpus_pipeline.STAGES, operators, strict=True):
+            spark.conf.set(corpus_pipeline.BATCH, "64m")
+            monkeypatch.setattr(module, name, lambda docs, *_, **__: docs.select("text").mapInArrow(sizes, "n long"))
+            n = [r.n for r in stage(spark, docs, SF).collect()]
+            assert sum(n) > 10_000_000 and max(n) < 3 << 20, name
+            monkeypatch.setattr(module, name, lambda docs, *_, **__: docs)
+        spark.conf.set(corpus_pipeline.BATCH, "64m")
+        assert corpus_pipeline.run(spark, SF).count() and spark.conf.get(corpus_pipeline.BATCH) == "64m"
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
