@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dfprofile.llm.common import cut, drop_stash, fresh, load, pieces, stash
+from dfprofile.llm.common import cut, drop_stash, fresh, give_back, load, pieces, stash
 
 BUCKETS = 1 << 20
 EDGE = ".,;:!?*&%$#@|-_=+~^'\"()[]{}<>/\\"
@@ -92,17 +92,22 @@ class Model:
         """``feature`` and ``value``: the features that go with the class, as ``values`` gives them."""
         n = len(y)
         self.base = self.b = math.log(y.mean() / (1 - y.mean()))
-        m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+        seen = np.zeros(BUCKETS, bool)  # other features keep a weight of 0
+        seen[feature] = True
+        feature = (np.cumsum(seen, dtype=np.int32) - 1)[feature]
+        w = self.w[seen]
+        m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for t in range(1, steps + 1):
-            z = self.b + np.bincount(doc, value * self.w[feature], n)
+            z = self.b + np.bincount(doc, value * w[feature], n)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-            g = np.append(np.bincount(feature, value * err[doc], BUCKETS) + 1e-5 * self.w, err.sum())
+            g = np.append(np.bincount(feature, value * err[doc], len(w)) + 1e-5 * w, err.sum())
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             d = 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
-            self.w -= d[:-1]
+            w -= d[:-1]
             self.b -= d[-1]
         self.w = self.w.astype(np.float32)
+        self.w[seen] = w
 
 
 def _telling(known: DataFrame, n: int, ones: int) -> DataFrame:
@@ -153,9 +158,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> dict[st
 
         got = known.mapInArrow(pick, "id long, y int, feature array<int>, value array<double>").toArrow()
         got = got.sort_by([("id", "ascending")]).combine_chunks()
+        give_back()  # the unsorted rows
         doc = np.repeat(np.arange(got.num_rows, dtype=np.int32), pc.list_value_length(got["feature"]).to_numpy())
         model.fit(doc, pc.list_flatten(got["feature"]).to_numpy(), pc.list_flatten(got["value"]).to_numpy(),
                   got["y"].to_numpy().astype(float))
+        del got, doc
+        give_back()
     drop_stash(sample)
     return out
 

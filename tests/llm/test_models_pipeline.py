@@ -1,4 +1,5 @@
 import inspect
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -127,6 +128,27 @@ def test_only_features_that_go_with_the_class_reach_the_driver(spark, monkeypatc
     assert len(held) == 2
 
 
+def test_fit_holds_no_more_than_its_features():
+    rng = np.random.default_rng(5)
+    doc, feature = np.repeat(np.arange(200), 20), rng.choice(rng.integers(0, quality.BUCKETS, 300), 4000)
+    value, y = rng.random(4000), (rng.random(200) < 0.3).astype(float)
+    model = quality.Model(True)
+    tracemalloc.start()
+    model.fit(doc, feature, value, y, 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    w, b = np.zeros(quality.BUCKETS), model.base  # the same over all buckets
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for t in range(1, 31):
+        err = (1 / (1 + np.exp(-np.clip(b + np.bincount(doc, value * w[feature], 200), -30, 30))) - y) / 200
+        g = np.append(np.bincount(feature, value * err[doc], len(w)) + 1e-5 * w, err.sum())
+        m, v = m + 0.1 * (g - m), v + 0.01 * (g * g - v)
+        d = 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
+        w, b = w - d[:-1], b - d[-1]
+    assert model.b == b and (model.w == w.astype(np.float32)).all() and model.w.any()
+
+
 def test_shrinkage_follows_site_size(spark):
     rows = [("a", 1000, 900.0), ("b", 1000, 100.0), ("c", 2, 2.0), ("d", 500, 400.0)]
     rates = spark.createDataFrame(rows, "host_ string, n long, q double")
