@@ -12,9 +12,11 @@ opened), so a text is read as a row of units between those borders, and each dis
 batch is tokenized and aligned once.
 
 A batch of documents becomes one row of a table in the shared folder: the units' links as numbers of
-the batch's distinct id pairs, and the documents as numbers of units.  The pairs of all batches are
-then counted by grouping, after adding them up within tasks; counts go back to the batches as a
-broadcast if they are ``most_broadcast`` rows or fewer, else in a shuffled join.
+the batch's distinct id pairs, and the documents as numbers of units, packed as one binary value, so
+that Spark moves bytes and never spreads millions of array elements over its vectors.  Each row is a
+row group, as readers hold a row group at a time.  The pairs of all batches are then counted by
+grouping, after adding them up within tasks; counts go back to the batches as a broadcast if they are
+``most_broadcast`` rows or fewer, else in a shuffled join.
 
 Defined results: null and empty texts, and texts that either side's tokens do not give back byte by
 byte (as those with U+2581), have no tokens: zeros and the empty string.  Null and repeated ids
@@ -246,9 +248,29 @@ class Aligned:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), pair.words.take(pa.array(word))), "")
 
 
-BATCHES = ("batch string, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-           "sha array<string>, doc_end array<int>, units array<int>, unit_end array<int>, links array<int>, "
-           "pairs array<long>, pair_n array<long>")
+BATCHES = "batch string, pairs array<long>, pair_n array<long>, body binary"
+BODY = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "doc_units", "units", "unit_links", "links")
+ROW_GROUPS = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false"}
+
+
+def _packed(row: dict) -> bytes:
+    """Arrays of different lengths as one value: Arrow's stream of a row of lists."""
+    cols = [row[k] if isinstance(row[k], pa.Array) else pa.array(row[k]) for k in BODY]
+    lists = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols], names=list(BODY))
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, lists.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_batch(lists)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(body: pa.BinaryScalar) -> dict[str, pa.Array]:
+    lists = pa.ipc.open_stream(body.as_buffer()).read_next_batch()
+    return {k: lists.column(k)[0].values for k in BODY}
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold all of them."""
+    return x.astype(np.min_scalar_type(x.max(initial=0)))
 
 
 def _batch_row(b: pa.RecordBatch, pair: Pair) -> dict:
@@ -269,23 +291,21 @@ def _batch_row(b: pa.RecordBatch, pair: Pair) -> dict:
     sha = [hashlib.sha256(raw[x:y]).hexdigest() if g else "" for x, y, g in zip(cut[:-1].tolist(), cut[1:].tolist(), good.tolist())]
     times = np.bincount(at, minlength=len(units))
     row = {x: np.bincount(doc, getattr(al, x)[at], n).astype(np.int64) for x in ("n_a", "n_b", "n_groups", "n_links")}
-    return row | {"doc_id": b.column("doc_id"), "sha": sha, "doc_end": ends.astype(np.int32), "units": at,
-                  "unit_end": np.cumsum(al.n_links).astype(np.int32), "links": al.link.astype(np.int32), "pairs": al.pairs,
-                  "pair_n": np.bincount(al.link, times[al.link_unit], len(al.pairs)).astype(np.int64)}
+    row |= {"doc_id": b.column("doc_id"), "sha": pa.array(sha, pa.string()), "doc_units": _small(size), "units": _small(at),
+            "unit_links": _small(al.n_links), "links": _small(al.link)}
+    return {"pairs": al.pairs, "pair_n": np.bincount(al.link, times[al.link_unit], len(al.pairs)).astype(np.int64),
+            "body": _packed(row)}
 
 
 def aligned_batches(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row a batch of documents (``BATCHES``)."""
-    names = [f.split()[0] for f in BATCHES.split(", ")]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(a_path, b_path)
         for b in pieces(batches, "text", 1 << 20, 10_000):
-            row = _batch_row(b, pair) | {"batch": uuid.uuid4().hex}
-            cols = [pa.array([row[k]], pa.string()) if k == "batch" else
-                    pa.ListArray.from_arrays(pa.array([0, len(row[k])], pa.int32()), row[k] if isinstance(row[k], pa.Array) else pa.array(row[k], pa.string() if k == "sha" else None))
-                    for k in names]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            row = _batch_row(b, pair)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (row["pairs"], row["pair_n"])]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, pa.array([row["body"]], pa.binary())],
+                                             names=["batch", "pairs", "pair_n", "body"])
         pair.older, pair.memo = {}, {}
         give_back()
 
@@ -330,18 +350,17 @@ RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
           "groups_sha256 string")
 
 
-def _finish(part: pa.RecordBatch, i: int, n: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+def _finish(body: pa.BinaryScalar, n: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
     """The documents of a batch, from the counts of its pairs."""
-    def values(name: str) -> np.ndarray:
-        return part.column(name)[i].values.to_numpy(zero_copy_only=False)
-
-    link, sums = values("links"), []
+    row, sums = _unpacked(body), []
+    units, link = (row[k].to_numpy() for k in ("units", "links"))
+    unit_cuts, doc_cuts = (np.concatenate([[0], np.cumsum(row[k].to_numpy(), dtype=np.int64)]) for k in ("unit_links", "doc_units"))
     for x in (best, n):
-        upto = np.concatenate([[0], np.cumsum(x[link])])[np.concatenate([[0], values("unit_end")])]
-        upto = np.concatenate([[0], np.cumsum(np.diff(upto)[values("units")])])[np.concatenate([[0], values("doc_end")])]
+        upto = np.concatenate([[0], np.cumsum(x[link])])[unit_cuts]
+        upto = np.concatenate([[0], np.cumsum(np.diff(upto)[units])])[doc_cuts]
         sums.append(pa.array(np.diff(upto).astype(np.int64)))
-    same = [part.column(c)[i].values for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-    return pa.RecordBatch.from_arrays([*same, *sums, part.column("sha")[i].values], names=[f.split()[0] for f in RESULT.split(", ")])
+    same = [row[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+    return pa.RecordBatch.from_arrays([*same, *sums, row["sha"]], names=[f.split()[0] for f in RESULT.split(", ")])
 
 
 MOST_BROADCAST = 4_000_000  # rows of 17 bytes
@@ -349,7 +368,7 @@ MOST_BROADCAST = 4_000_000  # rows of 17 bytes
 
 def align(docs: DataFrame, a_path: str, b_path: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
-    batches = stash(aligned_batches(docs, a_path, b_path), "aligned")
+    batches = stash(aligned_batches(docs, a_path, b_path), "aligned", ROW_GROUPS)
     counts = stash(pair_counts(batches), "pairs")
     if counts.count() <= most_broadcast:
         got = counts.toArrow()
@@ -364,10 +383,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, most_broadcast: int = MOST_
             for part in parts:
                 for i in range(part.num_rows):
                     at = np.searchsorted(pair, part.column("pairs")[i].values.to_numpy())
-                    yield _finish(part, i, n[at], best[at].astype(np.int64))
+                    yield _finish(part.column("body")[i], n[at], best[at].astype(np.int64))
             give_back()
 
-        return batches.mapInArrow(look_up, RESULT)
+        return batches.select("pairs", "body").mapInArrow(look_up, RESULT)
     own = batches.select("batch", F.posexplode("pairs").alias("at", "pair")).join(counts, "pair")
     own = own.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("at", "n", "best"))).alias("c"))  # a batch's pairs
     own = own.select("batch", F.col("c.n").alias("c_n"), F.transform("c.best", lambda x: x.cast("long")).alias("c_best"))
@@ -378,10 +397,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, most_broadcast: int = MOST_
         for part in parts:
             for i in range(part.num_rows):
                 c = [part.column(x)[i].values for x in ("c_n", "c_best")]
-                yield _finish(part, i, *(none if x is None else x.to_numpy() for x in c))
+                yield _finish(part.column("body")[i], *(none if x is None else x.to_numpy() for x in c))
         give_back()
 
-    return batches.join(own, "batch", "left").mapInArrow(joined, RESULT)
+    return batches.select("batch", "body").join(own, "batch", "left").mapInArrow(joined, RESULT)
 
 
 def q_align(spark: SparkSession, sf_dir: str) -> DataFrame:

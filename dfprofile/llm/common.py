@@ -31,10 +31,10 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+def stash(df: DataFrame, tag: str, options: dict[str, str] | None = None) -> DataFrame:
     """Cut lineage through a Parquet table in the shared folder (column-wise, compressed)."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

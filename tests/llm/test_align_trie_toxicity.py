@@ -93,6 +93,34 @@ def test_pair_counts_flush(spark):
     batches.unpersist()
 
 
+def test_batches_are_stored_as_a_small_row_group_each(spark, monkeypatch):
+    """Spark's readers hold a row group at a time, and arrays element by element."""
+    import pyarrow.parquet as pq
+
+    stored = {}
+    keep = align.stash
+    monkeypatch.setattr(align, "stash", lambda df, tag, *options: stored.setdefault(tag, keep(df, tag, *options)))
+    rows = [(i, f"word{i} and {i * i} " * 90_000) for i in range(4)]  # a batch each
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in align.align(df, A, B).collect()) == [0, 1, 2, 3]
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in stored["aligned"].inputFiles()]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert [g.num_rows for g in groups] == [1] * 4
+    per_document = sum(g.column(i).num_values for g in groups for i in range(g.num_columns)
+                       if not g.column(i).path_in_schema.startswith("pair"))
+    assert per_document == 2 * len(groups)  # values, not elements: the batch's name and its body
+
+
+def test_packed_numbers_stay_as_they_are():
+    for top in (0, 1, 255, 256, 65_535, 65_536, 2 ** 32):
+        x = np.array([0, top // 2, top], np.int64)
+        assert align._small(x).tolist() == x.tolist()
+    assert align._small(np.zeros(0, np.int64)).tolist() == []
+    row = {k: np.arange(i) for i, k in enumerate(align.BODY)} | {"doc_id": pa.array([5, None, 5, 7])[1:], "sha": pa.array(["", "é"])}
+    got = align._unpacked(pa.scalar(align._packed(row), pa.binary()))
+    assert {k: v.to_pylist() for k, v in got.items()} == {k: v.tolist() for k, v in row.items()}
+
+
 def test_units_grow_old(monkeypatch):
     monkeypatch.setattr(align, "MEMO", 2)
     pair = align.Pair(A, B)
